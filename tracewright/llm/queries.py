@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, media, sharding
+from . import exact_dedup, html_text, langid, media, packing, sharding
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_media": media.op3_media,
     "op4_langid": langid.op4_langid,
     "op6_sharding": sharding.op6_sharding,
+    "op8_packing": packing.op8_packing,
+    "op9_html": html_text.op9_html,
 }
 
 ORACLES = {
