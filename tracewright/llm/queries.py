@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, langid, media, packing, sharding
+from . import exact_dedup, html_text, langid, media, packing, sentencepiece_scan, sharding
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_media": media.op3_media,
     "op4_langid": langid.op4_langid,
