@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,9 @@ CAPACITY, END, GROUP = 4096, 1, 32768
 MEMO, MEMO_CHARS = 1_000_000, 40
 #: Marks that often end a word, and letters whose lower case depends on what stands beside them.
 MARKS, SPECIAL_CASE = ".,;:!?", re.compile("[\u03a3\u0130]")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
 #: str.split() takes these for white space, the tokenizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -52,28 +56,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if ODD_SPACE.search(text):
-            return self._ids([text])[0]
+            return self._whole(text)
         words = text.split()
         memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = {w: self._split(w) for w in dict.fromkeys(words) if w not in memo}
-        parts = [p for p in dict.fromkeys(p for split in new.values() for p in split) if p not in memo]
-        known = dict(zip(parts, self._ids(parts), strict=True))
-        whole = {p: known[p] if p in known else memo[p] for split in new.values() for p in split}
-        known |= {w: b"".join([whole[p] for p in split]) for w, split in new.items()}
-        out = b"".join([known[w] if w in known else memo[w] for w in words])
-        if len(memo) + len(known) > MEMO:
-            memo.clear()
-        memo.update((w, ids) for w, ids in known.items() if len(w) <= MEMO_CHARS)
-        return out
+        ids = list(map(memo.get, words))
+        if None in ids:
+            if len(memo) > MEMO:
+                memo.clear()
+            for i, found in enumerate(ids):
+                if found is None:
+                    w = words[i]
+                    ids[i] = memo.get(w) or self._word(w)
+        return b"".join(ids)
+
+    def _word(self, word: str) -> bytes:
+        memo, parts = self.memo, []
+        for p in self._split(word):
+            found = memo.get(p)
+            if found is None:
+                found = self._letters(p) if p in MARKS or p.isalpha() and not SPECIAL_CASE.search(p) else self._whole(p)
+                if len(p) <= MEMO_CHARS:
+                    memo[p] = found
+            parts.append(found)
+        ids = b"".join(parts)
+        if len(word) <= MEMO_CHARS:
+            memo[word] = ids
+        return ids
+
+    def _letters(self, part: str) -> bytes:
+        """Ids of what the tokenizer's own normalisation and splitting would leave as one piece."""
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).encode().decode("latin-1").translate(BYTES)
+        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def _split(word: str) -> tuple[str, ...]:
@@ -83,9 +106,6 @@ class WordEncoder:
             return (stem if SPECIAL_CASE.search(stem) else stem.lower(), *mark)
         return (word,)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
 
 _encoders: dict[str, WordEncoder] = {}
 
