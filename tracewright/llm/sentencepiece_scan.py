@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table, text_or_empty
 
 CHUNK = 32768
-WORDS, PAIRS = 600_000, 1_000_000
+#: Words and pairs of pieces that a worker remembers, and rows it returns at once.
+WORDS, PAIRS, ROWS = 250_000, 300_000, 1000
 SPACE = "▁"
 GROUPS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -68,7 +69,8 @@ class Scanner:
         self.longest = max(map(len, self.ids))
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.valid: dict[str, bool] = {}
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.agree: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.words: dict[str, bytes] = {"": b""}
 
     def merge(self, text: str) -> list[str]:
@@ -86,46 +88,63 @@ class Scanner:
         return parts
 
     def is_valid(self, piece: str) -> bool:
+        if piece not in self.ids:
+            return len(piece) == 1
         if piece not in self.valid:
-            self.valid[piece] = piece in self.ids and self.merge(piece) == [piece]
+            self.valid[piece] = self.merge(piece) == [piece]
         return self.valid[piece]
 
     def agrees(self, left: str | None, right: str) -> bool:
         """Weight of an edge: True is 0, False minus infinity. None stands for a cut, which agrees with all."""
         if left is None:
-            return True
-        pair = (left, right)
-        found = self.agree.get(pair)
-        if found is None:
-            if len(self.agree) >= PAIRS:
+            return self.is_valid(right)
+        known = self.agree.get(left)
+        if known is None:
+            known = self.agree[left] = {}
+        if right not in known:
+            self.pairs += 1
+            if self.pairs > PAIRS:
                 self.agree.clear()
-            found = self.agree[pair] = self.merge(left + right) == [left, right]
-        return found
+                self.pairs, known = 0, {}
+                self.agree[left] = known
+            known[right] = self.is_valid(right) and self.merge(left + right) == [left, right]
+        return known[right]
 
     def is_cut(self, text: str, at: int) -> bool:
         return at <= 0 or at >= len(text) or text[at - 1 : at + 1] not in self.inside
 
     def nodes(self, text: str, end: int, start: int = 0) -> list[str]:
         """The pieces that can end at end, longest first; a character outside the vocabulary stands for itself."""
-        found = [text[b:end] for b in range(max(start, end - self.longest), end) if self.is_valid(text[b:end])]
-        return found or [text[end - 1 : end]]
+        return [text[b:end] for b in range(max(start, end - self.longest), end) if self.is_valid(text[b:end])]
 
     def path(self, text: str) -> list[str]:
-        """The pieces of a text that begins at a cut: the one path of weight 0."""
-        ids, agree, valid, longest = self.ids, self.agrees, self.is_valid, self.longest
-        last: list[str | None] = [None] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                piece = text[begin:end]
-                if piece in ids and (begin == 0 or (last[begin] is not None and agree(last[begin], piece))) and valid(piece):
-                    last[end] = piece
-                    break
-        out, end = [], len(text)
-        while end:
-            piece = last[end] or text[end - 1 : end]
-            out.append(piece)
-            end -= len(piece)
-        return out[::-1]
+        """The pieces of a text that begins at a cut: the one path of weight 0.
+
+        A prefix has one path, so a position from which the end can't be reached is dead however it was reached;
+        trying longer pieces first, few are met.
+        """
+        ids, agree, longest, n = self.ids, self.agree, self.longest, len(text)
+        out: list[str] = []
+        dead: set[int] = set()
+        at, left, end = 0, None, min(n, longest)
+        while at < n:
+            known = agree.get(left) or {}
+            while end > at:
+                piece = text[at:end]
+                if (piece in ids or end == at + 1) and end not in dead:
+                    weight = known.get(piece)
+                    if weight if weight is not None else self.agrees(left, piece):
+                        break
+                end -= 1
+            if end > at:
+                out.append(piece)
+                at, left, end = end, piece, min(n, end + longest)
+            else:
+                dead.add(at)
+                end = at - 1
+                at -= len(out.pop())
+                left = out[-1] if out else None
+        return out
 
     def to_ids(self, pieces: list[str]) -> bytes:
         found: list[int] = []
@@ -137,7 +156,8 @@ class Scanner:
     def word(self, text: str) -> bytes:
         found = self.words.get(text)
         if found is None:
-            cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside), len(text)]
+            inside = self.inside
+            cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside], len(text)]
             if len(cuts) > 2:
                 found = b"".join([self.word(text[a:b]) for a, b in zip(cuts, cuts[1:])])  # noqa: B905
             else:
@@ -156,7 +176,7 @@ class Scanner:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            return b"".join([word(w) for w in words])
+            return b"".join([known.get(w) or word(w) for w in words])
 
     def encode(self, text: str) -> bytes:
         return self.between_cuts(SPACE + text.replace(" ", SPACE)) if text else b""
@@ -291,7 +311,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s.encode(t.as_py()) for t in b.column("text")], pa.binary()), pa.array([1] * len(b), pa.int32())], ["key", "text", "ids", "chunks"])
+            for i in range(0, len(b), ROWS):
+                part = b.slice(i, ROWS)
+                ids = pa.array([s.encode(t.as_py()) for t in part.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([1] * len(part), pa.int32())], ["key", "text", "ids", "chunks"])
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(small, "key bigint, text string, ids binary, chunks int")
     giant = rows.where(F.length("text") > chunk)
@@ -345,7 +368,9 @@ def decode(encoded: DataFrame, columns: list, path: str | None = None, ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([s.decode(x.as_py() or b"") for x in b.column("ids")], pa.string())], ["row", "decoded"])
+            for i in range(0, len(b), ROWS):
+                part = b.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([s.decode(x.as_py() or b"") for x in part.column("ids")], pa.string())], ["row", "decoded"])
 
     return picked.mapInArrow(run, f"row {picked.schema['row'].dataType.simpleString()}, decoded string").select("row.*", "decoded")
 
