@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, langid, media, packing, sentencepiece_scan, sharding
+from . import exact_dedup, html_text, katz, langid, media, packing, sentencepiece_scan, sharding
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
     "op9_html": html_text.op9_html,
+    "op10_katz": katz.op10_katz,
 }
 
 ORACLES = {
