@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, katz, langid, media, packing, sentencepiece_scan, sharding
+from . import exact_dedup, html_text, katz, langid, media, packing, sentencepiece_scan, sharding, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_media": media.op3_media,
     "op4_langid": langid.op4_langid,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
     "op9_html": html_text.op9_html,
