@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fold, read_table
 
 CLASSES, SPAN, DECAY = 64, 6, 0.6
-ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 8000, 20_000, 400, 3, 7
+ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 8000, 20_000, 400, 4, 7
 WINDOW, MEMO, SHARP = 24, 400_000, 6.0
 NOTHING, LETTER = -2.0, -3.0
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -164,7 +164,7 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         words = bad + variants + hard
         x = kernel(words, landmarks) @ root
         y = np.concatenate((np.ones(len(bad) + len(variants)), -np.ones(len(hard))))
-        c = np.concatenate((np.full(len(bad), 50.0), np.full(len(variants), 5.0), np.full(len(hard), 20.0)))
+        c = np.concatenate((np.full(len(bad), 50.0), np.full(len(variants), 20.0), np.full(len(hard), 20.0)))
         w, bias = squared_hinge(x, y, c)
         row, code, weight = triples(landmarks)
         table = np.bincount(code, weight * (root @ w)[row], CLASSES**3)
