@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table
+from .common import fold, materialize, read_table
 
 CLASSES, SPAN, DECAY = 64, 6, 0.6
-ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 8000, 20_000, 400, 4, 7
+ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 3000, 20_000, 400, 4, 7
 WINDOW, MEMO, SHARP = 24, 400_000, 6.0
 NOTHING, LETTER = -2.0, -3.0
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -130,13 +130,18 @@ def witnesses(sentences: list[tuple[str, int]]) -> list[str]:
     for s, y in sentences:
         both[s] = max(y, both.get(s, 0))
     seen: dict[str, tuple[set, set]] = {}
-    for s, y in both.items():
-        tokens = ["", *s.split(), ""]
-        for i in range(1, len(tokens) - 1):
-            for u in units(tokens[i]):
-                seen.setdefault(u, (set(), set()))[y].add(hash((tokens[i - 1], tokens[i + 1])))
+    words = set()
+    for now in (1, 0):  # toxic sentences first: of others, only the words these have matter
+        for s, y in both.items():
+            if y == now:
+                tokens = ["", *s.split(), ""]
+                for i in range(1, len(tokens) - 1):
+                    for u in units(tokens[i]):
+                        words.add(u)
+                        if y or u in seen:
+                            seen.setdefault(u, (set(), set()))[y].add(hash((tokens[i - 1], tokens[i + 1])))
     share = min(0.5, max(sum(both.values()), 1) / max(1, len(both)))
-    least = max(3.0, (np.log(max(2, len(seen))) + 1) / np.log(1 / share))
+    least = max(3.0, (np.log(max(2, len(words))) + 1) / np.log(1 / share))
     return sorted(u for u, (clean, bad) in seen.items() if len(bad) >= least and len(clean) <= 0.05 * len(bad))
 
 
@@ -211,17 +216,20 @@ class Scorer:
         return float(max(decide([u for s in spelled for u in units(s)] or ["aa"], self.table, self.bias)))
 
 
-def sample(labelled: DataFrame, text: str, label: str, rows: int = ROWS, longest: int = LONGEST) -> tuple[list[str], list[int]]:
-    """At most rows texts per label, of at most longest characters, first by hash: a bounded list for the driver."""
-    picked = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1) & (F.length(text) <= longest))
-    picked = picked.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
-    order = F.xxhash64("text")
-    texts, labels = [], []
-    for y in (0, 1):
-        for r in picked.where(F.col("label") == y).orderBy(order, "text").limit(rows).toLocalIterator():
-            texts.append(r.text)
-            labels.append(r.label)
-    return texts, labels
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = ROWS, longest: int = LONGEST) -> tuple[list[str], list[int]]:
+    """At most rows labelled texts per label, of at most longest characters, first by hash: a bounded list for the driver.
+
+    Rows are chosen by key and hash alone; only the chosen ones' texts move.
+    """
+    text_ = F.col(text).cast("string")
+    brief = docs.where(text_.isNotNull() & (F.length(text_) <= longest)).select(F.col(key).alias("key"), F.xxhash64(text_).alias("h"))
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    both = brief.join(known, "key")
+    chosen = [both.where(F.col("label") == y).orderBy("h", "key").limit(rows) for y in (0, 1)]
+    chosen = materialize(chosen[0].unionByName(chosen[1]), "toxicity-sample")
+    found = docs.select(F.col(key).alias("key"), text_.alias("text")).join(F.broadcast(chosen), "key").where(F.xxhash64("text") == F.col("h"))
+    picked = [(r.text, r.label) for r in found.select("text", "label", "h").orderBy("h", "label").limit(2 * rows).toLocalIterator()]
+    return [t for t, _ in picked], [y for _, y in picked]
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], columns: list, text: str = "text") -> DataFrame:
@@ -245,9 +253,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], columns: list, te
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
-    known = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label"))
-    joined = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(known, "__key")
-    return fit(*sample(joined, "__text", "__label"))
+    return fit(*sample(docs, labels, key, text, label))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
