@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, forget, materialize, read_table, text_or_empty
 
-BLOCK, LARGEST = 5_000_000, 5
+BLOCK, LARGEST = 1_500_000, 5
 START = np.uint64(0x9E3779B97F4A7C15)
 TOKENS = "block bigint, keys array<bigint>, held array<boolean>, lengths array<int>, dictionary binary, tokens binary"
 
