@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, katz, langid, media, packing, sentencepiece_scan, sharding, toxicity
+from . import exact_dedup, html_text, katz, langid, media, near_dedup, packing, sentencepiece_scan, sharding, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_sharding": sharding.op6_sharding,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_packing": packing.op8_packing,
     "op9_html": html_text.op9_html,
     "op10_katz": katz.op10_katz,
