@@ -28,6 +28,8 @@ CLASSES, DIMENSIONS, SEED = 64, 1024, 20260101
 #: Trigram vectors that a worker keeps; others are bound again each time.
 KEPT = 32768
 UNKNOWN = "und"
+#: Cosine below which keep_known takes a text for no language at all; texts of one word still pass it.
+LEAST = 0.03
 
 
 class Space:
@@ -144,6 +146,13 @@ def classify(docs: DataFrame, model: dict[str, list[float]], columns: list, text
     return picked.mapInArrow(run, f"row {row}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
+def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST) -> DataFrame:
+    """docs, columns unchanged, without texts of no known language: those without letters, or nearer to none than least."""
+    model = train(docs.where(fold(F.col(key), 4) != 2), text, lang)
+    judged = classify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")], text)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4) == 2

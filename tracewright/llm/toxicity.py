@@ -256,6 +256,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(*sample(docs, labels, key, text, label))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """docs, columns unchanged, without those predicted toxic."""
+    model = train(docs.where(fold(F.col(key), 5) != 0), labels, key, text, label)
+    judged = classify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")], text)
+    return judged.where("predicted = 0").select("doc.*")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held = fold(F.col("doc_id"), 5) == 0
