@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table, small_batches, text_or_empty
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -218,7 +218,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, columns: list, html: str = "html") -> DataFrame:
     """columns (of pages) with text and n_chars."""
-    picked = pages.select(F.struct(*columns).alias("row"), text_or_empty(html).alias("html"))
+    picked = small_batches(pages).select(F.struct(*columns).alias("row"), text_or_empty(html).alias("html"))
     row = picked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, forget, materialize, read_table, text_or_empty
+from .common import fold, forget, materialize, read_table, small_batches, text_or_empty
 
 BLOCK, LARGEST = 1_500_000, 5
 START = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +126,7 @@ def tokenised(docs: DataFrame, text: str, key: str, held: Column, block: int) ->
         if arrays:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text"), held.alias("held"))
+    rows = small_batches(docs).select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text"), held.alias("held"))
     return rows.mapInArrow(run, TOKENS)
 
 

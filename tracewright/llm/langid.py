@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table
+from .common import fold, read_table, small_batches
 
 CLASSES, DIMENSIONS, SEED = 64, 1024, 20260101
 #: Trigram vectors that a worker keeps; others are bound again each time.
@@ -99,7 +99,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: int = S
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["lang", "i", "x"])
 
     sums = (
-        rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+        small_batches(rows).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
         .mapInArrow(partial, "lang string, i int, x double")
         .groupBy("lang", "i")
@@ -135,7 +135,7 @@ def classify(docs: DataFrame, model: dict[str, list[float]], columns: list, text
             scores.append(float(min(1.0, max(0.0, cos[best]))))
         return names, scores
 
-    picked = docs.select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
+    picked = small_batches(docs).select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
     row = picked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, text_or_empty
+from .common import read_table, small_batches, text_or_empty
 
 FRAME, GROUP, TIMESCALE, TICKS = 64, 16, 1000, 40
 #: Boxes that hold boxes.
@@ -177,12 +177,12 @@ def store_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """key, n_bytes, media: each text as a container file."""
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text")).mapInArrow(_store, STORED)
+    return small_batches(docs).select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text")).mapInArrow(_store, STORED)
 
 
 def media_features(files: DataFrame) -> DataFrame:
     """Features of each container in the media column of key, n_bytes, media."""
-    return files.select("key", "n_bytes", "media").mapInArrow(_features, FEATURES)
+    return small_batches(files).select("key", "n_bytes", "media").mapInArrow(_features, FEATURES)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, small_batches, text_or_empty
 
 CAPACITY, END, GROUP = 4096, 1, 32768
 #: Words whose ids a worker keeps, and the longest such word.
@@ -133,7 +133,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

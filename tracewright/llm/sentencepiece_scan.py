@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, small_batches, text_or_empty
 
 CHUNK = 32768
 #: Words and pairs of pieces that a worker remembers, and rows it returns at once.
@@ -306,7 +306,7 @@ def _pack(rows: list[int]) -> list[str]:
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """key, text (null as empty), ids (binary, little-endian 32-bit) and chunks of every row."""
     path = path or default_vocabulary()
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text"))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(path)
@@ -363,7 +363,7 @@ def _encode_giant(giant: DataFrame, path: str, chunk: int) -> DataFrame:
 def decode(encoded: DataFrame, columns: list, path: str | None = None, ids: str = "ids") -> DataFrame:
     """columns (of encoded) with decoded, the text of ids."""
     path = path or default_vocabulary()
-    picked = encoded.select(F.struct(*columns).alias("row"), F.col(ids).alias("ids"))
+    picked = small_batches(encoded).select(F.struct(*columns).alias("row"), F.col(ids).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(path)

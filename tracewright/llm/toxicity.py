@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, read_table
+from .common import fold, materialize, read_table, small_batches
 
 CLASSES, SPAN, DECAY = 64, 6, 0.6
 ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 3000, 20_000, 400, 4, 7
@@ -236,7 +236,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], columns: list, te
     """columns (of docs) with score, 0 to 1, and predicted."""
     used = np.flatnonzero(model[0])
     values, bias = model[0][used], model[1]
-    picked = docs.select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
+    picked = small_batches(docs).select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
     row = picked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
