@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ethertypes, protocol numbers and the peer addresses of generated frames.
 IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
@@ -48,7 +49,7 @@ def _ipv4(b: Column, at: int) -> Column:
     return F.concat_ws(".", *(uint(b, at + i, 1).cast("string") for i in range(4)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ipv6_text(b: pd.Series) -> pd.Series:
     """Compressed text of 16 bytes; SQL has no function for it."""
     import ipaddress

@@ -100,14 +100,22 @@ def flow_consistent(flows: DataFrame) -> DataFrame:
 
 
 def connected(counts: DataFrame) -> DataFrame:
-    """Whether the states of each trace (six at most) form one component under its steps."""
-    edges = counts.where("n > 0").select("trace_id", F.col("source").alias("a"), F.col("destination").alias("b"))
-    edges = edges.union(edges.select("trace_id", "b", "a")).distinct()
-    label = counts.select("trace_id", F.col("source").alias("state")).distinct().withColumn("label", F.col("state"))
-    for _ in range(5):  # paths among six states have at most five steps
-        near = edges.join(label.withColumnRenamed("state", "b"), ["trace_id", "b"]).groupBy("trace_id", F.col("a").alias("state")).agg(F.min("label").alias("near"))
-        label = label.join(near, ["trace_id", "state"], "left").select("trace_id", "state", F.least("label", F.coalesce("near", "label")).alias("label"))
-    return label.groupBy("trace_id").agg((F.count_distinct("label") == 1).alias("connected"))
+    """Whether the states of each trace (six at most, so a set is a number's bits) form one component under its steps."""
+    cells = counts.groupBy("trace_id").agg(
+        F.collect_list(F.when(F.col("n") > 0, F.struct(F.col("source").cast("int").alias("a"), F.col("destination").cast("int").alias("b")))).alias("edges"),
+        F.bit_or(F.shiftleft(F.lit(1), F.col("source").cast("int"))).alias("all"),
+    )
+
+    def bit(state: Column) -> Column:
+        return F.pow(F.lit(2), state).cast("int")
+
+    def grow(reached: Column, edge: Column) -> Column:
+        ends = bit(edge["a"]).bitwiseOR(bit(edge["b"]))
+        return F.when(reached.bitwiseAND(ends) != 0, reached.bitwiseOR(ends)).otherwise(reached)
+
+    start = F.col("all").bitwiseAND(-F.col("all"))
+    reached = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda r, _: F.aggregate(F.col("edges"), r, grow))
+    return cells.select("trace_id", (reached == F.col("all")).alias("connected"))
 
 
 def same_multiset(left: DataFrame, right: DataFrame) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import trace_queries
+from . import model_queries, trace_queries
 
-QUERIES = {**trace_queries.QUERIES}
-SQL = {**trace_queries.SQL}
+QUERIES = trace_queries.QUERIES | model_queries.QUERIES
+SQL = trace_queries.SQL | model_queries.SQL
