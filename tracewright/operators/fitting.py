@@ -103,7 +103,7 @@ def connected(counts: DataFrame) -> DataFrame:
     """Whether the states of each trace (six at most, so a set is a number's bits) form one component under its steps."""
     cells = counts.groupBy("trace_id").agg(
         F.collect_list(F.when(F.col("n") > 0, F.struct(F.col("source").cast("int").alias("a"), F.col("destination").cast("int").alias("b")))).alias("edges"),
-        F.bit_or(F.shiftleft(F.lit(1), F.col("source").cast("int"))).alias("all"),
+        F.bit_or(F.pow(F.lit(2), F.col("source")).cast("int")).alias("all"),
     )
 
     def bit(state: Column) -> Column:
