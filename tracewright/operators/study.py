@@ -31,7 +31,7 @@ def bootstrap(rows: DataFrame, by: list[str], value: str, seed: int = BOOTSTRAP_
 
     key = ", ".join(f"{rows.schema[c].name} {rows.schema[c].dataType.simpleString()}" for c in by)
 
-    def run(keys, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(keys, frame):
         low, high = bootstrap_interval(frame["__x"].to_numpy(), seed, resamples, confidence)
         return pd.DataFrame([(*keys, len(frame), low, high)])
 
