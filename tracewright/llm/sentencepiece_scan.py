@@ -35,7 +35,7 @@ from .common import materialize, read_table, small_batches, text_or_empty
 
 CHUNK = 32768
 #: Words and pairs of pieces that a worker remembers, and rows it returns at once.
-WORDS, PAIRS, ROWS = 250_000, 300_000, 1000
+WORDS, PAIRS, ROWS = 500_000, 300_000, 1000
 SPACE = "▁"
 GROUPS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -71,6 +71,7 @@ class Scanner:
         self.valid: dict[str, bool] = {}
         self.agree: dict[str, dict[str, bool]] = {}
         self.pairs = 0
+        self.automaton = None
         self.words: dict[str, bytes] = {"": b""}
 
     def merge(self, text: str) -> list[str]:
@@ -117,34 +118,40 @@ class Scanner:
         """The pieces that can end at end, longest first; a character outside the vocabulary stands for itself."""
         return [text[b:end] for b in range(max(start, end - self.longest), end) if self.is_valid(text[b:end])]
 
-    def path(self, text: str) -> list[str]:
-        """The pieces of a text that begins at a cut: the one path of weight 0.
+    def matcher(self):
+        """An automaton that finds, at each end, the pieces that end there."""
+        if self.automaton is None:
+            import ahocorasick
 
-        A prefix has one path, so a position from which the end can't be reached is dead however it was reached;
-        trying longer pieces first, few are met.
-        """
-        ids, agree, longest, n = self.ids, self.agree, self.longest, len(text)
-        out: list[str] = []
-        dead: set[int] = set()
-        at, left, end = 0, None, min(n, longest)
-        while at < n:
-            known = agree.get(left) or {}
-            while end > at:
-                piece = text[at:end]
-                if (piece in ids or end == at + 1) and end not in dead:
-                    weight = known.get(piece)
-                    if weight if weight is not None else self.agrees(left, piece):
-                        break
-                end -= 1
-            if end > at:
-                out.append(piece)
-                at, left, end = end, piece, min(n, end + longest)
-            else:
-                dead.add(at)
-                end = at - 1
-                at -= len(out.pop())
-                left = out[-1] if out else None
-        return out
+            self.automaton = ahocorasick.Automaton()
+            for p in self.ids.keys() | {c for p in self.ids for c in p}:
+                if self.is_valid(p):
+                    self.automaton.add_word(p, (len(p), p))
+            self.automaton.make_automaton()
+        return self.automaton
+
+    def path(self, text: str) -> list[str]:
+        """The pieces of a text that begins at a cut: the one path of weight 0, found node by node."""
+        agree, n = self.agree, len(text)
+        last: list[str | None] = [None] * (n + 1)
+        for end, (size, piece) in self.matcher().iter(text):
+            if last[end + 1] is None:
+                begin = end + 1 - size
+                if begin:
+                    left = last[begin]
+                    if left is None:
+                        continue
+                    known = agree.get(left)
+                    weight = known.get(piece) if known is not None else None
+                    if not (self.agrees(left, piece) if weight is None else weight):
+                        continue
+                last[end + 1] = piece
+        out, end = [], n
+        while end:
+            piece = last[end] or text[end - 1 : end]
+            out.append(piece)
+            end -= len(piece)
+        return out[::-1]
 
     def to_ids(self, pieces: list[str]) -> bytes:
         found: list[int] = []
