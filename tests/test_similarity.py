@@ -14,6 +14,7 @@ from tracewright.functions import kernels
 from tracewright.functions.kernels import Arrays
 from tracewright.operators import similarity as S
 from tracewright.operators import traces as T
+from tracewright.plans import diagnostics
 from tracewright.plans.stages import microseconds
 
 
@@ -94,6 +95,22 @@ def test_published_scores(spark):
     assert row.autocorrelation == pytest.approx(0.756547619047619, abs=1e-12)
 
 
+def test_record_and_recheck(spark):
+    a, b = microseconds(T.from_events(spark, "reference", REFERENCE)), microseconds(T.from_events(spark, "generated", GENERATED))
+    s = S.Settings(lags=(1,), lag_weights=(1.0,), widths=(0.1, 1.0), scale_weights=(0.5, 0.5), quantile=0.95)
+    got = diagnostics.comparison(a, b, 10.0, s)
+    diagnostics.recheck(got)
+    m = {k: v["diagnostics"] for k, v in got["methods"].items()}
+    assert got["aggregate_score"] == pytest.approx(0.5662202380952381, abs=1e-12)
+    assert m["multiscale_rate"]["scales"][0]["reference_totals"] == {"packet": {"outbound": 3, "inbound": 2}, "byte": {"outbound": 260, "inbound": 200}}
+    assert m["multiscale_rate"]["direction_bin_cell_counts"] == [200, 20] and m["multiscale_rate"]["discrepancy"] == pytest.approx(0.7916666666666667)
+    assert m["iat_ks"]["generated_quantile_iat_seconds"] == 3.522005 and m["iat_ks"]["reference_median_iat_seconds"] == 2.5
+    assert m["frame_size_ks"]["distance"] == 0.19999999999999996 and m["autocorrelation"]["size"]["discrepancy"] == pytest.approx(0.11190476190476194)
+    got["methods"]["iat_ks"]["score"] += 1e-9
+    with pytest.raises(ValueError, match="iat_ks score"):
+        diagnostics.recheck(got)
+
+
 def test_same_traces_score_one(spark):
     a = microseconds(T.from_events(spark, "reference", REFERENCE))
     row = S.aggregate(S.compare(a, a.withColumn("trace_id", F.lit("generated")), 10.0, small_settings())).first()

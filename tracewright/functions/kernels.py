@@ -46,8 +46,8 @@ def autocorrelations(x: np.ndarray, lags) -> list[float]:
         raise ValueError("every lag must be positive and shorter than the sample")
     if np.all(x == x[0]):
         return [0.0] * len(lags)
-    x = np.ldexp(x, -math.frexp(float(np.max(np.abs(x))))[1])
-    c = x - math.fsum(x) / len(x)
+    x = np.ldexp(x, -math.frexp(max(float(x.max()), -float(x.min())))[1])
+    c = x - math.fsum(x.tolist()) / len(x)
     bottom = float(np.dot(c, c))
     return [0.0 if bottom == 0 else min(1.0, max(-1.0, float(np.dot(c[:-k], c[k:])) / bottom)) for k in lags]
 
@@ -62,11 +62,15 @@ def acf_score(a: Arrays, b: Arrays, s: Settings) -> float:
 
 def cells(t: Arrays, width: float, bins: int) -> tuple[np.ndarray, np.ndarray]:
     q = t.ts / width
-    near = np.rint(q)
-    at = np.minimum(np.floor(np.where(np.abs(q - near) <= 4 * np.spacing(q), near, q)).astype(np.int64), bins - 1) + t.direction * bins
+    at = np.floor(q)
+    at += at + 1 - q <= 4 * np.spacing(q)  # a quotient just below an integer counts as that integer
+    at = np.minimum(at, bins - 1, out=at).astype(np.int64) + t.direction * bins
+    packets = np.bincount(at, minlength=2 * bins)
+    if len(t) * int(t.length.max()) < 1 << 53:  # sums of doubles are exact up to there
+        return packets, np.bincount(at, t.length, 2 * bins).astype(np.int64)
     size = np.zeros(2 * bins, np.int64)
     np.add.at(size, at, t.length)
-    return np.bincount(at, minlength=2 * bins), size
+    return packets, size
 
 
 def l1(a: np.ndarray, b: np.ndarray) -> float:

@@ -61,8 +61,10 @@ def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int],
 def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256) -> DataFrame:
     """rows with the inclusive running total of each value in ascending order within by.
 
-    The range of order is cut evenly; totals of the parts before a row's own part are added to those within it.
+    The range of order is cut evenly; totals of the parts before a row's own part are added to those within it. rows is
+    read three times, so it is kept.
     """
+    rows = rows.persist()
     spans = rows.groupBy(*by).agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
     part = F.when(F.col("__high") > F.col("__low"), F.least(F.lit(ranges - 1), F.floor((F.col(order) - F.col("__low")) / (F.col("__high") - F.col("__low")) * ranges))).otherwise(0)
     cut = (rows.join(F.broadcast(spans), by) if by else rows.crossJoin(F.broadcast(spans))).withColumn("__part", part).drop("__low", "__high")

@@ -69,11 +69,16 @@ def bin_counts(window: float, widths, max_cells: int) -> list[int]:
 
 def comparable(reference: DataFrame, generated: DataFrame) -> DataFrame:
     """generated with a comparison column."""
-    return generated if "comparison" in generated.columns else generated.withColumn("comparison", F.lit("generated"))
+    if "comparison" in generated.columns:
+        return generated
+    named = generated.withColumn("comparison", F.lit("generated"))
+    named._only = "generated"
+    return named
 
 
-def _both(reference: DataFrame, generated: DataFrame, columns: list) -> DataFrame:
-    return reference.select(F.lit(None).cast("string").alias("comparison"), *columns).unionByName(generated.select(F.col("comparison").cast("string"), *columns))
+def _only(generated: DataFrame) -> str | None:
+    """The name of the one comparison, where comparable() gave it."""
+    return getattr(generated, "_only", None)
 
 
 # Kolmogorov-Smirnov
@@ -81,14 +86,22 @@ def _both(reference: DataFrame, generated: DataFrame, columns: list) -> DataFram
 
 def ks(reference: DataFrame, generated: DataFrame, value: str) -> DataFrame:
     """Per comparison: distance, and the counts of both samples. Values are counted before anything is ordered."""
-    counts = _both(reference, generated, [F.col(value).alias("x")]).groupBy("comparison", "x").agg(F.count("*").alias("n"))
-    names = counts.where("comparison is not null").select("comparison").distinct()
-    ours = counts.where("comparison is null").select("x", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    theirs = counts.where("comparison is not null").select("comparison", "x", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
-    # every comparison gets the reference's distinct values with their counts
-    merged = names.crossJoin(ours).unionByName(theirs).groupBy("comparison", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sizes = merged.groupBy("comparison").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    side = lambda f, n: f.select("comparison", F.col(value).alias("x"), F.lit(int(n == "a")).alias("a"), F.lit(int(n == "b")).alias("b"))
+    one = _only(generated)
+    if one is not None:
+        merged = side(reference.withColumn("comparison", F.lit(one)), "a").unionByName(side(generated, "b")).groupBy("comparison", "x")
+        merged = merged.agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    else:
+        # every comparison gets the reference's distinct values with their counts
+        names = generated.select("comparison").distinct()
+        ours = reference.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("a"))
+        theirs = generated.groupBy("comparison", F.col(value).alias("x")).agg(F.count("*").alias("b"))
+        zero = F.lit(0).cast("bigint")
+        both = names.crossJoin(ours).select("comparison", "x", "a", zero.alias("b")).unionByName(theirs.select("comparison", "x", zero.alias("a"), "b"))
+        merged = both.groupBy("comparison", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = running_totals(merged, ["comparison"], "x", ["a", "b"])
+    # the last running totals are the sample sizes
+    sizes = merged.groupBy("comparison").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gap = F.abs(F.col("total_a") / F.col("na") - F.col("total_b") / F.col("nb"))
     return totals.join(F.broadcast(sizes), "comparison").groupBy("comparison").agg(
         F.max(gap).alias("distance"), F.first("na").alias("reference_count"), F.first("nb").alias("generated_count")
@@ -198,7 +211,8 @@ def scale_discrepancies(reference: DataFrame, generated: DataFrame, window: floa
     generated = comparable(reference, generated)
     ours = rate_cells(reference, window, widths, max_cells, [])
     theirs = rate_cells(generated, window, widths, max_cells, ["comparison"])
-    names = theirs.select("comparison").distinct()
+    one = _only(generated)
+    names = reference.sparkSession.range(1).select(F.lit(one).alias("comparison")) if one is not None else theirs.select("comparison").distinct()
     zero = lambda n: F.lit(0).cast("decimal(30,0)").alias(n)
     cell = lambda c, n: F.col(c).cast("decimal(30,0)").alias(n)
     both = (
@@ -226,9 +240,12 @@ def compare(reference: DataFrame, generated: DataFrame, window: float, s: Settin
     """(comparison, method, score, weight): all four, whatever their weights. Both frames must be aligned."""
     s.check(window)
     generated = comparable(reference, generated)
-    reference_gaps = iats(reference)
-    names = generated.select("trace_id", "comparison").distinct()
-    generated_gaps = iats(generated).join(F.broadcast(names), "trace_id")
+    reference_gaps = iats(reference).persist()
+    one = _only(generated)
+    generated_gaps = iats(generated)
+    if one is None:
+        generated_gaps = generated_gaps.join(F.broadcast(generated.select("trace_id", "comparison").distinct()), "trace_id")
+    generated_gaps = generated_gaps.persist() if one is None else comparable(reference, generated_gaps.persist())
     found = {
         "autocorrelation": acf_score(acf_table(reference, generated, reference_gaps, generated_gaps, s.lags), s),
         "frame_size_ks": frame_size_ks(reference, generated),

@@ -15,6 +15,7 @@ from ..functions.kernels import Arrays
 from ..operators import models, similarity, traces
 from ..sources import artifacts, pcapng
 from .config import Experiment
+from .diagnostics import comparison, recheck
 from .genetic import Engine, checkpoint, load_checkpoint
 
 FILES = ("experiment.toml", "capture.json", "reference.pcapng", "checkpoint.json", "ga_history.csv", "best_model.json", "generated.pcapng", "similarity.json", "run.log")
@@ -76,7 +77,7 @@ class Run:
             "reference_identity": before["reference.pcapng"], "capture_identity": before["capture.json"], "final_seed": engine.search.final_seed,
             "final_limits": asdict(self.experiment.limits("final")), "observation_window_seconds": engine.window,
             "gene_bounds": {n: {"lower": a, "upper": b} for n, (a, b) in engine.search.bounds[winner.family].items()},
-            "estimator_choices": {"first_event": "zero", "marks": "joint_empirical_first_appearance"}, "seed_policy": {"generator": "PCG64"},
+            "estimator_choices": {"first_event": "zero", "marks": "joint_empirical_first_appearance"}, "seed_policy": {"generator": "numpy.random.Generator/PCG64"},
         }
         self.unchanged(before)
         artifacts.publish(self.folder / "best_model.json", artifacts.render_best_model(model), artifacts.parse_best_model)
@@ -128,11 +129,10 @@ def microseconds(trace: DataFrame) -> DataFrame:
 
 
 def compare_frames(reference: DataFrame, generated: DataFrame, w: float, settings: similarity.Settings) -> dict:
-    """The comparison of two aligned traces as a nested record."""
-    rows = similarity.compare(microseconds(reference), microseconds(generated), w, settings).collect()
-    found = {r.method: {"score": r.score, "weight": r.weight} for r in rows}
-    total = sum(found[m]["weight"] * found[m]["score"] for m in similarity.METHODS)
-    return {"aggregate_score": min(1.0, total), "observation_window_seconds": w, "methods": found}
+    """The record of two aligned traces."""
+    result = comparison(microseconds(reference), microseconds(generated), w, settings)
+    recheck(result)
+    return result
 
 
 def held_out(spark: SparkSession, model: dict, reference: DataFrame, frozen_identity: dict, identity: dict, settings: similarity.Settings, seed: int) -> dict:

@@ -21,8 +21,8 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
-    """Normalized reference, aligned generated trace, and the window (one number)."""
-    both = trace(spark, sf_dir)
+    """Normalized reference, aligned generated trace, and the window (one number). The traces are kept: every measure reads them."""
+    both = trace(spark, sf_dir).persist()
     reference, _ = T.normalize(both.where("trace_id = 'reference'"))
     w = T.window_of(reference)
     return reference, T.align(both.where("trace_id = 'generated'"), w), w
