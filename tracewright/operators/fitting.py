@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import size_bin, timing_tier
-from .ordered import lagged
+from .ordered import join_few, lagged
 
 
 def marks(trace: DataFrame) -> DataFrame:
@@ -32,11 +32,11 @@ def type7_thresholds(trace: DataFrame, q1: float, q2: float) -> DataFrame:
 def states(trace: DataFrame, thresholds: DataFrame) -> DataFrame:
     """trace with its state: the place of (direction, size bin) in order of first appearance."""
     code = F.col("direction").cast("int") * 3 + size_bin(F.col("frame_length"), F.col("t1"), F.col("t2"))
-    coded = trace.join(F.broadcast(thresholds), "trace_id").withColumn("code", code).drop("t1", "t2")
+    coded = join_few(trace, thresholds, ["trace_id"]).withColumn("code", code).drop("t1", "t2")
     first = coded.groupBy("trace_id", "code").agg(F.min("seq").alias("__first"))
     # at most six codes per trace
     order = first.select("trace_id", "code", (F.dense_rank().over(Window.partitionBy("trace_id").orderBy("__first")) - 1).alias("state"))
-    return coded.join(F.broadcast(order), ["trace_id", "code"])
+    return join_few(coded, order, ["trace_id", "code"])
 
 
 def transitions(stated: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def transitions(stated: DataFrame) -> DataFrame:
 def transition_counts(steps: DataFrame, stated: DataFrame) -> DataFrame:
     """The full count matrix of each trace, zeros included: at most 36 cells."""
     k = stated.select("trace_id", "state").distinct()
-    grid = k.withColumnRenamed("state", "source").join(F.broadcast(k.withColumnRenamed("state", "destination")), "trace_id")
+    grid = k.withColumnRenamed("state", "source").join(k.withColumnRenamed("state", "destination"), "trace_id")
     seen = steps.groupBy("trace_id", "source", "destination").agg(F.count("*").alias("n"))
     return grid.join(seen, ["trace_id", "source", "destination"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -23,6 +23,15 @@ def numbered(rows: DataFrame, trace: str, order: str, seq: str = "seq", chunk: i
     return rows.withColumn("__part", part).join(starts, [trace, "__part"]).withColumn(seq, (F.col("__start") + own).cast("bigint")).drop("__part", "__start")
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
+    """rows with the columns of few, one row per key: broadcast if a count shows at most that many, else shuffled.
+
+    Long traces are few, so a shuffle by trace would gather them; where traces are very many, each is short.
+    """
+    few = few.persist()
+    return rows.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, keys)
+
+
 def _chunked(rows: DataFrame, seq: str, chunk: int) -> tuple[DataFrame, Column]:
     at = F.col(seq) - 1
     return rows.withColumn("__chunk", F.floor(at / chunk)).withColumn("__own", F.lit(True)), F.pmod(at, F.lit(chunk))
@@ -58,16 +67,18 @@ def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int],
     )
 
 
-def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256) -> DataFrame:
+def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, single: bool = False) -> DataFrame:
     """rows with the inclusive running total of each value in ascending order within by.
 
     The range of order is cut evenly; totals of the parts before a row's own part are added to those within it. rows is
-    read three times, so it is kept.
+    read three times, so it is kept. single says that by has one value, so that one row of limits is broadcast; else Spark
+    chooses by size.
     """
     rows = rows.persist()
     spans = rows.groupBy(*by).agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
     part = F.when(F.col("__high") > F.col("__low"), F.least(F.lit(ranges - 1), F.floor((F.col(order) - F.col("__low")) / (F.col("__high") - F.col("__low")) * ranges))).otherwise(0)
-    cut = (rows.join(F.broadcast(spans), by) if by else rows.crossJoin(F.broadcast(spans))).withColumn("__part", part).drop("__low", "__high")
+    spans = F.broadcast(spans) if single or not by else spans
+    cut = (rows.join(spans, by) if by else rows.crossJoin(spans)).withColumn("__part", part).drop("__low", "__high")
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*by, "__part").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     totals = totals.select(*by, "__part", *(F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values))

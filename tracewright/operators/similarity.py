@@ -81,6 +81,11 @@ def _only(generated: DataFrame) -> str | None:
     return getattr(generated, "_only", None)
 
 
+def _few(frame: DataFrame, generated: DataFrame) -> DataFrame:
+    """A frame of a row per comparison: broadcast if there is only one; else Spark chooses by size."""
+    return F.broadcast(frame) if _only(generated) is not None else frame
+
+
 # Kolmogorov-Smirnov
 
 
@@ -99,11 +104,11 @@ def ks(reference: DataFrame, generated: DataFrame, value: str) -> DataFrame:
         zero = F.lit(0).cast("bigint")
         both = names.crossJoin(ours).select("comparison", "x", "a", zero.alias("b")).unionByName(theirs.select("comparison", "x", zero.alias("a"), "b"))
         merged = both.groupBy("comparison", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    totals = running_totals(merged, ["comparison"], "x", ["a", "b"])
+    totals = running_totals(merged, ["comparison"], "x", ["a", "b"], single=one is not None)
     # the last running totals are the sample sizes
     sizes = merged.groupBy("comparison").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gap = F.abs(F.col("total_a") / F.col("na") - F.col("total_b") / F.col("nb"))
-    return totals.join(F.broadcast(sizes), "comparison").groupBy("comparison").agg(
+    return totals.join(_few(sizes, generated), "comparison").groupBy("comparison").agg(
         F.max(gap).alias("distance"), F.first("na").alias("reference_count"), F.first("nb").alias("generated_count")
     )
 
@@ -113,7 +118,7 @@ def frame_size_ks(reference: DataFrame, generated: DataFrame) -> DataFrame:
     length = [F.min("frame_length").alias("minimum_length"), F.max("frame_length").alias("maximum_length")]
     ours = reference.agg(*length).toDF("reference_minimum_length", "reference_maximum_length")
     theirs = generated.groupBy("comparison").agg(*length).toDF("comparison", "generated_minimum_length", "generated_maximum_length")
-    found = ks(reference, generated, "frame_length").join(F.broadcast(theirs), "comparison").crossJoin(F.broadcast(ours))
+    found = ks(reference, generated, "frame_length").join(_few(theirs, generated), "comparison").crossJoin(F.broadcast(ours))
     return found.withColumn("score", 1 - F.col("distance"))
 
 
@@ -134,15 +139,18 @@ def iat_ks(reference: DataFrame, generated: DataFrame, q: float) -> DataFrame:
     """Takes inter-arrival times of both sides."""
     generated, time = comparable(reference, generated), _time(reference)
     found = ks(reference, generated, time)
-    found = found.join(F.broadcast(iat_record(generated, ["comparison"], time, q, "generated")), "comparison")
+    found = found.join(_few(iat_record(generated, ["comparison"], time, q, "generated"), generated), "comparison")
     return found.crossJoin(F.broadcast(iat_record(reference, [], time, q, "reference"))).withColumn("score", 1 - F.col("distance"))
 
 
 # Autocorrelation
 
 
-def autocorrelations(series: DataFrame, by: list[str], value: str, lags: list[int]) -> DataFrame:
-    """Per series and lag, from exact sums over integers; 0 for constant series, and no row where a lag doesn't fit."""
+def autocorrelations(series: DataFrame, by: list[str], value: str, lags: list[int], few: bool = False) -> DataFrame:
+    """Per series and lag, from exact sums over integers; 0 for constant series, and no row where a lag doesn't fit.
+
+    few says that the series are a handful, so that their sums are broadcast; else Spark chooses by size.
+    """
     x = F.col(value).cast("decimal(19,0)")
     whole = series.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
     pairs = lag_products(series, by, value, lags)
@@ -151,7 +159,7 @@ def autocorrelations(series: DataFrame, by: list[str], value: str, lags: list[in
     top = (n * n).cast(wide) * xy - (n * s).cast(wide) * (sa + sb).cast(wide) + (m * (s * s).cast(wide)).cast(wide)
     bottom = n * ((n * ss).cast(wide) - (s * s).cast(wide)).cast(wide)
     r = F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast(wide).cast("double") / bottom.cast(wide).cast("double"))
-    return pairs.join(F.broadcast(whole), by).select(*by, "lag", F.col("n").alias("sample_count"), clamp(r, -1.0, 1.0, ACF_TOLERANCE, "autocorrelation").alias("acf"))
+    return pairs.join(F.broadcast(whole) if few else whole, by).select(*by, "lag", F.col("n").alias("sample_count"), clamp(r, -1.0, 1.0, ACF_TOLERANCE, "autocorrelation").alias("acf"))
 
 
 def features(trace: DataFrame, gaps: DataFrame, by: list[str]) -> DataFrame:
@@ -162,8 +170,9 @@ def features(trace: DataFrame, gaps: DataFrame, by: list[str]) -> DataFrame:
 
 def acf_table(reference: DataFrame, generated: DataFrame, reference_gaps: DataFrame, generated_gaps: DataFrame, lags) -> DataFrame:
     """Per comparison, feature and lag: both autocorrelations."""
-    ours = autocorrelations(features(reference, reference_gaps, []), ["feature"], "x", list(lags))
-    theirs = autocorrelations(features(comparable(reference, generated), comparable(reference_gaps, generated_gaps), ["comparison"]), ["comparison", "feature"], "x", list(lags))
+    ours = autocorrelations(features(reference, reference_gaps, []), ["feature"], "x", list(lags), few=True)
+    generated, generated_gaps = comparable(reference, generated), comparable(reference_gaps, generated_gaps)
+    theirs = autocorrelations(features(generated, generated_gaps, ["comparison"]), ["comparison", "feature"], "x", list(lags), few=_only(generated) is not None)
     return theirs.select("comparison", "feature", "lag", F.col("acf").alias("generated_acf")).join(
         F.broadcast(ours.select("feature", "lag", F.col("acf").alias("reference_acf"))), ["feature", "lag"]
     )
@@ -239,13 +248,10 @@ def multiscale_score(table: DataFrame, s: Settings) -> DataFrame:
 def compare(reference: DataFrame, generated: DataFrame, window: float, s: Settings) -> DataFrame:
     """(comparison, method, score, weight): all four, whatever their weights. Both frames must be aligned."""
     s.check(window)
-    generated = comparable(reference, generated)
-    reference_gaps = iats(reference).persist()
-    one = _only(generated)
-    generated_gaps = iats(generated)
-    if one is None:
-        generated_gaps = generated_gaps.join(F.broadcast(generated.select("trace_id", "comparison").distinct()), "trace_id")
-    generated_gaps = generated_gaps.persist() if one is None else comparable(reference, generated_gaps.persist())
+    alone = "comparison" not in generated.columns
+    reference_gaps, generated_gaps = iats(reference).persist(), iats(generated).persist()
+    if alone:
+        generated, generated_gaps = comparable(reference, generated), comparable(reference_gaps, generated_gaps)
     found = {
         "autocorrelation": acf_score(acf_table(reference, generated, reference_gaps, generated_gaps, s.lags), s),
         "frame_size_ks": frame_size_ks(reference, generated),

@@ -133,10 +133,10 @@ def invalid_report(candidates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def lag_one_covariance(series: DataFrame, by: list[str], value: str, seq: str = "seq") -> DataFrame:
-    from .ordered import lagged
+    from .ordered import join_few, lagged
 
     first = series.withColumn("__trace", F.concat_ws("/", *by))
     near = lagged(first, "__trace", {"__before": value}, seq)
     mean = series.groupBy(*by).agg(F.avg(value).alias("__mean"))
     gap = (F.col(value) - F.col("__mean")) * (F.col("__before") - F.col("__mean"))
-    return near.join(F.broadcast(mean), by).where("__before is not null").groupBy(*by).agg((F.sum(gap) / F.count("*")).alias("covariance"))
+    return join_few(near, mean, by).where("__before is not null").groupBy(*by).agg((F.sum(gap) / F.count("*")).alias("covariance"))

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered import lagged, numbered
+from .ordered import join_few, lagged, numbered
 
 SCHEMA = "trace_id string, seq bigint, ts double, direction tinyint, frame_length bigint"
 LABELS = ("outbound", "inbound")
@@ -84,7 +84,7 @@ def normalize(trace: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trace shifted to start at 0, (trace_id, w)); w, the span, must be positive."""
     time = [c for c in ("ts_us", "ts") if c in trace.columns]
     ends = trace.groupBy("trace_id").agg(*(f(c).alias(f"__{k}_{c}") for c in time for k, f in (("first", F.min), ("last", F.max))))
-    shifted = trace.join(F.broadcast(ends), "trace_id")
+    shifted = join_few(trace, ends, ["trace_id"])
     for c in time:
         shifted = shifted.withColumn(c, F.col(c) - F.col(f"__first_{c}"))
     span = F.col(f"__last_{time[-1]}") - F.col(f"__first_{time[-1]}") if time == ["ts"] else (F.col("__last_ts_us") - F.col("__first_ts_us")) / 1e6
@@ -104,7 +104,7 @@ def align(trace: DataFrame, window: float) -> DataFrame:
     """Each trace shifted to its own start, with events up to and including the window. The window is a literal, so the filter is pushed."""
     time = [c for c in ("ts_us", "ts") if c in trace.columns]
     first = trace.groupBy("trace_id").agg(*(F.min(c).alias(f"__{c}") for c in time))
-    shifted = trace.join(F.broadcast(first), "trace_id")
+    shifted = join_few(trace, first, ["trace_id"])
     for c in time:
         shifted = shifted.withColumn(c, F.col(c) - F.col(f"__{c}"))
     return shifted.select(*trace.columns).where(F.col("ts") <= window)
@@ -119,7 +119,8 @@ def iats(trace: DataFrame) -> DataFrame:
     exact = "ts_us" in trace.columns
     near = lagged(trace, "trace_id", {"__us": "ts_us"} if exact else {"__ts": "ts"}).where("seq > 1")
     value = [(F.col("ts_us") - F.col("__us")).alias("iat_us"), ((F.col("ts_us") - F.col("__us")) / 1e6).alias("iat")] if exact else [(F.col("ts") - F.col("__ts")).alias("iat")]
-    return near.select("trace_id", (F.col("seq") - 1).alias("seq"), *value, "direction", "frame_length")
+    more = [c for c in ("comparison",) if c in trace.columns]
+    return near.select("trace_id", *more, (F.col("seq") - 1).alias("seq"), *value, "direction", "frame_length")
 
 
 def equal(left: DataFrame, right: DataFrame) -> bool:
