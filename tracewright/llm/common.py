@@ -21,11 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """df, after bounding the rows of an Arrow batch: texts can be long, and a task holds several batches at once."""
+def small_batches(df: DataFrame, rows: int = 500, size: str = "8m") -> DataFrame:
+    """df, after bounding the rows and bytes of an Arrow batch: texts can be long, and a task holds several batches at once."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
 
 

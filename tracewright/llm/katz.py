@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, forget, materialize, read_table, small_batches, text_or_empty
 
-BLOCK, LARGEST = 1_500_000, 5
+BLOCK, LARGEST = 1_000_000, 5
 START = np.uint64(0x9E3779B97F4A7C15)
 TOKENS = "block bigint, keys array<bigint>, held array<boolean>, lengths array<int>, dictionary binary, tokens binary"
 
@@ -138,14 +138,15 @@ class Block:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.keys, self.held = row["keys"], np.array(row["held"], bool)
         hashes = np.concatenate((np.frombuffer(row["dictionary"], np.uint64), [START]))
-        self.word = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
-        self.history = np.concatenate(([0], self.word[:-1]))
+        self.word = np.frombuffer(row["tokens"], "<u4").astype(np.int32)
+        self.history = np.concatenate((np.zeros(1, np.int32), self.word[:-1]))
         self.history[self.starts] = len(hashes) - 1
         self.train = np.repeat(~self.held, self.lengths)
         self.hashes, self.size = hashes, len(hashes)
         self.word_order, self.word_slices = self._slices(hashes, buckets)
         if pairs:
-            local, self.pair_of, count = np.unique(self.history * self.size + self.word, return_inverse=True, return_counts=True)
+            local, place = np.unique(self.history * np.int64(self.size) + self.word, return_inverse=True)
+            self.pair_of = place.astype(np.int32)
             self.first, self.second = local // self.size, local % self.size
             self.pair_count = np.bincount(self.pair_of[self.train], minlength=len(local))
             h, w = hashes[self.first], hashes[self.second]
