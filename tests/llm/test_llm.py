@@ -285,6 +285,32 @@ def test_near(spark, odd, nothing):
     assert sorted(r.doc_id for r in alone) == [1, 3, 6, 7, 7, 8]
 
 
+def test_near_chains(spark):
+    """Versions of versions: every pair that aligns ends in one class, though no pivot covers a chain."""
+    rng, texts = random.Random(8), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(40):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(3, 6)):
+                words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+    label, sets = list(range(len(texts))), [near_dedup.distinct_shingles(t) for t in texts]
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i + 1, i // 40 * 40 + 40):
+            if near_dedup.aligned(sets[i], sets[j]) >= 0.8:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    kept = near_dedup.classes(docs(spark, [(i, t, None, None, i) for i, t in enumerate(texts)]))[1]
+    found = {bytes(r.digest): r.keep_key for r in kept.collect()}
+    assert [found.get(hashlib.md5(t.encode()).digest(), i) for i, t in enumerate(texts)] == [root(i) for i in range(len(texts))]
+
+
 # Packing
 
 

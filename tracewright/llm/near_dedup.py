@@ -4,10 +4,12 @@ Words are runs between white space, in lower case; shingles are 5 words, labelle
 samples hashes all labelled shingles, takes the two smallest and keeps them in text order, so a sample survives edits
 that leave those shingles and their order. Three samples make a band; texts that share one of 24 bands are candidates.
 
-Texts of equal words are one class from the start. In a bucket, members are compared with its pivot only: the member
-that shares buckets with most others, which for copies of one original is that original. Members that no pivot
-confirms are compared with the bucket's next pivots. So candidates grow with the members of a bucket, not with their
-pairs, and many bands with different pivots join what one pivot misses.
+Texts of equal words are one class from the start. In a round, a bucket's members are compared with its pivot: the
+member that shares buckets with most others, which for copies of one original is that original. Then the pivot leaves
+the bucket, and rounds go on, with more pivots each after the first three, until what is left of every bucket is of one
+class. Members already of the pivot's class, pairs compared before and pairs whose numbers of shingles differ too much
+are passed over. So every pair that shares a bucket is compared or of one class anyway, and where a pivot confirms its
+bucket, candidates grow with the members, not with their pairs.
 
 A pair is confirmed if at least 0.8 of its distinct shingles align: aligned / (a + b - aligned), the longest common
 subsequence of first occurrences within the band that this threshold leaves. It never exceeds the Jaccard index, and
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, read_table, small_batches, text_or_empty
 
-WORDS, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 3, 3
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 3
+#: Rounds with one pivot a bucket; each later one has so many times the pivots of the one before.
+SINGLE, MORE = 3, 4
 #: Members that one task compares with a pivot at once.
 SALT = 256
 SEED = 41
@@ -68,6 +72,7 @@ class Sketcher:
             memo[w] = xxh3_64_intdigest(w)
         w = np.array([memo[x] for x in words], np.uint64)
         n = max(1, len(w) - WORDS + 1) if len(w) else 0
+        self.distinct = n
         h = np.zeros(n, np.uint64)
         for j in range(min(WORDS, len(w))):
             h += w[j : j + n] * self.place[j]
@@ -75,16 +80,18 @@ class Sketcher:
         order = np.argsort(h, kind="stable")
         same = np.concatenate(([False], h[order][1:] == h[order][:-1])) if n else np.zeros(0, bool)
         if same.any():
+            self.distinct = n - int(same.sum())
             starts = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
             label = np.empty(n, np.uint64)
             label[order] = (np.arange(n) - starts).astype(np.uint64)
             h = np.where(label > 0, self.mix(h + label * np.uint64(0x9E3779B97F4A7C15)), h)
         return h
 
-    def bands(self, text: str) -> list[int]:
+    def bands(self, text: str) -> tuple[list[int], int]:
+        """The buckets of a text, and the number of its distinct shingles."""
         h = self.shingles(text)
         if not len(h):
-            return []
+            return [], 0
         n = len(self.factor)
         at, low = np.zeros((0, n), np.int64), np.zeros((0, n), np.uint64)
         for i in range(0, len(h), 2048):
@@ -103,7 +110,7 @@ class Sketcher:
         band = sample[:, 0].copy()
         for j in range(1, ROWS):
             band = self.mix(band * np.uint64(0x165667B19E3779F9) + sample[:, j])
-        return self.mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+        return self.mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist(), self.distinct
 
 
 def distinct_shingles(text: str) -> dict[str, int]:
@@ -138,7 +145,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _sketcher.append(Sketcher())
     bands = _sketcher[0].bands
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array([bands(t.as_py()) for t in b.column("words")], pa.list_(pa.int64()))], ["key", "digest", "bands"])
+        found = [bands(t.as_py()) for t in b.column("words")]
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())], ["key", "digest", "bands", "size"])
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -156,7 +164,6 @@ def _verify(table: pa.Table) -> pa.Table:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (pivot, rid) that align. A pivot with many members is sent to several groups of them."""
-    pairs = materialize(pairs, f"{name}-pairs")
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT).cast("int").alias("n"))
     members = pairs.join(salts, "pivot").select("rid", "pivot", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int").alias("salt"))
     own = salts.select(F.col("pivot").alias("rid"), "pivot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
@@ -181,40 +188,66 @@ def components(links: DataFrame, left: str = "pivot", right: str = "rid") -> Dat
             return labels
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, label) of every linked node after more links: classes are joined by their labels only."""
+    if labels is None:
+        return components(found)
+    ends = found.select("pivot", "rid")
+    for end in ("pivot", "rid"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
+    moved = components(ends)
+    known = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return materialize(known.unionByName(moved.join(labels, "node", "left_anti")), "near-labels")
+
+
+def resolve(members: DataFrame, words: DataFrame) -> DataFrame | None:
+    """(node, label) of the linked ones of members(bucket, rid, degree, size), every bucket resolved; None without links."""
+    members, labels, tried, i = members.withColumn("label", F.col("rid")), None, None, 0
+    while True:
+        part = F.pmod(F.xxhash64("rid", F.lit(i)), F.lit(MORE ** max(0, i + 1 - SINGLE)))
+        top = F.max_by(F.struct("rid", "size", "label"), F.struct(F.col("degree"), -F.col("rid"))).alias("top")
+        pivots = members.groupBy("bucket", part.alias("part")).agg(top).select("bucket", F.col("top.rid").alias("pivot"), F.col("top.size").alias("pivot_size"), F.col("top.label").alias("pivot_label"))
+        pivots = materialize(pivots, "near-pivots")
+        need = F.lit(SIMILARITY) * (F.col("size") + F.col("pivot_size")) / F.lit(1 + SIMILARITY) - 1e-9
+        pairs = members.join(pivots, "bucket").where((F.col("label") != F.col("pivot_label")) & (F.least("size", "pivot_size") >= need))
+        pairs = pairs.select("pivot", "rid", F.least("pivot", "rid").alias("low"), F.greatest("pivot", "rid").alias("high")).dropDuplicates(["low", "high"])
+        if tried is not None:
+            pairs = pairs.join(tried, ["low", "high"], "left_anti")
+        pairs = materialize(pairs, f"near-{i}-pairs")
+        found = None
+        if not pairs.isEmpty():
+            tried = pairs.select("low", "high") if tried is None else tried.unionByName(pairs.select("low", "high"))
+            found = _confirmed(pairs.select("pivot", "rid"), words, f"near-{i}")
+        left = members.join(pivots.select("bucket", F.col("pivot").alias("rid")), ["bucket", "rid"], "left_anti")
+        if found is not None and not found.isEmpty():
+            labels = _merged(labels, found)
+            left = left.drop("label").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        left = materialize(left.select("bucket", "rid", "degree", "size", "label"), "near-left")
+        mixed = left.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bucket")
+        members = materialize(left.join(mixed, "bucket", "left_semi"), "near-open")
+        if members.isEmpty():
+            return labels
+        i += 1
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, kept): key and digest of every row; and (digest, keep_key, keep_digest) of every digest in a class of several rows."""
     base = small_batches(docs).select(F.col(key).cast("bigint").alias("key"), words_of(text).alias("words"))
     base = base.withColumn("digest", F.unhex(F.md5(F.col("words").cast("binary"))))
-    rows = materialize(base.mapInArrow(_bands, "key bigint, digest binary, bands array<bigint>"), "near-rows")
+    rows = materialize(base.mapInArrow(_bands, "key bigint, digest binary, bands array<bigint>, size bigint"), "near-rows")
     order = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"))).getField("key")
-    reps = rows.groupBy("digest").agg(order.alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    reps = rows.groupBy("digest").agg(order.alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "near-reps")
-    entries = reps.select("rid", F.explode("bands").alias("bucket"))
+    entries = reps.select("rid", "size", F.explode("bands").alias("bucket"))
     sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
     shared = materialize(entries.join(sizes, "bucket"), "near-shared")
     degree = shared.groupBy("rid").agg(F.sum("n").alias("degree"))
-    ranked = materialize(shared.select("rid", "bucket").join(degree, "rid"), "near-ranked")
+    ranked = materialize(shared.select("rid", "bucket", "size").join(degree, "rid"), "near-ranked")
     needed = materialize(ranked.select("rid").distinct(), "near-needed")
     words = _texts_of(base, reps, needed)
-
-    links, open_rows = None, ranked
-    used = None
-    for i in range(rounds):
-        top = F.max_by("rid", F.struct(F.col("degree"), -F.col("rid"))).alias("pivot")
-        choice = ranked if used is None else ranked.join(used, (ranked.bucket == used.used_bucket) & (ranked.rid == used.pivot), "left_anti")
-        pivots = materialize(choice.groupBy("bucket").agg(top), "near-pivots")
-        pairs = open_rows.select("rid", "bucket").join(pivots, "bucket").where("rid <> pivot").select("pivot", "rid").distinct()
-        if links is not None:
-            pairs = pairs.join(links.select("pivot", "rid"), ["pivot", "rid"], "left_anti")
-        found = _confirmed(pairs, words, f"near-{i}")
-        links = found if links is None else links.unionByName(found)
-        mine = pivots.select(F.col("bucket").alias("used_bucket"), "pivot")
-        used = mine if used is None else used.unionByName(mine)
-        joined = links.select("rid").union(links.select(F.col("pivot").alias("rid"))).distinct()
-        open_rows = materialize(ranked.join(joined, "rid", "left_anti"), "near-open")
-        if open_rows.isEmpty():
-            break
-    labels = components(links)
+    labels = resolve(ranked, words)
+    if labels is None:
+        labels = needed.select(F.col("rid").alias("node"), F.col("rid").alias("label")).limit(0)
     labelled = reps.join(labels.withColumnRenamed("node", "rid"), "rid", "left").where("label is not null or copies > 1")
     labelled = materialize(labelled.select("digest", "first", F.coalesce("label", "rid").alias("label")), "near-labelled")
     best = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("digest"))).alias("best")
