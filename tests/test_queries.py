@@ -32,3 +32,22 @@ def test_query(spark, db, name):
     assert len(found) or name in ("history_faults",)
     if name in SQL:
         assert rows(found) == rows(db.execute(SQL[name]).df())
+
+
+# Whole tables: on 10,000 events and 15,000 orders, against SQL without its limits
+
+WHOLE = "/root/testdata/sf0.01"
+
+
+def whole(spark, name: str, *limits: str, after: str = "") -> bool:
+    """Whether a query equals its SQL, less the named limits, on larger tables."""
+    c, sql = duckdb.connect(), SQL[name]
+    for f in os.listdir(WHOLE):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{WHOLE}/{f}'")
+    for limit in limits:
+        sql = sql.replace(limit, after)
+    return rows(QUERIES[name](spark, WHOLE).toPandas()) == rows(c.execute(sql).df())
+
+
+def test_pcapng_scan_whole(spark):
+    assert whole(spark, "pcapng_scan", " WHERE seq <= 2000")

@@ -331,6 +331,8 @@ STUDY_SQL = {
 # Sources and frames
 
 MAC = "02:42:ac:11:00:02"
+#: Packets of one capture.
+CAPTURE = 2000
 
 
 def dimension_counts(spark, sf_dir):
@@ -372,11 +374,13 @@ def url_validation(spark, sf_dir):
 
 
 def pcapng_scan(spark, sf_dir):
-    """Traces written as captures and read back: times are whole microseconds, the rest unchanged."""
-    t = trace(spark, sf_dir).where("seq <= 2000")
+    """Traces written as captures of bounded pieces and read back: times are whole microseconds, the rest unchanged."""
+    piece = F.floor((F.col("seq") - 1) / CAPTURE)
+    t = trace(spark, sf_dir).withColumn("trace_id", F.concat_ws("/", "trace_id", piece))
     made = pcapng.captures(t, MAC, 1e9).withColumnRenamed("trace_id", "path")
     p = pcapng.packets_of(made)
-    return p.select("trace_id", "seq", F.rint(F.col("ts") * 1e6).cast("bigint").alias("ts_us"), frames.direction(F.col("frame"), F.lit(MAC)).cast("int").alias("direction"), F.octet_length("frame").cast("bigint").alias("frame_length"))
+    name, seq = F.substring_index("trace_id", "/", 1), F.substring_index("trace_id", "/", -1).cast("bigint") * CAPTURE + F.col("seq")
+    return p.select(name.alias("trace_id"), seq.alias("seq"), F.rint(F.col("ts") * 1e6).cast("bigint").alias("ts_us"), frames.direction(F.col("frame"), F.lit(MAC)).cast("int").alias("direction"), F.octet_length("frame").cast("bigint").alias("frame_length"))
 
 
 SOURCE_SQL = {
