@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
+from tracewright.functions.kernels import Arrays
+from tracewright.operators import models
+from tracewright.operators.traces import to_events
+from tracewright.plans import genetic
 from tracewright.plans.registry import QUERIES, SQL
+from tracewright.plans.trace_queries import pair
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -49,5 +55,26 @@ def whole(spark, name: str, *limits: str, after: str = "") -> bool:
     return rows(QUERIES[name](spark, WHOLE).toPandas()) == rows(c.execute(sql).df())
 
 
+@pytest.mark.parametrize("name, family, genes", [("poisson_generate", "poisson_empirical", (1.0,)), ("mmpp_generate", "mmpp", (0.0002, 0.0004, 0.001, 0.01)), ("markov_generate", "markov_renewal", (1 / 3, 2 / 3, 0.5, 4, 1.0))])
+def test_generate_whole(spark, name, family, genes):
+    """A model fitted by brute force on all of the reference gives the same traces."""
+    reference, _, _ = pair(spark, WHOLE)
+    t = Arrays.of(to_events(reference))
+    model, w = models.fit(family, genes, t, float(t.ts[-1])), float(t.ts[-1])
+    wanted = []
+    for i in range(8):
+        made = model.generate(i + 17, w, models.Limits(max_packets=10**6, max_output_bytes=10**10)).events
+        wanted.append((f"{family}-{i}", len(made), sum(e[2] for e in made), made[-1][0]))
+    assert len(t) == 5000 and sorted(map(tuple, QUERIES[name](spark, WHOLE).collect())) == wanted
+
+
+def test_genetic_search_whole(spark, monkeypatch):
+    """The search reads the whole reference and its window."""
+    seen = []
+    monkeypatch.setattr(genetic.Engine, "run", lambda self, spark: seen.append((len(self.reference), self.window)) or SimpleNamespace(history=[]))
+    QUERIES["genetic_search"](spark, WHOLE)
+    assert seen == [(5000, pair(spark, WHOLE)[2])]
+
+
 def test_pcapng_scan_whole(spark):
     assert whole(spark, "pcapng_scan", " WHERE seq <= 2000")

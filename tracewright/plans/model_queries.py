@@ -400,16 +400,28 @@ SOURCE_SQL = {
 # Generation: no SQL, random streams
 
 
+def _limits(events: int) -> models.Limits:
+    """Limits that leave room for a trace of several times the reference's events."""
+    return models.Limits(max_packets=max(20_000, 8 * events), max_output_bytes=max(40_000_000, 8 * 1514 * events))
+
+
 def _generate(spark: SparkSession, sf_dir: str, family: str, genes: tuple) -> DataFrame:
-    """Traces of one model under eight seeds; it is fitted on a bounded piece of the reference."""
+    """Traces of one model under eight seeds, over the window of the whole reference that it is fitted on."""
     from ..functions.kernels import Arrays
     from ..operators.traces import to_events
 
-    reference, _, _ = pair(spark, sf_dir)
-    t = Arrays.of(to_events(reference.where("seq <= 500")))
-    model = models.fit(family, genes, t, float(t.ts[-1]))
+    reference, _, w = pair(spark, sf_dir)
+    n = reference.count()
+    if family == "markov_renewal":
+        # its payload is the reference's own intervals and lengths
+        model = models.fit(family, genes, Arrays.of(to_events(reference)), w)
+    else:
+        entries = fitting.mark_distribution(reference).first()["marks"]
+        marks = models.Marks(tuple((m["direction"], m["frame_length"], m["count"]) for m in entries))
+        base = (n - 1) / w
+        model = models.Poisson(base, base * genes[0], marks) if family == "poisson_empirical" else models.Mmpp(*genes, marks)
     requests = spark.range(8).select(F.concat(F.lit(f"{family}-"), "id").alias("comparison"), F.lit("m").alias("model"), (F.col("id") + 17).alias("seed"))
-    made = models.generate(requests, {"m": model}, float(t.ts[-1]))
+    made = models.generate(requests, {"m": model}, w, _limits(n))
     return made.groupBy("comparison").agg(F.count("*").alias("events"), F.sum("frame_length").alias("bytes"), F.max("ts").alias("last_ts"))
 
 
@@ -426,18 +438,17 @@ def markov_generate(spark, sf_dir):
 
 
 def genetic_search(spark, sf_dir):
-    """A small search over all families on a bounded piece of the reference, one job per generation."""
+    """A small search over all families on the whole reference, one job per generation."""
     from ..functions.kernels import Arrays
     from ..operators.similarity import Settings
     from ..operators.traces import to_events
     from .genetic import Engine, Operators, Search
 
-    reference, _, _ = pair(spark, sf_dir)
-    t = Arrays.of(to_events(reference.where("seq <= 200")))
-    w = float(t.ts[-1])
+    reference, _, w = pair(spark, sf_dir)
+    t = Arrays.of(to_events(reference))
     base = (len(t) - 1) / w
     bounds = {"poisson_empirical": {"c_lambda": (0.5, 1.5)}, "markov_renewal": {"q1": (0.15, 0.45), "q2": (0.55, 0.9), "alpha": (0.05, 1.5), "r": (1, 4), "c_t": (0.5, 1.5)}, "mmpp": {"q01": (base / 50, base / 5), "q10": (base / 50, base / 5), "lambda0": (base / 4, base), "lambda1": (base, base * 4)}}
-    search = Search(bounds, dict.fromkeys(bounds, Operators(0.5, 0.3, 0.1)), 9, 3, 2, 2, (17, 19), 73, 97)
+    search = Search(bounds, dict.fromkeys(bounds, Operators(0.5, 0.3, 0.1)), 9, 3, 2, 2, (17, 19), 73, 97, limits=_limits(len(t)))
     engine = Engine(search, t, w, Settings(lags=(1, 4), lag_weights=(0.5, 0.5), widths=(w / 64, w / 8), scale_weights=(0.5, 0.5)))
     return spark.createDataFrame([tuple(r[c] for c in artifacts.HISTORY_COLUMNS) for r in engine.run(spark).history], artifacts.HISTORY)
 
