@@ -6,10 +6,12 @@ import os
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.functions.kernels import Arrays
-from tracewright.operators import models
+from tracewright.operators import models, study
 from tracewright.operators.traces import to_events
 from tracewright.plans import genetic
 from tracewright.plans.registry import QUERIES, SQL
@@ -76,5 +78,18 @@ def test_genetic_search_whole(spark, monkeypatch):
     assert seen == [(5000, pair(spark, WHOLE)[2])]
 
 
+def test_bootstrap_ci_whole(spark):
+    """All customers of each segment, against plain resampling of their values in order."""
+    table = spark.read.parquet(f"{WHOLE}/customer.parquet").select("c_mktsegment", F.col("c_acctbal").cast("double").alias("x")).toPandas()
+    wanted = {}
+    for k, g in table.groupby("c_mktsegment"):
+        x, rng = np.sort(g.x.to_numpy()), np.random.Generator(np.random.PCG64(study.BOOTSTRAP_SEED))
+        means = [x[rng.integers(0, len(x), len(x))].mean() for _ in range(10_000)]
+        wanted[k] = (len(x), *np.percentile(means, (2.5, 97.5)))
+    found = {r.c_mktsegment: (r.sample_size, r.lower_bound, r.upper_bound) for r in QUERIES["bootstrap_ci"](spark, WHOLE).collect()}
+    assert sum(v[0] for v in found.values()) == len(table) == 1500 and set(found) == set(wanted)
+    assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
 def test_pcapng_scan_whole(spark):
     assert whole(spark, "pcapng_scan", " WHERE seq <= 2000")

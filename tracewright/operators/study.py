@@ -26,13 +26,13 @@ def descriptive_statistics(rows: DataFrame, by: list[str], value: str) -> DataFr
 
 
 def bootstrap(rows: DataFrame, by: list[str], value: str, seed: int = BOOTSTRAP_SEED, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """Percentile-bootstrap interval of the mean per group; a group is one study's few observations."""
+    """Percentile-bootstrap interval of the mean per group, over its values in order, so partitioning doesn't matter; a task holds one group."""
     import pandas as pd
 
     key = ", ".join(f"{rows.schema[c].name} {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def run(keys, frame):
-        low, high = bootstrap_interval(frame["__x"].to_numpy(), seed, resamples, confidence)
+        low, high = bootstrap_interval(frame["__x"].sort_values().to_numpy(), seed, resamples, confidence)
         return pd.DataFrame([(*keys, len(frame), low, high)])
 
     picked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
