@@ -93,3 +93,12 @@ def test_bootstrap_ci_whole(spark):
 
 def test_pcapng_scan_whole(spark):
     assert whole(spark, "pcapng_scan", " WHERE seq <= 2000")
+
+
+def test_candidate_trials_whole(spark):
+    assert whole(spark, "candidate_trials", " WHERE generation = 0")
+
+
+def test_duplicate_candidates_whole(spark):
+    one = "generation = 1 AND (family, genes) IN (SELECT (family, genes) FROM c WHERE generation = 0)"
+    assert whole(spark, "duplicate_candidates", one, after="(generation, family, genes) IN (SELECT (generation + 1, family, genes) FROM c)")

@@ -69,9 +69,10 @@ def history_faults(rows: DataFrame) -> DataFrame:
     return overall.join(family, "generation", "full").where(F.coalesce(wrong, F.lit(True))).select("generation")
 
 
-def duplicates(children: DataFrame, existing: DataFrame) -> DataFrame:
-    """Children whose family and genes are already present."""
-    return children.join(existing.select("family", "genes"), ["family", "genes"], "left_semi")
+def duplicates(children: DataFrame, existing: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Children whose family and genes are already present, among those of equal by."""
+    keys = [*by, "family", "genes"]
+    return children.join(existing.select(*keys), keys, "left_semi")
 
 
 def new_candidates(candidates: DataFrame, evaluated: DataFrame) -> DataFrame:

@@ -167,11 +167,12 @@ def history_faults(spark, sf_dir):
 
 def duplicate_candidates(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    return selection.duplicates(c.where("generation = 1"), c.where("generation = 0")).select("birth_generation", "birth_index", "family", "genes")
+    before = c.withColumn("generation", F.col("generation") + 1)
+    return selection.duplicates(c, before, ("generation",)).select("birth_generation", "birth_index", "family", "genes")
 
 
 def candidate_trials(spark, sf_dir):
-    c = selection.trials(candidates(spark, sf_dir).where("generation = 0"), [17, 19, 23])
+    c = selection.trials(candidates(spark, sf_dir), [17, 19, 23])
     score = F.when(F.col("status") == "valid", F.col("fitness") * (F.lit(1.0) - F.col("seed") / 100.0))
     return selection.fitness(c.withColumn("aggregate_score", score)).withColumn("fitness", F.round("fitness", 9))
 
