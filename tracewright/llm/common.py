@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +14,53 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(owner: str, key: object, make: Callable[[], object]):
+    """make(), kept in this Python worker for the operator owner.
+
+    Spark reuses workers from stage to stage: what other operators have kept is let go first, so a worker holds the
+    tables of one operator at a time, however many stages it has served.
+    """
+    if any(k[0] != owner for k in _held):
+        _held.clear()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+    if (owner, key) not in _held:
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; where the session names none, a temporary one, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tracewright-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+class Scratch:
+    """Tables that one run writes to the shared folder, deleted together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.written = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.written += 1
+        path = f"{self.path}/{self.written}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(df: DataFrame, rows: int = 500, size: str = "8m") -> DataFrame:
     """df, after bounding the rows and bytes of an Arrow batch: texts can be long, and a task holds several batches at once."""
     conf = df.sparkSession.conf

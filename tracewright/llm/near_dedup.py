@@ -4,12 +4,22 @@ Words are runs between white space, in lower case; shingles are 5 words, labelle
 samples hashes all labelled shingles, takes the two smallest and keeps them in text order, so a sample survives edits
 that leave those shingles and their order. Three samples make a band; texts that share one of 24 bands are candidates.
 
-Texts of equal words are one class from the start. In a round, a bucket's members are compared with its pivot: the
-member that shares buckets with most others, which for copies of one original is that original. Then the pivot leaves
-the bucket, and rounds go on, with more pivots each after the first three, until what is left of every bucket is of one
-class. Members already of the pivot's class, pairs compared before and pairs whose numbers of shingles differ too much
-are passed over. So every pair that shares a bucket is compared or of one class anyway, and where a pivot confirms its
-bucket, candidates grow with the members, not with their pairs.
+Texts of equal words are one class from the start. In the first round, a bucket's members are compared with its pivot,
+the member that shares buckets with most others, which for copies of one original is that original. Buckets whose
+members are then of one class are done. The others take rounds that need no pairs of members either:
+
+- A few pivots stand for the bucket; members that align with one join its class. Let P be the shingles of all pivots.
+- A pair with a Jaccard index of 0.8 shares at least 4/9 of the sum of its sizes. A member with fewer shingles in P than
+  any partner in the bucket demands is *apart*: whatever it resembles must share a shingle outside P with it, or k of
+  them if k are lacking. So members go to cells, one for each of their shingles outside P (of a member that lacks k, all
+  but its k - 1 largest hashes). A cell with an apart member and several classes is a bucket of the next round.
+- The other members stay in the bucket without the pivots. They are near P; most are of one class by now. From the
+  fourth round on, pivots come from the class with fewest members in the bucket, and later rounds have more pivots.
+
+Random edits of one original share few shingles outside it, so cells are tiny; a group within a group shares many, and
+its cells get their own pivots. Rounds end when every bucket is of one class. So every pair that shares a bucket is
+compared, of one class anyway, or shown to be below the threshold, and no pairs of a bucket are ever listed. Buckets of
+many differently permuted copies of one text (alike as sets, not in order) take work in proportion to their square.
 
 A pair is confirmed if at least 0.8 of its distinct shingles align: aligned / (a + b - aligned), the longest common
 subsequence of first occurrences within the band that this threshold leaves. It never exceeds the Jaccard index, and
@@ -31,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, read_table, small_batches, text_or_empty
+from .common import SPACE, Scratch, held, materialize, read_table, small_batches, text_or_empty
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 3
-#: Rounds with one pivot a bucket; each later one has so many times the pivots of the one before.
-SINGLE, MORE = 3, 4
-#: Members that one task compares with a pivot at once.
-SALT = 256
+#: Share of the sum of two sizes that a pair of this similarity has in common.
+SHARE = SIMILARITY / (1 + SIMILARITY)
+#: Pivots beside the first, the round from which the rarest class gives them, and from which they are MORE times as many.
+PIVOTS, MINORITY, LATE, MORE, MOST = 3, 3, 7, 4, 48
+#: Members and shingles that one task compares with pivots at once.
+GROUP_ROWS, GROUP_SHINGLES = 64, 300_000
 SEED = 41
 
 
@@ -60,23 +72,27 @@ class Sketcher:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(29))
 
-    def shingles(self, text: str) -> np.ndarray:
-        """Hashes of the occurrence-labelled shingles, in text order."""
+    def plain(self, text: str) -> np.ndarray:
+        """Hashes of the shingles, in text order."""
         from xxhash import xxh3_64_intdigest
 
         memo = self.memo
-        if len(memo) > 150_000:
+        if len(memo) > 100_000:
             memo.clear()
         words = text.split(" ") if text else []
         for w in set(words).difference(memo):
             memo[w] = xxh3_64_intdigest(w)
         w = np.array([memo[x] for x in words], np.uint64)
         n = max(1, len(w) - WORDS + 1) if len(w) else 0
-        self.distinct = n
         h = np.zeros(n, np.uint64)
         for j in range(min(WORDS, len(w))):
             h += w[j : j + n] * self.place[j]
-        h = self.mix(h)
+        return self.mix(h)
+
+    def shingles(self, text: str) -> np.ndarray:
+        """Hashes of the occurrence-labelled shingles, in text order."""
+        h = self.plain(text)
+        self.distinct = n = len(h)
         order = np.argsort(h, kind="stable")
         same = np.concatenate(([False], h[order][1:] == h[order][:-1])) if n else np.zeros(0, bool)
         if same.any():
@@ -113,120 +129,170 @@ class Sketcher:
         return self.mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist(), self.distinct
 
 
-def distinct_shingles(text: str) -> dict[str, int]:
-    """Each distinct shingle with its place in the order of first occurrences."""
-    w = text.split(" ")
-    return {s: i for i, s in enumerate(dict.fromkeys(" ".join(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))))}
+def sketcher() -> Sketcher:
+    return held("near_dedup", "sketcher", Sketcher)
+
 
+def distinct_shingles(text: str) -> np.ndarray:
+    """Hashes of the distinct shingles, in the order of first occurrences."""
+    h = sketcher().plain(text)
+    return h[np.sort(np.unique(h, return_index=True)[1])]
 
-def aligned(left: dict[str, int], right: dict[str, int], similarity: float = SIMILARITY) -> float:
+
+def aligned(left: np.ndarray, right: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Share of distinct shingles that align within the band of the threshold; 0 if that can't reach it."""
     total = len(left) + len(right)
     need = similarity * total / (1 + similarity)
     band = total - 2 * need
-    places = [j for s, i in right.items() if (j := left.get(s)) is not None and abs(i - j) <= band + 1e-9]
+    if min(len(left), len(right)) < need - 1e-9:
+        return 0.0
+    order = np.argsort(left)
+    at = np.minimum(np.searchsorted(left, right, sorter=order), len(left) - 1)
+    places = order[at]
+    at = np.flatnonzero(left[places] == right)
+    places = places[at][np.abs(places[at] - at) <= band + 1e-9]
     if len(places) < need - 1e-9:
         return 0.0
-    tails: list[int] = []
-    for j in places:
-        k = bisect_left(tails, j)
-        if k == len(tails):
-            tails.append(j)
-        else:
-            tails[k] = j
-    return len(tails) / (total - len(tails))
-
-
-_sketcher: list[Sketcher] = []
+    if (np.diff(places) > 0).all():
+        longest = len(places)
+    else:
+        tails: list[int] = []
+        for j in places.tolist():
+            k = bisect_left(tails, j)
+            tails[k : k + 1] = [j]
+        longest = len(tails)
+    return longest / (total - longest)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if not _sketcher:
-        _sketcher.append(Sketcher())
-    bands = _sketcher[0].bands
+    bands = sketcher().bands
     for b in batches:
         found = [bands(t.as_py()) for t in b.column("words")]
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())], ["key", "digest", "bands", "size"])
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    pivots, found = {}, []
-    for pivot, rid, words in zip(table.column("pivot").to_pylist(), table.column("rid").to_pylist(), table.column("words"), strict=True):
-        if pivot == rid:
-            pivots[pivot] = distinct_shingles(words.as_py())
-    for pivot, rid, words in zip(table.column("pivot").to_pylist(), table.column("rid").to_pylist(), table.column("words"), strict=True):
-        if pivot != rid and pivot in pivots:
-            found.append((pivot, rid, aligned(pivots[pivot], distinct_shingles(words.as_py()))))
-    found = [f for f in found if f[2] >= SIMILARITY]
-    columns = list(zip(*found, strict=True)) or [(), (), ()]
-    return pa.table({"pivot": pa.array(columns[0], pa.int64()), "rid": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
+COMPARED = "pivot bigint, salt int, rid bigint, degree bigint, size bigint, own boolean, links array<bigint>, inside bigint, outside array<bigint>"
+
 
+def _compare(cells: bool):
+    """Of a group, pivots with some of their members: each member's links, its number of shingles in P, and those outside."""
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (pivot, rid) that align. A pivot with many members is sent to several groups of them."""
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT).cast("int").alias("n"))
-    members = pairs.join(salts, "pivot").select("rid", "pivot", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int").alias("salt"))
-    own = salts.select(F.col("pivot").alias("rid"), "pivot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
-    asked = members.unionByName(own).join(texts, "rid")
-    groups = asked.groupBy("pivot", "salt").applyInArrow(_verify, "pivot bigint, rid bigint, similarity double")
-    return materialize(groups, f"{name}-links")
+    def run(table: pa.Table) -> pa.Table:
+        words = table.column("words")
+        rows = table.drop_columns(["words"]).to_pylist()
+        pivots = {r["rid"]: (r["label"], distinct_shingles(words[i].as_py())) for i, r in enumerate(rows) if r["own"]}
+        union = np.unique(np.concatenate([h for _, h in pivots.values()])) if pivots else np.zeros(0, np.uint64)
+        out = []
+        for i, r in enumerate(rows):
+            if r["own"]:
+                continue
+            h = distinct_shingles(words[i].as_py())
+            links = [q for q, (label, other) in pivots.items() if label != r["label"] and aligned(other, h) >= SIMILARITY]
+            beyond = np.setdiff1d(h, union, assume_unique=True) if cells else h[:0]
+            inside = len(h) - len(beyond)
+            lacking = int(np.ceil(SHARE * (len(h) + max(r["least"], SIMILARITY * len(h))) - 1e-9)) - inside
+            beyond = np.sort(beyond)[: max(0, len(beyond) - max(1, lacking) + 1)]
+            out.append((r["pivot"], r["salt"], r["rid"], r["degree"], r["size"], r["rid"] in pivots, links, inside, beyond.view(np.int64)))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in COMPARED.split(", ")])
 
+    return run
 
-def components(links: DataFrame, left: str = "pivot", right: str = "rid") -> DataFrame:
+
+def components(links: DataFrame, work: Scratch, left: str = "pivot", right: str = "rid") -> DataFrame:
     """(node, label) of every linked node: the smallest node that links reach. Label passing with pointer jumps."""
     edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
-    edges = materialize(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    edges = work.keep(edges.union(edges.select("b", "a")).distinct())
+    labels = work.keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         passed = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
         moved = passed.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") != F.col("label")).alias("moved"))
-        moved = materialize(moved, "labels")
+        moved = work.keep(moved)
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
             return labels
 
 
-def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame | None, found: DataFrame, work: Scratch) -> DataFrame:
     """(node, label) of every linked node after more links: classes are joined by their labels only."""
     if labels is None:
-        return components(found)
+        return components(found, work)
     ends = found.select("pivot", "rid")
     for end in ("pivot", "rid"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
-    moved = components(ends)
+    moved = components(ends, work)
     known = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return materialize(known.unionByName(moved.join(labels, "node", "left_anti")), "near-labels")
-
-
-def resolve(members: DataFrame, words: DataFrame) -> DataFrame | None:
+    return work.keep(known.unionByName(moved.join(labels, "node", "left_anti")))
+
+
+def _round(members: DataFrame, words: DataFrame, work: Scratch, i: int) -> tuple[DataFrame, DataFrame]:
+    """(pivots of the buckets, members compared with them) of round i; the first one is without cells."""
+    rare = F.lit(0).cast("bigint")
+    if i >= MINORITY:
+        members = members.join(members.groupBy("bucket", "label").agg((-F.count("*")).alias("rare")), ["bucket", "label"])
+        rare = F.col("rare")
+    rank, who = F.struct(rare, F.col("degree"), -F.col("rid")), F.struct("rid", "size", "label")
+    pivots = members.groupBy("bucket").agg(F.max_by(who, rank).alias("top"))
+    pivots = work.keep(pivots.select("bucket", F.col("top.rid").alias("pivot"), F.col("top.size").alias("pivot_size"), F.col("top.label").alias("pivot_label")))
+    pairs = members.join(pivots, "bucket").where(F.col("rid") != F.col("pivot"))
+    if not i:
+        pairs = pairs.where(F.least("size", "pivot_size") >= F.lit(SHARE) * (F.col("size") + F.col("pivot_size")) - 1e-9)
+    own = pivots.select("pivot", F.col("pivot").alias("rid"), F.col("pivot_label").alias("label")).distinct()
+    asked = work.keep(pairs.groupBy("pivot", "rid").agg(F.max("degree").alias("degree"), F.max("size").alias("size"), F.max("label").alias("label"), F.max(rare).alias("rare")))
+    if i:
+        part = F.pmod(F.xxhash64("rid", F.lit(i)), F.lit(min(MOST, PIVOTS * MORE ** max(0, i - LATE + 1))))
+        more = asked.groupBy("pivot", part.alias("part")).agg(F.max_by(F.struct("rid", "label"), F.struct("rare", "degree", -F.col("rid"))).alias("top"))
+        own = own.unionByName(more.select("pivot", "top.rid", "top.label"))
+    groups = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("size") / GROUP_SHINGLES)).cast("int")
+    salts = work.keep(asked.groupBy("pivot").agg(groups.alias("n"), F.min("size").alias("least")))
+    rows = asked.join(salts, "pivot").select("pivot", "rid", "degree", "size", "label", "least", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int").alias("salt"), F.lit(False).alias("own"))
+    heads = own.join(salts, "pivot").select("pivot", "rid", F.lit(0).cast("bigint").alias("degree"), F.lit(0).cast("bigint").alias("size"), "label", "least", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("own"))
+    told = work.keep(rows.unionByName(heads).join(words, "rid").groupBy("pivot", "salt").applyInArrow(_compare(i > 0), COMPARED))
+    if not i:
+        return pivots, told
+    # apart: near the pivots neither by its own size nor for any size that a member near them has
+    reach = F.col("inside") / F.lit(SHARE) - F.col("size") + 1e-6
+    told = told.withColumn("reach", reach)
+    near = told.where("not own and reach >= size").groupBy("pivot", F.floor(F.log(1.05, F.col("size"))).alias("kind")).agg(F.min("size").alias("lo"), F.max("reach").alias("far"))
+    near = near.groupBy("pivot").agg(F.collect_list(F.struct("lo", "far")).alias("near")).join(salts, "pivot")
+    near = near.select("pivot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), "near")
+    meets = F.exists(F.coalesce("near", F.array().cast("array<struct<lo:bigint,far:double>>")), lambda x: (x["lo"] <= F.col("reach")) & (x["far"] >= F.col("size")))
+    judged = told.join(near, ["pivot", "salt"], "left")
+    return pivots, judged.withColumn("apart", (F.col("reach") < F.col("size")) & ~meets).drop("near", "salt", "reach", "inside")
+
+
+def resolve(members: DataFrame, words: DataFrame, work: Scratch) -> DataFrame | None:
     """(node, label) of the linked ones of members(bucket, rid, degree, size), every bucket resolved; None without links."""
-    members, labels, tried, i = members.withColumn("label", F.col("rid")), None, None, 0
+    members, labels, i = members.withColumn("label", F.col("rid")), None, 0
     while True:
-        part = F.pmod(F.xxhash64("rid", F.lit(i)), F.lit(MORE ** max(0, i + 1 - SINGLE)))
-        top = F.max_by(F.struct("rid", "size", "label"), F.struct(F.col("degree"), -F.col("rid"))).alias("top")
-        pivots = members.groupBy("bucket", part.alias("part")).agg(top).select("bucket", F.col("top.rid").alias("pivot"), F.col("top.size").alias("pivot_size"), F.col("top.label").alias("pivot_label"))
-        pivots = materialize(pivots, "near-pivots")
-        need = F.lit(SIMILARITY) * (F.col("size") + F.col("pivot_size")) / F.lit(1 + SIMILARITY) - 1e-9
-        pairs = members.join(pivots, "bucket").where((F.col("label") != F.col("pivot_label")) & (F.least("size", "pivot_size") >= need))
-        pairs = pairs.select("pivot", "rid", F.least("pivot", "rid").alias("low"), F.greatest("pivot", "rid").alias("high")).dropDuplicates(["low", "high"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["low", "high"], "left_anti")
-        pairs = materialize(pairs, f"near-{i}-pairs")
-        found = None
-        if not pairs.isEmpty():
-            tried = pairs.select("low", "high") if tried is None else tried.unionByName(pairs.select("low", "high"))
-            found = _confirmed(pairs.select("pivot", "rid"), words, f"near-{i}")
-        left = members.join(pivots.select("bucket", F.col("pivot").alias("rid")), ["bucket", "rid"], "left_anti")
-        if found is not None and not found.isEmpty():
-            labels = _merged(labels, found)
-            left = left.drop("label").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        left = materialize(left.select("bucket", "rid", "degree", "size", "label"), "near-left")
-        mixed = left.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bucket")
-        members = materialize(left.join(mixed, "bucket", "left_semi"), "near-open")
+        pivots, told = _round(members, words, work, i)
+        told = work.keep(told)
+        found = told.select(F.explode("links").alias("pivot"), "rid")
+        merged = not found.isEmpty()
+        if merged:
+            labels = _merged(labels, found, work)
+        if i:
+            stay = told.where("not own and not apart").select("pivot", "rid")
+            rest = members.join(pivots.select("bucket", "pivot"), "bucket").join(stay, ["pivot", "rid"]).withColumn("apart", F.lit(True))
+            lifted = told.where("not own").select("rid", "degree", "size", "apart", F.explode("outside").alias("x"), "pivot")
+            cells = lifted.select(F.xxhash64("pivot", "x").alias("bucket"), "rid", "degree", "size", F.lit(None).cast("bigint").alias("label"), "apart")
+            pool = rest.select(*cells.columns).unionByName(cells)
+        else:
+            pool = members.join(pivots.select("bucket", F.col("pivot").alias("rid")), ["bucket", "rid"], "left_anti").withColumn("apart", F.lit(True))
+        if labels is None:
+            pool = pool.withColumn("label", F.col("rid"))
+        elif merged or i:
+            pool = pool.drop("label").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        pool = work.keep(pool.select("bucket", "rid", "degree", "size", "label", "apart"))
+        mixed = pool.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.max("apart").alias("open")).where("mixed and open")
+        members = work.keep(pool.join(mixed, "bucket", "left_semi").drop("apart"))
         if members.isEmpty():
             return labels
+        if not i:
+            words = work.keep(words.join(members.select("rid").distinct(), "rid", "left_semi"))
         i += 1
 
 
@@ -234,33 +300,34 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     """(rows, kept): key and digest of every row; and (digest, keep_key, keep_digest) of every digest in a class of several rows."""
     base = small_batches(docs).select(F.col(key).cast("bigint").alias("key"), words_of(text).alias("words"))
     base = base.withColumn("digest", F.unhex(F.md5(F.col("words").cast("binary"))))
+    work = Scratch(docs.sparkSession, "near")
     rows = materialize(base.mapInArrow(_bands, "key bigint, digest binary, bands array<bigint>, size bigint"), "near-rows")
     order = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"))).getField("key")
     reps = rows.groupBy("digest").agg(order.alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"))
-    reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "near-reps")
+    reps = work.keep(reps.withColumn("rid", F.monotonically_increasing_id()))
     entries = reps.select("rid", "size", F.explode("bands").alias("bucket"))
-    sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
-    shared = materialize(entries.join(sizes, "bucket"), "near-shared")
+    sizes = work.keep(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = work.keep(entries.join(sizes, "bucket"))
     degree = shared.groupBy("rid").agg(F.sum("n").alias("degree"))
-    ranked = materialize(shared.select("rid", "bucket", "size").join(degree, "rid"), "near-ranked")
-    needed = materialize(ranked.select("rid").distinct(), "near-needed")
-    words = _texts_of(base, reps, needed)
-    labels = resolve(ranked, words)
+    ranked = work.keep(shared.select("rid", "bucket", "size").join(degree, "rid"))
+    labels = resolve(ranked, _texts_of(base, reps, ranked.select("rid").distinct(), work), work)
     if labels is None:
-        labels = needed.select(F.col("rid").alias("node"), F.col("rid").alias("label")).limit(0)
+        labels = ranked.select(F.col("rid").alias("node"), F.col("rid").alias("label")).limit(0)
     labelled = reps.join(labels.withColumnRenamed("node", "rid"), "rid", "left").where("label is not null or copies > 1")
-    labelled = materialize(labelled.select("digest", "first", F.coalesce("label", "rid").alias("label")), "near-labelled")
+    labelled = work.keep(labelled.select("digest", "first", F.coalesce("label", "rid").alias("label")))
     best = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("digest"))).alias("best")
-    winners = materialize(labelled.groupBy("label").agg(best), "near-winners")
+    winners = labelled.groupBy("label").agg(best)
     kept = labelled.join(winners, "label").select("digest", F.col("best.first").alias("keep_key"), F.col("best.digest").alias("keep_digest"))
-    return rows.select("key", "digest"), materialize(kept, "near-kept")
+    kept = materialize(kept, "near-kept")
+    work.drop()
+    return rows.select("key", "digest"), kept
 
 
-def _texts_of(base: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
+def _texts_of(base: DataFrame, reps: DataFrame, needed: DataFrame, work: Scratch) -> DataFrame:
     """(rid, words) of the texts that are candidates at all, one of each class of copies."""
     wanted = reps.select("digest", "rid", "first").join(needed, "rid").select("digest", "rid", "first")
     found = base.join(wanted, (base.digest == wanted.digest) & base.key.eqNullSafe(wanted["first"]))
-    return materialize(found.select("rid", "words").dropDuplicates(["rid"]), "near-words")
+    return work.keep(found.select("rid", "words").dropDuplicates(["rid"]))
 
 
 def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
