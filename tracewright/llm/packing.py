@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches, text_or_empty
+from .common import held, materialize, read_table, small_batches, text_or_empty
 
 CAPACITY, END, GROUP = 4096, 1, 32768
 #: Words whose ids a worker keeps, and the longest such word.
-MEMO, MEMO_CHARS = 1_000_000, 40
+MEMO, MEMO_CHARS = 300_000, 40
 #: Marks that often end a word, and letters whose lower case depends on what stands beside them.
 MARKS, SPECIAL_CASE = ".,;:!?", re.compile("[\u03a3\u0130]")
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
@@ -80,7 +80,7 @@ class WordEncoder:
         for p in self._split(word):
             found = memo.get(p)
             if found is None:
-                found = self._letters(p) if p in MARKS or p.isalpha() and not SPECIAL_CASE.search(p) else self._whole(p)
+                found = self._letters(p) if p in MARKS or self._plain(p) else self._whole(p)
                 if len(p) <= MEMO_CHARS:
                     memo[p] = found
             parts.append(found)
@@ -89,10 +89,15 @@ class WordEncoder:
             memo[word] = ids
         return ids
 
+    @staticmethod
+    def _plain(part: str) -> bool:
+        """Whether normalisation leaves nothing but letters, so that the tokenizer doesn't split the part."""
+        return part.isalpha() and (part.isascii() or unicodedata.normalize("NFC", part).isalpha() and not SPECIAL_CASE.search(part))
+
     def _letters(self, part: str) -> bytes:
         """Ids of what the tokenizer's own normalisation and splitting would leave as one piece."""
         if not part.isascii():
-            part = unicodedata.normalize("NFC", part).encode().decode("latin-1").translate(BYTES)
+            part = unicodedata.normalize("NFC", part).lower().encode().decode("latin-1").translate(BYTES)
         return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
 
     def _whole(self, text: str) -> bytes:
@@ -102,18 +107,13 @@ class WordEncoder:
     def _split(word: str) -> tuple[str, ...]:
         """Parts that the tokenizer encodes alone too: letters in lower case, and one mark after them."""
         stem, mark = (word[:-1], (word[-1],)) if word[-1] in MARKS else (word, ())
-        if stem.isalpha():
-            return (stem if SPECIAL_CASE.search(stem) else stem.lower(), *mark)
+        if WordEncoder._plain(stem):
+            return (stem.lower(), *mark)
         return (word,)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held("packing", path, lambda: WordEncoder(path))
 
 
 def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END) -> DataFrame:
