@@ -86,6 +86,13 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(df: DataFrame, *added: str) -> DataFrame:
+    """The fields of df's struct ``row`` and the columns added; an added column takes the place of a field of its name."""
+    taken = {a.lower() for a in added}
+    fields = [f.name for f in df.schema["row"].dataType.fields if f.name.lower() not in taken]
+    return df.select(*(F.col("row").getField(f).alias(f) for f in fields), *added)
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
