@@ -8,7 +8,7 @@
 4. Rows of verified digests are decided map-side by that broadcast; all others take an ordinary shuffle by digest.
 
 Edge cases: a null text counts as the empty string; a null key orders after all others; of rows that repeat key and
-text alike, the first read stays; an empty table gives an empty result; other columns may have any name.
+text alike, the first read stays (drop_copies, which reads its input twice, leaves the first of its second reading); an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -70,11 +70,11 @@ def decide(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K,
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, tracked: int = TRACKED) -> DataFrame:
     """docs without its later copies, columns unchanged. Copies of a frequent text leave map-side, before the shuffle."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    tagged = docs.select(row, F.col(key).alias("key"), _digest(text).alias("digest"))
-    keys = materialize(tagged.select("key", "digest").withColumn("uid", F.monotonically_increasing_id()), "exact-keys")
+    tagged = docs.select(row, F.col(key).alias("key"), _digest(text).alias("digest"), F.monotonically_increasing_id().alias("uid"))
+    keys = materialize(tagged.select("key", "digest", "uid"), "exact-keys")
     won = F.broadcast(_winners(keys, k, tracked).select("digest", F.col("first.key").alias("winner"), F.lit(True).alias("hot")))
     left = tagged.join(won, "digest", "left").where("hot is null or key <=> winner")
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("key").isNull(), "key"))
+    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("key").isNull(), "key", "uid"))
     return left.select("row", first.alias("n")).where("n = 1").select("row.*")
 
 
