@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table, small_batches, text_or_empty
 
 FRAME, GROUP, TIMESCALE, TICKS = 64, 16, 1000, 40
+#: Containers inside each other that are still opened; the format itself needs seven.
+DEEPEST = 32
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -80,10 +82,14 @@ def build(payload: bytes) -> bytes:
     return head + moov(first, wide) + box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, depth first; stops quietly where a size makes no sense."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, body start, body end) of every box, depth first; leaves a container where a size makes no sense."""
+    # what is open: the next box's start, the end, and the path; boxes nested deeper than DEEPEST are passed over
+    open_boxes: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_boxes:
+        start, end, path = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         at = start + 8
         if size == 1 and at + 8 <= end:
@@ -92,11 +98,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         elif size == 0:
             size = end - start
         if size < at - start or start + size > end:
-            return
+            continue
         yield (*path, kind), at, start + size
-        if kind in CONTAINERS:
-            yield from walk(data, at, start + size, (*path, kind))
-        start += size
+        open_boxes.append((start + size, end, path))
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            open_boxes.append((at, start + size, (*path, kind)))
 
 
 def inspect(data: bytes) -> list[dict]:
@@ -126,6 +132,7 @@ def inspect(data: bytes) -> list[dict]:
                 t[name] = rows if kind in (b"stts", b"stsc") else [r[0] for r in rows]
             elif kind == b"stsz":
                 size, n = struct.unpack_from(">II", data, body)
+                n = min(n, len(data) // size if size else (end - body - 8) // 4)  # no more samples than the file can hold
                 t["sizes"] = [size] * n if size else [r[0] for r in struct.iter_unpack(">I", data[body + 8 : body + 8 + 4 * n])]
         except struct.error:
             continue
@@ -138,6 +145,8 @@ def _track(t: dict) -> dict:
     for i, (first, per_chunk, _) in enumerate(t["runs"]):
         last = t["runs"][i + 1][0] - 1 if i + 1 < len(t["runs"]) else len(t["chunks"])
         for offset in t["chunks"][first - 1 : last]:
+            if sample >= len(t["sizes"]):
+                break
             for size in t["sizes"][sample : sample + per_chunk]:
                 spans.append((offset, size))
                 offset += size
