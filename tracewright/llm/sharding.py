@@ -6,7 +6,7 @@ shards, and when a shard leaves, few other slots change owner. A row's slot is a
 size is a parameter, is broadcast, and placing a row is one hash lookup. No row moves.
 
 Edge cases: a null key counts as the empty string; equal keys share a shard; an empty table gives an empty result;
-columns named slot or shard in the input are kept under the caller's control by ``columns``.
+the slot and the shard take the place of input columns of the names in ``columns``; any other names are safe.
 """
 
 from __future__ import annotations
@@ -56,10 +56,12 @@ def assign(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, co
     """df with a slot and a shard column. The broadcast side has exactly ``slots`` rows of two integers."""
     spark = df.sparkSession
     owners = ",".join(map(str, lookup_table(shards, slots)))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("__slot", "__owner"))
-    table = table.select("__slot", F.element_at(F.array(*map(F.lit, shards)), F.col("__owner").cast("int") + 1).alias(columns[1]))
-    placed = df.withColumn(columns[0], slot_of(key, slots))
-    return placed.join(F.broadcast(table), F.col(columns[0]) == F.col("__slot")).drop("__slot")
+    table = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "owner"))
+    table = table.select("slot", F.element_at(F.array(*map(F.lit, shards)), F.col("owner").cast("int") + 1).alias("shard"))
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in columns}]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias("")).alias("row")  # a struct isn't empty
+    placed = df.select(row, slot_of(key, slots).alias("slot")).join(F.broadcast(table), "slot")
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("slot").alias(columns[0]), F.col("shard").alias(columns[1]))
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
