@@ -10,7 +10,8 @@ what it reads into one vector per language and Spark adds those, so the driver g
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0; rows with null language don't train; with no
 training rows at all every text is ``und``; equal cosines give the language first by name; a lang, source or key never
-reaches the prediction; very long texts are taken whole.
+reaches the prediction; very long texts are taken whole; repeated rows are judged alike; the columns made here take the
+place of input columns of their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, small_batches
+from .common import beside, fold, held, read_table, small_batches
 
 CLASSES, DIMENSIONS, SEED = 64, 1024, 20260101
 #: Trigram vectors that a worker keeps; others are bound again each time.
 KEPT = 32768
 UNKNOWN = "und"
-#: Cosine below which keep_known takes a text for no language at all; texts of one word still pass it.
-LEAST = 0.03
+#: Cosines below which keep_known takes a text for no language at all: of a text of one word (one standard deviation of a
+#: random cosine), and of one with LONG trigrams or more; between them the bound grows with the trigrams.
+LEAST, LEAST_LONG, LONG = 0.03, 0.12, 200
 
 
 class Space:
@@ -39,7 +41,7 @@ class Space:
         rng = np.random.default_rng(seed)
         letters = rng.choice(np.array([-1, 1], np.int8), (CLASSES, dimensions))
         self.places = [np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters]
-        self.kept = np.empty((0, dimensions), np.int8)
+        self.kept, self.filled = np.empty((KEPT, dimensions), np.int8), 0
         self.slot = np.full(CLASSES**3, -1, np.int32)
         classes = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
@@ -60,9 +62,10 @@ class Space:
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         new = codes[self.slot[codes] < 0]
-        if len(new) and len(self.kept) + len(new) <= KEPT:
-            self.slot[new] = len(self.kept) + np.arange(len(new))
-            self.kept = np.concatenate((self.kept, self.bind(new)))
+        if len(new) and self.filled + len(new) <= KEPT:
+            self.slot[new] = self.filled + np.arange(len(new))
+            self.kept[self.filled : self.filled + len(new)] = self.bind(new)
+            self.filled += len(new)
             new = new[:0]
         return self.bind(codes) if len(new) else self.kept[self.slot[codes]]
 
@@ -73,13 +76,8 @@ class Space:
         return total
 
 
-_spaces: dict[tuple[int, int], Space] = {}
-
-
 def space(seed: int, dimensions: int) -> Space:
-    if (seed, dimensions) not in _spaces:
-        _spaces[seed, dimensions] = Space(seed, dimensions)
-    return _spaces[seed, dimensions]
+    return held("langid", (seed, dimensions), lambda: Space(seed, dimensions))
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: int = SEED, dimensions: int = DIMENSIONS) -> dict[str, list[float]]:
@@ -88,10 +86,10 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: int = S
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, counts = space(seed, dimensions), {}
         for b in batches:
-            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, k in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if k not in counts:
                     counts[k] = np.zeros(CLASSES**3, np.int64)
-                used, n = np.unique(s.grams(t), return_counts=True)
+                used, n = np.unique(s.grams(t.as_py()), return_counts=True)
                 counts[k][used] += n
         for k, n in counts.items():
             used = np.flatnonzero(n)
@@ -113,16 +111,17 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: int = S
 
 
 def classify(docs: DataFrame, model: dict[str, list[float]], columns: list, text: str = "text", seed: int = SEED, dimensions: int = DIMENSIONS) -> DataFrame:
-    """columns (of docs) with lang_pred and score: the best prototype and its cosine, not below 0."""
+    """columns (of docs) with lang_pred, score (the best prototype's cosine, not below 0) and the number of trigrams."""
     langs = sorted(model)
     matrix = np.array([model[k] for k in langs]).reshape(len(langs), dimensions)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
-    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(texts: pa.Array) -> tuple[list[str], list[float], list[int]]:
         s = space(seed, dimensions)
-        names, scores = [], []
+        names, scores, sizes = [], [], []
         for t in texts:
-            codes, n = np.unique(s.grams(t or ""), return_counts=True)
+            codes, n = np.unique(s.grams(t.as_py() or ""), return_counts=True)
+            sizes.append(int(n.sum()))
             v = s.bundle(codes, n)
             size = float(np.linalg.norm(v))
             if not len(codes) or not langs:
@@ -133,24 +132,25 @@ def classify(docs: DataFrame, model: dict[str, list[float]], columns: list, text
             best = int(np.argmax(cos))
             names.append(langs[best])
             scores.append(float(min(1.0, max(0.0, cos[best]))))
-        return names, scores
+        return names, scores, sizes
 
     picked = small_batches(docs).select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
     row = picked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            names, scores, sizes = predict(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], ["row", "lang_pred", "score", "n_grams"])
 
-    return picked.mapInArrow(run, f"row {row}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return beside(picked.mapInArrow(run, f"row {row}, lang_pred string, score double, n_grams bigint"), "lang_pred", "score", "n_grams")
 
 
-def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST) -> DataFrame:
+def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST, least_long: float = LEAST_LONG) -> DataFrame:
     """docs, columns unchanged, without texts of no known language: those without letters, or nearer to none than least."""
     model = train(docs.where(fold(F.col(key), 4) != 2), text, lang)
     judged = classify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")], text)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    bound = F.lit(least) + F.lit(least_long - least) * F.least(F.lit(1.0), F.col("n_grams") / LONG)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= bound)).select("doc.*")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
