@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches, text_or_empty
+from .common import beside, held, materialize, read_table, small_batches, text_or_empty
 
 CHUNK = 32768
+#: Chunks of a text that are cut off at once.
+CUT = 64
 #: Words and pairs of pieces that a worker remembers, and rows it returns at once.
-WORDS, PAIRS, ROWS = 500_000, 300_000, 1000
+WORDS, PAIRS, ROWS = 300_000, 150_000, 500
 SPACE = "▁"
 GROUPS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -297,13 +299,8 @@ def choose(matrices: list[list[int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-_scanners: dict[str, Scanner] = {}
-
-
 def scanner(path: str) -> Scanner:
-    if path not in _scanners:
-        _scanners[path] = Scanner(path)
-    return _scanners[path]
+    return held("sentencepiece", path, lambda: Scanner(path))
 
 
 def _pack(rows: list[int]) -> list[str]:
@@ -332,15 +329,19 @@ def _encode_giant(giant: DataFrame, path: str, chunk: int) -> DataFrame:
     s = scanner(path)
     context = 2 * s.longest
     texts = materialize(giant.withColumn("uid", F.monotonically_increasing_id()), "giant-texts")
-    norm = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    n = F.ceil(F.length("norm") / chunk).cast("int")
-    starts = texts.select("uid", norm.alias("norm")).select("uid", "norm", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    first = F.greatest(F.lit(0), F.col("i") * chunk - context)
-    parts = starts.select(
-        "uid", "i", "n", (F.col("i") * chunk - first).alias("start"),
-        F.expr(f"substring(norm, greatest(0, i * {chunk} - {context}) + 1, {chunk + 1} + i * {chunk} - greatest(0, i * {chunk} - {context}))").alias("body"),
-        F.least(F.lit(chunk), F.length("norm") - F.col("i") * chunk).alias("size"),
-    ).repartition("uid", "i")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, text in zip(b.column("uid").to_pylist(), b.column("text"), strict=True):
+                norm = SPACE + text.as_py().replace(" ", SPACE)
+                for j in range(0, len(norm), chunk * CUT):
+                    at = range(j, min(len(norm), j + chunk * CUT), chunk)
+                    first = [max(0, i - context) for i in at]
+                    columns = [[uid] * len(at), [i // chunk for i in at], [i - f for i, f in zip(at, first, strict=True)], [min(chunk, len(norm) - i) for i in at], [norm[f : i + chunk + 1] for i, f in zip(at, first, strict=True)]]
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uid", "i", "start", "size", "body"])
+
+    parts = texts.select("uid", "text").mapInArrow(cut, "uid bigint, i int, start int, size int, body string").repartition("uid", "i")
     parts = materialize(parts, "giant-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +364,7 @@ def _encode_giant(giant: DataFrame, path: str, chunk: int) -> DataFrame:
     chosen = parts.select("uid", "i", "body", "start", "size").mapInArrow(matrices, "uid bigint, i int, m array<string>").groupBy("uid").applyInArrow(borders, "uid bigint, i int, entry int, leave int")
     traced = parts.join(chosen, ["uid", "i"]).select("uid", "i", "body", "start", "size", "entry", "leave").mapInArrow(ids, "uid bigint, i int, ids binary")
     whole = traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
     return texts.join(whole, "uid").select("key", "text", joined.alias("ids"), F.size("parts").alias("chunks"))
 
 
@@ -379,7 +380,7 @@ def decode(encoded: DataFrame, columns: list, path: str | None = None, ids: str
                 part = b.slice(i, ROWS)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([s.decode(x.as_py() or b"") for x in part.column("ids")], pa.string())], ["row", "decoded"])
 
-    return picked.mapInArrow(run, f"row {picked.schema['row'].dataType.simpleString()}, decoded string").select("row.*", "decoded")
+    return beside(picked.mapInArrow(run, f"row {picked.schema['row'].dataType.simpleString()}, decoded string"), "decoded")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
