@@ -16,7 +16,8 @@ trimmed, and a line feed joins blocks. Where no block earns points, all remainin
 
 Edge cases: a null html counts as empty and gives the empty text; broken, cut or plain text input is read as far as it
 goes; depth and length are not bounded by recursion; equal scores go to the earlier container; repeated rows give
-repeated rows; other columns are kept apart in a struct, so their names can't clash.
+repeated rows; other columns are kept apart in a struct, and text and n_chars take the place of columns of
+that name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, text_or_empty
+from .common import beside, read_table, small_batches, text_or_empty
 
 # A quotation mark opens a value only after an equals sign.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</>|<(?:[!?]|/[^a-zA-Z>])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))*+)(?:>|\Z)", re.S)
@@ -289,7 +290,7 @@ def extract(pages: DataFrame, columns: list, html: str = "html") -> DataFrame:
             texts = [main_text(h.as_py()) for h in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
-    return picked.mapInArrow(run, f"row {row}, text string, n_chars bigint").select("row.*", "text", "n_chars")
+    return beside(picked.mapInArrow(run, f"row {row}, text string, n_chars bigint"), "text", "n_chars")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

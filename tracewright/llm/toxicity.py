@@ -12,17 +12,24 @@ that chance doesn't explain it. Each toxic sentence trains by its witnesses (als
 by the word that currently scores highest, found anew in each round. A text scores as its worst word: the words
 between white space, their parts between other characters, and runs of single letters read as one word.
 
+Toxic texts that no word explains train a second machine of the same kind on whole sentences, whose symbols are words:
+pairs of words in order, at most three words apart, weighted by their distance. A text's sentences first all count as
+toxic, then only the one that scores highest. It is kept if, trained on half of those texts and of the clean ones, it
+finds half of the other toxic ones and none of the other clean ones; a text then scores as the worse of word and sentence.
+
 The classifier is fitted on a sample of labelled rows, bounded by ``rows`` per label and ``longest`` characters a text,
 taken in order of a hash of the text; scoring covers whole texts of all rows.
 
 Edge cases: a null or empty text, or one without words, scores what the SVM gives no evidence, near 0; without toxic
 or without clean training rows every text scores 0; labels that repeat or conflict all train; rows without a label
-don't; very long words are scored by windows; equal texts score equally.
+don't; very long words are scored by windows; equal texts score equally; score and predicted take
+the place of input columns of those names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, read_table, small_batches
+from .common import beside, fold, materialize, read_table, small_batches
 
 CLASSES, SPAN, DECAY = 64, 6, 0.6
 ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 3000, 20_000, 400, 4, 7
-WINDOW, MEMO, SHARP = 24, 400_000, 6.0
+WINDOW, MEMO, SHARP = 24, 300_000, 6.0
 NOTHING, LETTER = -2.0, -3.0
+#: Bits of a word pair's code, and unexplained texts that a sentence machine needs.
+PAIR_BITS, UNEXPLAINED = 18, 20
 SENTENCE = re.compile(r"[.!?\n]+")
 PARTS = re.compile(r"[^\W\d_]+")
+ADDRESS = re.compile(r"\W*(?:[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|[a-z][a-z0-9+.-]*://\S+)\W*")
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -49,7 +59,7 @@ def units(token: str) -> list[str]:
     """What a token, lower-cased and without white space, is scored as: its letters, and its parts of letters alone."""
     parts = PARTS.findall(token)
     whole = "".join(parts)
-    if "@" in token or "://" in token:
+    if ADDRESS.fullmatch(token):
         found = [p for p in parts if len(p) > 3]  # an address: no letters put apart
     else:
         found = [whole] if len(parts) < 2 else [whole, *parts]
@@ -120,6 +130,81 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarr
     return w[:-1], float(w[-1])
 
 
+def nystroem(k: np.ndarray) -> np.ndarray:
+    """K^(-1/2) of the landmarks' kernel matrix, without directions that have next to no weight."""
+    values, vectors = np.linalg.eigh(k)
+    good = values > 1e-6
+    return vectors[:, good] / np.sqrt(values[good])
+
+
+def pairs_of(sentence: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and normalised weights of a sentence's word pairs."""
+    words = ["".join(PARTS.findall(w)) for w in sentence.lower().split()]
+    h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words if w], np.uint64)
+    codes, weights = [], []
+    for gap in range(1, 4):
+        if len(h) > gap:
+            mixed = (h[:-gap] * np.uint64(0x9E3779B97F4A7C15) + h[gap:]) * np.uint64(0xD6E8FEB86659FD93)
+            codes.append((mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64))
+            weights.append(np.full(len(h) - gap, DECAY ** (gap + 1)))
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0)
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    weight = np.bincount(inverse, np.concatenate(weights))
+    return code, weight / np.linalg.norm(weight)
+
+
+def sentence_kernel(a: list[tuple], b: list[tuple]) -> np.ndarray:
+    table, out = np.zeros((1 << PAIR_BITS)), np.zeros((len(a), len(b)))
+    for j, (code, weight) in enumerate(b):
+        table[code] = weight
+        out[:, j] = [w @ table[c] for c, w in a]
+        table[code] = 0
+    return out
+
+
+def sentences_of(text: str | None) -> list[str]:
+    return [s for s in SENTENCE.split((text or "").lower()) if s.strip()]
+
+
+def fit_sentences(bad: list[list[tuple]], clean: list[tuple]) -> tuple[np.ndarray, float]:
+    """Table over word pairs and bias, from the sentences of toxic texts (one list each) and those of clean ones."""
+    rng, best = np.random.default_rng(SEED), None
+    clean = [clean[i] for i in rng.permutation(len(clean))]
+    hard = clean[: 10 * LANDMARKS]
+    for _ in range(ROUNDS):
+        positive = [s for t in bad for s in t] if best is None else best
+        marks = [positive[i] for i in rng.permutation(len(positive))[: LANDMARKS // 2]] + hard[: LANDMARKS // 2]
+        root, rows = nystroem(sentence_kernel(marks, marks)), positive + hard
+        y = np.concatenate((np.ones(len(positive)), -np.ones(len(hard))))
+        w, bias = squared_hinge(sentence_kernel(rows, marks) @ root, y, np.where(y > 0, 20.0 * max(1.0, len(hard) / len(positive)), 20.0))
+        table, at = np.zeros(1 << PAIR_BITS), root @ w
+        for x, (code, weight) in zip(at, marks, strict=True):
+            table[code] += x * weight
+        score = [float(v @ table[c]) for c, v in clean]
+        hard = [clean[i] for i in np.argsort(score)[::-1][: 10 * LANDMARKS]]
+        best = [max(t, key=lambda s: float(s[1] @ table[s[0]])) for t in bad]
+    low = float(np.quantile([v @ table[c] for c, v in best], 0.1))
+    high = max(score, default=low - 1.0)
+    return table, -max((low + high) / 2, high + 1e-3)
+
+
+def phrases(texts: list[str], labels: list[int], model: tuple[np.ndarray, float]) -> tuple[np.ndarray, float] | None:
+    """The sentence machine for toxic texts that model doesn't explain, if it holds on texts left out."""
+    margins = Scorer(*model).margins(texts)
+    bad = [t for t, y, m in zip(texts, labels, margins, strict=True) if y and m < 0]
+    bad = [s for s in ([pairs_of(x) for x in sentences_of(t)] for t in dict.fromkeys(bad)) if s]
+    clean = [[pairs_of(x) for x in sentences_of(t)] for t in dict.fromkeys(t for t, y in zip(texts, labels, strict=True) if not y)] if len(bad) >= UNEXPLAINED else []
+    if not clean:
+        return None
+    flat = lambda part: [s for t in part for s in t]
+    table, bias = fit_sentences(bad[::2], flat(clean[::2]))
+    found = [any(w @ table[c] + bias > 0 for c, w in t) for t in bad[1::2]]
+    if 2 * sum(found) < len(found) or any(w @ table[c] + bias > 0 for t in clean[1::2] for c, w in t):
+        return None
+    return fit_sentences(bad, flat(clean))
+
+
 def witnesses(sentences: list[tuple[str, int]]) -> list[str]:
     """Words that toxic sentences have in common beyond chance.
 
@@ -158,14 +243,12 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     clean = sorted({u for s, y in sentences if not y for t in s.split() for u in units(t)} - set(bad))
     if not bad or not clean:
         return np.zeros(CLASSES**3), NOTHING
-    bad = bad[:: max(1, len(bad) // (LANDMARKS // 2))]
+    marks = bad[:: max(1, len(bad) // (LANDMARKS // 2))][: LANDMARKS // 2]
     variants = [inserted(w, rng) for w in bad for _ in range(3) if len(w) > 4]
     hard = [clean[i] for i in rng.permutation(len(clean))[: 2 * LANDMARKS]]
     for _ in range(ROUNDS):
-        landmarks = bad + hard[: LANDMARKS - len(bad)]
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
-        good = values > 1e-6
-        root = vectors[:, good] / np.sqrt(values[good])
+        landmarks = marks + hard[: LANDMARKS - len(marks)]
+        root = nystroem(kernel(landmarks, landmarks))
         words = bad + variants + hard
         x = kernel(words, landmarks) @ root
         y = np.concatenate((np.ones(len(bad) + len(variants)), -np.ones(len(hard))))
@@ -182,8 +265,8 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 class Scorer:
-    def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias, self.memo = table, bias, {}
+    def __init__(self, table: np.ndarray, bias: float, sentences: tuple[np.ndarray, float] | None = None):
+        self.table, self.bias, self.sentences, self.memo = table, bias, sentences, {}
 
     def margins(self, texts: list[str | None]) -> list[float]:
         lists = [(t or "").lower().split() for t in texts]
@@ -195,7 +278,12 @@ class Scorer:
         if new:
             self._learn(list(new))
             found = [list(map(memo.get, words)) if None in m else m for words, m in zip(lists, found, strict=True)]
-        return [max(max(m, default=NOTHING), self._spelled(words, m)) for words, m in zip(lists, found, strict=True)]
+        worst = [max(max(m, default=NOTHING), self._spelled(words, m)) for words, m in zip(lists, found, strict=True)]
+        return worst if self.sentences is None else [max(w, self._sentence(t)) for w, t in zip(worst, texts, strict=True)]
+
+    def _sentence(self, text: str | None) -> float:
+        table, bias = self.sentences
+        return max((float(w @ table[c]) + bias for c, w in map(pairs_of, sentences_of(text))), default=NOTHING)
 
     def _learn(self, tokens: list[str]) -> None:
         split = [units(t) for t in tokens]
@@ -232,28 +320,31 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     return [t for t, _ in picked], [y for _, y in picked]
 
 
-def classify(docs: DataFrame, model: tuple[np.ndarray, float], columns: list, text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: tuple, columns: list, text: str = "text") -> DataFrame:
     """columns (of docs) with score, 0 to 1, and predicted."""
     used = np.flatnonzero(model[0])
-    values, bias = model[0][used], model[1]
+    values, bias, sentences = model[0][used], model[1], model[2] if len(model) > 2 else None
     picked = small_batches(docs).select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
     row = picked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CLASSES**3)
         table[used] = values
-        scorer = Scorer(table, bias)
+        scorer = Scorer(table, bias, sentences)
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.slice(i, 500)
                 score = 1 / (1 + np.exp(-SHARP * np.clip(scorer.margins(part.column("text").to_pylist()), -20, 20)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
 
-    return picked.mapInArrow(run, f"row {row}, score double, predicted int").select("row.*", "score", "predicted")
+    return beside(picked.mapInArrow(run, f"row {row}, score double, predicted int"), "score", "predicted")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
-    return fit(*sample(docs, labels, key, text, label))
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple:
+    """The word machine's table and bias, and the sentence machine's or None."""
+    texts, known = sample(docs, labels, key, text, label)
+    model = fit(texts, known)
+    return *model, phrases(texts, known, model)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
