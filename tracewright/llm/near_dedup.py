@@ -288,7 +288,7 @@ def resolve(members: DataFrame, words: DataFrame, work: Scratch) -> DataFrame |
             pool = pool.drop("label").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         pool = work.keep(pool.select("bucket", "rid", "degree", "size", "label", "apart"))
         mixed = pool.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.max("apart").alias("open")).where("mixed and open")
-        members = work.keep(pool.join(mixed, "bucket", "left_semi").drop("apart"))
+        members = work.keep(pool.join(work.keep(mixed.select("bucket")), "bucket", "left_semi").drop("apart"))
         if members.isEmpty():
             return labels
         if not i:
