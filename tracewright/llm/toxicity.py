@@ -60,7 +60,7 @@ def units(token: str) -> list[str]:
     parts = PARTS.findall(token)
     whole = "".join(parts)
     if ADDRESS.fullmatch(token):
-        found = [p for p in parts if len(p) > 3]  # an address: no letters put apart
+        found = []  # an address is no word of a sentence
     else:
         found = [whole] if len(parts) < 2 else [whole, *parts]
     return [u[i : i + WINDOW] for u in found if len(u) > 1 for i in range(0, max(1, len(u) - WINDOW // 2), WINDOW // 2)]
