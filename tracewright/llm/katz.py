@@ -1,27 +1,30 @@
-"""Scoring of texts by a Katz back-off model of word pairs.
+"""Scoring of texts by a Katz back-off model.
 
-Tokens are a text's words, with A to Z in lower case, and one end. With Good-Turing discounts d(r) for counts up to 5,
+Tokens are a text's words, with A to Z in lower case, and one end; before a text stand as many start marks as the order
+asks for. With Good-Turing discounts d(r) of each length for counts up to 5, h' being h without its first word,
 
-    P(w | h) = d(c(h w)) c(h w) / c(h)     if the pair occurs in training,
-               alpha(h) P(w)               if only h does,
-               P(w)                        otherwise,
+    P(w | h) = d(c(h w)) c(h w) / c(h)     if h w occurs in training,
+               alpha(h) P(w | h')          if only h does,
+               P(w | h')                   otherwise,
 
     P(w) = d(c(w)) c(w) / N, and the mass that discounting frees goes to the one unknown word.
 
-alpha(h) is what the pairs of h leave of 1, over what their second words leave of 1 in P, so each distribution sums to
-1 exactly. A history that discounting leaves no mass counts as seen once more; if no discount is valid (tiny corpora),
-none is used and the unknown word counts as seen once.
+alpha(h) is what the sequences of h leave of 1, over what their last words leave of 1 in P( | h'), so each distribution
+sums to 1 exactly. A history that discounting leaves no mass counts as seen once more; if no discount is valid (tiny
+corpora), none is used and the unknown word counts as seen once. ``order`` is the longest sequence, 2 if not given.
 
 Texts become blocks: each task turns what it reads into token arrays with a dictionary of its own, kept in a table
-bucketed by block. Counts are exchanged by hash bucket, not by text: a block sends each distinct word or pair once with
-its count, however often it occurs, so no word, however frequent, makes a bucket large, and gets back the corpus's
-figures for just its own entries. Three exchanges follow one another: words, pairs, and the sums behind alpha (a pair's
-share enters once, through the first block that holds it). Block tables are bucketed so that joining answers to blocks
-moves only the answers. Words and pairs are known by 64-bit hashes.
+bucketed by block. In a block, a sequence is a number: that of the sequence without its last word, and that word. Counts
+are exchanged by hash bucket, not by text: a block sends each distinct sequence once with its count, however often it
+occurs, so no word, however frequent, makes a bucket large, and gets back the corpus's figures for just its own entries.
+For each length there is one exchange of counts, and from 2 on one of the sums behind alpha, shorter ones first (a
+sequence's share enters once, through the first block that holds it). Buckets hold about ``BUCKET`` tokens' entries,
+whatever the corpus's size. Block tables are bucketed so that joining answers to blocks moves only the answers.
+Sequences are known by 64-bit hashes.
 
 Edge cases: a null text counts as empty and is one token, the end; with no training rows every token is unknown and
 scores 0; a null key is kept, and folded as the empty string; equal keys are told apart; an empty table gives an empty
-result; memory of a task is bounded by ``block`` tokens plus one text.
+result; a task holds ``block`` tokens plus one text, or the entries of one bucket.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, forget, materialize, read_table, small_batches, text_or_empty
 
-BLOCK, LARGEST = 1_000_000, 5
+BLOCK, LARGEST, ORDER = 1_000_000, 5, 2
+#: Tokens of the corpus for each bucket of the exchanges.
+BUCKET = 4_000_000
 START = np.uint64(0x9E3779B97F4A7C15)
 TOKENS = "block bigint, keys array<bigint>, held array<boolean>, lengths array<int>, dictionary binary, tokens binary"
 
@@ -130,30 +135,42 @@ def tokenised(docs: DataFrame, text: str, key: str, held: Column, block: int) ->
     return rows.mapInArrow(run, TOKENS)
 
 
+class Level:
+    """A block's distinct sequences of one length: the one without the last word, the one without the first, counts."""
+
+    def __init__(self, keys: np.ndarray, of: np.ndarray, start: int, starts: np.ndarray, train: np.ndarray, buckets: int):
+        self.keys, self.of, self.start = keys, of, start
+        self.history = np.concatenate((np.zeros(1, np.int32), of[:-1]))
+        self.history[starts] = start
+        self.count = np.bincount(of[train], minlength=len(keys))
+        self.past = np.bincount(self.history[train], minlength=len(keys))
+        self.order, self.slices = Block._slices(keys, buckets)
+        self.first = self.last = self.suffix = None
+
+
 class Block:
-    """A block's tokens with their histories, its dictionary with the start mark, and its distinct pairs."""
+    """A block's tokens and its distinct sequences up to a length; the dictionary ends with the start mark."""
 
-    def __init__(self, row: dict, buckets: int, pairs: bool = True):
+    def __init__(self, row: dict, buckets: int, order: int):
         self.lengths = np.array(row["lengths"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.keys, self.held = row["keys"], np.array(row["held"], bool)
+        train = np.repeat(~self.held, self.lengths)
         hashes = np.concatenate((np.frombuffer(row["dictionary"], np.uint64), [START]))
-        self.word = np.frombuffer(row["tokens"], "<u4").astype(np.int32)
-        self.history = np.concatenate((np.zeros(1, np.int32), self.word[:-1]))
-        self.history[self.starts] = len(hashes) - 1
-        self.train = np.repeat(~self.held, self.lengths)
-        self.hashes, self.size = hashes, len(hashes)
-        self.word_order, self.word_slices = self._slices(hashes, buckets)
-        if pairs:
-            local, place = np.unique(self.history * np.int64(self.size) + self.word, return_inverse=True)
-            self.pair_of = place.astype(np.int32)
-            self.first, self.second = local // self.size, local % self.size
-            self.pair_count = np.bincount(self.pair_of[self.train], minlength=len(local))
-            h, w = hashes[self.first], hashes[self.second]
-            mixed = (h * np.uint64(0xC2B2AE3D27D4EB4F)) ^ ((w + np.uint64(0x165667B19E3779F9)) * np.uint64(0x9FB21C651E98DF25))
+        size = np.int64(len(hashes))
+        word = np.frombuffer(row["tokens"], "<u4").astype(np.int32)
+        self.levels = [Level(hashes, word, len(hashes) - 1, self.starts, train, buckets)]
+        for _ in range(1, order):
+            less = self.levels[-1]
+            codes = np.append(less.history * size + word, less.start * size + size - 1)
+            local, place = np.unique(codes, return_inverse=True)
+            first, last = (local // size).astype(np.int32), (local % size).astype(np.int32)
+            mixed = (less.keys[first] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ ((hashes[last] + np.uint64(0x165667B19E3779F9)) * np.uint64(0x9FB21C651E98DF25))
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            self.pair_keys = mixed ^ (mixed >> np.uint64(29))
-            self.pair_order, self.pair_slices = self._slices(self.pair_keys, buckets)
+            x = Level(mixed ^ (mixed >> np.uint64(29)), place[:-1].astype(np.int32), int(place[-1]), self.starts, train, buckets)
+            x.first, x.last, x.suffix = first, last, np.full(len(local), less.start, np.int32)
+            x.suffix[x.of] = less.of
+            self.levels.append(x)
 
     @staticmethod
     def _slices(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -183,8 +200,8 @@ def _rows(names_kinds: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.R
 
 REQUEST = [("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())]
 REQUEST_DDL = "bucket int, block bigint, keys binary, a binary, b binary"
-REPLY = [("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("seen", pa.list_(pa.int64()))]
-REPLY_DDL = "block bigint, bucket int, a binary, b binary, seen array<bigint>"
+REPLY = [("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("own", pa.binary()), ("seen", pa.list_(pa.int64()))]
+REPLY_DDL = "block bigint, bucket int, a binary, b binary, own binary, seen array<bigint>"
 
 
 def _ask(table: DataFrame, make: Callable[[dict], Iterator[tuple]]) -> DataFrame:
@@ -199,18 +216,18 @@ def _ask(table: DataFrame, make: Callable[[dict], Iterator[tuple]]) -> DataFrame
 
 
 def _answer(requests: DataFrame, combine: Callable) -> DataFrame:
-    """combine(inverse, distinct keys, per-request sizes, rows) gives each request's a and b, and the bucket's figures."""
+    """combine(inverse, distinct keys, rows) gives each request's a, b and own, and the bucket's figures."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         keys = [unpacked_keys(r["keys"]) for r in rows]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        a, b, seen = combine(inverse, len(distinct), rows)
+        *told, seen = combine(inverse, len(distinct), rows)
         out, at = [], 0
         for r, k in zip(rows, keys, strict=True):
-            out.append((r["block"], r["bucket"], a(inverse, at, at + len(k)), b(inverse, at, at + len(k)), None))
+            out.append((r["block"], r["bucket"], *(f and f(inverse, at, at + len(k)) for f in told), None))
             at += len(k)
-        out.append((-1, rows[0]["bucket"], None, None, seen))
+        out.append((-1, rows[0]["bucket"], None, None, None, seen))
         return pa.Table.from_batches([_rows(REPLY, out)])
 
     return requests.groupBy("bucket").applyInArrow(run, REPLY_DDL)
@@ -234,108 +251,123 @@ def _figures(replies: DataFrame) -> list[int]:
 
 
 def _by_block(replies: DataFrame, name: str) -> DataFrame:
-    return replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias(name))
+    return replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b", "own")).alias(name))
 
 
-def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id", block: int = BLOCK, order: int = ORDER) -> DataFrame:
     """key, held, n_tokens, n_known, train_tokens, base_score and score of every row; held rows don't train."""
+    if order < 1:
+        raise ValueError("the order must be positive")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"katz_tokens_{uuid.uuid4().hex}"
-    tokenised(docs, text, key, held, block).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    tokenised(docs, text, key, held, block).write.option("compression", "zstd").bucketBy(partitions, "block").saveAsTable(name)
     table = spark.table(name)
-
-    def words(row: dict) -> Iterator[tuple]:
-        x = Block(row, buckets, pairs=False)
-        count = np.bincount(x.word[x.train], minlength=x.size)[x.word_order]
-        past = np.bincount(x.history[x.train], minlength=x.size)[x.word_order]
-        keys = x.hashes[x.word_order]
-        for b, i, j in x.word_slices:
-            yield b, row["block"], packed_keys(keys[i:j]), packed(count[i:j]), packed(past[i:j])
-
-    def sum_words(inverse, n, rows):
-        c, h = _total(rows, "a", inverse, n), _total(rows, "b", inverse, n)
-        return lambda v, i, j: packed(c[v[i:j]]), lambda v, i, j: packed(h[v[i:j]]), [*_counts_of_counts(c), int(c.sum()), int((c > 0).sum())]
-
-    def pairs(row: dict) -> Iterator[tuple]:
-        x = Block(row, buckets)
-        keys, count = x.pair_keys[x.pair_order], x.pair_count[x.pair_order]
-        for b, i, j in x.pair_slices:
-            yield b, row["block"], packed_keys(keys[i:j]), packed(count[i:j]), None
-
-    def sum_pairs(inverse, n, rows):
-        own = np.concatenate([unpacked(r["a"]) for r in rows])
-        total = np.zeros(n, np.int64)
-        np.add.at(total, inverse, own)
-        trained = np.flatnonzero(own)
-        owner = np.zeros(len(own), bool)
-        owner[trained[np.unique(inverse[trained], return_index=True)[1]]] = True
-        return lambda v, i, j: packed(total[v[i:j]]), lambda v, i, j: np.packbits(owner[i:j]).tobytes(), _counts_of_counts(total)
-
-    word_replies = materialize(_answer(_ask(table, words), sum_words), "katz-words")
-    pair_replies = materialize(_answer(_ask(table, pairs), sum_pairs), "katz-pairs")
-    figures = _figures(word_replies) or [0] * (LARGEST + 3)
-    tokens, vocabulary = figures[-2:]
-    d1, d2 = discounts(figures[:-2]), discounts(_figures(pair_replies) or [0] * (LARGEST + 1))
-    freed = sum(r * figures[r - 1] * (1 - d) for r, d in d1.items())
-    whole, unknown = (tokens, freed / tokens) if d1 else (tokens + 1, 1 / (tokens + 1))
-
-    def lower(counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, d1) / whole, unknown)
-
-    def known(row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-        x = Block(row, buckets)
-        count = x.answered(x.word_order, row["words"], "a", unpacked)
-        past = x.answered(x.word_order, row["words"], "b", unpacked)
-        return x, count, past, x.answered(x.pair_order, row["pairs"], "a", unpacked)
-
-    def shares(row: dict) -> Iterator[tuple]:
-        x, count, past, r = known(row)
-        sizes = {b: j - i for b, i, j in x.pair_slices}
-        bits = [np.unpackbits(np.frombuffer(q["b"], np.uint8), count=sizes[q["bucket"]]).astype(bool) for q in sorted(row["pairs"], key=lambda q: q["bucket"])]
-        own = np.empty(len(r), bool)
-        own[x.pair_order] = np.concatenate(bits)
-        p = np.bincount(x.first[own], lower(count[x.second[own]]), x.size)[x.word_order]
-        used = np.bincount(x.first[own], discounted(r[own], d2), x.size)[x.word_order]
-        keys, past = x.hashes[x.word_order], past[x.word_order]
-        for b, i, j in x.word_slices:
-            yield b, row["block"], packed_keys(keys[i:j]), np.concatenate((used[i:j], p[i:j])).astype("<f8").tobytes(), packed(past[i:j])
+    size = table.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions, -(-size // BUCKET))
+    levels = range(1, order + 1)
+
+    def counts_of(k: int) -> Callable:
+        def make(row: dict) -> Iterator[tuple]:
+            x = Block(row, buckets, k).levels[-1]
+            keys, count, past = x.keys[x.order], x.count[x.order], x.past[x.order]
+            for b, i, j in x.slices:
+                yield b, row["block"], packed_keys(keys[i:j]), packed(count[i:j]), packed(past[i:j]) if k < order else None
+
+        return make
+
+    def summed(k: int) -> Callable:
+        def combine(inverse, n, rows):
+            own = np.concatenate([unpacked(r["a"]) for r in rows])
+            total = np.zeros(n, np.int64)
+            np.add.at(total, inverse, own)
+            past = _total(rows, "b", inverse, n) if k < order else None
+            tell_own = None
+            if k > 1:
+                trained, owner = np.flatnonzero(own), np.zeros(len(own), bool)
+                owner[trained[np.unique(inverse[trained], return_index=True)[1]]] = True
+                tell_own = lambda v, i, j: np.packbits(owner[i:j]).tobytes()
+            tell_past = None if past is None else lambda v, i, j: packed(past[v[i:j]])
+            return lambda v, i, j: packed(total[v[i:j]]), tell_past, tell_own, [*_counts_of_counts(total), int(total.sum()), int((total > 0).sum())]
+
+        return combine
+
+    counted = [materialize(_answer(_ask(table, counts_of(k)), summed(k)), f"katz-counts-{k}") for k in levels]
+    figures = [_figures(c) or [0] * (LARGEST + 3) for c in counted]
+    tokens, vocabulary = figures[0][-2:]
+    d = [discounts(f[:-2]) for f in figures]
+    freed = sum(r * figures[0][r - 1] * (1 - x) for r, x in d[0].items())
+    whole, unknown = (tokens, freed / tokens) if d[0] else (tokens + 1, 1 / (tokens + 1))
+
+    def known(row: dict, top: int, weighed: int) -> tuple[Block, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The block, the corpus's counts by length up to top, what it counts histories of length top - 1, and P of length weighed."""
+        x = Block(row, buckets, top)
+        count = [Block.answered(v.order, row[f"n{k}"], "a", unpacked) for k, v in enumerate(x.levels, 1)]
+        p = np.where(count[0] > 0, discounted(count[0], d[0]) / whole, unknown)
+        past = None
+        for k in range(2, top + 1):
+            less, v = x.levels[k - 2], x.levels[k - 1]
+            past = Block.answered(less.order, row[f"n{k - 1}"], "b", unpacked)
+            if k <= weighed:
+                alpha = Block.answered(less.order, row[f"w{k}"], "a", _floats)
+                total = Block.answered(less.order, row[f"w{k}"], "b", unpacked)
+                seen = count[k - 1] > 0
+                back = np.where(past[v.first] > 0, alpha[v.first], 1.0) * p[v.suffix]
+                p = np.where(seen, discounted(count[k - 1], d[k - 1]) / np.maximum(total[v.first], 1), back)
+        return x, count, past, p
+
+    def shares_of(k: int) -> Callable:
+        def make(row: dict) -> Iterator[tuple]:
+            x, count, past, p = known(row, k, k - 1)
+            less, v = x.levels[-2:]
+            sizes = {b: j - i for b, i, j in v.slices}
+            bits = [np.unpackbits(np.frombuffer(q["own"], np.uint8), count=sizes[q["bucket"]]).astype(bool) for q in sorted(row[f"n{k}"], key=lambda q: q["bucket"])]
+            own = np.empty(len(v.keys), bool)
+            own[v.order] = np.concatenate(bits)
+            lower = np.bincount(v.first[own], p[v.suffix[own]], len(less.keys))[less.order]
+            used = np.bincount(v.first[own], discounted(count[k - 1][own], d[k - 1]), len(less.keys))[less.order]
+            keys, past = less.keys[less.order], past[less.order]
+            for b, i, j in less.slices:
+                yield b, row["block"], packed_keys(keys[i:j]), np.concatenate((used[i:j], lower[i:j])).astype("<f8").tobytes(), packed(past[i:j])
+
+        return make
 
     def weigh(inverse, n, rows):
         halves = [_floats(r["a"]) for r in rows]
-        used, p, past = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        used, lower, past = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         np.add.at(used, inverse, np.concatenate([h[: len(h) // 2] for h in halves]))
-        np.add.at(p, inverse, np.concatenate([h[len(h) // 2 :] for h in halves]))
+        np.add.at(lower, inverse, np.concatenate([h[len(h) // 2 :] for h in halves]))
         past[inverse] = np.concatenate([unpacked(r["b"]) for r in rows])
         total = past + (used >= past)
-        alpha = np.zeros(n)
+        alpha = np.ones(n)
         some = past > 0
-        alpha[some] = np.log10((1 - used[some] / total[some]) / (1 - p[some]))
-        return lambda v, i, j: alpha[v[i:j]].astype("<f8").tobytes(), lambda v, i, j: packed(total[v[i:j]]), []
-
-    told = table.join(_by_block(word_replies, "words"), "block").join(_by_block(pair_replies, "pairs"), "block")
-    weights = _by_block(_answer(_ask(told, shares), weigh), "weights")
+        alpha[some] = (1 - used[some] / total[some]) / np.maximum(1 - lower[some], 1e-15)
+        return lambda v, i, j: alpha[v[i:j]].astype("<f8").tobytes(), lambda v, i, j: packed(total[v[i:j]]), None, []
+
+    told, weights = table, []
+    for k in levels:
+        told = told.join(_by_block(counted[k - 1], f"n{k}"), "block")
+        if k > 1:
+            answers = _answer(_ask(told, shares_of(k)), weigh)
+            if k < order:
+                answers = materialize(answers, f"katz-weights-{k}")
+                weights.append(answers)
+            told = told.join(_by_block(answers, f"w{k}"), "block")
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                row = b.slice(i, 1).to_pylist()[0]
-                x, count, past, r = known(row)
-                alpha = x.answered(x.word_order, row["weights"], "a", _floats)
-                total = x.answered(x.word_order, row["weights"], "b", unpacked)
-                seen = r > 0
-                value = np.log10(lower(count[x.second])) + np.where(past[x.first] > 0, alpha[x.first], 0.0)
-                value[seen] = np.log10(discounted(r[seen], d2) / total[x.first[seen]])
-                c = count[x.word]
+                x, count, _, p = known(b.slice(i, 1).to_pylist()[0], order, order)
+                c = count[0][x.levels[0].of]
                 base = np.log10((c + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
-                sums = [np.add.reduceat(v, x.starts) for v in (base, value[x.pair_of], (c > 0).astype(np.int64))]
+                sums = [np.add.reduceat(v, x.starts) for v in (base, np.log10(p)[x.levels[-1].of], (c > 0).astype(np.int64))]
                 columns = [x.keys, x.held, x.lengths, sums[2], [tokens] * len(x.keys), sums[0], sums[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(columns, SCORED, strict=True)], [n for n, _ in SCORED])
 
-    scored = materialize(told.join(weights, "block").mapInArrow(evaluate, SCORED_DDL), "katz-scores")
+    scored = materialize(told.mapInArrow(evaluate, SCORED_DDL), "katz-scores")
     spark.sql(f"DROP TABLE {name}")
-    forget(word_replies)
-    forget(pair_replies)
+    for used in (*counted, *weights):
+        forget(used)
     return scored
 
 
