@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import kernels
 from tracewright.functions.kernels import Arrays
+from tracewright.operators import ordered
 from tracewright.operators import similarity as S
 from tracewright.operators import traces as T
 from tracewright.plans import diagnostics
@@ -165,3 +168,39 @@ def test_settings_are_checked():
         S.Settings(lags=(1,), lag_weights=(0.9,), widths=(1.0,), scale_weights=(1.0,)).check(10.0)
     with pytest.raises(ValueError, match="lags"):
         S.Settings(lags=(1, 1), lag_weights=(0.5, 0.5), widths=(1.0,), scale_weights=(1.0,)).check(10.0)
+
+
+def test_traces_without_microseconds(spark):
+    """compare takes the canonical schema, whose times are doubles, and finds what it finds for whole microseconds."""
+    rng = random.Random(4)
+    events = {n: [(t, rng.randrange(2), rng.randint(60, 200)) for t in sorted(rng.randrange(10**7) / 1e6 for _ in range(300))] for n in "ab"}
+    frames = {n: T.normalize(T.from_events(spark, n, e))[0] for n, e in events.items()}
+    s = S.Settings(lags=(1, 4), lag_weights=(0.5, 0.5), widths=(0.5,), scale_weights=(1.0,))
+    exact = {n: f.withColumn("ts_us", F.rint(F.col("ts") * 1e6).cast("bigint")) for n, f in frames.items()}
+    found = [{r.method: r.score for r in S.compare(f["a"], T.align(f["b"], 10.0), 10.0, s).collect()} for f in (frames, exact)]
+    assert found[0]["autocorrelation"] == pytest.approx(found[1]["autocorrelation"]) and found[0]["multiscale_rate"] == pytest.approx(found[1]["multiscale_rate"])
+    assert found[0].keys() == found[1].keys() and all(0 <= v <= 1 for f in found for v in f.values())
+    flat = spark.createDataFrame([("x", i, 0.1) for i in range(1, 40)], "f string, seq bigint, x double")
+    assert [r.acf for r in S.autocorrelations(flat, ["f"], "x", [1, 2]).collect()] == [0.0, 0.0]
+
+
+def test_autocorrelations_of_large_values(spark):
+    """Terms beyond 38 digits are taken as centred doubles."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 10**15, 3000) + 10**15
+    series = spark.createDataFrame([("x", i + 1, int(v)) for i, v in enumerate(x)], "f string, seq bigint, x bigint")
+    got = {r.lag: r.acf for r in S.autocorrelations(series, ["f"], "x", [1, 7]).collect()}
+    c = x - x.mean()
+    assert got == pytest.approx({k: float((c[:-k] * c[k:]).sum() / (c * c).sum()) for k in (1, 7)})
+
+
+def test_order_figures_with_an_outlier(spark):
+    rng = np.random.default_rng(2)
+    x = np.append(rng.integers(0, 50_000, 20_000), 10**15)
+    rows = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x}))
+    r = ordered.order_figures(rows, ["g"], "x", 0.95).first()
+    n = len(x)
+    assert (r["count"], r.minimum, r.median, r.quantile, r.maximum, r.zeros) == (n, x.min(), np.median(x), np.sort(x)[int(np.ceil(0.95 * n)) - 1], 10**15, (x == 0).sum())
+    counts = rows.groupBy("g", "x").count()
+    totals = ordered.running_totals(counts, ["g"], "x", ["count"], ranges=16)
+    assert {r.x: r.total_count for r in totals.collect()} == {int(v): int((x <= v).sum()) for v in np.unique(x)}

@@ -49,9 +49,9 @@ def lagged(rows: DataFrame, trace: str, columns: dict[str, Column | str], seq: s
 
 
 def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int], seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
-    """Per series and lag: pairs, exact sums of products, of first and of second members.
+    """Per series and lag: pairs, sums of products, of first and of second members.
 
-    value is an integer; sums are decimals. Series shorter than a lag have no row for it.
+    Sums of an integer value are exact decimals, those of a double are doubles. Series shorter than a lag have no row for it.
     """
     most = max(lags)
     if most > chunk:
@@ -61,7 +61,8 @@ def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int],
     window = Window.partitionBy(*by, "__chunk").orderBy(seq)
     rows = own.unionByName(halo).select(*by, "__own", F.col(value).alias("x"), *(F.lead(value, k).over(window).alias(f"y{k}") for k in lags))
     pairs = rows.where("__own").select(*by, "x", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in lags))).alias("p"))
-    x, y = F.col("x").cast("decimal(19,0)"), F.col("p.y").cast("decimal(19,0)")
+    kind = "double" if series.schema[value].dataType.typeName() == "double" else "decimal(19,0)"
+    x, y = F.col("x").cast(kind), F.col("p.y").cast(kind)
     return pairs.where("p.y is not null").groupBy(*by, F.col("p.lag").alias("lag")).agg(
         F.count("*").alias("m"), F.sum(x * y).alias("xy"), F.sum(x).alias("sa"), F.sum(y).alias("sb")
     )
@@ -70,15 +71,15 @@ def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int],
 def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, single: bool = False) -> DataFrame:
     """rows with the inclusive running total of each value in ascending order within by.
 
-    The range of order is cut evenly; totals of the parts before a row's own part are added to those within it. rows is
-    read three times, so it is kept. single says that by has one value, so that one row of limits is broadcast; else Spark
-    chooses by size.
+    Rows are cut where approximate quantiles of order lie, so an outlier or a crowd of near values doesn't fill a part;
+    totals of the parts before a row's own part are added to those within it. rows is read three times, so it is kept.
+    single says that by has one value, so that one row of limits is broadcast; else Spark chooses by size.
     """
     rows = rows.persist()
-    spans = rows.groupBy(*by).agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
-    part = F.when(F.col("__high") > F.col("__low"), F.least(F.lit(ranges - 1), F.floor((F.col(order) - F.col("__low")) / (F.col("__high") - F.col("__low")) * ranges))).otherwise(0)
+    spans = rows.groupBy(*by).agg(F.percentile_approx(order, [i / ranges for i in range(1, max(2, ranges))], 100 * ranges).alias("__limits"))
+    part = F.size(F.filter("__limits", lambda x: x < F.col(order)))
     spans = F.broadcast(spans) if single or not by else spans
-    cut = (rows.join(spans, by) if by else rows.crossJoin(spans)).withColumn("__part", part).drop("__low", "__high")
+    cut = (rows.join(spans, by) if by else rows.crossJoin(spans)).withColumn("__part", part).drop("__limits")
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*by, "__part").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     totals = totals.select(*by, "__part", *(F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values))
@@ -87,3 +88,21 @@ def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str]
     for v in values:
         summed = summed.withColumn(f"total_{v}", F.col(f"__{v}") + F.sum(v).over(within))
     return summed.drop("__part", *(f"__{v}" for v in values))
+
+
+def order_figures(samples: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """Per by: count, minimum, median, nearest-rank quantile, maximum and zeros of a sample's values that aren't null.
+
+    Values are counted first; ranks are running totals of the counts, so no task holds a sample's distinct values.
+    """
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    totals = running_totals(counts, by, "x", ["n"], single=not by)
+    size = counts.groupBy(*by).agg(F.sum("n").alias("size"))
+    ranked = totals.join(size, by) if by else totals.crossJoin(F.broadcast(size))
+    at = lambda rank: F.min(F.when(F.col("total_n") >= rank, F.col("x")))
+    return ranked.groupBy(*by).agg(
+        F.max("size").alias("count"), F.min("x").alias("minimum"),
+        ((at(F.floor((F.col("size") + 1) / 2)) + at(F.floor(F.col("size") / 2) + 1)) / 2).cast("double").alias("median"),
+        at(F.ceil(F.lit(q) * F.col("size"))).cast("double").alias("quantile"), F.max("x").alias("maximum"),
+        F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("n"))), F.lit(0)).cast("bigint").alias("zeros"),
+    )

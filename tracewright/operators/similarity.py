@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ACF_TOLERANCE, L1_TOLERANCE, WEIGHT_TOLERANCE, clamp, snap
-from .ordered import lag_products, running_totals
+from .ordered import lag_products, order_figures, running_totals
 from .traces import iats
 
 METHODS = ("autocorrelation", "frame_size_ks", "iat_ks", "multiscale_rate")
@@ -124,11 +124,7 @@ def frame_size_ks(reference: DataFrame, generated: DataFrame) -> DataFrame:
 
 def iat_record(samples: DataFrame, by: list[str], value: str, q: float, prefix: str) -> DataFrame:
     """Median, nearest-rank quantile and zeros of a sample."""
-    return samples.groupBy(*by).agg(
-        F.median(value).alias(f"{prefix}_median"),
-        F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"{prefix}_quantile"),
-        F.count_if(F.col(value) == 0).alias(f"{prefix}_zeros"),
-    )
+    return order_figures(samples, by, value, q).select(*by, *(F.col(c).alias(f"{prefix}_{c}") for c in ("median", "quantile", "zeros")))
 
 
 def _time(frame: DataFrame) -> str:
@@ -147,25 +143,44 @@ def iat_ks(reference: DataFrame, generated: DataFrame, q: float) -> DataFrame:
 
 
 def autocorrelations(series: DataFrame, by: list[str], value: str, lags: list[int], few: bool = False) -> DataFrame:
-    """Per series and lag, from exact sums over integers; 0 for constant series, and no row where a lag doesn't fit.
+    """Per series and lag; 0 for constant series, and no row where a lag doesn't fit.
 
-    few says that the series are a handful, so that their sums are broadcast; else Spark chooses by size.
+    Sums over integers are exact, and shifted by the whole part of the mean; where even so the quotient's terms pass 38
+    digits, they are taken as doubles, of which the shift leaves no digits to cancel. Doubles are centred by their mean
+    first. few says that the series are a handful, so that their sums are broadcast; else Spark chooses by size.
     """
-    x = F.col(value).cast("decimal(19,0)")
+    few_of = F.broadcast if few else lambda frame: frame
+    if series.schema[value].dataType.typeName() == "double":
+        means = series.groupBy(*by).agg(F.avg(value).alias("__mean"), (F.min(value) == F.max(value)).alias("__flat"))
+        series = series.join(few_of(means), by).withColumn(value, F.when(F.col("__flat"), F.lit(0.0)).otherwise(F.col(value) - F.col("__mean"))).drop("__mean", "__flat")
+        kind, exact = "double", False
+    else:
+        kind, exact = "decimal(19,0)", True
+    x = F.col(value).cast(kind)
     whole = series.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
-    pairs = lag_products(series, by, value, lags)
-    wide = "decimal(38,0)"
-    n, s, ss, m, xy, sa, sb = (F.col(c).cast(wide) for c in ("n", "s", "ss", "m", "xy", "sa", "sb"))
-    top = (n * n).cast(wide) * xy - (n * s).cast(wide) * (sa + sb).cast(wide) + (m * (s * s).cast(wide)).cast(wide)
-    bottom = n * ((n * ss).cast(wide) - (s * s).cast(wide)).cast(wide)
-    r = F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast(wide).cast("double") / bottom.cast(wide).cast("double"))
-    return pairs.join(F.broadcast(whole) if few else whole, by).select(*by, "lag", F.col("n").alias("sample_count"), clamp(r, -1.0, 1.0, ACF_TOLERANCE, "autocorrelation").alias("acf"))
+    joined = lag_products(series, by, value, lags).join(few_of(whole), by)
+    number = lambda c: c.cast("decimal(38,0)" if exact else "double")
+    n, s, ss, m, xy, sa, sb = (number(F.col(c)) for c in ("n", "s", "ss", "m", "xy", "sa", "sb"))
+    c = number(F.floor(s / n)) if exact else F.lit(0.0)
+    ss, xy, ab = number(ss - number(number(c + c) * s) + number(number(c * c) * n)), number(xy - number(c * number(sa + sb)) + number(number(c * c) * m)), number(number(sa + sb) - number(number(c + c) * m))
+    s = number(s - number(c * n))
+    d = {k: v.cast("double") for k, v in {"n": n, "s": s, "ss": ss, "m": m, "xy": xy, "ab": ab}.items()}
+    mean = d["s"] / d["n"]
+    top, bottom = d["xy"] - mean * d["ab"] + d["m"] * mean * mean, d["ss"] - mean * d["s"]
+    r = F.when(bottom <= 0, F.lit(0.0)).otherwise(top / bottom)
+    if exact:
+        times, less, plus = F.try_multiply, F.try_subtract, F.try_add
+        over = plus(less(times(number(n * n), xy), times(number(n * s), ab)), times(m, number(s * s)))
+        under = times(n, less(times(n, ss), number(s * s)))
+        r = F.coalesce(F.when(under == 0, F.lit(0.0)).otherwise(over.cast("double") / under.cast("double")), r)
+    return joined.select(*by, "lag", F.col("n").alias("sample_count"), clamp(r, -1.0, 1.0, ACF_TOLERANCE, "autocorrelation").alias("acf"))
 
 
 def features(trace: DataFrame, gaps: DataFrame, by: list[str]) -> DataFrame:
-    """The integer series of both features: inter-arrival microseconds and lengths."""
-    size = trace.select(*by, F.lit("size").alias("feature"), "seq", F.col("frame_length").alias("x"))
-    return gaps.select(*by, F.lit("iat").alias("feature"), "seq", F.col("iat_us").alias("x")).unionByName(size)
+    """The series of both features: inter-arrival times and lengths, whole numbers if times are in microseconds."""
+    time = _time(gaps)
+    size = trace.select(*by, F.lit("size").alias("feature"), "seq", F.col("frame_length").cast("bigint" if time == "iat_us" else "double").alias("x"))
+    return gaps.select(*by, F.lit("iat").alias("feature"), "seq", F.col(time).alias("x")).unionByName(size)
 
 
 def acf_table(reference: DataFrame, generated: DataFrame, reference_gaps: DataFrame, generated_gaps: DataFrame, lags) -> DataFrame:

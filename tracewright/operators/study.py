@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import order_figures
+
 METHODS = ("autocorrelation", "frame_size_ks", "iat_ks", "multiscale_rate")
 BOOTSTRAP_SEED = 1729
 
 
 def sample_record(rows: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """Count, minimum, median, nearest-rank quantile, maximum and zeros."""
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("count"), F.min(value).alias("minimum"), F.median(value).alias("median"),
-        F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("quantile"), F.max(value).alias("maximum"), F.count_if(F.col(value) == 0).alias("zero_count"),
-    )
+    return order_figures(rows, by, value, q).withColumnRenamed("zeros", "zero_count")
 
 
 def descriptive_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import similarity as S
 from ..operators import traces as T
+from ..operators.ordered import order_figures
 
 LAGS, FRACTIONS, QUANTILE = (1, 4, 16, 64), (1024, 128, 16), 0.95
 LAG_WEIGHTS, SCALE_WEIGHTS = (0.4, 0.3, 0.2, 0.1), (0.5, 0.25, 0.25)
@@ -121,10 +122,9 @@ def aggregate_score(spark, sf_dir):
 
 def trace_summary(spark, sf_dir):
     both = trace(spark, sf_dir)
-    q = "percentile_disc(0.95) WITHIN GROUP (ORDER BY {})"
-    size = both.groupBy("trace_id").agg(F.count("*").alias("packets"), F.sum("frame_length").alias("bytes"), F.min("frame_length").alias("length_minimum"), F.median("frame_length").alias("length_median"), F.expr(q.format("frame_length")).alias("length_quantile"), F.max("frame_length").alias("length_maximum"))
-    time = gaps(both).groupBy("trace_id").agg(F.min("iat_us").alias("iat_minimum"), F.median("iat_us").alias("iat_median"), F.expr(q.format("iat_us")).alias("iat_quantile"), F.max("iat_us").alias("iat_maximum"), F.count_if(F.col("iat_us") == 0).alias("iat_zeros"))
-    return size.join(time, "trace_id")
+    figures = lambda f, c, p, *more: order_figures(f, ["trace_id"], c, 0.95).select("trace_id", *(F.col(n).alias(f"{p}_{n}") for n in ("minimum", "median", "quantile", "maximum", *more)))
+    size = both.groupBy("trace_id").agg(F.count("*").alias("packets"), F.sum("frame_length").alias("bytes"))
+    return size.join(figures(both, "frame_length", "length"), "trace_id").join(figures(gaps(both), "iat_us", "iat", "zeros"), "trace_id")
 
 
 def short_sequences(spark, sf_dir):
