@@ -45,10 +45,10 @@ class Limits:
 
 @dataclass
 class Guard:
-    """Limits in their order: wall clock, packets, bytes. The default clock stands still, so results don't depend on the host."""
+    """Limits in their order: wall clock, packets, bytes. A trace that a limit ends is never taken for a whole one."""
 
     limits: Limits
-    clock: Callable[[], float] = lambda: 0.0
+    clock: Callable[[], float] = time.monotonic
     start: float = field(init=False)
 
     def __post_init__(self) -> None:
@@ -71,9 +71,6 @@ class Guard:
         return "max_packets" if packets + 1 > self.limits.max_packets else "max_output_bytes" if size + length > self.limits.max_output_bytes else None
 
 
-wall_clock = time.monotonic
-
-
 @dataclass
 class Generated:
     events: list[tuple[float, int, int]] = field(default_factory=list)
@@ -177,7 +174,7 @@ class Poisson:
         base = (len(t) - 1) / window
         return cls(base, base * genes[0], Marks.of(t))
 
-    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = lambda: 0.0) -> Generated:
+    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
         run, rng, mark = _Run(window, limits, clock), rng_of(seed), self.marks.sampler()
         try:
             run.ready()
@@ -212,7 +209,7 @@ class Mmpp:
         x, y = math.exp(a - top), math.exp(b - top)
         return x / (x + y)
 
-    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = lambda: 0.0) -> Generated:
+    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
         run, rng, mark = _Run(window, limits, clock), rng_of(seed), self.marks.sampler()
         arrival, leaving = (self.lambda0, self.lambda1), (self.q01, self.q10)
         try:
@@ -246,6 +243,7 @@ class Markov:
     global_iats: tuple[float, ...]
     minimum_support: int
     time_scale: float
+    alpha: float
 
     @classmethod
     def fit(cls, t: Arrays, genes: tuple, window: float) -> Markov:
@@ -262,7 +260,7 @@ class Markov:
         edges = tuple(tuple(tuple(gaps[(source == i) & (target == j)].tolist()) for j in range(k)) for i in range(k))
         return cls(
             cut, tuple((c // 3, c % 3) for c in kinds), tuple(tuple(t.length[state == i].tolist()) for i in range(k)), tuple(map(tuple, rows)),
-            edges, tuple(tuple(gaps[source == i].tolist()) for i in range(k)), tuple(gaps.tolist()), support, scale,
+            edges, tuple(tuple(gaps[source == i].tolist()) for i in range(k)), tuple(gaps.tolist()), support, scale, alpha,
         )
 
     def sample_for(self, i: int, j: int) -> tuple[str, tuple[float, ...]]:
@@ -280,7 +278,7 @@ class Markov:
                 return i
         return len(weights) - 1
 
-    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = lambda: 0.0) -> Generated:
+    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
         run, rng = _Run(window, limits, clock), rng_of(seed)
         seen = run.out.counters = {f"timing_tier_{t}_count": 0 for t in ("transition", "source", "global")} | {"uniform_unobserved_row_count": 0}
         try:
@@ -312,18 +310,52 @@ def fit(family: str, genes: tuple, t: Arrays, window: float):
     return FAMILIES[family].fit(t, genes, window)
 
 
+# What a model file says of each family's estimators, and of how seeds are used.
+ESTIMATORS = {
+    "poisson_empirical": {"first_event": "zero", "marks": "joint_empirical_first_appearance", "rate": "interval_count_over_window"},
+    "mmpp": {"rates": "direct_genes", "initial_regime": "arrival_epoch", "marks": "joint_empirical_first_appearance", "tie": "regime_change", "first_event": "zero"},
+    "markov_renewal": {"first_event": "zero", "quantile": "type7_linear", "state_order": "first_appearance", "timing": "conditional_source_global", "transition": "additive_uniform_empty_row"},
+}
+SEEDS = {"empirical": "choice_scalar_index", "exponential": "exponential_scale_inverse_rate", "generator": "numpy.random.Generator/PCG64", "weighted": "random_cumulative"}
+SIDES = ("outbound", "inbound")
+
+
 def payload(model) -> dict:
-    """The fitted model as JSON values."""
-    return asdict(model)
+    """The fitted model as the JSON values of a model file."""
+    if not isinstance(model, Markov):
+        marks = [{"count": c, "direction": SIDES[d], "frame_length": n} for d, n, c in model.marks.entries]
+        return asdict(model) | {"marks": marks}
+    k = range(len(model.states))
+    tiers = [[model.sample_for(i, j)[0] for j in k] for i in k]
+    used = {t: sum(len(model.edge_iats[i][j]) for i in k for j in k if tiers[i][j] == t) for t in ("global", "source", "transition")}
+    states = zip(model.states, model.lengths, model.source_iats, strict=True)
+    return {
+        "alpha": model.alpha, "conditional_iats": [[list(x) for x in row] for row in model.edge_iats], "global_iats": list(model.global_iats), "minimum_support": model.minimum_support,
+        "states": [{"direction": SIDES[d], "frame_lengths": list(n), "size_bin": b, "source_iats": list(x)} for (d, b), n, x in states],
+        "thresholds": list(model.thresholds), "time_scale": model.time_scale, "transition_rows": [list(r) for r in model.rows],
+        "timing_diagnostics": {"reference_usage_counts": used, "transition_tiers": tiers, "unobserved_rows": [i for i in k if not model.source_iats[i]]},
+    }
 
 
 def restore(family: str, values: dict):
-    """The model of a payload; extra or missing fields are errors."""
-    kind = FAMILIES[family]
-    if set(values) != set(kind.__dataclass_fields__):
+    """The model of a payload, which must be exactly what payload() gives for it."""
+    frozen = lambda v: tuple(map(frozen, v)) if isinstance(v, (list, tuple)) else v
+    try:
+        if family == "markov_renewal":
+            s = values["states"]
+            model = Markov(
+                frozen(values["thresholds"]), tuple((SIDES.index(x["direction"]), x["size_bin"]) for x in s), tuple(frozen(x["frame_lengths"]) for x in s), frozen(values["transition_rows"]),
+                frozen(values["conditional_iats"]), tuple(frozen(x["source_iats"]) for x in s), frozen(values["global_iats"]), values["minimum_support"], values["time_scale"], values["alpha"],
+            )
+        else:
+            marks = tuple((SIDES.index(m["direction"]), m["frame_length"], m["count"]) for m in values["marks"])
+            model = FAMILIES[family](**{k: v for k, v in values.items() if k != "marks"}, marks=Marks(marks))
+        same = payload(model) == values
+    except (KeyError, TypeError, IndexError, AttributeError) as e:
+        raise ValueError(f"no payload of {family}: {e}") from e
+    if not same or family != "markov_renewal" and (not marks or len({m[:2] for m in marks}) < len(marks) or min(m[2] for m in marks) < 1):
         raise ValueError(f"a {family} payload has other fields")
-    freeze = lambda v: tuple(map(freeze, v)) if isinstance(v, (list, tuple)) else v
-    return kind(**{k: Marks(freeze(v["entries"])) if k == "marks" else freeze(v) for k, v in values.items()})
+    return model
 
 
 GENERATED = "comparison string, trace_id string, seq bigint, ts double, direction tinyint, frame_length bigint"

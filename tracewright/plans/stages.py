@@ -77,7 +77,7 @@ class Run:
             "reference_identity": before["reference.pcapng"], "capture_identity": before["capture.json"], "final_seed": engine.search.final_seed,
             "final_limits": asdict(self.experiment.limits("final")), "observation_window_seconds": engine.window,
             "gene_bounds": {n: {"lower": a, "upper": b} for n, (a, b) in engine.search.bounds[winner.family].items()},
-            "estimator_choices": {"first_event": "zero", "marks": "joint_empirical_first_appearance"}, "seed_policy": {"generator": "numpy.random.Generator/PCG64"},
+            "estimator_choices": models.ESTIMATORS[winner.family], "seed_policy": models.SEEDS,
         }
         self.unchanged(before)
         artifacts.publish(self.folder / "best_model.json", artifacts.render_best_model(model), artifacts.parse_best_model)

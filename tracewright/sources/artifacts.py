@@ -20,6 +20,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.models import ESTIMATORS, SEEDS, restore
+
 RUN_LOG = "event string, stage string, status string, detail string, generation bigint, seed bigint, elapsed_seconds double"
 HISTORY = "generation int, scope string, family string, candidate_count int, valid_count int, best_fitness double, mean_fitness double, best_birth_generation int, best_birth_index int"
 HISTORY_COLUMNS = tuple(c.split()[0] for c in HISTORY.split(", "))
@@ -148,6 +150,9 @@ def parse_best_model(content: bytes) -> dict:
         raise ValueError("a model file has exactly its outer keys")
     if not SHA256.fullmatch(found["reference_identity"]["sha256"]) or not SHA256.fullmatch(found["capture_identity"]["sha256"]):
         raise ValueError("identities are SHA-256")
+    if found["family"] not in ESTIMATORS or found["estimator_choices"] != ESTIMATORS[found["family"]] or found["seed_policy"] != SEEDS:
+        raise ValueError("estimator choices and seed policy are those of the family")
+    restore(found["family"], found["fitted"])
     return found
 
 
