@@ -165,8 +165,13 @@ def test_transfers(spark):
 
 def test_urls(spark):
     cases = {"https://example.com/x?y=1": True, "http://a.b:80": True, "ftp://example.com": False, "http://10.0.0.1/": False, "https://-x.com": False, "http://": False}
+    long = ".".join(["a" * 63] * 3 + ["b" * 61])
+    cases |= {
+        "http://a.b/x y": False, "https://example.com./": True, "https://a.b..": False, f"http://{long}/": True, f"http://{long}c.": False, "HTTPS://me:x@a.b:65535?q": True, "http://a.b:65536/": False,
+        "http://a.b:x/": False, "http://[::1]/": False, "http://256.1.1.1/": True, "http://01.2.3.4": True, "http://a.b:/": True, "http://a_b.c": False, "http://a.b:000080": True, f"http://{'a' * 64}.b": False, "": False,
+    }
     rows = spark.createDataFrame([(k,) for k in cases], "u string").select("u", headers.valid_url(F.col("u")).alias("ok")).collect()
-    assert {r.u: r.ok for r in rows} == cases
+    assert {r.u: r.ok for r in rows} == cases == {k: headers.is_url(k) for k in cases}
 
 
 def document(folder: Path) -> dict:

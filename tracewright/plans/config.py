@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 from pathlib import Path
 
 from ..operators.models import GENES, Limits
 from ..operators.similarity import METHODS, Settings, valid_weights
 from ..sources.artifacts import read_toml, render_toml
+from ..sources.headers import is_url
 from .genetic import Operators, Search
 
 # The sections and keys of an experiment file.
@@ -30,7 +30,6 @@ SECTIONS = {
     },
 }
 LIMITS = {"max_packets": int, "max_output_bytes": int, "max_wall_seconds": float}
-HOST = re.compile(r"https?://(?!\d+(\.\d+){3}([:/?#]|$))[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)*(:\d+)?([/?#]\S*)?")
 
 
 class ConfigError(ValueError):
@@ -89,7 +88,7 @@ def check(document: dict) -> Experiment:
     run, capture, genetic, models, similarity = (document[k] for k in ("run", "capture", "genetic", "models", "similarity"))
     if run["minimum_free_bytes"] < 1 or run["master_seed"] < 0 or run["final_seed"] < 0:
         raise ConfigError("[run]: seeds aren't negative, free bytes are positive")
-    if not HOST.fullmatch(capture["network_probe_url"]):
+    if not is_url(capture["network_probe_url"]):
         raise ConfigError("[capture] network_probe_url must name a DNS host over http or https")
     times = [capture[f"{k}_timeout_seconds"] for k in ("readiness", "workload", "flush", "total")]
     if min(times) <= 0 or times[3] < max(times[:3]):

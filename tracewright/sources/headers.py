@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +55,24 @@ def transfers(files: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.select("transfer_id", "status", "content_range", size.alias("content_length"), problem.alias("problem"))
 
 
-URL = r"^https?://(?!\d+(\.\d+){3}([:/?#]|$))([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*(:\d+)?([/?#].*)?$"
+LABEL = "[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
 def valid_url(column):
-    """Whether a column holds an http or https address with a DNS host, not an IP address."""
-    return column.rlike(URL)
+    """Whether a column holds an http or https address with a DNS host: no white space, no IP address, a port up to 65535."""
+    place = F.regexp_extract(column, r"^(?i:https?)://([^/?#]*)", 1)
+    end = F.regexp_extract(place, "([^@]*)$", 1)  # what follows user information
+    host = F.regexp_replace(F.regexp_extract(end, r"^([^:\[\]]*)(:[0-9]*)?$", 1), r"\.$", "")
+    port = F.regexp_extract(end, r"^[^:\[\]]*:0*([0-9]*)$", 1)
+    named = host.rlike(rf"^{LABEL}(\.{LABEL})*$") & (F.length(host) <= 253) & ~host.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$")
+    return ~column.rlike(r"(?U)[\s\x1c-\x1f]") & named & ((F.length(port) < 5) | (F.length(port) == 5) & (port <= "65535"))
+
+
+def is_url(text: str) -> bool:
+    """The same of one string."""
+    place = re.match("(?i:https?)://([^/?#]*)", text)
+    end = re.fullmatch(r"([^:\[\]]*?)\.?(?::0*([0-9]*))?", place[1].rpartition("@")[2]) if place and not re.search(r"[\s\x1c-\x1f]", text) else None
+    if not end or len(end[1]) > 253 or re.fullmatch(rf"{OCTET}(\.{OCTET}){{3}}", end[1]):
+        return False
+    return bool(re.fullmatch(rf"{LABEL}(\.{LABEL})*", end[1])) and len(end[2] or "") <= 5 and int(end[2] or 0) <= 65535
