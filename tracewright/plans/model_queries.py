@@ -108,9 +108,10 @@ FIT_SQL = {
     "tier_usage": f"WITH {CODED} SELECT trace_id, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (tier = '{t}'), 0) AS BIGINT) AS {t}_count" for t in ("transition", "source", "global")) + " FROM tiers GROUP BY 1",
     "iat_samples": f"WITH {CODED} SELECT trace_id, source, destination, CAST(count(*) AS INTEGER) AS n, arg_min(iat, seq) AS first_iat, CAST(sum(iat) AS BIGINT) AS total_iat FROM steps GROUP BY 1, 2, 3",
     "poisson_rate": f"WITH {TRACE}, p AS (SELECT trace_id, (count(*) - 1) / (max(ts_us) / 1e6) AS b FROM trace GROUP BY 1) SELECT trace_id, round(b, 9) AS base_rate, round(b * {SCALE}, 9) AS rate FROM p",
-    "flow_check": f"""WITH {CODED}, f AS (SELECT p.trace_id, p.state, packets, (SELECT sum(n) FROM tc WHERE tc.trace_id = p.trace_id AND source = p.state) AS o, (SELECT sum(n) FROM tc WHERE tc.trace_id = p.trace_id AND destination = p.state) AS i
+    "flow_check": f"""WITH RECURSIVE {CODED}, e AS (SELECT trace_id, source AS a, destination AS b FROM tc UNION SELECT trace_id, destination, source FROM tc),
+        reached(trace_id, state) AS (SELECT trace_id, min(state) FROM st GROUP BY 1 UNION SELECT e.trace_id, e.b FROM reached r JOIN e ON e.trace_id = r.trace_id AND e.a = r.state), f AS (SELECT p.trace_id, p.state, packets, (SELECT sum(n) FROM tc WHERE tc.trace_id = p.trace_id AND source = p.state) AS o, (SELECT sum(n) FROM tc WHERE tc.trace_id = p.trace_id AND destination = p.state) AS i
         FROM (SELECT trace_id, state, count(*) AS packets FROM st GROUP BY 1, 2) p) SELECT trace_id, bool_and(packets - o IN (0, 1) AND packets - i IN (0, 1)) AND sum(packets - o) = 1 AND sum(packets - i) = 1 AS consistent,
-        true AS connected FROM f GROUP BY 1""",
+        (SELECT count(*) FROM reached r WHERE r.trace_id = f.trace_id) = count(*) AS connected FROM f GROUP BY 1""",
     "short_transitions": """WITH s AS (SELECT l_returnflag AS source, lead(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS destination FROM lineitem)
         SELECT source, destination, count(*) AS n FROM s WHERE destination IS NOT NULL GROUP BY 1, 2""",
 }
@@ -214,8 +215,8 @@ SEARCH_SQL = {
         g AS (SELECT generation, greatest(b, before) AS retained_best, CASE WHEN coalesce(b - before > 0.001, true) THEN generation END AS hit FROM p)
         SELECT generation, retained_best, generation - max(hit) OVER (ORDER BY generation) AS streak FROM g""",
     "history_faults": f"WITH {CAND} SELECT DISTINCT generation FROM c WHERE generation % 4 = 1",
-    "duplicate_candidates": f"WITH {CAND} SELECT birth_generation, birth_index, family, genes FROM c WHERE generation = 1 AND (family, genes) IN (SELECT (family, genes) FROM c WHERE generation = 0)",
-    "candidate_trials": f"""WITH {CAND}, t AS (SELECT *, CASE WHEN status = 'valid' THEN fitness * (1 - seed / 100.0::DOUBLE) END AS s FROM c, (VALUES (17), (19), (23)) AS v(seed) WHERE generation = 0)
+    "duplicate_candidates": f"WITH {CAND} SELECT birth_generation, birth_index, family, genes FROM c WHERE (generation, family, genes) IN (SELECT (generation + 1, family, genes) FROM c)",
+    "candidate_trials": f"""WITH {CAND}, t AS (SELECT *, CASE WHEN status = 'valid' THEN fitness * (1 - seed / 100.0::DOUBLE) END AS s FROM c, (VALUES (17), (19), (23)) AS v(seed))
         SELECT birth_generation, birth_index, family, CASE WHEN count(s) = 3 THEN round(avg(s), 9) ELSE 0 END AS fitness, CASE WHEN count(s) = 3 THEN 'valid' ELSE 'invalid' END AS status FROM t GROUP BY 1, 2, 3""",
     "gene_coordinates": f"""WITH {CAND}, z AS (SELECT birth_generation, birth_index, (ln(fitness + 0.5) - ln(0.25)) / (ln(8.0) - ln(0.25)) AS z FROM c WHERE fitness > 0),
         m AS (SELECT *, CASE WHEN (z + 0.9) % 2 <= 1 THEN (z + 0.9) % 2 ELSE 2 - (z + 0.9) % 2 END AS m FROM z)
@@ -308,6 +309,9 @@ SUM = " + ".join(f"0.25 * {m}" for m in study.METHODS)
 STUDY_SQL = {
     "sample_record": f"""WITH {TRACE}, g AS (SELECT trace_id, ts_us - lag(ts_us) OVER (PARTITION BY trace_id ORDER BY seq) AS x FROM trace) SELECT trace_id, count(x) AS "count", min(x) AS minimum, median(x) AS median,
         CAST(quantile_disc(x, 0.9) AS DOUBLE) AS "quantile", max(x) AS maximum, count(*) FILTER (x = 0) AS zero_count FROM g WHERE x IS NOT NULL GROUP BY 1""",
+    "lag_one_covariance": f"""WITH {TRACE}, g AS (SELECT trace_id, seq, (ts_us - lag(ts_us) OVER (PARTITION BY trace_id ORDER BY seq)) / 1e6 AS x FROM trace),
+        h AS (SELECT trace_id, x - avg(x) OVER (PARTITION BY trace_id) AS x, seq FROM g WHERE x IS NOT NULL), k AS (SELECT *, lag(x) OVER (PARTITION BY trace_id ORDER BY seq) AS y FROM h)
+        SELECT trace_id, round(avg(x * y), 3) AS covariance FROM k WHERE y IS NOT NULL GROUP BY 1""",
     "descriptive_stats": """SELECT o_orderpriority, count(*) AS "count", min(o_totalprice) AS minimum, max(o_totalprice) AS maximum, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice) - min(o_totalprice), 4) AS "range", round(stddev_samp(o_totalprice), 2) AS sample_stdev FROM orders GROUP BY 1""",
     "direction_values": f"WITH {TRACE} SELECT trace_id, "
     + ", ".join(f"count(*) FILTER (direction = {d}) AS {n}_packets, CAST(coalesce(sum(frame_length) FILTER (direction = {d}), 0) AS BIGINT) AS {n}_bytes" for d, n in enumerate(("outbound", "inbound")))
@@ -394,7 +398,12 @@ SOURCE_SQL = {
     "content_identity": "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "transfer_headers": """SELECT o_orderkey AS transfer_id, CASE WHEN o_orderkey % 7 = 0 THEN 200 ELSE 206 END AS status, o_orderkey % 50 + 1 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS content_length,
         CASE WHEN o_orderkey % 7 = 0 THEN 'status' WHEN o_orderkey % 5 = 0 THEN 'length' END AS problem FROM orders""",
-    "pcapng_scan": f"WITH {TRACE}, q AS (SELECT *, (ts_us / 1e6) * 1e6 AS x FROM trace WHERE seq <= 2000) SELECT trace_id, seq, CAST(floor({SNAP.format(q='x')}) AS BIGINT) AS ts_us, direction, frame_length FROM q",
+    "url_validation": r"""WITH u AS (SELECT page_id, coalesce(url, '') AS u, regexp_extract(regexp_extract(coalesce(url, ''), '^(?i:https?)://([^/?#]*)', 1), '([^@]*)$', 1) AS e FROM pages),
+        p AS (SELECT *, regexp_replace(regexp_extract(e, '^([^:\[\]]*)(:[0-9]*)?$', 1), '\.$', '') AS h, regexp_extract(e, '^[^:\[\]]*:0*([0-9]*)$', 1) AS port FROM u)
+        SELECT page_id, NOT regexp_matches(u, '\s') AND length(h) BETWEEN 1 AND 253 AND coalesce(try_cast(nullif(port, '') AS BIGINT), 0) <= 65535
+          AND list_bool_and(list_transform(string_split(h, '.'), lambda l: regexp_full_match(l, '[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?')))
+          AND NOT (len(string_split(h, '.')) = 4 AND list_bool_and(list_transform(string_split(h, '.'), lambda l: regexp_full_match(l, '25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]')))) AS valid FROM p""",
+    "pcapng_scan": f"WITH {TRACE}, q AS (SELECT *, (ts_us / 1e6) * 1e6 AS x FROM trace) SELECT trace_id, seq, CAST(floor({SNAP.format(q='x')}) AS BIGINT) AS ts_us, direction, frame_length FROM q",
 }
 
 # Generation: no SQL, random streams
