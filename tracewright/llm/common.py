@@ -33,6 +33,27 @@ def held(owner: str, key: object, make: Callable[[], object]):
     return _held[owner, key]
 
 
+class Recent:
+    """Values by key, at most twice ``size``: when the young ones are that many they become the old ones, which go when
+    the next do. What is asked for again moves to the young, so frequent keys stay."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def find(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.young[key] = value
+        return value
+
+    def turn(self) -> None:
+        """To be called between texts: nothing is dropped within one."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where the session names none, a temporary one, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)

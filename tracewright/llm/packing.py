@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, materialize, read_table, small_batches, text_or_empty
+from .common import Recent, held, materialize, read_table, small_batches, text_or_empty
 
 CAPACITY, END, GROUP = 4096, 1, 32768
-#: Words whose ids a worker keeps, and the longest such word.
+#: Words and parts of words whose ids a worker keeps twice over, and the longest such word.
 MEMO, MEMO_CHARS = 300_000, 40
 #: Marks that often end a word, and letters whose lower case depends on what stands beside them.
 MARKS, SPECIAL_CASE = ".,;:!?", re.compile("[\u03a3\u0130]")
@@ -57,36 +57,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.memo: dict[str, bytes] = {}
+        self.memo = Recent(MEMO)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if ODD_SPACE.search(text):
             return self._whole(text)
         words = text.split()
-        memo = self.memo
-        ids = list(map(memo.get, words))
+        ids = list(map(self.memo.young.get, words))
         if None in ids:
-            if len(memo) > MEMO:
-                memo.clear()
+            self.memo.turn()
+            find = self.memo.find
             for i, found in enumerate(ids):
                 if found is None:
-                    w = words[i]
-                    ids[i] = memo.get(w) or self._word(w)
+                    ids[i] = find(words[i]) or self._word(words[i])
         return b"".join(ids)
 
     def _word(self, word: str) -> bytes:
-        memo, parts = self.memo, []
+        parts, new = [], False
         for p in self._split(word):
-            found = memo.get(p)
+            found = self.memo.find(p)
             if found is None:
-                found = self._letters(p) if p in MARKS or self._plain(p) else self._whole(p)
+                found, new = self._letters(p) if p in MARKS or self._plain(p) else self._whole(p), True
                 if len(p) <= MEMO_CHARS:
-                    memo[p] = found
+                    self.memo.young[p] = found
             parts.append(found)
         ids = b"".join(parts)
-        if len(word) <= MEMO_CHARS:
-            memo[word] = ids
+        if len(word) <= MEMO_CHARS and not new:  # a word seen once leaves its parts only
+            self.memo.young[word] = ids
         return ids
 
     @staticmethod
