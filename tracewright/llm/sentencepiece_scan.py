@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, held, materialize, read_table, small_batches, text_or_empty
+from .common import Recent, beside, held, materialize, read_table, small_batches, text_or_empty
 
 CHUNK = 32768
 #: Chunks of a text that are cut off at once.
 CUT = 64
-#: Words and pairs of pieces that a worker remembers, and rows it returns at once.
-WORDS, PAIRS, ROWS = 300_000, 150_000, 500
+#: Words (twice over) and pairs of pieces that a worker remembers, and rows it returns at once.
+WORDS, PAIRS, ROWS = 200_000, 300_000, 500
 SPACE = "▁"
 GROUPS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -74,7 +74,7 @@ class Scanner:
         self.agree: dict[str, dict[str, bool]] = {}
         self.pairs = 0
         self.automaton = None
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = Recent(WORDS)
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the best-scored neighbours, leftmost first, until none can be joined."""
@@ -163,7 +163,7 @@ class Scanner:
         return np.array(found, "<u4").tobytes()
 
     def word(self, text: str) -> bytes:
-        found = self.words.get(text)
+        found = self.words.find(text) if text else b""
         if found is None:
             inside = self.inside
             cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside], len(text)]
@@ -172,20 +172,15 @@ class Scanner:
             else:
                 found = self.to_ids([text] if self.is_valid(text) else self.path(text))
             if len(text) <= 64:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                    self.words[""] = b""
-                self.words[text] = found
+                self.words.young[text] = found
         return found
 
     def between_cuts(self, text: str) -> bytes:
         """Ids of a text with a cut at both ends."""
         words = GROUPS.findall(text) if SPACE + SPACE in text else text.replace(SPACE, " " + SPACE).replace("\n", " \n ").split(" ")
-        known, word = self.words, self.word
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known.get(w) or word(w) for w in words])
+        self.words.turn()
+        known, word = self.words.young, self.word
+        return b"".join([known.get(w) or word(w) for w in words])
 
     def encode(self, text: str) -> bytes:
         return self.between_cuts(SPACE + text.replace(" ", SPACE)) if text else b""
