@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, fold, materialize, read_table, small_batches
+from .common import Recent, beside, fold, materialize, read_table, small_batches
 
 CLASSES, SPAN, DECAY = 64, 6, 0.6
 ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 3000, 20_000, 400, 4, 7
-WINDOW, MEMO, SHARP = 24, 300_000, 6.0
+WINDOW, MEMO, SHARP = 24, 200_000, 6.0
 NOTHING, LETTER = -2.0, -3.0
 #: Bits of a word pair's code, and unexplained texts that a sentence machine needs.
 PAIR_BITS, UNEXPLAINED = 18, 20
@@ -266,18 +266,17 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
 class Scorer:
     def __init__(self, table: np.ndarray, bias: float, sentences: tuple[np.ndarray, float] | None = None):
-        self.table, self.bias, self.sentences, self.memo = table, bias, sentences, {}
+        self.table, self.bias, self.sentences, self.memo = table, bias, sentences, Recent(MEMO)
 
     def margins(self, texts: list[str | None]) -> list[float]:
         lists = [(t or "").lower().split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        found = [list(map(memo.get, words)) for words in lists]
+        self.memo.turn()
+        known = self.memo.young.get
+        found = [list(map(known, words)) for words in lists]
         new = dict.fromkeys(w for words, m in zip(lists, found, strict=True) if None in m for w, x in zip(words, m, strict=True) if x is None)
         if new:
-            self._learn(list(new))
-            found = [list(map(memo.get, words)) if None in m else m for words, m in zip(lists, found, strict=True)]
+            self._learn([w for w in new if self.memo.find(w) is None])
+            found = [list(map(known, words)) if None in m else m for words, m in zip(lists, found, strict=True)]
         worst = [max(max(m, default=NOTHING), self._spelled(words, m)) for words, m in zip(lists, found, strict=True)]
         return worst if self.sentences is None else [max(w, self._sentence(t)) for w, t in zip(worst, texts, strict=True)]
 
@@ -290,7 +289,7 @@ class Scorer:
         flat = list(dict.fromkeys(u for us in split for u in us))
         value = dict(zip(flat, decide(flat, self.table, self.bias).tolist(), strict=True)) if flat else {}
         for t, us in zip(tokens, split, strict=True):
-            self.memo[t] = max((value[u] for u in us), default=LETTER if len(PARTS.findall(t)) == 1 else NOTHING)
+            self.memo.young[t] = max((value[u] for u in us), default=LETTER if len(PARTS.findall(t)) == 1 else NOTHING)
 
     def _spelled(self, words: list[str], margins: list[float]) -> float:
         """The worst of runs of at least 4 single letters."""
