@@ -29,7 +29,7 @@ from .common import Recent, held, materialize, read_table, small_batches, text_o
 
 CAPACITY, END, GROUP = 4096, 1, 32768
 #: Words and parts of words whose ids a worker keeps twice over, and the longest such word.
-MEMO, MEMO_CHARS = 300_000, 40
+MEMO, MEMO_CHARS = 450_000, 40
 #: Marks that often end a word, and letters whose lower case depends on what stands beside them.
 MARKS, SPECIAL_CASE = ".,;:!?", re.compile("[\u03a3\u0130]")
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
