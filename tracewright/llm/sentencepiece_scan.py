@@ -37,7 +37,7 @@ CHUNK = 32768
 #: Chunks of a text that are cut off at once.
 CUT = 64
 #: Words (twice over) and pairs of pieces that a worker remembers, and rows it returns at once.
-WORDS, PAIRS, ROWS = 200_000, 300_000, 500
+WORDS, PAIRS, ROWS = 300_000, 300_000, 500
 SPACE = "▁"
 GROUPS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
