@@ -51,13 +51,13 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Ids of texts, by a tokenizer whose pieces never span white space: each word is encoded once and remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.memo = Recent(MEMO)
+        self.memo = Recent(memo)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -110,16 +110,16 @@ class WordEncoder:
         return (word,)
 
 
-def encoder(path: str) -> WordEncoder:
-    return held("packing", path, lambda: WordEncoder(path))
+def encoder(path: str, memo: int = MEMO) -> WordEncoder:
+    return held("packing", (path, memo), lambda: WordEncoder(path, memo))
 
 
-def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, memo: int = MEMO) -> DataFrame:
     """The pieces of all documents."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, memo).encode
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -177,8 +177,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return pieces.withColumn("g", g).groupBy("g").applyInArrow(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    pieces = materialize(tokenised(docs, path or default_vocabulary(), text, key, capacity), "pieces")
+def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP, memo: int = MEMO) -> DataFrame:
+    """The packed pieces of docs; memo bounds the words that a worker remembers, which changes no result."""
+    pieces = materialize(tokenised(docs, path or default_vocabulary(), text, key, capacity, memo=memo), "pieces")
     return pack(pieces, capacity, group)
 
 
