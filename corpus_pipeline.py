@@ -8,6 +8,10 @@ from tracewright.llm import exact_dedup, langid, near_dedup, packing, toxicity
 from tracewright.llm.common import materialize, read_table
 
 
+#: Words that a worker remembers for packing: fewer than packing alone would, as executors have served other stages before.
+WORDS = 250_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
@@ -25,7 +29,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memo=WORDS)
 
 
 STAGES = [
@@ -36,7 +40,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No SQL: classifiers, alignment and packing aren't expressible. tests/llm compares the rows with a brute-force version.
+#: No SQL: classifiers, alignment and packing aren't expressible. tests/llm compares what each stage keeps.
 ORACLE_SQL = None
 
 
