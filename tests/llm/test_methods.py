@@ -33,6 +33,8 @@ WANTED = {
     "op8_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_html": "page_id bigint, url string, text string, n_chars bigint",
     "op10_katz": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op11_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op12_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
@@ -43,7 +45,7 @@ def test_query(spark, name):
     for column in WANTED[name].split(", "):
         n, kind = column.split()
         assert kinds[n] == kind, n
-    source, key = ("pages", "page_id") if name == "op9_html" else ("documents", "doc_id")
+    source, key = {"op9_html": ("pages", "page_id"), "op12_clustering": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     rows = got.collect()
     table = {r[key]: r for r in spark.read.parquet(f"{SMALL}/{source}.parquet").collect()}
     assert {r[key] for r in rows} == set(table)

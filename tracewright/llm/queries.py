@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, katz, langid, media, near_dedup, packing, sentencepiece_scan, sharding, toxicity
+from . import decontaminate, delta_lloyd, exact_dedup, html_text, katz, langid, media, near_dedup, packing, sentencepiece_scan, sharding, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html": html_text.op9_html,
     "op10_katz": katz.op10_katz,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_clustering": delta_lloyd.op12_clustering,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_sharding": sharding.op6_sql(),
+    "op11_decontamination": decontaminate.OP11_SQL,
+    "op12_clustering": delta_lloyd.op12_sql(),
 }
