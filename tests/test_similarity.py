@@ -202,5 +202,101 @@ def test_order_figures_with_an_outlier(spark):
     n = len(x)
     assert (r["count"], r.minimum, r.median, r.quantile, r.maximum, r.zeros) == (n, x.min(), np.median(x), np.sort(x)[int(np.ceil(0.95 * n)) - 1], 10**15, (x == 0).sum())
     counts = rows.groupBy("g", "x").count()
-    totals = ordered.running_totals(counts, ["g"], "x", ["count"], ranges=16)
+    totals = ordered.running_totals(counts, ["g"], "x", ["count"], ranges=16, direct=0)
     assert {r.x: r.total_count for r in totals.collect()} == {int(v): int((x <= v).sum()) for v in np.unique(x)}
+
+
+# Many comparisons, and references with windows of their own
+
+
+def crowd(seed, n=7):
+    """Traces of different sizes and spans, one of them shorter than the others, times in whole microseconds."""
+    rng = np.random.default_rng(seed)
+    made = {}
+    for i in range(n):
+        size = 12 + 9 * i
+        ts = np.round(np.concatenate(([0.0], np.cumsum(rng.choice([0.0, 0.25, 0.5, 1.75], size - 1)) + 0.5)), 6)
+        made[f"t{i}"] = list(zip(ts.tolist(), rng.integers(0, 2, size).tolist(), rng.choice([60, 61, 900, 1514], size).tolist(), strict=True))
+    return made
+
+
+def tables(spark, made):
+    out = None
+    for name, events in made.items():
+        one = microseconds(T.from_events(spark, name, events))
+        out = one if out is None else out.unionByName(one)
+    return out.persist()
+
+
+WIDE = dict(lags=(1, 2, 3), lag_weights=(0.5, 0.25, 0.25), scale_weights=(0.25, 0.75))
+
+
+def test_comparisons_equal_single_ones(spark):
+    """All comparisons at once, without the reference copied, against the NumPy kernels one by one."""
+    made = crowd(4)
+    all_ = tables(spark, made)
+    reference, _ = T.normalize(all_.where("trace_id = 't3'"))
+    w = T.window_of(reference)
+    s = S.Settings(widths=(w / 8, w / 2), **WIDE)
+    got = {r.comparison: r for r in S.aggregate(S.compare(reference, T.align(all_, w).withColumn("comparison", F.col("trace_id")), w, s)).collect()}
+    ours = Arrays.of(made["t3"])
+    assert set(got) == set(made) and got["t3"].aggregate_score == 1.0
+    for name, events in made.items():
+        want = kernels.compare(ours, Arrays.of([e for e in events if e[0] <= w]), w, s)
+        assert {m: got[name][m] for m in S.METHODS} == pytest.approx({m: want[m] for m in S.METHODS}, abs=1e-12)
+
+
+def test_pairs_have_their_own_windows(spark):
+    made = crowd(9)
+    all_ = tables(spark, made)
+    pairs = [(a, b) for a in ("t2", "t5", "t0") for b in made if a != b]
+    s = S.Settings(widths=(1 / 8, 1 / 2), **WIDE)
+    got = {(r.reference, r.comparison): r for r in S.aggregate(S.compare_pairs(all_, spark.createDataFrame(pairs + pairs[:2], "reference string, generated string"), s)).collect()}
+    assert set(got) == set(pairs)
+    for a, b in pairs:
+        w = made[a][-1][0]
+        literal = S.Settings(widths=(w / 8, w / 2), **WIDE)
+        want = kernels.compare(Arrays.of(made[a]), Arrays.of([e for e in made[b] if e[0] <= w]), w, literal)
+        assert {m: got[a, b][m] for m in S.METHODS} == pytest.approx({m: want[m] for m in S.METHODS}, abs=1e-12)
+
+
+def test_variation_of_repeats(spark):
+    from tracewright.operators import study
+
+    made = crowd(2, 5)
+    all_ = tables(spark, made)
+    runs = spark.createDataFrame([("x", i, f"t{i}") for i in range(3)] + [("y", i, f"t{i + 3}") for i in range(2)], "workload string, repeat int, trace_id string")
+    s = S.Settings(widths=(1 / 8, 1 / 2), **WIDE)
+    got = {r.workload: r for r in study.variation_of(all_, runs, s).collect()}
+
+    def score(a, b):
+        w = made[a][-1][0]
+        one = kernels.compare(Arrays.of(made[a]), Arrays.of([e for e in made[b] if e[0] <= w]), w, S.Settings(widths=(w / 8, w / 2), **WIDE))
+        return sum(0.25 * one[m] for m in S.METHODS)
+
+    both = lambda a, b: (score(a, b) + score(b, a)) / 2
+    x = [both("t0", "t1"), both("t0", "t2"), both("t1", "t2")]
+    assert (got["x"].pairs, got["y"].pairs) == (3, 1)
+    assert (got["x"]["mean"], got["x"].minimum, got["x"].maximum) == pytest.approx((sum(x) / 3, min(x), max(x)), abs=1e-12)
+    assert got["y"]["mean"] == pytest.approx(both("t3", "t4"), abs=1e-12)
+
+
+def test_preconditions_are_named(spark):
+    """A trace too short for a measure is an error that names the trace and what it lacks."""
+    reference = frame(spark, "reference", range(20), [60, 70] * 10)
+    s = S.Settings(lags=(1, 4), lag_weights=(0.5, 0.5), widths=(2.0,), scale_weights=(1.0,))
+    for times, method in (([0, 1, 2, 3], "autocorrelation"), ([0], "autocorrelation")):
+        with pytest.raises(Exception, match=f"comparison generated has no {method}: it needs more inter-arrival times than the longest lag"):
+            S.aggregate(S.compare(reference, frame(spark, "g", times), 19.0, s)).collect()
+    several = frame(spark, "g", range(12), [60] * 12).withColumn("comparison", F.lit("long")).unionByName(frame(spark, "h", [0]).withColumn("comparison", F.lit("short")))
+    with pytest.raises(Exception, match="comparison short has no"):
+        S.aggregate(S.compare(reference, several, 19.0, s)).collect()
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_totals_by_window_and_by_ranges(spark, by):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, int(x), int(n), 1) for k in "ab" for x, n in zip(rng.permutation(4000)[:900], rng.integers(1, 9, 900), strict=True)], "g string, x bigint, n bigint, m bigint")
+    rows = rows.groupBy(*by, "x").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    one, other = (sorted(map(tuple, ordered.running_totals(rows, by, "x", ["n", "m"], 16, direct=d).select(*by, "x", "n", "total_n", "total_m").collect())) for d in (0, 10**6))
+    assert one == other and len(one) == rows.count()

@@ -69,7 +69,7 @@ def test_chunks_change_nothing(spark, chunk):
 def test_running_totals(spark):
     rows = spark.createDataFrame([("k", x * x, 1) for x in range(20)] + [("one", 5, 3)], "k string, x bigint, n bigint")
     for ranges in (1, 3, 256):
-        got = {(r.k, r.x): r.total_n for r in ordered.running_totals(rows, ["k"], "x", ["n"], ranges).collect()}
+        got = {(r.k, r.x): r.total_n for r in ordered.running_totals(rows, ["k"], "x", ["n"], ranges, direct=0).collect()}
         assert got == {("k", x * x): x + 1 for x in range(20)} | {("one", 5): 3}
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 65536
+#: Rows of a group that one sorted window may see.
+DIRECT = 1_000_000
 
 
 def numbered(rows: DataFrame, trace: str, order: str, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
@@ -68,14 +70,17 @@ def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int],
     )
 
 
-def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, single: bool = False) -> DataFrame:
+def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, single: bool = False, direct: int = DIRECT) -> DataFrame:
     """rows with the inclusive running total of each value in ascending order within by.
 
-    Rows are cut where approximate quantiles of order lie, so an outlier or a crowd of near values doesn't fill a part;
+    Where a count shows that no group has more than ``direct`` rows, a window per group does, in one shuffle. Else rows are cut where approximate quantiles of order lie, so an outlier or a crowd of near values doesn't fill a part;
     totals of the parts before a row's own part are added to those within it. rows is read three times, so it is kept.
     single says that by has one value, so that one row of limits is broadcast; else Spark chooses by size.
     """
     rows = rows.persist()
+    if (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= direct:
+        whole = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *(F.sum(v).over(whole).alias(f"total_{v}") for v in values))
     spans = rows.groupBy(*by).agg(F.percentile_approx(order, [i / ranges for i in range(1, max(2, ranges))], 100 * ranges).alias("__limits"))
     part = F.size(F.filter("__limits", lambda x: x < F.col(order)))
     spans = F.broadcast(spans) if single or not by else spans

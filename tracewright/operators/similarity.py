@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ACF_TOLERANCE, L1_TOLERANCE, WEIGHT_TOLERANCE, clamp, snap
-from .ordered import lag_products, order_figures, running_totals
-from .traces import iats
+from .ordered import join_few, lag_products, lagged, order_figures, running_totals
+from .traces import align, iats, normalize, window_of
 
 METHODS = ("autocorrelation", "frame_size_ks", "iat_ks", "multiscale_rate")
 
@@ -67,58 +67,69 @@ def bin_counts(window: float, widths, max_cells: int) -> list[int]:
     return counts
 
 
-def comparable(reference: DataFrame, generated: DataFrame) -> DataFrame:
+def _named(generated: DataFrame) -> DataFrame:
     """generated with a comparison column."""
-    if "comparison" in generated.columns:
-        return generated
-    named = generated.withColumn("comparison", F.lit("generated"))
-    named._only = "generated"
-    return named
+    return generated if "comparison" in generated.columns else generated.withColumn("comparison", F.lit("generated"))
 
 
-def _only(generated: DataFrame) -> str | None:
-    """The name of the one comparison, where comparable() gave it."""
-    return getattr(generated, "_only", None)
+def _alone(generated: DataFrame) -> bool:
+    """Whether there is one comparison, unnamed: what has a row per comparison then has one row, and is broadcast."""
+    return "comparison" not in generated.columns
 
 
-def _few(frame: DataFrame, generated: DataFrame) -> DataFrame:
-    """A frame of a row per comparison: broadcast if there is only one; else Spark chooses by size."""
-    return F.broadcast(frame) if _only(generated) is not None else frame
+def _few(frame: DataFrame, alone: bool) -> DataFrame:
+    return F.broadcast(frame) if alone else frame
+
+
+def _keys(frame: DataFrame) -> list[str]:
+    """The columns that name a comparison: its own reference, if each has one, and the generated trace."""
+    return [c for c in ("reference", "comparison") if c in frame.columns]
+
+
+def _of(frame: DataFrame) -> list[str]:
+    return ["reference"] if "reference" in frame.columns else []
 
 
 # Kolmogorov-Smirnov
 
 
 def ks(reference: DataFrame, generated: DataFrame, value: str) -> DataFrame:
-    """Per comparison: distance, and the counts of both samples. Values are counted before anything is ordered."""
-    side = lambda f, n: f.select("comparison", F.col(value).alias("x"), F.lit(int(n == "a")).alias("a"), F.lit(int(n == "b")).alias("b"))
-    one = _only(generated)
-    if one is not None:
-        merged = side(reference.withColumn("comparison", F.lit(one)), "a").unionByName(side(generated, "b")).groupBy("comparison", "x")
-        merged = merged.agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """Per comparison: distance, and the counts of both samples. Values are counted before anything is ordered.
+
+    Both distribution functions are steps. Between two neighbouring values of a comparison its own is constant and the
+    reference's doesn't fall, so the largest gap lies at one of its own values or just before one: the reference is looked up
+    there in its running totals, and no comparison needs a copy of it.
+    """
+    alone, generated, of = _alone(generated), _named(generated), _of(generated)
+    zero = F.lit(0).cast("bigint")
+    ours = reference.groupBy(*of, F.col(value).alias("x")).agg(F.count("*").alias("a"))
+    theirs = generated.groupBy(*of, "comparison", F.col(value).alias("x")).agg(F.count("*").alias("b"))
+    at = lambda a, b: F.abs(a / F.col("na") - b / F.col("nb"))
+    if alone:
+        one = ours.select("x", "a", zero.alias("b")).unionByName(theirs.select("x", zero.alias("a"), "b"))
+        one = one.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("comparison", F.lit("generated"))
+        totals, gap = running_totals(one, ["comparison"], "x", ["a", "b"], single=True), at(F.col("total_a"), F.col("total_b"))
+        # the sums are the sample sizes
+        sizes = one.groupBy("comparison").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     else:
-        # every comparison gets the reference's distinct values with their counts
-        names = generated.select("comparison").distinct()
-        ours = reference.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("a"))
-        theirs = generated.groupBy("comparison", F.col(value).alias("x")).agg(F.count("*").alias("b"))
-        zero = F.lit(0).cast("bigint")
-        both = names.crossJoin(ours).select("comparison", "x", "a", zero.alias("b")).unionByName(theirs.select("comparison", "x", zero.alias("a"), "b"))
-        merged = both.groupBy("comparison", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    totals = running_totals(merged, ["comparison"], "x", ["a", "b"], single=one is not None)
-    # the last running totals are the sample sizes
-    sizes = merged.groupBy("comparison").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    gap = F.abs(F.col("total_a") / F.col("na") - F.col("total_b") / F.col("nb"))
-    return totals.join(_few(sizes, generated), "comparison").groupBy("comparison").agg(
+        values = ours.unionByName(theirs.select(*of, "x", zero.alias("a"))).groupBy(*of, "x").agg(F.sum("a").alias("a"))
+        below = running_totals(values, of, "x", ["a"], single=not of)
+        totals = running_totals(theirs, [*of, "comparison"], "x", ["b"]).join(below, [*of, "x"])
+        gap = F.greatest(at(F.col("total_a"), F.col("total_b")), at(F.col("total_a") - F.col("a"), F.col("total_b") - F.col("b")))
+        sizes, whole = theirs.groupBy(*of, "comparison").agg(F.sum("b").alias("nb")), ours.groupBy(*of).agg(F.sum("a").alias("na"))
+        sizes = sizes.join(whole, of) if of else sizes.crossJoin(F.broadcast(whole))
+    return totals.join(_few(sizes, alone), [*of, "comparison"]).groupBy(*of, "comparison").agg(
         F.max(gap).alias("distance"), F.first("na").alias("reference_count"), F.first("nb").alias("generated_count")
     )
 
 
 def frame_size_ks(reference: DataFrame, generated: DataFrame) -> DataFrame:
-    generated = comparable(reference, generated)
+    alone, of = _alone(generated), _of(generated)
     length = [F.min("frame_length").alias("minimum_length"), F.max("frame_length").alias("maximum_length")]
-    ours = reference.agg(*length).toDF("reference_minimum_length", "reference_maximum_length")
-    theirs = generated.groupBy("comparison").agg(*length).toDF("comparison", "generated_minimum_length", "generated_maximum_length")
-    found = ks(reference, generated, "frame_length").join(_few(theirs, generated), "comparison").crossJoin(F.broadcast(ours))
+    ours = reference.groupBy(*of).agg(*length).toDF(*of, "reference_minimum_length", "reference_maximum_length")
+    theirs = _named(generated).groupBy(*of, "comparison").agg(*length).toDF(*of, "comparison", "generated_minimum_length", "generated_maximum_length")
+    found = ks(reference, generated, "frame_length").join(_few(theirs, alone), [*of, "comparison"])
+    found = found.join(ours, of) if of else found.crossJoin(F.broadcast(ours))
     return found.withColumn("score", 1 - F.col("distance"))
 
 
@@ -133,10 +144,10 @@ def _time(frame: DataFrame) -> str:
 
 def iat_ks(reference: DataFrame, generated: DataFrame, q: float) -> DataFrame:
     """Takes inter-arrival times of both sides."""
-    generated, time = comparable(reference, generated), _time(reference)
-    found = ks(reference, generated, time)
-    found = found.join(_few(iat_record(generated, ["comparison"], time, q, "generated"), generated), "comparison")
-    return found.crossJoin(F.broadcast(iat_record(reference, [], time, q, "reference"))).withColumn("score", 1 - F.col("distance"))
+    alone, of, time = _alone(generated), _of(generated), _time(reference)
+    found, ours = ks(reference, generated, time), iat_record(reference, of, time, q, "reference")
+    found = found.join(_few(iat_record(_named(generated), [*of, "comparison"], time, q, "generated"), alone), [*of, "comparison"])
+    return (found.join(ours, of) if of else found.crossJoin(F.broadcast(ours))).withColumn("score", 1 - F.col("distance"))
 
 
 # Autocorrelation
@@ -185,12 +196,12 @@ def features(trace: DataFrame, gaps: DataFrame, by: list[str]) -> DataFrame:
 
 def acf_table(reference: DataFrame, generated: DataFrame, reference_gaps: DataFrame, generated_gaps: DataFrame, lags) -> DataFrame:
     """Per comparison, feature and lag: both autocorrelations."""
-    ours = autocorrelations(features(reference, reference_gaps, []), ["feature"], "x", list(lags), few=True)
-    generated, generated_gaps = comparable(reference, generated), comparable(reference_gaps, generated_gaps)
-    theirs = autocorrelations(features(generated, generated_gaps, ["comparison"]), ["comparison", "feature"], "x", list(lags), few=_only(generated) is not None)
-    return theirs.select("comparison", "feature", "lag", F.col("acf").alias("generated_acf")).join(
-        F.broadcast(ours.select("feature", "lag", F.col("acf").alias("reference_acf"))), ["feature", "lag"]
-    )
+    alone, of = _alone(generated), _of(generated)
+    ours = autocorrelations(features(reference, reference_gaps, of), [*of, "feature"], "x", list(lags), few=not of)
+    generated, generated_gaps = _named(generated), _named(generated_gaps)
+    theirs = autocorrelations(features(generated, generated_gaps, [*of, "comparison"]), [*of, "comparison", "feature"], "x", list(lags), few=alone)
+    ours = ours.select(*of, "feature", "lag", F.col("acf").alias("reference_acf"))
+    return theirs.select(*of, "comparison", "feature", "lag", F.col("acf").alias("generated_acf")).join(ours if of else F.broadcast(ours), [*of, "feature", "lag"])
 
 
 def _at(map_column: Column, keys, weights) -> Column:
@@ -202,97 +213,165 @@ def _at(map_column: Column, keys, weights) -> Column:
 
 
 def acf_score(table: DataFrame, s: Settings) -> DataFrame:
-    gap = F.abs(F.col("reference_acf") - F.col("generated_acf")) / 2
-    per = table.groupBy("comparison", "feature").agg(F.map_from_entries(F.collect_list(F.struct("lag", gap))).alias("gaps"))
-    per = per.select("comparison", "feature", _at(F.col("gaps"), s.lags, s.lag_weights).alias("d"))
-    whole = per.groupBy("comparison").agg(F.max(F.when(F.col("feature") == "iat", F.col("d"))).alias("iat"), F.max(F.when(F.col("feature") == "size", F.col("d"))).alias("size"))
+    gap, keys = F.abs(F.col("reference_acf") - F.col("generated_acf")) / 2, _keys(table)
+    per = table.groupBy(*keys, "feature").agg(F.map_from_entries(F.collect_list(F.struct("lag", gap))).alias("gaps"))
+    per = per.select(*keys, "feature", _at(F.col("gaps"), s.lags, s.lag_weights).alias("d"))
+    of = lambda feature: F.coalesce(F.max(F.when(F.col("feature") == feature, F.col("d"))), missing(keys, "autocorrelation"))
+    whole = per.groupBy(*keys).agg(of("iat").alias("iat"), of("size").alias("size"))
     d = clamp(F.lit(s.iat_weight) * F.col("iat") + F.lit(s.size_weight) * F.col("size"), 0.0, 1.0, ACF_TOLERANCE, "autocorrelation discrepancy")
-    return whole.select("comparison", F.col("iat").alias("iat_discrepancy"), F.col("size").alias("size_discrepancy"), (1 - d).alias("score"))
+    return whole.select(*keys, F.col("iat").alias("iat_discrepancy"), F.col("size").alias("size_discrepancy"), (1 - d).alias("score"))
 
 
 # Multiscale rates
 
 
 def rate_cells(trace: DataFrame, window: float, widths, max_cells: int, by: list[str]) -> DataFrame:
-    """Packets and exact bytes per (by, scale, direction, bin). Each row is expanded by the few widths, then pre-aggregated."""
+    """Packets and exact bytes per (by, scale, direction, bin)."""
     counts = bin_counts(window, widths, max_cells)
-    scales = F.array(*(F.struct(F.lit(i).alias("scale"), F.lit(float(w)).alias("width"), F.lit(b).alias("bins")) for i, (w, b) in enumerate(zip(widths, counts, strict=True))))
-    rows = trace.select(*by, "ts", "direction", "frame_length", F.explode(scales).alias("k"))
+    return cells_of(trace, by, [(F.lit(float(w)), F.lit(b)) for w, b in zip(widths, counts, strict=True)])
+
+
+def cells_of(trace: DataFrame, by: list[str], scales: list[tuple[Column, Column]]) -> DataFrame:
+    """The same for scales as (width, bins), which may be columns. Each row is expanded by the few scales, then pre-aggregated."""
+    expanded = F.array(*(F.struct(F.lit(i).alias("scale"), w.alias("width"), b.cast("bigint").alias("bins")) for i, (w, b) in enumerate(scales)))
+    rows = trace.select(*by, "ts", "direction", "frame_length", F.explode(expanded).alias("k"))
     place = F.least(F.floor(snap(F.col("ts") / F.col("k.width"))), F.col("k.bins") - 1).cast("bigint")
     return rows.groupBy(*by, F.col("k.scale").alias("scale"), "direction", place.alias("bin")).agg(
         F.count("*").alias("packets"), F.sum(F.col("frame_length").cast("decimal(20,0)")).alias("bytes")
     )
 
 
-def normalized_l1(a: Column, b: Column) -> Column:
-    """Aggregate: sum of |a - b| over sum of a + b, 0 if both are empty."""
-    total = F.sum(a + b)
-    return F.when(total == 0, F.lit(0.0)).otherwise(F.sum(F.abs(a - b)).cast("double") / total.cast("double"))
-
-
 def scale_discrepancies(reference: DataFrame, generated: DataFrame, window: float, widths, max_cells: int) -> DataFrame:
     """Per comparison and scale: packet and byte discrepancy. Absent cells count as 0, so no dense grid is made."""
-    generated = comparable(reference, generated)
     ours = rate_cells(reference, window, widths, max_cells, [])
-    theirs = rate_cells(generated, window, widths, max_cells, ["comparison"])
-    one = _only(generated)
-    names = reference.sparkSession.range(1).select(F.lit(one).alias("comparison")) if one is not None else theirs.select("comparison").distinct()
-    zero = lambda n: F.lit(0).cast("decimal(30,0)").alias(n)
-    cell = lambda c, n: F.col(c).cast("decimal(30,0)").alias(n)
-    both = (
-        names.crossJoin(ours)
-        .select("comparison", "scale", "direction", "bin", cell("packets", "pa"), cell("bytes", "ba"), zero("pb"), zero("bb"))
-        .unionByName(theirs.select("comparison", "scale", "direction", "bin", zero("pa"), zero("ba"), cell("packets", "pb"), cell("bytes", "bb")))
-    )
-    cells = both.groupBy("comparison", "scale", "direction", "bin").agg(*(F.sum(c).alias(c) for c in ("pa", "ba", "pb", "bb")))
-    return cells.groupBy("comparison", "scale").agg(normalized_l1(F.col("pa"), F.col("pb")).alias("packet"), normalized_l1(F.col("ba"), F.col("bb")).alias("byte"))
+    return cell_discrepancies(ours, rate_cells(_named(generated), window, widths, max_cells, ["comparison"]))
+
+
+def cell_discrepancies(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Per comparison and scale, the normalized L1 distance |a - b| / (a + b) over the cells of either side.
+
+    A cell that only the reference has adds a: so the sum is the reference's total plus |a - b| - a over a comparison's own
+    cells. Those alone are looked up; the reference is shuffled once, however many comparisons there are.
+    """
+    of = _of(theirs)
+    a, b = ours.alias("a"), theirs.alias("b")
+    keys = [*of, "scale", "direction", "bin"]
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    cells = b.join(a, on, "left").select(
+        *(F.col(f"b.{c}") for c in (*of, "comparison", "scale")), *(F.coalesce(F.col(f"{side}.{c}").cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)")).alias(f"{c}_{side}") for c in ("packets", "bytes") for side in ("a", "b"))
+    )
+    more = lambda c: F.sum(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) - F.col(f"{c}_a"))
+    own = cells.groupBy(*of, "comparison", "scale").agg(*(e for c in ("packets", "bytes") for e in (more(c).alias(f"{c}_gap"), F.sum(f"{c}_b").alias(f"{c}_sum"))))
+    whole = ours.groupBy(*of, "scale").agg(*(F.sum(F.col(c).cast("decimal(30,0)")).alias(f"{c}_whole") for c in ("packets", "bytes")))
+    found = own.join(whole if of else F.broadcast(whole), [*of, "scale"])  # without references of their own: a row per scale
+
+    def share(c: str) -> Column:
+        total = F.col(f"{c}_whole") + F.col(f"{c}_sum")
+        return F.when(total == 0, F.lit(0.0)).otherwise((F.col(f"{c}_whole") + F.col(f"{c}_gap")).cast("double") / total.cast("double"))
+
+    return found.select(*of, "comparison", "scale", share("packets").alias("packet"), share("bytes").alias("byte"))
 
 
 def multiscale_score(table: DataFrame, s: Settings) -> DataFrame:
     """Features are summed over scales before feature weights apply."""
-    keys = range(len(s.widths))
-    maps = table.groupBy("comparison").agg(*(F.map_from_entries(F.collect_list(F.struct("scale", c))).alias(c) for c in ("packet", "byte")))
-    totals = maps.select("comparison", *(clamp(_at(F.col(c), keys, s.scale_weights), 0.0, 1.0, L1_TOLERANCE, c).alias(c) for c in ("packet", "byte")))
+    keys, scales = _keys(table), range(len(s.widths))
+    maps = table.groupBy(*keys).agg(*(F.map_from_entries(F.collect_list(F.struct("scale", c))).alias(c) for c in ("packet", "byte")))
+    totals = maps.select(*keys, *(clamp(_at(F.col(c), scales, s.scale_weights), 0.0, 1.0, L1_TOLERANCE, c).alias(c) for c in ("packet", "byte")))
     d = clamp(F.lit(s.packet_weight) * F.col("packet") + F.lit(s.byte_weight) * F.col("byte"), 0.0, 1.0, L1_TOLERANCE, "multiscale discrepancy")
-    return totals.select("comparison", F.col("packet").alias("packet_discrepancy"), F.col("byte").alias("byte_discrepancy"), (1 - d).alias("score"))
+    return totals.select(*keys, F.col("packet").alias("packet_discrepancy"), F.col("byte").alias("byte_discrepancy"), (1 - d).alias("score"))
 
 
 # All four
 
 
-def compare(reference: DataFrame, generated: DataFrame, window: float, s: Settings) -> DataFrame:
-    """(comparison, method, score, weight): all four, whatever their weights. Both frames must be aligned."""
-    s.check(window)
-    alone = "comparison" not in generated.columns
-    reference_gaps, generated_gaps = iats(reference).persist(), iats(generated).persist()
-    if alone:
-        generated, generated_gaps = comparable(reference, generated), comparable(reference_gaps, generated_gaps)
-    found = {
-        "autocorrelation": acf_score(acf_table(reference, generated, reference_gaps, generated_gaps, s.lags), s),
-        "frame_size_ks": frame_size_ks(reference, generated),
-        "iat_ks": iat_ks(reference_gaps, generated_gaps, s.quantile),
-        "multiscale_rate": multiscale_score(scale_discrepancies(reference, generated, window, s.widths, s.max_cells), s),
-    }
+#: What a trace must have for each measure.
+NEEDS = {
+    "autocorrelation": "it needs more inter-arrival times than the longest lag",
+    "frame_size_ks": "it needs an event",
+    "iat_ks": "it needs two events",
+    "multiscale_rate": "it needs an event",
+}
+
+
+def missing(keys: list[str], method: str) -> Column:
+    """An error that names the comparison, the measure and what it needs."""
+    return F.raise_error(F.concat(F.lit("comparison "), F.concat_ws(" with ", *keys), F.lit(f" has no {method}: {NEEDS[method]}"))).cast("double")
+
+
+def united(found: dict[str, DataFrame], s: Settings) -> DataFrame:
     out = None
     for name in METHODS:
-        rows = found[name].select("comparison", F.lit(name).alias("method"), "score", F.lit(float(s.method_weights[name])).alias("weight"))
+        rows = found[name].select(*_keys(found[name]), F.lit(name).alias("method"), "score", F.lit(float(s.method_weights[name])).alias("weight"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def compare(reference: DataFrame, generated: DataFrame, window: float, s: Settings) -> DataFrame:
+    """(comparison, method, score, weight): all four, whatever their weights. Both frames must be aligned."""
+    s.check(window)
+    reference_gaps, generated_gaps = iats(reference).persist(), iats(generated).persist()
+    return united(
+        {
+            "autocorrelation": acf_score(acf_table(reference, generated, reference_gaps, generated_gaps, s.lags), s),
+            "frame_size_ks": frame_size_ks(reference, generated),
+            "iat_ks": iat_ks(reference_gaps, generated_gaps, s.quantile),
+            "multiscale_rate": multiscale_score(scale_discrepancies(reference, generated, window, s.widths, s.max_cells), s),
+        },
+        s,
+    )
+
+
+def compare_pairs(traces: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """(reference, comparison, method, score, weight) for each row (reference, generated) of pairs, two ids of traces.
+
+    Every reference has its own window, its span, so windows, widths and cells are columns, not literals, and all pairs
+    are scored together. widths are shares of the window here. A generated trace is cut to each of its references' windows.
+    """
+    s.check(1.0)
+    shifted, spans = normalize(traces)
+    time = "ts_us" if "ts_us" in shifted.columns else "ts"
+    gap = F.col(time) - F.col("__before")
+    rows = lagged(shifted, "trace_id", {"__before": time}).withColumn("gap", gap if time == "ts" else gap.cast("bigint")).drop("__before").persist()
+    pairs = pairs.select("reference", "generated").distinct()
+    wanted = pairs.join(spans.withColumnRenamed("trace_id", "reference"), "reference")
+    ours = join_few(rows.withColumnRenamed("trace_id", "reference"), wanted.select("reference", "w").distinct(), ["reference"])
+    theirs = join_few(rows.withColumnRenamed("trace_id", "comparison"), wanted.withColumnRenamed("generated", "comparison"), ["comparison"]).where(F.col("ts") <= F.col("w"))
+    name = "iat_us" if time == "ts_us" else "iat"
+    gaps = lambda f: f.where("seq > 1").withColumn("seq", F.col("seq") - 1).withColumnRenamed("gap", name)
+    scales = []
+    for share in s.widths:
+        width = F.col("w") * F.lit(float(share))
+        scales.append((width, F.ceil(snap(F.col("w") / width))))
+    return united(
+        {
+            "autocorrelation": acf_score(acf_table(ours, theirs, gaps(ours), gaps(theirs), s.lags), s),
+            "frame_size_ks": frame_size_ks(ours, theirs),
+            "iat_ks": iat_ks(gaps(ours), gaps(theirs), s.quantile),
+            "multiscale_rate": multiscale_score(cell_discrepancies(cells_of(ours, ["reference"], scales), cells_of(theirs, ["reference", "comparison"], scales)), s),
+        },
+        s,
+    )
+
+
 def aggregate(scores: DataFrame) -> DataFrame:
-    """Per comparison: the four scores and their weighted sum, in fixed order."""
-    by = scores.groupBy("comparison").agg(*(F.max(F.when(F.col("method") == m, F.col("score"))).alias(m) for m in METHODS), *(F.max(F.when(F.col("method") == m, F.col("weight"))).alias(f"w_{m}") for m in METHODS))
+    """Per comparison: the four scores and their weighted sum, in fixed order. A measure without a score is an error that names it."""
+    keys = _keys(scores)
+    by = scores.groupBy(*keys).agg(*(F.max(F.when(F.col("method") == m, F.col("score"))).alias(m) for m in METHODS), *(F.max(F.when(F.col("method") == m, F.col("weight"))).alias(f"w_{m}") for m in METHODS))
+    by = by.select(*keys, *(F.coalesce(m, missing(keys, m)).alias(m) for m in METHODS), *(f"w_{m}" for m in METHODS))
     total = F.lit(0.0)
     for m in METHODS:
         total = total + F.col(f"w_{m}") * F.col(m)
-    return by.select("comparison", *METHODS, clamp(total, 0.0, 1.0, WEIGHT_TOLERANCE, "aggregate").alias("aggregate_score"))
+    return by.select(*keys, *METHODS, clamp(total, 0.0, 1.0, WEIGHT_TOLERANCE, "aggregate").alias("aggregate_score"))
+
+
+def symmetric_scores(scores: DataFrame) -> DataFrame:
+    """(left, right, symmetric): the mean of both directions of aggregate's rows for pairs, each under its own window."""
+    pair = scores.groupBy(F.least("reference", "comparison").alias("left"), F.greatest("reference", "comparison").alias("right"))
+    return pair.agg(F.avg("aggregate_score").alias("symmetric"))
 
 
 def symmetric_score(left: DataFrame, right: DataFrame, settings_for) -> float:
     """Mean of both directions, each under its own window; settings_for(window) gives the settings."""
-    from .traces import align, normalize, window_of
-
     total = []
     for a, b in ((left, right), (right, left)):
         reference, _ = normalize(a)

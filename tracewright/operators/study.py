@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import order_figures
+from .similarity import METHODS, Settings, aggregate, compare_pairs
 
-METHODS = ("autocorrelation", "frame_size_ks", "iat_ks", "multiscale_rate")
 BOOTSTRAP_SEED = 1729
 
 
@@ -75,6 +75,19 @@ def natural_variation(scores: DataFrame) -> DataFrame:
     return pair.groupBy("workload").agg(F.count("*").alias("pairs"), F.avg("symmetric").alias("mean"), F.min("symmetric").alias("minimum"), F.max("symmetric").alias("maximum"))
 
 
+def variation_of(traces: DataFrame, runs: DataFrame, settings: Settings) -> DataFrame:
+    """natural_variation of the aggregate score between the repeats of each workload, all pairs in one comparison.
+
+    runs has workload, repeat and trace_id; widths in settings are shares of a reference's window.
+    """
+    pairs = repeat_pairs(runs)
+    named = lambda side: runs.select("workload", F.col("repeat").alias(side), F.col("trace_id").alias(f"{side}_trace"))
+    pairs = pairs.join(named("reference"), ["workload", "reference"]).join(named("generated"), ["workload", "generated"])
+    scores = aggregate(compare_pairs(traces, pairs.select(F.col("reference_trace").alias("reference"), F.col("generated_trace").alias("generated")), settings))
+    scores = scores.select(F.col("reference").alias("reference_trace"), F.col("comparison").alias("generated_trace"), F.col("aggregate_score").alias("score"))
+    return natural_variation(pairs.join(scores, ["reference_trace", "generated_trace"]))
+
+
 def weighted(weights: dict[str, float]) -> Column:
     total = F.lit(0.0)
     for m in METHODS:
