@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.sources.shared import new_folder
+
 from . import daily_traffic, trace_catalogue
 from .common import configuration
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; without that, in local mode only, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tracewright-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_trace_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place, c = folder(spark, "trace-catalogue"), configuration(trace_catalogue.CONFIG, trace_catalogue.DEFAULTS)
+    place, c = new_folder(spark, "trace-catalogue"), configuration(trace_catalogue.CONFIG, trace_catalogue.DEFAULTS)
     for _ in range(2):
         found = trace_catalogue.run(spark, f"{sf_dir}/conversations.parquet", place, c)
     return found.withColumn("length_median", F.round("length_median", 9))
 
 
 def job2_daily_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place, c = folder(spark, "daily-traffic"), configuration(daily_traffic.CONFIG, daily_traffic.DEFAULTS)
+    place, c = new_folder(spark, "daily-traffic"), configuration(daily_traffic.CONFIG, daily_traffic.DEFAULTS)
     for _ in range(2):
         found = daily_traffic.run(spark, f"{sf_dir}/events.parquet", f"{place}/output", f"{place}/checkpoint", c)
     return found.withColumn("day", F.col("day").cast("string"))

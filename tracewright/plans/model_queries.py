@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import frames, numeric
 from ..operators import fitting, models, selection, study
 from ..operators.traces import iats
-from ..sources import artifacts, headers, inspection, pcapng
+from ..sources import artifacts, capture_splits, headers, inspection, pcapng
+from ..sources.shared import new_folder
 from .trace_queries import SNAP, TRACE, nine, pair, read, trace
 
 Q1, Q2, ALPHA, SUPPORT, SCALE = 1 / 3, 2 / 3, 0.5, 1000, 1.25
@@ -387,6 +388,15 @@ def pcapng_scan(spark, sf_dir):
     return p.select(name.alias("trace_id"), seq.alias("seq"), F.rint(F.col("ts") * 1e6).cast("bigint").alias("ts_us"), frames.direction(F.col("frame"), F.lit(MAC)).cast("int").alias("direction"), F.octet_length("frame").cast("bigint").alias("frame_length"))
 
 
+def capture_files(spark, sf_dir):
+    """Each trace written as one capture file, rendered in parallel chunks, and read back by byte ranges."""
+    place = new_folder(spark, "captures")
+    capture_splits.write_captures(trace(spark, sf_dir), place, MAC, 1e9)
+    p = capture_splits.read_trace(spark, place, MAC)
+    name = F.regexp_extract("trace_id", "trace_id=([a-z]+)/", 1)
+    return p.select(name.alias("trace_id"), "seq", F.rint(F.col("ts") * 1e6).cast("bigint").alias("ts_us"), F.col("direction").cast("int").alias("direction"), "frame_length")
+
+
 SOURCE_SQL = {
     "dimension_counts": f"""WITH {TRACE}, d AS (SELECT trace_id, 'direction' AS dimension, CASE WHEN direction = 0 THEN 'outbound' ELSE 'inbound' END AS key FROM trace
         UNION ALL SELECT trace_id, 'protocol', CASE WHEN frame_length < 500 THEN 'tcp' WHEN frame_length < 1000 THEN 'udp' END FROM trace),
@@ -403,6 +413,7 @@ SOURCE_SQL = {
         SELECT page_id, NOT regexp_matches(u, '\s') AND length(h) BETWEEN 1 AND 253 AND coalesce(try_cast(nullif(port, '') AS BIGINT), 0) <= 65535
           AND list_bool_and(list_transform(string_split(h, '.'), lambda l: regexp_full_match(l, '[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?')))
           AND NOT (len(string_split(h, '.')) = 4 AND list_bool_and(list_transform(string_split(h, '.'), lambda l: regexp_full_match(l, '25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]')))) AS valid FROM p""",
+    "capture_files": f"WITH {TRACE}, q AS (SELECT *, (ts_us / 1e6) * 1e6 AS x FROM trace) SELECT trace_id, seq, CAST(floor({SNAP.format(q='x')}) AS BIGINT) AS ts_us, direction, frame_length FROM q",
     "pcapng_scan": f"WITH {TRACE}, q AS (SELECT *, (ts_us / 1e6) * 1e6 AS x FROM trace) SELECT trace_id, seq, CAST(floor({SNAP.format(q='x')}) AS BIGINT) AS ts_us, direction, frame_length FROM q",
 }
 
@@ -468,7 +479,7 @@ QUERIES = {
         mark_counts, mark_distribution, type7_thresholds, markov_states, transition_counts, transition_rows, timing_tiers, tier_usage, iat_samples, poisson_rate, flow_check, short_transitions,
         candidate_rank, global_elites, family_champions, retained_population, generation_history, stagnation, history_faults, duplicate_candidates, candidate_trials, gene_coordinates, regime_probabilities, family_quotas,
         sample_record, descriptive_stats, direction_values, natural_variation, controlled_reweighting, score_means, score_delta, training_selection, workload_summary, invalid_report, bootstrap_ci, lag_one_covariance,
-        dimension_counts, frame_headers, lineage_mismatch, content_identity, transfer_headers, url_validation, pcapng_scan, poisson_generate, mmpp_generate, markov_generate, genetic_search,
+        dimension_counts, frame_headers, lineage_mismatch, content_identity, transfer_headers, url_validation, pcapng_scan, capture_files, poisson_generate, mmpp_generate, markov_generate, genetic_search,
     )
 }
 SQL = FIT_SQL | SEARCH_SQL | STUDY_SQL | SOURCE_SQL
