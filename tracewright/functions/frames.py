@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Ethertypes, protocol numbers and the peer addresses of generated frames.
 IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
@@ -49,12 +47,23 @@ def _ipv4(b: Column, at: int) -> Column:
     return F.concat_ws(".", *(uint(b, at + i, 1).cast("string") for i in range(4)))
 
 
-@F.pandas_udf(StringType())
-def ipv6_text(b: pd.Series) -> pd.Series:
-    """Compressed text of 16 bytes; SQL has no function for it."""
-    import ipaddress
+def ipv6_text(b: Column) -> Column:
+    """Text of 16 bytes: hexadecimal groups without leading zeros, the first of the longest runs of two or more zero groups as ``::``."""
+    digits = F.lower(F.hex(b))
 
-    return b.map(lambda x: None if x is None or len(x) != 16 else str(ipaddress.IPv6Address(bytes(x))))
+    def short(whole: Column) -> Column:
+        text = whole
+        for zeros in range(2, 9):  # the last that applies is the longest run
+            run = f"^((?:[0-9a-f]+:)*?)0(?::0){{{zeros - 1}}}(?::|$)(.*)$"
+            text = F.when(whole.rlike(run), F.regexp_replace(whole, run, "$1:$2")).otherwise(text)
+        return text
+
+    def named(value: Column, name) -> Column:  # of one element, so that value is computed once
+        return F.transform(F.array(value), name)[0]
+
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(digits, 4 * i + 1, F.lit(4)), "^0{1,3}", ""))
+    text = named(named(F.array_join(groups, ":"), short), lambda t: F.when(t.startswith(":"), F.concat(F.lit(":"), t)).otherwise(t))
+    return F.when(F.octet_length(b) == 16, text)
 
 
 def _protocol(number: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames, numeric
 from ..operators import fitting, models, selection, study
+from ..operators.ordered import numbered
 from ..operators.traces import iats
 from ..sources import artifacts, capture_splits, headers, inspection, pcapng
 from ..sources.shared import new_folder
@@ -397,6 +398,34 @@ def capture_files(spark, sf_dir):
     return p.select(name.alias("trace_id"), "seq", F.rint(F.col("ts") * 1e6).cast("bigint").alias("ts_us"), F.col("direction").cast("int").alias("direction"), "frame_length")
 
 
+def network_frames(spark, sf_dir):
+    """One frame per event with real headers, by event: IPv4 with TCP, UDP or ICMP, IPv6 with TCP or UDP, ARP, and an IPv4 header that claims too much."""
+    kind, user, extra = F.col("event_id") % 7, F.col("user_id") % 65536, F.col("event_id") % 20
+    number = lambda c, digits: F.lpad(F.hex(c.cast("bigint")), digits, "0")
+    four = F.concat(F.lit("0A00"), number(user, 4))
+    dst4 = F.when(kind == 1, F.concat(F.lit("C0A801"), number(user % 250, 2))).otherwise(F.lit("C0A80001"))
+    src6, dst6 = F.concat(F.lit("20010DB8" + "0" * 20), number(user, 4)), F.concat(F.lit("FE80" + "0" * 12 + "0001" + "0" * 8), number(user, 4))
+    body = F.repeat(F.lit("00"), extra.cast("int"))
+    protocol = F.when(kind == 0, "06").when(kind == 1, "11").otherwise("01")
+    total = number(F.when(kind == 6, 2000).otherwise(20 + extra), 4)
+    v4 = F.concat(F.lit("4500"), total, F.lit("0000000040"), protocol, F.lit("0000"), four, dst4, body)
+    v6 = F.concat(F.lit("60000000"), number(extra, 4), F.when(kind == 3, "06").otherwise("11"), F.lit("40"), src6, dst6, body)
+    arp = F.concat(F.lit("0001080006040001"), F.lit("00" * 6), four, F.lit("00" * 6), F.lit("0A000001"))
+    mac, peer = MAC.replace(":", "").upper(), frames.PEER.replace(":", "").upper()
+    ends = F.when(user % 2 == 0, peer + mac).otherwise(mac + peer)
+    digits = F.when(kind.isin(3, 4), F.concat(F.lit("86DD"), v6)).when(kind == 5, F.concat(F.lit("0806"), arp)).otherwise(F.concat(F.lit("0800"), v4))
+    rows = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("kind "), F.col("event_type")).alias("trace_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.unhex(F.concat(ends, digits)).alias("frame"))
+    return numbered(rows, "trace_id", "event_id").select("trace_id", "seq", (F.col("us") / 1e6).alias("ts"), "frame")
+
+
+def capture_inspection(spark, sf_dir):
+    """All seven dimensions of captures: frames are written as capture files, read back by byte ranges, and their headers decoded."""
+    place = new_folder(spark, "inspected")
+    capture_splits.write_packets(network_frames(spark, sf_dir), place)
+    found = inspection.inspect(capture_splits.read_packets(spark, place), MAC)
+    return found.withColumn("trace_id", F.regexp_extract("trace_id", "trace_id=kind%20([a-z_]+)/", 1))
+
+
 SOURCE_SQL = {
     "dimension_counts": f"""WITH {TRACE}, d AS (SELECT trace_id, 'direction' AS dimension, CASE WHEN direction = 0 THEN 'outbound' ELSE 'inbound' END AS key FROM trace
         UNION ALL SELECT trace_id, 'protocol', CASE WHEN frame_length < 500 THEN 'tcp' WHEN frame_length < 1000 THEN 'udp' END FROM trace),
@@ -413,6 +442,15 @@ SOURCE_SQL = {
         SELECT page_id, NOT regexp_matches(u, '\s') AND length(h) BETWEEN 1 AND 253 AND coalesce(try_cast(nullif(port, '') AS BIGINT), 0) <= 65535
           AND list_bool_and(list_transform(string_split(h, '.'), lambda l: regexp_full_match(l, '[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?')))
           AND NOT (len(string_split(h, '.')) = 4 AND list_bool_and(list_transform(string_split(h, '.'), lambda l: regexp_full_match(l, '25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]')))) AS valid FROM p""",
+    "capture_inspection": f"""WITH e AS (SELECT event_type AS trace_id, event_id % 7 AS k, user_id % 65536 AS u FROM events),
+        p AS (SELECT trace_id, CASE WHEN u % 2 = 0 THEN 'outbound' ELSE 'inbound' END AS direction, CASE WHEN u % 2 = 0 THEN '{MAC}' ELSE '{frames.PEER}' END AS source_mac,
+          CASE WHEN u % 2 = 0 THEN '{frames.PEER}' ELSE '{MAC}' END AS destination_mac, CASE WHEN k IN (3, 4) THEN '34525' WHEN k = 5 THEN '2054' ELSE '2048' END AS ethertype,
+          CASE WHEN k IN (3, 4) THEN '2001:db8::' || CASE WHEN u > 0 THEN printf('%x', u) ELSE '' END WHEN k < 6 THEN '10.0.' || (u // 256) || '.' || (u % 256) END AS source_address,
+          CASE WHEN k IN (3, 4) THEN 'fe80::1:0:0:' || printf('%x', u) WHEN k = 5 THEN '10.0.0.1' WHEN k = 1 THEN '192.168.1.' || (u % 250) WHEN k < 6 THEN '192.168.0.1' END AS destination_address,
+          CASE WHEN k IN (0, 3) THEN 'tcp' WHEN k IN (1, 4) THEN 'udp' ELSE 'other' END AS protocol FROM e),
+        d AS (UNPIVOT p ON direction, source_mac, destination_mac, ethertype, source_address, destination_address, protocol INTO NAME dimension VALUE key),
+        z AS (SELECT DISTINCT trace_id, dimension, key FROM p, (VALUES ('direction', 'outbound'), ('direction', 'inbound'), ('protocol', 'tcp'), ('protocol', 'udp'), ('protocol', 'other')) AS v(dimension, key))
+        SELECT trace_id, dimension, key, CAST(sum(n) AS BIGINT) AS "count" FROM (SELECT trace_id, dimension, key, 1 AS n FROM d UNION ALL SELECT trace_id, dimension, key, 0 FROM z) GROUP BY ALL""",
     "capture_files": f"WITH {TRACE}, q AS (SELECT *, (ts_us / 1e6) * 1e6 AS x FROM trace) SELECT trace_id, seq, CAST(floor({SNAP.format(q='x')}) AS BIGINT) AS ts_us, direction, frame_length FROM q",
     "pcapng_scan": f"WITH {TRACE}, q AS (SELECT *, (ts_us / 1e6) * 1e6 AS x FROM trace) SELECT trace_id, seq, CAST(floor({SNAP.format(q='x')}) AS BIGINT) AS ts_us, direction, frame_length FROM q",
 }
@@ -479,7 +517,7 @@ QUERIES = {
         mark_counts, mark_distribution, type7_thresholds, markov_states, transition_counts, transition_rows, timing_tiers, tier_usage, iat_samples, poisson_rate, flow_check, short_transitions,
         candidate_rank, global_elites, family_champions, retained_population, generation_history, stagnation, history_faults, duplicate_candidates, candidate_trials, gene_coordinates, regime_probabilities, family_quotas,
         sample_record, descriptive_stats, direction_values, natural_variation, controlled_reweighting, score_means, score_delta, training_selection, workload_summary, invalid_report, bootstrap_ci, lag_one_covariance,
-        dimension_counts, frame_headers, lineage_mismatch, content_identity, transfer_headers, url_validation, pcapng_scan, capture_files, poisson_generate, mmpp_generate, markov_generate, genetic_search,
+        dimension_counts, frame_headers, lineage_mismatch, content_identity, transfer_headers, url_validation, pcapng_scan, capture_files, capture_inspection, poisson_generate, mmpp_generate, markov_generate, genetic_search,
     )
 }
 SQL = FIT_SQL | SEARCH_SQL | STUDY_SQL | SOURCE_SQL

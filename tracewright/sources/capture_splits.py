@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import direction
+from ..functions.frames import build_frame, direction
 from . import pcapng
 from .pcapng import ENHANCED, ETHERNET, INTERFACE, MAGIC, OBSOLETE_PACKET, PACKETS, SECTION, SIMPLE_PACKET, CaptureError
 
@@ -320,31 +320,37 @@ SEPARATOR = struct.pack("<I", EMPTY)
 CHUNK = 4096
 
 
-def chunks(traces: DataFrame, mac: str, window: float, chunk: int = CHUNK) -> DataFrame:
+def chunks(packets: DataFrame, window: float | None = None, chunk: int = CHUNK) -> DataFrame:
     """(trace_id, chunk, content): the capture of each trace in ordered chunks, rendered in parallel, each ending before the separator."""
     end = struct.pack("<II", LOCAL, EMPTY)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seq", "ts", "direction", "frame_length")), strict=True))
-        if rows[-1][1] > window or any(n < 14 for *_, n in rows):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seq", "ts", "frame")), strict=True))
+        if window is not None and rows[-1][1] > window or any(len(f) < 14 for *_, f in rows):
             raise ValueError("a trace to encode ends by the window and has frames of 14 bytes or more")
-        if any(a[1] > b[1] for a, b in zip(rows, rows[1:], strict=False)):
+        if rows[0][1] < 0 or any(a[1] > b[1] for a, b in zip(rows, rows[1:], strict=False)):
             raise CaptureError("times must be finite, not negative and not decrease")
         number = table.column("chunk")[0].as_py()
-        data = pcapng.render([(t, pcapng.frame_of(d, n, mac)) for _, t, d, n in rows], number == 0)
+        data = pcapng.render([(t, f) for _, t, f in rows], number == 0)
         return pa.table({"trace_id": pa.array([table.column("trace_id")[0].as_py()]), "chunk": pa.array([number], pa.int64()), "content": pa.array([data + end], pa.binary())})
 
-    rows = traces.select("trace_id", "seq", "ts", "direction", "frame_length", F.floor((F.col("seq") - 1) / chunk).alias("chunk"))
+    rows = packets.select("trace_id", "seq", "ts", "frame", F.floor((F.col("seq") - 1) / chunk).alias("chunk"))
     return rows.groupBy("trace_id", "chunk").applyInArrow(run, "trace_id string, chunk bigint, content binary")
 
 
-def write_captures(traces: DataFrame, path: str, mac: str, window: float, chunk: int = CHUNK) -> None:
-    """Write each trace as one capture below path, in the folder trace_id=<its id>. seq counts from 1 in each trace."""
-    made = chunks(traces, mac, window, chunk).select("trace_id", "chunk", F.col("content").cast("string").alias("value"))
+def write_packets(packets: DataFrame, path: str, window: float | None = None, chunk: int = CHUNK) -> None:
+    """Write the packets (trace_id, seq, ts, frame) of each trace as one capture below path, in the folder trace_id=<its id>. seq counts from 1 in each trace."""
+    made = chunks(packets, window, chunk).select("trace_id", "chunk", F.col("content").cast("string").alias("value"))
     ordered = made.repartition("trace_id").sortWithinPartitions("trace_id", "chunk").select("trace_id", "value")
     ordered.write.option("lineSep", SEPARATOR.decode()).partitionBy("trace_id").text(path)
 
 
+def write_captures(traces: DataFrame, path: str, mac: str, window: float, chunk: int = CHUNK) -> None:
+    """write_packets for traces, whose frames are made of their directions and lengths."""
+    long = F.when(F.col("frame_length") < 14, F.raise_error(F.lit("a trace to encode ends by the window and has frames of 14 bytes or more")).cast("bigint")).otherwise(F.col("frame_length"))
+    write_packets(traces.select("trace_id", "seq", "ts", build_frame(F.col("direction"), long, F.lit(mac)).alias("frame")), path, window, chunk)
+
+
 def written(spark: SparkSession, path: str, traces: DataFrame, mac: str, window: float) -> DataFrame:
     """The traces as read back from what write_captures wrote; an error if anything but the times' last digits changed."""
     name = F.url_decode(F.regexp_extract("trace_id", "trace_id=([^/]*)/", 1))
