@@ -9,7 +9,9 @@ A page in which nothing else is left is read again without regard to such names.
 least 25 characters earns points, 1 + its commas + up to 3 for length, which its container gets in full, the next
 ancestor by half, and the next four by a third of that per level. A container's points are discounted by its link
 density. The best container and those of its siblings that score near it, or are plain long paragraphs, are kept with
-all their blocks but lists of links.
+all their blocks but lists of links that follow no heading (an article's references do). Headings just before the first kept
+block stay if they stand in an element around the best container. Names of headings, and ids of paragraphs and list items, say
+nothing: they are mostly made of their own words.
 
 Blocks come in page order; character references are decoded, white space inside a block becomes one space, ends are
 trimmed, and a line feed joins blocks. Where no block earns points, all remaining blocks are taken.
@@ -61,6 +63,7 @@ LAYOUT = frozenset(
     "feed hub zone wide mini small large mobile desktop hidden js is has no id div root region module component c g l m u".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote dd li div section article main figcaption body html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl div section table p".split())
 LEAST, SIBLING, LINKS, LEVELS = 25, 0.2, 0.5, 6
 #: What an element with a doubtful name must be worth to be kept, and the share of points that its blocks earn.
@@ -92,7 +95,9 @@ def standing(tag: str, attributes: str, names: bool = True) -> int:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return 2
     worst = 0
-    for token in (found.get("class", "") + " " + found.get("id", "")).split() if names else ():
+    # ids of headings, paragraphs and list items are mostly made of their words; a heading's class says as little
+    told = "" if tag in HEADINGS else found.get("class", "") if tag in ("p", "li") else found.get("class", "") + " " + found.get("id", "")
+    for token in told.split() if names else ():
         words = [w.lower() for w in WORDS.findall(token)]
         if not NAMES.isdisjoint(words):
             worst = max(worst, 2 if all(w in NAMES or w in LAYOUT for w in words) else 1)
@@ -225,6 +230,21 @@ def value(n: Node) -> float:
     return n.points * (1 - n.links / n.chars) if n.chars else 0.0
 
 
+def under_headings(blocks: list[tuple[Node, str, int]]) -> set[int]:
+    """Lists whose first block follows a heading of the element that they are in: an article's references, say, rather than a menu."""
+    out: set[int] = set()
+    for (before, _, _), (node, _, _) in zip(blocks, blocks[1:], strict=False):
+        if before.tag in HEADINGS:
+            n, lists = node, []
+            while n.up is not None and n.depth > before.up.depth:
+                if n.tag in LISTS:
+                    lists.append(id(n))
+                n = n.up
+            if n is before.up:
+                out.update(lists)
+    return out
+
+
 def main_text(html: str, names: bool = True) -> str:
     blocks = blocks_of(html, names)
     scored: dict[int, Node] = {}
@@ -252,6 +272,7 @@ def main_text(html: str, names: bool = True) -> str:
     best = max(scored.values(), key=value)
     bar = max(10.0, SIBLING * value(best))
     chosen: dict[int, bool] = {}
+    headed = under_headings(blocks)
 
     def kept(node: Node) -> bool:
         """Whether a block at node is of the best container or a kept sibling, and not in a list of links or a doubtful part."""
@@ -270,14 +291,23 @@ def main_text(html: str, names: bool = True) -> str:
                     answer = value(n) >= bar or (n.tag == "p" and n.chars > 80 and n.links / n.chars < 0.25)
                 elif n.up is None:
                     answer = False
-                elif n.tag in LISTS and n.chars and n.links / n.chars > LINKS and n.links > 1:
+                elif n.tag in LISTS and n.chars and n.links / n.chars > LINKS and n.links > 1 and id(n) not in headed:
                     answer = False
                 n = n.up
         for n in trail:
             chosen[id(n)] = bool(answer)
         return bool(answer)
 
-    return "\n".join(text for node, text, _ in blocks if kept(node))
+    keep = [kept(node) for node, _, _ in blocks]
+    first = keep.index(True) if True in keep else 0
+    over, n = set(), best.up
+    while n is not None:
+        over.add(id(n))
+        n = n.up
+    while first and (node := blocks[first - 1][0]).tag in HEADINGS and node.doubt is None and id(node.up) in over:
+        first -= 1
+        keep[first] = True
+    return "\n".join(text for (_, text, _), k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, columns: list, html: str = "html") -> DataFrame:
