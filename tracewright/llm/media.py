@@ -6,7 +6,8 @@ the end of the file, stco or co64, uniform or listed sample sizes, with or witho
 sample tables to codec, duration and keyframe byte ranges; payload bytes are never interpreted.
 
 Edge cases: a null text counts as empty, and an empty payload still fills one frame; a truncated or foreign file
-gives codec None and no ranges; equal payloads give equal files; other columns are not read.
+gives no ranges (and codec None where it names none): a track has them only if all its samples lie within the file and
+together take no more than its bytes; equal payloads give equal files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,6 +109,7 @@ def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
 def inspect(data: bytes) -> list[dict]:
     """One record per track: handler, codec, duration (seconds), samples, sample byte ranges and keyframe numbers."""
     tracks: list[dict] = []
+    left = len(data)  # bytes that samples of one size may still claim: all tracks together have no more samples than the file has bytes
     for path, at, end in walk(data):
         kind = path[-1]
         if kind == b"trak":
@@ -115,42 +117,50 @@ def inspect(data: bytes) -> list[dict]:
             continue
         if b"trak" not in path:
             continue
-        t, body = tracks[-1], at + 4
+        t, body = tracks[-1], memoryview(data)[at:end]
         try:
             if kind == b"mdhd":
-                wide = data[at] == 1
-                t["timescale"], t["ticks"] = struct.unpack_from(">IQ" if wide else ">II", data, body + (16 if wide else 8))
+                wide = struct.unpack_from(">B", body)[0] == 1
+                t["timescale"], t["ticks"] = struct.unpack_from(">IQ" if wide else ">II", body, 20 if wide else 12)
             elif kind == b"hdlr" and b"mdia" in path:
-                t["handler"] = data[body + 4 : body + 8].decode("latin-1")
-            elif kind == b"stsd" and struct.unpack_from(">I", data, body)[0]:
-                t["codec"] = data[body + 8 : body + 12].decode("latin-1")
+                t["handler"] = struct.unpack_from("4s", body, 8)[0].decode("latin-1")
+            elif kind == b"stsd" and struct.unpack_from(">I", body, 4)[0]:
+                t["codec"] = struct.unpack_from("4s", body, 12)[0].decode("latin-1")
             elif kind in (b"stts", b"stsc", b"stss", b"stco", b"co64"):
-                (n,) = struct.unpack_from(">I", data, body)
-                form = {b"stts": "II", b"stsc": "III", b"stss": "I", b"stco": "I", b"co64": "Q"}[kind]
-                rows = list(struct.iter_unpack(">" + form, data[body + 4 : min(end, body + 4 + n * struct.calcsize(">" + form))]))
+                (n,) = struct.unpack_from(">I", body, 4)
+                form = {b"stts": ">II", b"stsc": ">III", b"stss": ">I", b"stco": ">I", b"co64": ">Q"}[kind]
+                size = struct.calcsize(form)
+                rows = list(struct.iter_unpack(form, body[8 : 8 + min(n, (len(body) - 8) // size) * size]))
                 name = {b"stts": "times", b"stsc": "runs", b"stss": "syncs"}.get(kind, "chunks")
                 t[name] = rows if kind in (b"stts", b"stsc") else [r[0] for r in rows]
             elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", data, body)
-                n = min(n, len(data) // size if size else (end - body - 8) // 4)  # no more samples than the file can hold
-                t["sizes"] = [size] * n if size else [r[0] for r in struct.iter_unpack(">I", data[body + 8 : body + 8 + 4 * n])]
+                size, n = struct.unpack_from(">II", body, 4)
+                n = min(n, left // size if size else (len(body) - 12) // 4)
+                left -= size * n
+                t["sizes"] = [size] * n if size else [r[0] for r in struct.iter_unpack(">I", body[12 : 12 + 4 * n])]
         except struct.error:
             continue
-    return [_track(t) for t in tracks]
+    return [_track(t, len(data)) for t in tracks]
 
 
-def _track(t: dict) -> dict:
+def _track(t: dict, length: int) -> dict:
+    """A track's figures. It has ranges only if its samples lie within the file and together take no more than its bytes."""
     spans: list[tuple[int, int]] = []
+    sizes = t["sizes"] if sum(t["sizes"]) <= length else []
     sample = 0
     for i, (first, per_chunk, _) in enumerate(t["runs"]):
         last = t["runs"][i + 1][0] - 1 if i + 1 < len(t["runs"]) else len(t["chunks"])
-        for offset in t["chunks"][first - 1 : last]:
-            if sample >= len(t["sizes"]):
+        if not 0 < first <= last + 1 or sample >= len(sizes):
+            break  # runs begin at rising chunks
+        for offset in t["chunks"][first - 1 : last] if per_chunk else ():
+            if sample >= len(sizes):
                 break
-            for size in t["sizes"][sample : sample + per_chunk]:
+            for size in sizes[sample : sample + per_chunk]:
                 spans.append((offset, size))
                 offset += size
             sample += per_chunk
+    if any(offset + size > length for offset, size in spans):
+        spans = []
     ticks = sum(n * delta for n, delta in t["times"]) or t["ticks"]
     syncs = range(1, len(spans) + 1) if t["syncs"] is None else t["syncs"]
     keys = [spans[s - 1] for s in syncs if 0 < s <= len(spans)]
