@@ -8,14 +8,15 @@ scoring needs.
 
 Labels are of documents, so sentences are labelled first, as bags of words: a sentence of a toxic document counts as
 toxic if it has a witness, a word found in so many different places of toxic sentences, and next to none of clean ones,
-that chance doesn't explain it. Each toxic sentence trains by its witnesses (also with a letter or mark inserted); each clean one
+that chance doesn't explain it; toxic texts that no such word explains may have rarer ones (see ``witnesses``). Each toxic sentence trains by its witnesses (also with a letter or mark inserted); each clean one
 by the word that currently scores highest, found anew in each round. A text scores as its worst word: the words
 between white space, their parts between other characters, and runs of single letters read as one word.
 
 Toxic texts that no word explains train a second machine of the same kind on whole sentences, whose symbols are words:
 pairs of words in order, at most three words apart, weighted by their distance. A text's sentences first all count as
 toxic, then only the one that scores highest. It is kept if, trained on half of those texts and of the clean ones, it
-finds half of the other toxic ones and none of the other clean ones; a text then scores as the worse of word and sentence.
+finds half of the other toxic ones and next to none (``NOISE``) of the other clean ones, of which a few may be labelled wrongly;
+a text then scores as the worse of word and sentence. Fewer than ``UNEXPLAINED`` such texts train no machine.
 
 The classifier is fitted on a sample of labelled rows, bounded by ``rows`` per label and ``longest`` characters a text,
 taken in order of a hash of the text; scoring covers whole texts of all rows.
@@ -31,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,9 @@ ROWS, LONGEST, LANDMARKS, ROUNDS, SEED = 3000, 20_000, 400, 4, 7
 WINDOW, MEMO, SHARP = 24, 200_000, 6.0
 NOTHING, LETTER = -2.0, -3.0
 #: Bits of a word pair's code, and unexplained texts that a sentence machine needs.
-PAIR_BITS, UNEXPLAINED = 18, 20
+PAIR_BITS, UNEXPLAINED = 18, 8
+#: Clean-labelled texts that may be wrong; share of chance finds among rare witnesses.
+NOISE, DISCOVERY = 0.01, 0.05
 SENTENCE = re.compile(r"[.!?\n]+")
 PARTS = re.compile(r"[^\W\d_]+")
 ADDRESS = re.compile(r"\W*(?:[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|[a-z][a-z0-9+.-]*://\S+)\W*")
@@ -167,11 +171,17 @@ def sentences_of(text: str | None) -> list[str]:
     return [s for s in SENTENCE.split((text or "").lower()) if s.strip()]
 
 
-def fit_sentences(bad: list[list[tuple]], clean: list[tuple]) -> tuple[np.ndarray, float]:
-    """Table over word pairs and bias, from the sentences of toxic texts (one list each) and those of clean ones."""
+def fit_sentences(bad: list[list[tuple]], clean: list[list[tuple]]) -> tuple[np.ndarray, float]:
+    """Table over word pairs and bias, from the sentences of toxic texts and those of clean ones, a list for each text.
+
+    Clean texts may be wrongly labelled: the border lies between the toxic texts and all but ``NOISE`` of the clean ones, if
+    they part; else above all clean ones.
+    """
     rng, best = np.random.default_rng(SEED), None
-    clean = [clean[i] for i in rng.permutation(len(clean))]
-    hard = clean[: 10 * LANDMARKS]
+    clean = [t for t in clean if t]
+    flat = [s for t in clean for s in t]
+    flat = [flat[i] for i in rng.permutation(len(flat))]
+    hard = flat[: 10 * LANDMARKS]
     for _ in range(ROUNDS):
         positive = [s for t in bad for s in t] if best is None else best
         marks = [positive[i] for i in rng.permutation(len(positive))[: LANDMARKS // 2]] + hard[: LANDMARKS // 2]
@@ -181,12 +191,13 @@ def fit_sentences(bad: list[list[tuple]], clean: list[tuple]) -> tuple[np.ndarra
         table, at = np.zeros(1 << PAIR_BITS), root @ w
         for x, (code, weight) in zip(at, marks, strict=True):
             table[code] += x * weight
-        score = [float(v @ table[c]) for c, v in clean]
-        hard = [clean[i] for i in np.argsort(score)[::-1][: 10 * LANDMARKS]]
+        score = [float(v @ table[c]) for c, v in flat]
+        hard = [flat[i] for i in np.argsort(score)[::-1][: 10 * LANDMARKS]]
         best = [max(t, key=lambda s: float(s[1] @ table[s[0]])) for t in bad]
     low = float(np.quantile([v @ table[c] for c, v in best], 0.1))
-    high = max(score, default=low - 1.0)
-    return table, -max((low + high) / 2, high + 1e-3)
+    worst = [max(float(v @ table[c]) for c, v in t) for t in clean] or [low - 1.0]
+    high = float(np.quantile(worst, 1 - NOISE, method="lower"))
+    return table, -(low + high) / 2 if low > high else -max(worst) - 1e-3
 
 
 def phrases(texts: list[str], labels: list[int], model: tuple[np.ndarray, float]) -> tuple[np.ndarray, float] | None:
@@ -195,39 +206,90 @@ def phrases(texts: list[str], labels: list[int], model: tuple[np.ndarray, float]
     bad = [t for t, y, m in zip(texts, labels, margins, strict=True) if y and m < 0]
     bad = [s for s in ([pairs_of(x) for x in sentences_of(t)] for t in dict.fromkeys(bad)) if s]
     clean = [[pairs_of(x) for x in sentences_of(t)] for t in dict.fromkeys(t for t, y in zip(texts, labels, strict=True) if not y)] if len(bad) >= UNEXPLAINED else []
-    if not clean:
+    if not any(clean):
         return None
-    flat = lambda part: [s for t in part for s in t]
-    table, bias = fit_sentences(bad[::2], flat(clean[::2]))
-    found = [any(w @ table[c] + bias > 0 for c, w in t) for t in bad[1::2]]
-    if 2 * sum(found) < len(found) or any(w @ table[c] + bias > 0 for t in clean[1::2] for c, w in t):
+    table, bias = fit_sentences(bad[::2], clean[::2])
+    hit = lambda part: sum(any(w @ table[c] + bias > 0 for c, w in t) for t in part)
+    if 2 * hit(bad[1::2]) < len(bad[1::2]) or hit(clean[1::2]) > NOISE * len(clean[1::2]):
         return None
-    return fit_sentences(bad, flat(clean))
+    return fit_sentences(bad, clean)
 
 
-def witnesses(sentences: list[tuple[str, int]]) -> list[str]:
-    """Words that toxic sentences have in common beyond chance.
+def witnesses(sentences: list[tuple[str, int, int]]) -> list[str]:
+    """Words that toxic sentences (sentence, label, number of its text) have in common beyond chance.
 
     A word counts once between the same two neighbours: copies of a toxic text, edited here and there, don't make its
-    rare words look like witnesses.
+    rare words look like witnesses. First come words that no word of the corpus would match by chance. Toxic texts without
+    one may have rarer ones: of the words in those texts, as many are taken as keep chance finds below ``DISCOVERY`` of all, and
+    of these only words that alone explain at least half of their texts. A word that came into toxic texts by chance stands
+    beside the words that explain them, and explains none.
     """
     both: dict[str, int] = {}
-    for s, y in sentences:
+    for s, y, _ in sentences:
         both[s] = max(y, both.get(s, 0))
     seen: dict[str, tuple[set, set]] = {}
     words = set()
     for now in (1, 0):  # toxic sentences first: of others, only the words these have matter
         for s, y in both.items():
             if y == now:
-                tokens = ["", *s.split(), ""]
-                for i in range(1, len(tokens) - 1):
-                    for u in units(tokens[i]):
-                        words.add(u)
-                        if y or u in seen:
-                            seen.setdefault(u, (set(), set()))[y].add(hash((tokens[i - 1], tokens[i + 1])))
-    share = min(0.5, max(sum(both.values()), 1) / max(1, len(both)))
+                for u, place in places_of(s):
+                    words.add(u)
+                    if y or u in seen:
+                        seen.setdefault(u, (set(), set()))[y].add(place)
+    toxic, clean = sum(both.values()), len(both) - sum(both.values())
+    share = min(0.5, max(toxic, 1) / max(1, len(both)))
     least = max(3.0, (np.log(max(2, len(words))) + 1) / np.log(1 / share))
-    return sorted(u for u, (clean, bad) in seen.items() if len(bad) >= least and len(clean) <= 0.05 * len(bad))
+    found = {u for u, (c, b) in seen.items() if len(b) >= least and len(c) <= 0.05 * len(b)}
+    return sorted(found | rare_witnesses(sentences, seen, found, clean))
+
+
+def places_of(sentence: str) -> list[tuple[str, int]]:
+    """Units of a sentence's words and the neighbours that each stands between."""
+    tokens = ["", *sentence.split(), ""]
+    return [(u, hash((tokens[i - 1], tokens[i + 1]))) for i in range(1, len(tokens) - 1) for u in units(tokens[i])]
+
+
+def rare_witnesses(sentences: list[tuple[str, int, int]], seen: dict[str, tuple[set, set]], found: set[str], clean: int) -> set[str]:
+    of: dict[int, list[str]] = {}
+    for s, y, t in sentences:
+        if y:
+            of.setdefault(t, []).append(s)
+    units_of = {t: {u for s in ss for u, _ in places_of(s)} for t, ss in of.items()}
+    open_ = {t for t, us in units_of.items() if not us & found}
+    bad: dict[str, set] = {}
+    texts: dict[str, set] = {}
+    for t in open_:
+        for s in of[t]:
+            for u, place in places_of(s):
+                bad.setdefault(u, set()).add(place)
+                texts.setdefault(u, set()).add(t)
+    n = sum(len(set(of[t])) for t in open_)
+    if not n or not clean:
+        return set()
+    share = min(0.5, n / (n + clean))
+    chance = {u: _tail(len(b), len(seen[u][0]), share) for u, b in bad.items() if len(b) >= 3 and len(texts[u]) >= 3 and len(seen[u][0]) <= 0.05 * len(b)}
+    order = sorted(chance, key=lambda u: (chance[u], u))
+    passed = [i for i, u in enumerate(order, 1) if chance[u] <= DISCOVERY * i / len(bad)]
+    chosen = set(order[: passed[-1]]) if passed else set()
+    count: dict[int, int] = {}
+    for u in chosen:
+        for t in texts[u]:
+            count[t] = count.get(t, 0) + 1
+    while chosen:  # the word that explains the smallest part of its texts alone goes, until each explains half of them
+        alone = {u: sum(count[t] == 1 for t in texts[u]) / len(texts[u]) for u in chosen}
+        u = min(sorted(chosen), key=lambda u: (alone[u], -chance[u]))
+        if alone[u] >= 0.5:
+            break
+        chosen.discard(u)
+        for t in texts[u]:
+            count[t] -= 1
+    return chosen
+
+
+def _tail(bad: int, clean: int, share: float) -> float:
+    """Chance that of bad + clean places at most clean are clean, if each is toxic with the given chance."""
+    n = bad + clean
+    return float(sum(comb(n, i) * (1 - share) ** i * share ** (n - i) for i in range(clean + 1)))
 
 
 def inserted(word: str, rng: np.random.Generator) -> str:
@@ -238,9 +300,9 @@ def inserted(word: str, rng: np.random.Generator) -> str:
 def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """The table over triples and the bias; all zero and very negative if a label is missing."""
     rng = np.random.default_rng(SEED)
-    sentences = [(s.strip().lower(), y) for t, y in zip(texts, labels, strict=True) for s in SENTENCE.split(t) if s.strip()]
+    sentences = [(s.strip().lower(), y, i) for i, (t, y) in enumerate(zip(texts, labels, strict=True)) for s in SENTENCE.split(t) if s.strip()]
     bad = witnesses(sentences)
-    clean = sorted({u for s, y in sentences if not y for t in s.split() for u in units(t)} - set(bad))
+    clean = sorted({u for s, y, _ in sentences if not y for t in s.split() for u in units(t)} - set(bad))
     if not bad or not clean:
         return np.zeros(CLASSES**3), NOTHING
     marks = bad[:: max(1, len(bad) // (LANDMARKS // 2))][: LANDMARKS // 2]
@@ -265,8 +327,8 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 class Scorer:
-    def __init__(self, table: np.ndarray, bias: float, sentences: tuple[np.ndarray, float] | None = None):
-        self.table, self.bias, self.sentences, self.memo = table, bias, sentences, Recent(MEMO)
+    def __init__(self, table: np.ndarray, bias: float, sentences: tuple[np.ndarray, float] | None = None, memo: int = MEMO):
+        self.table, self.bias, self.sentences, self.memo = table, bias, sentences, Recent(memo)
 
     def margins(self, texts: list[str | None]) -> list[float]:
         lists = [(t or "").lower().split() for t in texts]
@@ -319,8 +381,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     return [t for t, _ in picked], [y for _, y in picked]
 
 
-def classify(docs: DataFrame, model: tuple, columns: list, text: str = "text") -> DataFrame:
-    """columns (of docs) with score, 0 to 1, and predicted."""
+def classify(docs: DataFrame, model: tuple, columns: list, text: str = "text", memo: int = MEMO) -> DataFrame:
+    """columns (of docs) with score, 0 to 1, and predicted; memo bounds the words that a worker remembers, which changes no result."""
     used = np.flatnonzero(model[0])
     values, bias, sentences = model[0][used], model[1], model[2] if len(model) > 2 else None
     picked = small_batches(docs).select(F.struct(*columns).alias("row"), F.col(text).cast("string").alias("text"))
@@ -329,7 +391,7 @@ def classify(docs: DataFrame, model: tuple, columns: list, text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CLASSES**3)
         table[used] = values
-        scorer = Scorer(table, bias, sentences)
+        scorer = Scorer(table, bias, sentences, memo)
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.slice(i, 500)
@@ -346,10 +408,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return *model, phrases(texts, known, model)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", memo: int = MEMO) -> DataFrame:
     """docs, columns unchanged, without those predicted toxic."""
     model = train(docs.where(fold(F.col(key), 5) != 0), labels, key, text, label)
-    judged = classify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")], text)
+    judged = classify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")], text, memo)
     return judged.where("predicted = 0").select("doc.*")
 
 
