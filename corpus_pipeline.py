@@ -8,8 +8,8 @@ from tracewright.llm import exact_dedup, langid, near_dedup, packing, toxicity
 from tracewright.llm.common import materialize, read_table
 
 
-#: Words that a worker remembers for packing: fewer than packing alone would, as executors have served other stages before.
-WORDS = 250_000
+#: Words that a worker remembers for a stage: fewer than the operators alone would, as executors have served other stages before.
+WORDS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"), memo=WORDS)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
