@@ -261,8 +261,18 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"katz_tokens_{uuid.uuid4().hex}"
-    tokenised(docs, text, key, held, block).write.option("compression", "zstd").bucketBy(partitions, "block").saveAsTable(name)
-    table = spark.table(name)
+    kept: list[DataFrame] = []
+    try:
+        tokenised(docs, text, key, held, block).write.option("compression", "zstd").bucketBy(partitions, "block").saveAsTable(name)
+        return _scored(spark.table(name), partitions, order, kept)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for used in kept:
+            forget(used)
+
+
+def _scored(table: DataFrame, partitions: int, order: int, kept: list[DataFrame]) -> DataFrame:
+    """score's rows for a table of tokens, written; what is written on the way is added to kept."""
     size = table.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions, -(-size // BUCKET))
     levels = range(1, order + 1)
@@ -292,7 +302,9 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
 
         return combine
 
-    counted = [materialize(_answer(_ask(table, counts_of(k)), summed(k)), f"katz-counts-{k}") for k in levels]
+    for k in levels:
+        kept.append(materialize(_answer(_ask(table, counts_of(k)), summed(k)), f"katz-counts-{k}"))
+    counted = list(kept)
     figures = [_figures(c) or [0] * (LARGEST + 3) for c in counted]
     tokens, vocabulary = figures[0][-2:]
     d = [discounts(f[:-2]) for f in figures]
@@ -344,14 +356,14 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
         alpha[some] = (1 - used[some] / total[some]) / np.maximum(1 - lower[some], 1e-15)
         return lambda v, i, j: alpha[v[i:j]].astype("<f8").tobytes(), lambda v, i, j: packed(total[v[i:j]]), None, []
 
-    told, weights = table, []
+    told = table
     for k in levels:
         told = told.join(_by_block(counted[k - 1], f"n{k}"), "block")
         if k > 1:
             answers = _answer(_ask(told, shares_of(k)), weigh)
             if k < order:
                 answers = materialize(answers, f"katz-weights-{k}")
-                weights.append(answers)
+                kept.append(answers)
             told = told.join(_by_block(answers, f"w{k}"), "block")
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,11 +376,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
                 columns = [x.keys, x.held, x.lengths, sums[2], [tokens] * len(x.keys), sums[0], sums[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(columns, SCORED, strict=True)], [n for n, _ in SCORED])
 
-    scored = materialize(told.mapInArrow(evaluate, SCORED_DDL), "katz-scores")
-    spark.sql(f"DROP TABLE {name}")
-    for used in (*counted, *weights):
-        forget(used)
-    return scored
+    return materialize(told.mapInArrow(evaluate, SCORED_DDL), "katz-scores")
 
 
 SCORED = [("key", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
