@@ -62,6 +62,31 @@ def transition_rows(counts: DataFrame, alpha: float) -> DataFrame:
     return counts.withColumn("p", F.when(bottom == 0, 1 / k).otherwise((F.col("n") + F.lit(alpha)) / bottom))
 
 
+def stationary(rows: DataFrame, tolerance: float = 1e-12, squarings: int = 40) -> DataFrame:
+    """(trace_id, state, p): the stationary law of each trace's chain, from transition_rows, in one pass.
+
+    A trace has at most 36 cells, so its matrix is one array. The chain that stays put every other step has the same law and
+    no period; n squarings of its matrix, each scaled to rows of sum 1, are 2^n steps, after which all rows are the law. A
+    chain with several closed classes has no one law: an error.
+    """
+    cells = rows.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("source", "destination", "p"))).alias("cells"))
+    stay = lambda c: F.when(c["source"] == c["destination"], F.lit(0.5)).otherwise(F.lit(0.0))
+    cells = cells.select("trace_id", F.sqrt(F.size("cells")).cast("int").alias("k"), F.transform("cells", lambda c: c["p"].cast("double") / 2 + stay(c)).alias("m"))
+    k = F.col("k")
+    places, line = F.sequence(F.lit(0), k * k - 1), F.sequence(F.lit(0), k - 1)
+    start = lambda x: F.floor(x / k).cast("int") * k
+
+    def square(m: Column) -> Column:
+        product = F.transform(places, lambda x: F.aggregate(line, F.lit(0.0), lambda s, i: s + m[start(x) + i] * m[i * k + x % k]))
+        scaled = lambda q: F.transform(places, lambda x: q[x] / F.aggregate(line, F.lit(0.0), lambda s, i: s + q[start(x) + i]))
+        return F.transform(F.array(product), scaled)[0]
+
+    last = cells.select("trace_id", "k", F.aggregate(F.sequence(F.lit(1), F.lit(squarings)), F.col("m"), lambda m, _: square(m)).alias("m"))
+    apart = F.exists(places, lambda x: F.abs(F.col("m")[x] - F.col("m")[x % k]) > tolerance)
+    law = F.when(apart, F.raise_error(F.concat(F.lit("no single stationary law: trace "), "trace_id")).cast("array<double>")).otherwise(F.slice("m", F.lit(1), k))
+    return last.select("trace_id", F.posexplode(law).alias("state", "p"))
+
+
 def iat_samples(steps: DataFrame, by: list[str]) -> DataFrame:
     """Inter-arrival samples in order, as arrays, by edge, source or whole trace: the models' own payload."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "iat")))

@@ -69,6 +69,58 @@ def history_faults(rows: DataFrame) -> DataFrame:
     return overall.join(family, "generation", "full").where(F.coalesce(wrong, F.lit(True))).select("generation")
 
 
+def progress(rows: DataFrame, priority: dict[str, int], tolerance: float, patience: int, generations: int, by: list[str] | None = None) -> DataFrame:
+    """Per run (by) and generation of a history: its winner, the retained winner, the streak without gain, and the state reached.
+
+    The retained winner is a running arg-max under the candidates' own order (fitness, family priority, birth), so a later
+    equal never takes its place. state is hard_limit, early_stop (patience generations without a gain above tolerance; 0 never
+    stops) or running. One task orders a run's generations, some thousands at most.
+    """
+    by = by or []
+    place = F.element_at(F.create_map(*(F.lit(x) for item in priority.items() for x in item)), F.col("family"))
+    key = F.struct(F.col("best_fitness").alias("fitness"), (-place).alias("place"), (-F.col("best_birth_generation")).alias("born"), (-F.col("best_birth_index")).alias("index"), F.col("family"))
+    winner = rows.where("scope = 'family' AND best_birth_index IS NOT NULL").groupBy(*by, "generation").agg(F.max(key).alias("now"))
+    upto = Window.partitionBy(*by).orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("generation").rowsBetween(Window.unboundedPreceding, -1)
+    kept = winner.withColumn("kept", F.max("now").over(upto)).withColumn("past", F.max("now").over(before))
+    gained = F.coalesce(F.col("now.fitness") - F.col("past.fitness") > tolerance, F.lit(True))
+    last = F.max(F.when(gained, F.col("generation"))).over(upto)
+    kept = kept.withColumn("streak", F.col("generation") - last)
+    state = F.when(F.col("generation") == generations, "hard_limit").when(F.lit(patience > 0) & (F.col("streak") >= patience), "early_stop").otherwise("running")
+    out = [f(name) for name in ("now", "kept") for f in (
+        lambda n: F.col(f"{n}.family").alias(f"{n}_family"), lambda n: F.col(f"{n}.fitness").alias(f"{n}_fitness"),
+        lambda n: (-F.col(f"{n}.born")).alias(f"{n}_birth_generation"), lambda n: (-F.col(f"{n}.index")).alias(f"{n}_birth_index"),
+    )]
+    return kept.select(*by, "generation", *out, "streak", state.alias("state"))
+
+
+RETAINED = ("kept_family", "kept_fitness", "kept_birth_generation", "kept_birth_index", "streak")
+
+
+def progress_faults(stored: DataFrame, rows: DataFrame, priority: dict[str, int], tolerance: float, patience: int, generations: int, by: list[str] | None = None) -> DataFrame:
+    """(by, generation, fault) where what a run stored of its progress (RETAINED, by generation) isn't what its history implies.
+
+    worsened: the retained winner is worse than an earlier one; retained, streak: it or the streak differs; missing: one side
+    lacks the generation; continued: generations follow one that stopped early.
+    """
+    by = by or []
+    keys = [*by, "generation"]
+    before = Window.partitionBy(*by).orderBy("generation").rowsBetween(Window.unboundedPreceding, -1)
+    want = progress(rows, priority, tolerance, patience, generations, by)
+    want = want.withColumn("stopped", F.coalesce(F.max((F.col("state") == "early_stop").cast("int")).over(before), F.lit(0)) == 1)
+    held = stored.select(*keys, *RETAINED).withColumn("best_before", F.max("kept_fitness").over(before))
+    a, b = want.alias("a"), held.alias("b")
+    both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
+    here = F.col("a.streak").isNotNull() & F.col("b.best_before").isNotNull() | F.col("a.streak").isNotNull() & F.col("b.streak").isNotNull()
+    differ = ~(F.col("a.kept_family").eqNullSafe(F.col("b.kept_family")) & F.col("a.kept_fitness").eqNullSafe(F.col("b.kept_fitness")) & F.col("a.kept_birth_generation").eqNullSafe(F.col("b.kept_birth_generation")) & F.col("a.kept_birth_index").eqNullSafe(F.col("b.kept_birth_index")))
+    faults = F.array(
+        F.when(~here, "missing"), F.when(here & (F.col("b.kept_fitness") < F.col("b.best_before")), "worsened"), F.when(here & differ, "retained"),
+        F.when(here & ~F.col("a.streak").eqNullSafe(F.col("b.streak")), "streak"), F.when(F.col("a.stopped"), "continued"),
+    )
+    named = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]
+    return both.select(*named, F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("fault"))
+
+
 def duplicates(children: DataFrame, existing: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Children whose family and genes are already present, among those of equal by."""
     keys = [*by, "family", "genes"]

@@ -56,6 +56,10 @@ def transition_rows(spark, sf_dir):
     return fitting.transition_rows(counts(spark, sf_dir), ALPHA).select("trace_id", "source", "destination", nine("p"))
 
 
+def stationary_law(spark, sf_dir):
+    return fitting.stationary(fitting.transition_rows(counts(spark, sf_dir), ALPHA)).select("trace_id", "state", nine("p"))
+
+
 def timing_tiers(spark, sf_dir):
     return fitting.timing_tiers(counts(spark, sf_dir), SUPPORT).select("trace_id", "source", "destination", "tier")
 
@@ -106,6 +110,9 @@ FIT_SQL = {
     "markov_states": f"WITH {CODED} SELECT trace_id, seq, code, state FROM st",
     "transition_counts": f"WITH {CODED} SELECT * FROM tc",
     "transition_rows": f"WITH {CODED} SELECT trace_id, source, destination, round((n + {ALPHA}::DOUBLE) / (total + {ALPHA}::DOUBLE * k), 9) AS p FROM tr",
+    "stationary_law": f"WITH {CODED}, q0 AS MATERIALIZED (SELECT trace_id, source, destination, (n + {ALPHA}::DOUBLE) / (total + {ALPHA}::DOUBLE * k) / 2 + CASE WHEN source = destination THEN 0.5 ELSE 0 END AS p FROM tr), "
+    + ", ".join(f"q{i + 1} AS MATERIALIZED (SELECT a.trace_id, a.source, b.destination, sum(a.p * b.p) AS p FROM q{i} a JOIN q{i} b ON a.trace_id = b.trace_id AND a.destination = b.source GROUP BY ALL)" for i in range(12))
+    + " SELECT trace_id, destination AS state, round(avg(p), 9) AS p FROM q12 GROUP BY 1, 2",
     "timing_tiers": f"WITH {CODED} SELECT trace_id, source, destination, tier FROM tiers",
     "tier_usage": f"WITH {CODED} SELECT trace_id, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (tier = '{t}'), 0) AS BIGINT) AS {t}_count" for t in ("transition", "source", "global")) + " FROM tiers GROUP BY 1",
     "iat_samples": f"WITH {CODED} SELECT trace_id, source, destination, CAST(count(*) AS INTEGER) AS n, arg_min(iat, seq) AS first_iat, CAST(sum(iat) AS BIGINT) AS total_iat FROM steps GROUP BY 1, 2, 3",
@@ -168,6 +175,18 @@ def history_faults(spark, sf_dir):
     return selection.history_faults(broken)
 
 
+PRIORITY = {"markov_renewal": 1, "mmpp": 2, "poisson_empirical": 0}
+
+
+def history_progress(spark, sf_dir):
+    """Winners, retained winners and states of each workload's run."""
+    by_run = candidates(spark, sf_dir).groupBy("workload", "generation", "family").agg(
+        F.max("fitness").alias("best_fitness"), F.max_by(F.struct("birth_generation", "birth_index"), F.struct("fitness", -F.col("birth_generation"), -F.col("birth_index"))).alias("best")
+    )
+    rows = by_run.select("workload", "generation", "family", F.lit("family").alias("scope"), "best_fitness", F.col("best.birth_generation").alias("best_birth_generation"), F.col("best.birth_index").alias("best_birth_index"))
+    return selection.progress(rows, PRIORITY, 0.001, 3, 9, ["workload"])
+
+
 def duplicate_candidates(spark, sf_dir):
     c = candidates(spark, sf_dir)
     before = c.withColumn("generation", F.col("generation") + 1)
@@ -217,6 +236,15 @@ SEARCH_SQL = {
         g AS (SELECT generation, greatest(b, before) AS retained_best, CASE WHEN coalesce(b - before > 0.001, true) THEN generation END AS hit FROM p)
         SELECT generation, retained_best, generation - max(hit) OVER (ORDER BY generation) AS streak FROM g""",
     "history_faults": f"WITH {CAND} SELECT DISTINCT generation FROM c WHERE generation % 4 = 1",
+    "history_progress": f"""WITH {CAND}, o AS (SELECT *, row_number() OVER (PARTITION BY workload, generation ORDER BY fitness DESC, priority, birth_generation, birth_index) AS r FROM c), w AS (SELECT * FROM o WHERE r = 1),
+        h AS (SELECT w.workload, w.generation, p.family, p.fitness, p.birth_generation, p.birth_index, row_number() OVER (PARTITION BY w.workload, w.generation ORDER BY p.fitness DESC, p.priority, p.birth_generation, p.birth_index) AS r
+          FROM w JOIN w p ON p.workload = w.workload AND p.generation <= w.generation),
+        k AS (SELECT * FROM h WHERE r = 1),
+        g AS (SELECT w.workload, w.generation, CASE WHEN coalesce(w.fitness - lag(k.fitness) OVER (PARTITION BY w.workload ORDER BY w.generation) > 0.001, true) THEN w.generation END AS hit FROM w JOIN k USING (workload, generation)),
+        s AS (SELECT workload, generation, generation - max(hit) OVER (PARTITION BY workload ORDER BY generation) AS streak FROM g)
+        SELECT workload, generation, w.family AS now_family, w.fitness AS now_fitness, w.birth_generation AS now_birth_generation, w.birth_index AS now_birth_index, k.family AS kept_family, k.fitness AS kept_fitness,
+        k.birth_generation AS kept_birth_generation, k.birth_index AS kept_birth_index, streak, CASE WHEN generation = 9 THEN 'hard_limit' WHEN streak >= 3 THEN 'early_stop' ELSE 'running' END AS state
+        FROM w JOIN k USING (workload, generation) JOIN s USING (workload, generation)""",
     "duplicate_candidates": f"WITH {CAND} SELECT birth_generation, birth_index, family, genes FROM c WHERE (generation, family, genes) IN (SELECT (generation + 1, family, genes) FROM c)",
     "candidate_trials": f"""WITH {CAND}, t AS (SELECT *, CASE WHEN status = 'valid' THEN fitness * (1 - seed / 100.0::DOUBLE) END AS s FROM c, (VALUES (17), (19), (23)) AS v(seed))
         SELECT birth_generation, birth_index, family, CASE WHEN count(s) = 3 THEN round(avg(s), 9) ELSE 0 END AS fitness, CASE WHEN count(s) = 3 THEN 'valid' ELSE 'invalid' END AS status FROM t GROUP BY 1, 2, 3""",
@@ -514,8 +542,8 @@ def genetic_search(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        mark_counts, mark_distribution, type7_thresholds, markov_states, transition_counts, transition_rows, timing_tiers, tier_usage, iat_samples, poisson_rate, flow_check, short_transitions,
-        candidate_rank, global_elites, family_champions, retained_population, generation_history, stagnation, history_faults, duplicate_candidates, candidate_trials, gene_coordinates, regime_probabilities, family_quotas,
+        mark_counts, mark_distribution, type7_thresholds, markov_states, transition_counts, transition_rows, stationary_law, timing_tiers, tier_usage, iat_samples, poisson_rate, flow_check, short_transitions,
+        candidate_rank, global_elites, family_champions, retained_population, generation_history, stagnation, history_faults, history_progress, duplicate_candidates, candidate_trials, gene_coordinates, regime_probabilities, family_quotas,
         sample_record, descriptive_stats, direction_values, natural_variation, controlled_reweighting, score_means, score_delta, training_selection, workload_summary, invalid_report, bootstrap_ci, lag_one_covariance,
         dimension_counts, frame_headers, lineage_mismatch, content_identity, transfer_headers, url_validation, pcapng_scan, capture_files, capture_inspection, poisson_generate, mmpp_generate, markov_generate, genetic_search,
     )
