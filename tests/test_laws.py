@@ -91,3 +91,27 @@ def test_progress_faults(spark):
     assert faults(bad) == {(0, 4, "worsened"), (0, 4, "retained"), (1, 2, "retained"), (2, 3, "streak"), (3, 8, "missing")}
     want = {(run, g, "continued") for run in range(6) for s in [course([r for r in data if r[0] == run], 0.001, 2, 8)] for g in s if any(s[e][9] == "early_stop" for e in s if e < g)}
     assert want and faults(stored, 2) == want
+
+
+# Payloads
+
+
+@pytest.mark.parametrize("size, chunk", [(4, 3), (1, 1000), (1000, 7)])
+def test_chunks_of_payloads(spark, size, chunk):
+    from tracewright.operators import ordered
+
+    rng = random.Random(size)
+    data = [(k, rng.choice([0, 1, 2]), rng.randrange(-50, 60), i) for k in "ab" for i in range(90)] + [("one", 0, 5, 0)]
+    rows = spark.createDataFrame(data, "k string, j int, at bigint, x int").repartition(5)
+    got: dict = {}
+    chunks = ordered.in_chunks(rows, ["k", "j"], "at", ["x"], size, chunk).persist()
+    for r in chunks.orderBy("chunk").collect():
+        assert r.first_rank == r.chunk * size + 1 and 1 <= len(r.entries) <= size
+        got.setdefault((r.k, r.j), []).extend(e.x for e in r.entries)
+    want: dict = {}
+    for k, j, _, x in sorted(data, key=lambda r: (r[2], r[3])):
+        want.setdefault((k, j), []).append(x)
+    assert got == want
+    asked = [(k, j, r) for (k, j) in want for r in (1, 3, len(want[k, j]), len(want[k, j]) + 1, 0)]
+    found = ordered.entries_at(chunks, spark.createDataFrame(asked, "k string, j int, rank bigint"), ["k", "j"], size).collect()
+    assert sorted((r.k, r.j, r["rank"], r.entry.x) for r in found) == sorted((k, j, r, want[k, j][r - 1]) for k, j, r in asked if 1 <= r <= len(want[k, j]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import size_bin, timing_tier
-from .ordered import join_few, lagged
+from .ordered import in_chunks, join_few, lagged
 
 
 def marks(trace: DataFrame) -> DataFrame:
@@ -20,6 +20,11 @@ def mark_distribution(trace: DataFrame) -> DataFrame:
     return marks(trace).groupBy("trace_id").agg(F.array_sort(F.collect_list(entry)).alias("marks"))
 
 
+def mark_chunks(trace: DataFrame, size: int = 4096) -> DataFrame:
+    """The marks of each trace by first appearance, in arrays of at most size: for traces with very many."""
+    return in_chunks(marks(trace), ["trace_id"], "first_seq", ["direction", "frame_length", "count", "first_seq"], size)
+
+
 def type7_thresholds(trace: DataFrame, q1: float, q2: float) -> DataFrame:
     """Two linearly interpolated quantiles of length per trace, from counts by length.
 
@@ -93,6 +98,11 @@ def iat_samples(steps: DataFrame, by: list[str]) -> DataFrame:
     return steps.groupBy("trace_id", *by).agg(F.transform(ordered, lambda x: x["iat"]).alias("iats"))
 
 
+def iat_chunks(steps: DataFrame, by: list[str], size: int = 4096) -> DataFrame:
+    """iat_samples in arrays of at most size, so that a sample of any size can be drawn from by rank."""
+    return in_chunks(steps, ["trace_id", *by], "seq", ["iat", "seq"], size)
+
+
 def timing_tiers(counts: DataFrame, minimum: int) -> DataFrame:
     """Per edge: the tier whose sample a step over it draws from."""
     row = Window.partitionBy("trace_id", "source")

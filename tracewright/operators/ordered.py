@@ -25,6 +25,31 @@ def numbered(rows: DataFrame, trace: str, order: str, seq: str = "seq", chunk: i
     return rows.withColumn("__part", part).join(starts, [trace, "__part"]).withColumn(seq, (F.col("__start") + own).cast("bigint")).drop("__part", "__start")
 
 
+def in_chunks(rows: DataFrame, by: list[str], order: str, entry: list[str], size: int = 4096, chunk: int = CHUNK) -> DataFrame:
+    """(by, chunk, first_rank, entries): each group's rows in ascending order, as arrays of at most size entries.
+
+    The row of rank r, from 1, is entry (r - 1) % size of chunk (r - 1) // size, so any rank is found without reading the group.
+    No task and no array grows with a group: ranks come from counts by ranges of order, an integer. Rows alike in order are in
+    the order of their entries.
+    """
+    part = F.floor(F.col(order) / chunk)
+    sizes = rows.groupBy(*by, part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order, *entry))
+    ranked = rows.withColumn("__part", part).join(starts, [*by, "__part"]).withColumn("__rank", F.col("__start") + own)
+    packed = ranked.groupBy(*by, F.floor((F.col("__rank") - 1) / size).alias("chunk"))
+    listed = packed.agg(F.min("__rank").alias("first_rank"), F.array_sort(F.collect_list(F.struct("__rank", F.struct(*entry).alias("e")))).alias("__entries"))
+    return listed.select(*by, "chunk", "first_rank", F.transform("__entries", lambda x: x["e"]).alias("entries"))
+
+
+def entries_at(chunks: DataFrame, wanted: DataFrame, by: list[str], size: int = 4096) -> DataFrame:
+    """wanted (by, rank) with the entry of each rank; ranks that a group doesn't have are left out."""
+    place = wanted.withColumn("chunk", F.floor((F.col("rank") - 1) / size))
+    found = place.join(chunks, [*by, "chunk"]).withColumn("entry", F.get("entries", (F.col("rank") - F.col("first_rank")).cast("int")))
+    return found.where("entry IS NOT NULL").drop("chunk", "first_rank", "entries")
+
+
 def join_few(rows: DataFrame, few: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
     """rows with the columns of few, one row per key: broadcast if a count shows at most that many, else shuffled.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import order_figures
+from .ordered import in_chunks, order_figures
 from .similarity import METHODS, Settings, aggregate, compare_pairs
 
 BOOTSTRAP_SEED = 1729
@@ -144,6 +144,13 @@ def invalid_report(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.where("status = 'invalid'").groupBy(*by).agg(F.count("*").alias("failures"), F.array_sort(F.collect_list(entry)).alias("diagnostics"))
 
 
+def invalid_chunks(candidates: DataFrame, by: list[str], size: int = 4096) -> DataFrame:
+    """Failures of invalid candidates by run, in arrays of at most size, in the order of birth."""
+    order = F.col("birth_generation").cast("bigint") * (1 << 40) + F.col("birth_index")
+    failed = candidates.where("status = 'invalid'").withColumn("__order", order)
+    return in_chunks(failed, by, "__order", ["birth_generation", "birth_index", "family", "failure_kind", "detail"], size)
+
+
 def lag_one_covariance(series: DataFrame, by: list[str], value: str, seq: str = "seq") -> DataFrame:
     from .ordered import join_few, lagged
 

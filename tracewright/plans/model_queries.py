@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames, numeric
 from ..operators import fitting, models, selection, study
-from ..operators.ordered import numbered
+from ..operators.ordered import entries_at, numbered
 from ..operators.traces import iats
 from ..sources import artifacts, capture_splits, headers, inspection, pcapng
 from ..sources.shared import new_folder
@@ -74,6 +74,39 @@ def iat_samples(spark, sf_dir):
     return found.select("trace_id", "source", "destination", F.size("iats").alias("n"), F.col("iats")[0].alias("first_iat"), total.alias("total_iat"))
 
 
+#: Entries of a payload's arrays in the queries; small, so that small tables have several.
+PAYLOAD = 64
+
+
+def iat_payloads(spark, sf_dir):
+    """Inter-arrival samples of all three levels (edge, source, trace) as ordered chunks of bounded arrays."""
+    steps = fitting.transitions(stated(spark, sf_dir)).persist()
+    out = None
+    for level, by in (("edge", ["source", "destination"]), ("source", ["source"]), ("global", [])):
+        chunks = fitting.iat_chunks(steps, by, PAYLOAD)
+        named = [F.col(c).cast("int").alias(c) if c in by else F.lit(-1).alias(c) for c in ("source", "destination")]
+        first, last = F.col("entries")[0], F.element_at("entries", -1)
+        total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, x: a + x["iat"])
+        rows = chunks.select(F.lit(level).alias("level"), "trace_id", *named, "chunk", "first_rank", F.size("entries").alias("n"), first["iat"].alias("first_iat"), last["seq"].alias("last_seq"), total.alias("total_iat"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mark_payloads(spark, sf_dir):
+    chunks = fitting.mark_chunks(trace(spark, sf_dir), PAYLOAD)
+    total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, x: a + x["count"])
+    return chunks.select("trace_id", "chunk", "first_rank", F.size("entries").alias("n"), F.col("entries")[0]["first_seq"].alias("first_seq"), F.element_at("entries", -1)["frame_length"].alias("last_length"), total.alias("total"))
+
+
+def sampled_iats(spark, sf_dir):
+    """Every hundredth rank of each edge's sample, looked up in the chunks."""
+    chunks = fitting.iat_chunks(fitting.transitions(stated(spark, sf_dir)), ["source", "destination"], PAYLOAD).persist()
+    by = ["trace_id", "source", "destination"]
+    sizes = chunks.groupBy(*by).agg(F.max(F.col("first_rank") + F.size("entries") - 1).alias("n"))
+    wanted = sizes.select(*by, F.explode(F.sequence(F.lit(1).cast("bigint"), "n", F.lit(100).cast("bigint"))).alias("rank"))
+    return entries_at(chunks, wanted, by, PAYLOAD).select(*by, "rank", F.col("entry.iat").alias("iat"))
+
+
 def poisson_rate(spark, sf_dir):
     return fitting.poisson_rates(trace(spark, sf_dir), SCALE).select("trace_id", nine("base_rate"), nine("rate"))
 
@@ -116,6 +149,12 @@ FIT_SQL = {
     "timing_tiers": f"WITH {CODED} SELECT trace_id, source, destination, tier FROM tiers",
     "tier_usage": f"WITH {CODED} SELECT trace_id, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (tier = '{t}'), 0) AS BIGINT) AS {t}_count" for t in ("transition", "source", "global")) + " FROM tiers GROUP BY 1",
     "iat_samples": f"WITH {CODED} SELECT trace_id, source, destination, CAST(count(*) AS INTEGER) AS n, arg_min(iat, seq) AS first_iat, CAST(sum(iat) AS BIGINT) AS total_iat FROM steps GROUP BY 1, 2, 3",
+    "iat_payloads": f"""WITH {CODED}, l AS (SELECT 'edge' AS level, trace_id, source, destination, seq, iat FROM steps UNION ALL SELECT 'source', trace_id, source, -1, seq, iat FROM steps UNION ALL SELECT 'global', trace_id, -1, -1, seq, iat FROM steps),
+        r AS (SELECT *, row_number() OVER (PARTITION BY level, trace_id, source, destination ORDER BY seq) AS rank FROM l)
+        SELECT level, trace_id, source, destination, (rank - 1) // {PAYLOAD} AS chunk, min(rank) AS first_rank, CAST(count(*) AS INTEGER) AS n, arg_min(iat, rank) AS first_iat, max(seq) AS last_seq, CAST(sum(iat) AS BIGINT) AS total_iat FROM r GROUP BY 1, 2, 3, 4, 5""",
+    "mark_payloads": f"""WITH {TRACE}, m AS (SELECT trace_id, frame_length, count(*) AS c, min(seq) AS f FROM trace GROUP BY 1, 2, direction), r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY f) AS rank FROM m)
+        SELECT trace_id, (rank - 1) // {PAYLOAD} AS chunk, min(rank) AS first_rank, CAST(count(*) AS INTEGER) AS n, min(f) AS first_seq, arg_max(frame_length, rank) AS last_length, CAST(sum(c) AS BIGINT) AS total FROM r GROUP BY 1, 2""",
+    "sampled_iats": f"WITH {CODED}, r AS (SELECT *, row_number() OVER (PARTITION BY trace_id, source, destination ORDER BY seq) AS rank FROM steps) SELECT trace_id, source, destination, rank, iat FROM r WHERE rank % 100 = 1",
     "poisson_rate": f"WITH {TRACE}, p AS (SELECT trace_id, (count(*) - 1) / (max(ts_us) / 1e6) AS b FROM trace GROUP BY 1) SELECT trace_id, round(b, 9) AS base_rate, round(b * {SCALE}, 9) AS rate FROM p",
     "flow_check": f"""WITH RECURSIVE {CODED}, e AS (SELECT trace_id, source AS a, destination AS b FROM tc UNION SELECT trace_id, destination, source FROM tc),
         reached(trace_id, state) AS (SELECT trace_id, min(state) FROM st GROUP BY 1 UNION SELECT e.trace_id, e.b FROM reached r JOIN e ON e.trace_id = r.trace_id AND e.a = r.state), f AS (SELECT p.trace_id, p.state, packets, (SELECT sum(n) FROM tc WHERE tc.trace_id = p.trace_id AND source = p.state) AS o, (SELECT sum(n) FROM tc WHERE tc.trace_id = p.trace_id AND destination = p.state) AS i
@@ -324,6 +363,13 @@ def invalid_report(spark, sf_dir):
     return study.invalid_report(c, ["workload", "repeat"]).select("workload", "repeat", "failures", F.size("diagnostics").cast("bigint").alias("listed"))
 
 
+def invalid_payloads(spark, sf_dir):
+    c = candidates(spark, sf_dir).withColumn("failure_kind", F.lit("fit")).withColumn("detail", F.lit(""))
+    chunks = study.invalid_chunks(c, ["workload"], PAYLOAD)
+    last = F.element_at("entries", -1)
+    return chunks.select("workload", "chunk", "first_rank", F.size("entries").alias("n"), F.col("entries")[0]["birth_index"].alias("first_birth"), last["birth_index"].alias("last_birth"), last["family"].alias("last_family"))
+
+
 def bootstrap_ci(spark, sf_dir):
     return study.bootstrap(read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal")
 
@@ -359,6 +405,8 @@ STUDY_SQL = {
         SELECT workload, """
     + ", ".join(f"round(avg(fitness) FILTER (family = '{f}'), 9) AS {f}_mean, CAST(coalesce(sum(win) FILTER (family = '{f}'), 0) AS BIGINT) AS {f}_wins" for f in FAMILIES)
     + ", round(max(v), 9) AS win_variance FROM w JOIN n USING (workload) GROUP BY 1",
+    "invalid_payloads": f"""WITH {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY birth_generation, birth_index) AS rank FROM c WHERE status = 'invalid')
+        SELECT workload, (rank - 1) // {PAYLOAD} AS chunk, min(rank) AS first_rank, CAST(count(*) AS INTEGER) AS n, arg_min(birth_index, rank) AS first_birth, arg_max(birth_index, rank) AS last_birth, arg_max(family, rank) AS last_family FROM r GROUP BY 1, 2""",
     "invalid_report": f"WITH {CAND} SELECT workload, repeat, count(*) AS failures, count(*) AS listed FROM c WHERE status = 'invalid' GROUP BY 1, 2",
 }
 
@@ -542,9 +590,9 @@ def genetic_search(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        mark_counts, mark_distribution, type7_thresholds, markov_states, transition_counts, transition_rows, stationary_law, timing_tiers, tier_usage, iat_samples, poisson_rate, flow_check, short_transitions,
+        mark_counts, mark_distribution, type7_thresholds, markov_states, transition_counts, transition_rows, stationary_law, timing_tiers, tier_usage, iat_samples, iat_payloads, mark_payloads, sampled_iats, poisson_rate, flow_check, short_transitions,
         candidate_rank, global_elites, family_champions, retained_population, generation_history, stagnation, history_faults, history_progress, duplicate_candidates, candidate_trials, gene_coordinates, regime_probabilities, family_quotas,
-        sample_record, descriptive_stats, direction_values, natural_variation, controlled_reweighting, score_means, score_delta, training_selection, workload_summary, invalid_report, bootstrap_ci, lag_one_covariance,
+        sample_record, descriptive_stats, direction_values, natural_variation, controlled_reweighting, score_means, score_delta, training_selection, workload_summary, invalid_report, invalid_payloads, bootstrap_ci, lag_one_covariance,
         dimension_counts, frame_headers, lineage_mismatch, content_identity, transfer_headers, url_validation, pcapng_scan, capture_files, capture_inspection, poisson_generate, mmpp_generate, markov_generate, genetic_search,
     )
 }
