@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import comb
 
@@ -227,20 +228,32 @@ def witnesses(sentences: list[tuple[str, int, int]]) -> list[str]:
     both: dict[str, int] = {}
     for s, y, _ in sentences:
         both[s] = max(y, both.get(s, 0))
-    seen: dict[str, tuple[set, set]] = {}
-    words = set()
+    # every place once: numbers in arrays, as sets of them would take some hundred bytes each
+    ids: dict[str, int] = {}
+    words, owner, place = set(), array("q"), array("q")
     for now in (1, 0):  # toxic sentences first: of others, only the words these have matter
         for s, y in both.items():
             if y == now:
-                for u, place in places_of(s):
+                for u, at in places_of(s):
                     words.add(u)
-                    if y or u in seen:
-                        seen.setdefault(u, (set(), set()))[y].add(place)
+                    i = ids.setdefault(u, len(ids)) if y else ids.get(u)
+                    if i is not None:
+                        owner.append(2 * i + y)
+                        place.append(at)
+    size = len(words)
+    del words
+    owner, place = np.frombuffer(owner, np.int64), np.frombuffer(place, np.int64)
+    order = np.lexsort((place, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (place[order][1:] != place[order][:-1])
+    count = np.bincount(owner[order][new], minlength=2 * len(ids)).reshape(-1, 2).tolist()
+    seen = {u: tuple(count[i]) for u, i in ids.items()}
+    del owner, place, order, new, count, ids
     toxic, clean = sum(both.values()), len(both) - sum(both.values())
     share = min(0.5, max(toxic, 1) / max(1, len(both)))
-    least = max(3.0, (np.log(max(2, len(words))) + 1) / np.log(1 / share))
-    found = {u for u, (c, b) in seen.items() if len(b) >= least and len(c) <= 0.05 * len(b)}
-    return sorted(found | rare_witnesses(sentences, seen, found, clean))
+    least = max(3.0, (np.log(max(2, size)) + 1) / np.log(1 / share))
+    found = {u for u, (c, b) in seen.items() if b >= least and c <= 0.05 * b}
+    return sorted(found | rare_witnesses(sentences, {u: c for u, (c, _) in seen.items()}, found, clean))
 
 
 def places_of(sentence: str) -> list[tuple[str, int]]:
@@ -249,13 +262,13 @@ def places_of(sentence: str) -> list[tuple[str, int]]:
     return [(u, hash((tokens[i - 1], tokens[i + 1]))) for i in range(1, len(tokens) - 1) for u in units(tokens[i])]
 
 
-def rare_witnesses(sentences: list[tuple[str, int, int]], seen: dict[str, tuple[set, set]], found: set[str], clean: int) -> set[str]:
+def rare_witnesses(sentences: list[tuple[str, int, int]], seen: dict[str, int], found: set[str], clean: int) -> set[str]:
+    """seen: the places of each word in clean sentences, of which there are clean."""
     of: dict[int, list[str]] = {}
     for s, y, t in sentences:
         if y:
             of.setdefault(t, []).append(s)
-    units_of = {t: {u for s in ss for u, _ in places_of(s)} for t, ss in of.items()}
-    open_ = {t for t, us in units_of.items() if not us & found}
+    open_ = {t for t, ss in of.items() if not any(u in found for s in ss for u, _ in places_of(s))}
     bad: dict[str, set] = {}
     texts: dict[str, set] = {}
     for t in open_:
@@ -267,7 +280,7 @@ def rare_witnesses(sentences: list[tuple[str, int, int]], seen: dict[str, tuple[
     if not n or not clean:
         return set()
     share = min(0.5, n / (n + clean))
-    chance = {u: _tail(len(b), len(seen[u][0]), share) for u, b in bad.items() if len(b) >= 3 and len(texts[u]) >= 3 and len(seen[u][0]) <= 0.05 * len(b)}
+    chance = {u: _tail(len(b), seen[u], share) for u, b in bad.items() if len(b) >= 3 and len(texts[u]) >= 3 and seen[u] <= 0.05 * len(b)}
     order = sorted(chance, key=lambda u: (chance[u], u))
     passed = [i for i, u in enumerate(order, 1) if chance[u] <= DISCOVERY * i / len(bad)]
     chosen = set(order[: passed[-1]]) if passed else set()
