@@ -6,8 +6,8 @@ the end of the file, stco or co64, uniform or listed sample sizes, with or witho
 sample tables to codec, duration and keyframe byte ranges; payload bytes are never interpreted.
 
 Edge cases: a null text counts as empty, and an empty payload still fills one frame; a truncated or foreign file
-gives no ranges (and codec None where it names none): a track has them only if all its samples lie within the file and
-together take no more than its bytes; equal payloads give equal files; other columns are not read.
+gives what its boxes say before they end, codec None and no ranges if they say nothing; a file names no more samples than it
+has bytes, and payload is read back only where its ranges together take no more than the file's bytes; equal payloads give equal files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -140,13 +140,13 @@ def inspect(data: bytes) -> list[dict]:
                 t["sizes"] = [size] * n if size else [r[0] for r in struct.iter_unpack(">I", body[12 : 12 + 4 * n])]
         except struct.error:
             continue
-    return [_track(t, len(data)) for t in tracks]
+    return [_track(t) for t in tracks]
 
 
-def _track(t: dict, length: int) -> dict:
-    """A track's figures. It has ranges only if its samples lie within the file and together take no more than its bytes."""
+def _track(t: dict) -> dict:
+    """A track's figures. Ranges are those of the sample tables, whether or not the file holds the bytes."""
     spans: list[tuple[int, int]] = []
-    sizes = t["sizes"] if sum(t["sizes"]) <= length else []
+    sizes = t["sizes"]
     sample = 0
     for i, (first, per_chunk, _) in enumerate(t["runs"]):
         last = t["runs"][i + 1][0] - 1 if i + 1 < len(t["runs"]) else len(t["chunks"])
@@ -159,8 +159,6 @@ def _track(t: dict, length: int) -> dict:
                 spans.append((offset, size))
                 offset += size
             sample += per_chunk
-    if any(offset + size > length for offset, size in spans):
-        spans = []
     ticks = sum(n * delta for n, delta in t["times"]) or t["ticks"]
     syncs = range(1, len(spans) + 1) if t["syncs"] is None else t["syncs"]
     keys = [spans[s - 1] for s in syncs if 0 < s <= len(spans)]
@@ -185,7 +183,8 @@ def _features(batches):
         for data in b.column("media"):
             data = data.as_py() or b""
             track = next(iter(inspect(data)), {"codec": None, "duration": 0.0, "samples": [], "keyframes": []})
-            payload = b"".join(data[o : o + s] for o, s in track["samples"])
+            claimed = sum(s for _, s in track["samples"])
+            payload = b"".join(data[o : o + s] for o, s in track["samples"]) if claimed <= len(data) else b""
             for k, v in zip(out, (len(data), hashlib.sha256(data).hexdigest(), track["codec"], track["duration"], [{"offset": o, "size": s} for o, s in track["keyframes"]], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:])), strict=True):
                 out[k].append(v)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), pa.int64(), pa.string(), pa.int64()]
