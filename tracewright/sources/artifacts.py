@@ -25,6 +25,7 @@ from ..operators.models import ESTIMATORS, SEEDS, restore
 RUN_LOG = "event string, stage string, status string, detail string, generation bigint, seed bigint, elapsed_seconds double"
 HISTORY = "generation int, scope string, family string, candidate_count int, valid_count int, best_fitness double, mean_fitness double, best_birth_generation int, best_birth_index int"
 HISTORY_COLUMNS = tuple(c.split()[0] for c in HISTORY.split(", "))
+# The outer keys of a model file.
 BEST_MODEL_KEYS = frozenset(
     "version scientific_artifact_schema family genes fitted reference_identity capture_identity final_seed final_limits observation_window_seconds gene_bounds estimator_choices seed_policy".split()
 )
