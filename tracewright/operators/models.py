@@ -7,17 +7,22 @@ incomplete, never shorter.
 
 from __future__ import annotations
 
+import json
 import math
 import time
-from collections.abc import Callable
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Arrays
+from ..functions.kernels import Arrays, Events
+from .ordered import CHUNK, in_chunks
 
 # Families, genes and how their coordinates are scaled.
 GENES = {
@@ -36,6 +41,11 @@ def rng_of(seed: int) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(seed))
 
 
+def place(rng: np.random.Generator, n: int) -> int:
+    """The draw of rng.choice(n), the same from the same stream, without choice's checks, which take five times as long."""
+    return int(rng.integers(0, n))
+
+
 @dataclass(frozen=True)
 class Limits:
     max_packets: int = 20_000
@@ -73,7 +83,7 @@ class Guard:
 
 @dataclass
 class Generated:
-    events: list[tuple[float, int, int]] = field(default_factory=list)
+    events: Events = field(default_factory=Events)
     reason: str | None = None
     counters: dict[str, int] = field(default_factory=dict)
 
@@ -120,10 +130,9 @@ class Marks:
 
     @classmethod
     def of(cls, t: Arrays) -> Marks:
-        counts: dict[tuple[int, int], int] = {}
-        for key in zip(t.direction.tolist(), t.length.tolist(), strict=True):
-            counts[key] = counts.get(key, 0) + 1
-        return cls(tuple((d, n, c) for (d, n), c in counts.items()))
+        _, first, counts = np.unique(t.length * 2 + t.direction, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        return cls(tuple((int(t.direction[i]), int(t.length[i]), int(c)) for i, c in zip(first[order], counts[order], strict=True)))
 
     @property
     def totals(self) -> np.ndarray:
@@ -131,15 +140,36 @@ class Marks:
 
     def sampler(self) -> Callable[[np.random.Generator], tuple[int, int]]:
         """One integer draw, then the first entry whose running count exceeds it."""
-        totals = self.totals
-        return lambda rng: self.entries[int(np.searchsorted(totals, rng.choice(int(totals[-1])), "right"))][:2]
+        totals, kinds = self.totals.tolist(), [e[:2] for e in self.entries]
+        return lambda rng: kinds[bisect_right(totals, place(rng, totals[-1]))]
 
 
 def clamp(x: float, bound: tuple[float, float]) -> float:
     return min(max(x, bound[0]), bound[1])
 
 
-def thresholds(length: np.ndarray, q1: float, q2: float) -> tuple[float, float]:
+@dataclass(frozen=True)
+class Lengths:
+    """The lengths of a trace as counts by value, ascending."""
+
+    values: np.ndarray
+    counts: np.ndarray
+
+    def __len__(self) -> int:
+        return int(self.counts.sum())
+
+    def quantile(self, q: float) -> float:
+        """np.quantile's linear one, with the same steps, so to the last digit."""
+        at = (len(self) - 1) * q
+        low = math.floor(at)
+        a, b = (float(self.values[np.searchsorted(np.cumsum(self.counts), min(i, len(self) - 1), "right")]) for i in (low, low + 1))
+        t = at - low
+        return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
+
+
+def thresholds(length: np.ndarray | Lengths, q1: float, q2: float) -> tuple[float, float]:
+    if isinstance(length, Lengths):
+        return length.quantile(q1), length.quantile(q2)
     a, b = np.quantile(length, (q1, q2), method="linear")
     return float(a), float(b)
 
@@ -236,11 +266,11 @@ class Mmpp:
 class Markov:
     thresholds: tuple[float, float]
     states: tuple[tuple[int, int], ...]
-    lengths: tuple[tuple[int, ...], ...]
+    lengths: tuple[array, ...]
     rows: tuple[tuple[float, ...], ...]
-    edge_iats: tuple[tuple[tuple[float, ...], ...], ...]
-    source_iats: tuple[tuple[float, ...], ...]
-    global_iats: tuple[float, ...]
+    edge_iats: tuple[tuple[array, ...], ...]
+    source_iats: tuple[array, ...]
+    global_iats: array
     minimum_support: int
     time_scale: float
     alpha: float
@@ -250,20 +280,24 @@ class Markov:
         q1, q2, alpha, support, scale = genes
         cut = thresholds(t.length, q1, q2)
         code = t.direction * 3 + np.searchsorted(cut, t.length, "left")
-        kinds = list(dict.fromkeys(code.tolist()))
-        state = np.array([kinds.index(c) for c in code.tolist()])
+        seen, first = np.unique(code, return_index=True)
+        kinds = seen[np.argsort(first)].tolist()
+        number = np.zeros(6, np.int64)
+        number[kinds] = range(len(kinds))
+        state = number[code]
         k, gaps, source, target = len(kinds), t.iats, state[:-1], state[1:]
         counts = np.zeros((k, k))
         np.add.at(counts, (source, target), 1)
         bottom = counts.sum(1) + alpha * k
         rows = [[1 / k] * k if b == 0 else ((c + alpha) / b).tolist() for c, b in zip(counts, bottom, strict=True)]
-        edges = tuple(tuple(tuple(gaps[(source == i) & (target == j)].tolist()) for j in range(k)) for i in range(k))
+        packed = lambda kind, x: array(kind, x.tobytes())
+        edges = tuple(tuple(packed("d", gaps[(source == i) & (target == j)]) for j in range(k)) for i in range(k))
         return cls(
-            cut, tuple((c // 3, c % 3) for c in kinds), tuple(tuple(t.length[state == i].tolist()) for i in range(k)), tuple(map(tuple, rows)),
-            edges, tuple(tuple(gaps[source == i].tolist()) for i in range(k)), tuple(gaps.tolist()), support, scale, alpha,
+            cut, tuple((c // 3, c % 3) for c in kinds), tuple(packed("q", t.length[state == i]) for i in range(k)), tuple(map(tuple, rows)),
+            edges, tuple(packed("d", gaps[source == i]) for i in range(k)), packed("d", gaps), support, scale, alpha,
         )
 
-    def sample_for(self, i: int, j: int) -> tuple[str, tuple[float, ...]]:
+    def sample_for(self, i: int, j: int) -> tuple[str, array]:
         if len(self.edge_iats[i][j]) >= self.minimum_support:
             return "transition", self.edge_iats[i][j]
         return ("source", self.source_iats[i]) if self.source_iats[i] else ("global", self.global_iats)
@@ -284,7 +318,7 @@ class Markov:
         try:
             run.ready()
             i = self.pick([float(len(n)) for n in self.lengths], run.drawn(rng.random()))
-            run.emit(0.0, self.states[i][0], self.lengths[i][run.drawn(rng.choice(len(self.lengths[i])))])
+            run.emit(0.0, self.states[i][0], self.lengths[i][run.drawn(place(rng, len(self.lengths[i])))])
             now = 0.0
             while True:
                 run.ready()
@@ -292,10 +326,10 @@ class Markov:
                 tier, sample = self.sample_for(i, j)
                 seen[f"timing_tier_{tier}_count"] += 1
                 seen["uniform_unobserved_row_count"] += not self.source_iats[i]
-                now += sample[run.drawn(rng.choice(len(sample)))] * self.time_scale
+                now += sample[run.drawn(place(rng, len(sample)))] * self.time_scale
                 if now > window:
                     return run.out
-                run.emit(now, self.states[j][0], self.lengths[j][run.drawn(rng.choice(len(self.lengths[j])))])
+                run.emit(now, self.states[j][0], self.lengths[j][run.drawn(place(rng, len(self.lengths[j])))])
                 i = j
         except _Stop:
             return run.out
@@ -342,16 +376,16 @@ def restore(family: str, values: dict):
     frozen = lambda v: tuple(map(frozen, v)) if isinstance(v, (list, tuple)) else v
     try:
         if family == "markov_renewal":
-            s = values["states"]
+            s, times = values["states"], lambda v: array("d", v)
             model = Markov(
-                frozen(values["thresholds"]), tuple((SIDES.index(x["direction"]), x["size_bin"]) for x in s), tuple(frozen(x["frame_lengths"]) for x in s), frozen(values["transition_rows"]),
-                frozen(values["conditional_iats"]), tuple(frozen(x["source_iats"]) for x in s), frozen(values["global_iats"]), values["minimum_support"], values["time_scale"], values["alpha"],
+                frozen(values["thresholds"]), tuple((SIDES.index(x["direction"]), x["size_bin"]) for x in s), tuple(array("q", x["frame_lengths"]) for x in s), frozen(values["transition_rows"]),
+                tuple(tuple(map(times, row)) for row in values["conditional_iats"]), tuple(times(x["source_iats"]) for x in s), times(values["global_iats"]), values["minimum_support"], values["time_scale"], values["alpha"],
             )
         else:
             marks = tuple((SIDES.index(m["direction"]), m["frame_length"], m["count"]) for m in values["marks"])
             model = FAMILIES[family](**{k: v for k, v in values.items() if k != "marks"}, marks=Marks(marks))
         same = payload(model) == values
-    except (KeyError, TypeError, IndexError, AttributeError) as e:
+    except (KeyError, TypeError, IndexError, AttributeError, OverflowError) as e:
         raise ValueError(f"no payload of {family}: {e}") from e
     if not same or family != "markov_renewal" and (not marks or len({m[:2] for m in marks}) < len(marks) or min(m[2] for m in marks) < 1):
         raise ValueError(f"a {family} payload has other fields")
@@ -370,14 +404,78 @@ def generate(requests: DataFrame, models: dict[str, object], window: float, limi
     def run(frames):
         for frame in frames:
             for r in frame.itertuples():
-                made = models[r.model].generate(int(r.seed), window, limits)
-                if not made.complete:
-                    raise ValueError(f"{r.comparison}: {made.reason}")
-                t, d, n = zip(*made.events, strict=True)
-                yield pd.DataFrame({"comparison": r.comparison, "trace_id": r.comparison, "seq": np.arange(1, len(t) + 1), "ts": t, "direction": np.array(d, np.int8), "frame_length": n})
-
-    spread = requests.select(F.col("comparison").cast("string"), F.col("model").cast("string"), F.col("seed").cast("bigint")).repartition("comparison")
-    return spread.mapInPandas(run, GENERATED)
+                yield from rows_of(r.comparison, models[r.model].generate(int(r.seed), window, limits))
+
+    asked = requests.select(F.col("comparison").cast("string"), F.col("model").cast("string"), F.col("seed").cast("bigint"))
+    # by a number of partitions, as few small rows would be put into one
+    return asked.repartitionByRange(max(1, min(asked.count(), 2_000)), "comparison").mapInPandas(run, GENERATED)
+
+
+def rows_of(comparison: str, made: Generated) -> Iterator[pd.DataFrame]:
+    """The events of a whole result, some at a time."""
+    if not made.complete:
+        raise ValueError(f"{comparison}: {made.reason}")
+    e = made.events
+    for i in range(0, len(e), CHUNK):
+        part = slice(i, min(i + CHUNK, len(e)))
+        yield pd.DataFrame(
+            {"comparison": comparison, "trace_id": comparison, "seq": np.arange(part.start + 1, part.stop + 1), "ts": np.array(e.ts[part]), "direction": np.array(e.direction[part], np.int8), "frame_length": np.array(e.length[part])}
+        )
+
+
+# One trace of any size inside tasks, never on the driver
+
+
+@dataclass(frozen=True)
+class Stored:
+    """One trace that stays in Spark, in chunks of arrays; the driver has the counts of its lengths, of which there are few."""
+
+    chunks: DataFrame
+    length: Lengths
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+
+def stored(trace: DataFrame) -> Stored:
+    chunks = in_chunks(trace, ["trace_id"], "seq", ["ts", "direction", "frame_length"], CHUNK)
+    chunks = chunks.select("chunk", F.col("entries.ts").alias("ts"), F.col("entries.direction").cast("array<tinyint>").alias("direction"), F.col("entries.frame_length").cast("array<bigint>").alias("length")).persist()
+    counts = trace.groupBy("frame_length").agg(F.count("*").alias("n")).toPandas().sort_values("frame_length")
+    return Stored(chunks, Lengths(counts["frame_length"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)))
+
+
+def beside(trace: Stored, work: DataFrame, n: int) -> DataFrame:
+    """A copy of the trace's chunks, in order, for each of the n rows (slot, work), every slot in a partition of its own."""
+    return trace.chunks.crossJoin(F.broadcast(work)).repartitionByRange(n, "slot").sortWithinPartitions("slot", "chunk")
+
+
+def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Arrays]]:
+    """(work, the trace) for each slot of what beside() deals out."""
+    slot, work, parts = None, None, []
+    joined = lambda: Arrays(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    for b in batches:
+        for i in range(len(b)):
+            now = b.column("slot")[i].as_py()
+            if parts and now != slot:
+                yield work, joined()
+                parts = []
+            slot, work = now, b.column("work")[i].as_py()
+            parts.append(tuple(b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(k) for c, k in (("ts", np.float64), ("direction", np.int64), ("length", np.int64))))
+    if parts:
+        yield work, joined()
+
+
+def generate_fitted(trace: Stored, family: str, genes: tuple, requests: list[tuple[str, int]], window: float, limits: Limits = Limits()) -> DataFrame:
+    """generate() for a model that holds its reference's own samples: every request (comparison, seed) fits it where it runs."""
+
+    def run(batches):
+        for work, t in copies(batches):
+            comparison, seed = json.loads(work)
+            for frame in rows_of(comparison, fit(family, genes, t, window).generate(seed, window, limits)):
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    work = trace.chunks.sparkSession.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(requests)], "slot int, work string")
+    return beside(trace, work, len(requests)).mapInArrow(run, GENERATED)
 
 
 # Probes

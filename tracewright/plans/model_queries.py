@@ -536,7 +536,7 @@ SOURCE_SQL = {
 
 def _limits(events: int) -> models.Limits:
     """Limits that leave room for a trace of several times the reference's events."""
-    return models.Limits(max_packets=max(20_000, 8 * events), max_output_bytes=max(40_000_000, 8 * 1514 * events))
+    return models.Limits(max_packets=max(20_000, 8 * events), max_output_bytes=max(40_000_000, 8 * 1514 * events), max_wall_seconds=max(30.0, events / 2_000))
 
 
 def _generate(spark: SparkSession, sf_dir: str, family: str, genes: tuple) -> DataFrame:
