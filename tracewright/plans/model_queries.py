@@ -541,21 +541,18 @@ def _limits(events: int) -> models.Limits:
 
 def _generate(spark: SparkSession, sf_dir: str, family: str, genes: tuple) -> DataFrame:
     """Traces of one model under eight seeds, over the window of the whole reference that it is fitted on."""
-    from ..functions.kernels import Arrays
-    from ..operators.traces import to_events
-
     reference, _, w = pair(spark, sf_dir)
     n = reference.count()
     if family == "markov_renewal":
-        # its payload is the reference's own intervals and lengths
-        model = models.fit(family, genes, Arrays.of(to_events(reference)), w)
+        # its payload is the reference's own intervals and lengths, so it is fitted where it generates
+        made = models.generate_fitted(models.stored(reference), family, genes, [(f"{family}-{i}", i + 17) for i in range(8)], w, _limits(n))
     else:
         entries = fitting.mark_distribution(reference).first()["marks"]
         marks = models.Marks(tuple((m["direction"], m["frame_length"], m["count"]) for m in entries))
         base = (n - 1) / w
         model = models.Poisson(base, base * genes[0], marks) if family == "poisson_empirical" else models.Mmpp(*genes, marks)
-    requests = spark.range(8).select(F.concat(F.lit(f"{family}-"), "id").alias("comparison"), F.lit("m").alias("model"), (F.col("id") + 17).alias("seed"))
-    made = models.generate(requests, {"m": model}, w, _limits(n))
+        requests = spark.range(8).select(F.concat(F.lit(f"{family}-"), "id").alias("comparison"), F.lit("m").alias("model"), (F.col("id") + 17).alias("seed"))
+        made = models.generate(requests, {"m": model}, w, _limits(n))
     return made.groupBy("comparison").agg(F.count("*").alias("events"), F.sum("frame_length").alias("bytes"), F.max("ts").alias("last_ts"))
 
 
