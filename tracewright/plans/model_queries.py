@@ -570,13 +570,11 @@ def markov_generate(spark, sf_dir):
 
 def genetic_search(spark, sf_dir):
     """A small search over all families on the whole reference, one job per generation."""
-    from ..functions.kernels import Arrays
     from ..operators.similarity import Settings
-    from ..operators.traces import to_events
     from .genetic import Engine, Operators, Search
 
     reference, _, w = pair(spark, sf_dir)
-    t = Arrays.of(to_events(reference))
+    t = models.stored(reference)
     base = (len(t) - 1) / w
     bounds = {"poisson_empirical": {"c_lambda": (0.5, 1.5)}, "markov_renewal": {"q1": (0.15, 0.45), "q2": (0.55, 0.9), "alpha": (0.05, 1.5), "r": (1, 4), "c_t": (0.5, 1.5)}, "mmpp": {"q01": (base / 50, base / 5), "q10": (base / 50, base / 5), "lambda0": (base / 4, base), "lambda1": (base, base * 4)}}
     search = Search(bounds, dict.fromkeys(bounds, Operators(0.5, 0.3, 0.1)), 9, 3, 2, 2, (17, 19), 73, 97, limits=_limits(len(t)))
