@@ -15,7 +15,9 @@ blocks (in every packet of 1536 to 1791 bytes, for one), so a piece need not beg
 A task holds one run (spark.sql.files.maxPartitionBytes plus a block), the check of a file one row for each of its runs.
 Byte order must be little-endian, as in captures written here; others are an error (pcapng.read_packets takes both).
 
-Writing. Chunks of packets are rendered in parallel; the text writer then strings the chunks of a trace together into one file.
+Writing. Chunks of packets are rendered in parallel; the text writer then strings the chunks of a trace together into files of at
+most PART packets each, as capture tools do with long traces: the folder after=N holds the file of the packets after the first N,
+a capture of its own. So no task holds or sorts more than a few bounded files. Reading numbers such files' packets as one trace.
 Its line separator is the last field of a small block that readers skip, so the file is a capture; Spark's committer leaves no
 partial file behind a failed task.
 """
@@ -27,7 +29,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import build_frame, direction
@@ -276,7 +278,10 @@ def across(surveyed: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of all captures under path, each file read by as many tasks as it has byte ranges. trace_id is the file's path."""
+    """Packets of all captures under path, each file read by as many tasks as it has byte ranges.
+
+    trace_id is the file's path, or the folder of a trace that write_packets wrote, whose files are read as one trace.
+    """
     sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     short = sizes.where("length < 28").orderBy("path").first()
     if short is not None:
@@ -300,11 +305,13 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
     ticks = lambda c: F.col("seconds") + F.col(c) / F.when(F.col("resolution") >= 128, F.pow(F.lit(2.0), F.col("resolution") - 128)).otherwise(F.pow(F.lit(10.0), F.col("resolution").cast("double")))
     edges = surveyed.where("packets > 0").join(places.select("file", "start", "first_seq", "resolution", "seconds"), ["file", "start"])
     edges = edges.select("file", F.col("first_seq").alias("seq"), ticks("first").alias("first"), ticks("last").alias("last")).unionByName(between.select(F.col("trace_id").alias("file"), "seq", F.col("ts").alias("first"), F.col("ts").alias("last")))
+    edges = edges.select(trace_of(F.col("file")).alias("file"), (F.col("seq") + packets_before(F.col("file"))).alias("seq"), "first", "last")
     before = F.lag("last").over(Window.partitionBy("file").orderBy("seq"))
     back = edges.withColumn("before", before).where("first < before").first()
     if back is not None:
         raise CaptureError(f"{back.file}: times must be finite, not negative and not decrease")
-    return packets_in(joined).unionByName(between)
+    file = F.col("trace_id")
+    return packets_in(joined).unionByName(between).select(trace_of(file).alias("trace_id"), (F.col("seq") + packets_before(file)).alias("seq"), "ts", "frame")
 
 
 def read_trace(spark: SparkSession, path: str, mac: str) -> DataFrame:
@@ -318,10 +325,23 @@ def read_trace(spark: SparkSession, path: str, mac: str) -> DataFrame:
 LOCAL, EMPTY = 0x80000001, 12
 SEPARATOR = struct.pack("<I", EMPTY)
 CHUNK = 4096
+#: Packets of one file.
+PART = 65_536
+#: A file of a longer trace: its trace's folder, and the packets before it.
+NAMED = "^(.*/trace_id=[^/]*/)after=([0-9]+)/[^/]*$"
+
+
+def trace_of(file: Column) -> Column:
+    """What names the trace of a file: the trace's folder where the trace may have several files, else the file."""
+    return F.regexp_replace(file, NAMED, "$1")
 
 
-def chunks(packets: DataFrame, window: float | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(trace_id, chunk, content): the capture of each trace in ordered chunks, rendered in parallel, each ending before the separator."""
+def packets_before(file: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(file, NAMED, 2), F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def chunks(packets: DataFrame, window: float | None = None, chunk: int = CHUNK, of: int = PART // CHUNK) -> DataFrame:
+    """(trace_id, chunk, content): the captures of each trace in ordered chunks, rendered in parallel, each ending before the separator; a file has ``of`` chunks."""
     end = struct.pack("<II", LOCAL, EMPTY)
 
     def run(table: pa.Table) -> pa.Table:
@@ -331,24 +351,29 @@ def chunks(packets: DataFrame, window: float | None = None, chunk: int = CHUNK)
         if rows[0][1] < 0 or any(a[1] > b[1] for a, b in zip(rows, rows[1:], strict=False)):
             raise CaptureError("times must be finite, not negative and not decrease")
         number = table.column("chunk")[0].as_py()
-        data = pcapng.render([(t, f) for _, t, f in rows], number == 0)
+        data = pcapng.render([(t, f) for _, t, f in rows], number % of == 0)
         return pa.table({"trace_id": pa.array([table.column("trace_id")[0].as_py()]), "chunk": pa.array([number], pa.int64()), "content": pa.array([data + end], pa.binary())})
 
     rows = packets.select("trace_id", "seq", "ts", "frame", F.floor((F.col("seq") - 1) / chunk).alias("chunk"))
     return rows.groupBy("trace_id", "chunk").applyInArrow(run, "trace_id string, chunk bigint, content binary")
 
 
-def write_packets(packets: DataFrame, path: str, window: float | None = None, chunk: int = CHUNK) -> None:
-    """Write the packets (trace_id, seq, ts, frame) of each trace as one capture below path, in the folder trace_id=<its id>. seq counts from 1 in each trace."""
-    made = chunks(packets, window, chunk).select("trace_id", "chunk", F.col("content").cast("string").alias("value"))
-    ordered = made.repartition("trace_id").sortWithinPartitions("trace_id", "chunk").select("trace_id", "value")
-    ordered.write.option("lineSep", SEPARATOR.decode()).partitionBy("trace_id").text(path)
+def write_packets(packets: DataFrame, path: str, window: float | None = None, chunk: int = CHUNK, part: int = PART) -> None:
+    """Write the packets (trace_id, seq, ts, frame) of each trace as captures below path, in folders trace_id=<its id>/after=<packets before>.
+
+    seq counts from 1 in each trace. Tasks are as many as files, which have at most part packets, but a chunk at least.
+    """
+    of = max(1, part // chunk)
+    files = packets.groupBy("trace_id").agg(F.ceil(F.max("seq") / (chunk * of)).alias("n")).agg(F.sum("n")).first()[0] or 1
+    made = chunks(packets, window, chunk, of).select("trace_id", (F.floor(F.col("chunk") / of) * (of * chunk)).alias("after"), "chunk", F.col("content").cast("string").alias("value"))
+    ordered = made.repartition(int(files), "trace_id", "after").sortWithinPartitions("trace_id", "after", "chunk").select("trace_id", "after", "value")
+    ordered.write.option("lineSep", SEPARATOR.decode()).partitionBy("trace_id", "after").text(path)
 
 
-def write_captures(traces: DataFrame, path: str, mac: str, window: float, chunk: int = CHUNK) -> None:
+def write_captures(traces: DataFrame, path: str, mac: str, window: float, chunk: int = CHUNK, part: int = PART) -> None:
     """write_packets for traces, whose frames are made of their directions and lengths."""
     long = F.when(F.col("frame_length") < 14, F.raise_error(F.lit("a trace to encode ends by the window and has frames of 14 bytes or more")).cast("bigint")).otherwise(F.col("frame_length"))
-    write_packets(traces.select("trace_id", "seq", "ts", build_frame(F.col("direction"), long, F.lit(mac)).alias("frame")), path, window, chunk)
+    write_packets(traces.select("trace_id", "seq", "ts", build_frame(F.col("direction"), long, F.lit(mac)).alias("frame")), path, window, chunk, part)
 
 
 def written(spark: SparkSession, path: str, traces: DataFrame, mac: str, window: float) -> DataFrame:
