@@ -212,6 +212,25 @@ def test_dense_group(spark):
     assert [found.get(i, i) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
 
 
+def test_only_cells_that_members_meet_in(spark):
+    """Near-dedup rows for cells are made where several members meet, one of them apart: never fewer, and few others."""
+    rng, rows = random.Random(5), []
+    for rid in range(3000):
+        shared = rng.sample(range(-400, 400), rng.randrange(3))
+        rows.append((rid % 3, rid, rid % 2 == 0, [*shared, *(rng.getrandbits(62) for _ in range(20))] if rid % 7 else []))
+    told = spark.createDataFrame(rows, "pivot bigint, rid bigint, apart boolean, outside array<bigint>").repartition(5)
+    cells = {}
+    for pivot, rid, apart, outside in rows:
+        for x in outside:
+            cells.setdefault((pivot, x), []).append((rid, apart))
+    wanted = {(k[0], rid, k[1]) for k, v in cells.items() if len(v) > 1 and any(a for _, a in v) for rid, _ in v}
+    left = near_dedup._meeting(told).collect()
+    got = {(r.pivot, r.rid, x) for r in left for x in r.outside}
+    assert len(left) == len(rows) and len(wanted) > 1000 and wanted <= got <= {(k[0], rid, k[1]) for k, v in cells.items() for rid, _ in v}
+    assert len(got - wanted) < 0.1 * sum(len(v) for v in cells.values())
+    assert near_dedup._meeting(told.where("rid < 0")).count() == 0
+
+
 def test_recall_of_buckets():
     """Pairs just above the threshold, many with common shingles, share a bucket."""
     rng, sketcher, missed, true = random.Random(10), near_dedup.Sketcher(), 0, 0

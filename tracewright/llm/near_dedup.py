@@ -12,7 +12,9 @@ members are then of one class are done. The others take rounds that need no pair
 - A pair with a Jaccard index of 0.8 shares at least 4/9 of the sum of its sizes. A member with fewer shingles in P than
   any partner in the bucket demands is *apart*: whatever it resembles must share a shingle outside P with it, or k of
   them if k are lacking. So members go to cells, one for each of their shingles outside P (of a member that lacks k, all
-  but its k - 1 largest hashes). A cell with an apart member and several classes is a bucket of the next round.
+  but its k - 1 largest hashes). A cell with an apart member and several classes is a bucket of the next round. Most
+  cells have a single member, as random edits are not repeated: a bitmap of the cells that several members or their
+  hashes meet in, one of them apart, tells which to make at all.
 - The other members stay in the bucket without the pivots. They are near P; most are of one class by now. From the
   fourth round on, pivots come from the class with fewest members in the bucket, and later rounds have more pivots.
 
@@ -50,6 +52,8 @@ SHARE = SIMILARITY / (1 + SIMILARITY)
 PIVOTS, MINORITY, LATE, MORE, MOST = 3, 3, 7, 4, 48
 #: Members and shingles that one task compares with pivots at once.
 GROUP_ROWS, GROUP_SHINGLES = 64, 300_000
+#: Bits of a round's map of cells: for each shingle outside P, at most (8 MB; a fuller map keeps more cells, never fewer), and in a chunk.
+BITS_EACH, MOST_BITS, CHUNK_BITS = 16, 1 << 26, 1 << 16
 SEED = 41
 
 
@@ -200,6 +204,66 @@ def _compare(cells: bool):
     return run
 
 
+def _slots(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a batch's members, the slot of each one's cell, and the number of shingles of each member."""
+    lists = batch.column("outside")
+    x, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    pivot = np.repeat(batch.column("pivot").to_numpy(zero_copy_only=False), n).view(np.uint64)
+    return x, (Sketcher.mix(x.view(np.uint64) + Sketcher.mix(pivot)) & np.uint64(bits - 1)).astype(np.int64), n
+
+
+def _seen(bits: int):
+    """Of a task's members, the slots by chunk: each slot's place, whether it has several members, and an apart one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, apart = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for b in batches:
+            _, s, n = _slots(b, bits)
+            slots.append(s)
+            apart.append(np.repeat(b.column("apart").to_numpy(zero_copy_only=False), n))
+        slot, at, count = np.unique(np.concatenate(slots), return_inverse=True, return_counts=True)
+        several, near = count > 1, np.bincount(at, np.concatenate(apart), len(slot)) > 0
+        code = (slot % CHUNK_BITS << 2 | several << 1 | near).astype(np.int32)
+        chunk, start = np.unique(slot // CHUNK_BITS, return_index=True)
+        codes = pa.ListArray.from_arrays(np.append(start, len(code)).astype(np.int32), code)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk.astype(np.int32)), codes], ["chunk", "codes"])
+
+    return run
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """The bits of one chunk: slots that have several members, one of them apart."""
+    code = table.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    members = np.bincount(code >> 2, 1 + (code >> 1 & 1), CHUNK_BITS)
+    met = (members > 1) & (np.bincount(code >> 2, code & 1, CHUNK_BITS) > 0)
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "met": pa.array([np.packbits(met).tobytes()])})
+
+
+def _only(bits: int, found: bytes):
+    """Members with those shingles outside P whose cells' bits are set."""
+    met = np.frombuffer(found, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, slot, n = _slots(b, bits)
+            stays = (met[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+            ends = np.concatenate(([0], np.cumsum(stays)))[np.concatenate(([0], np.cumsum(n)))]
+            left = pa.ListArray.from_arrays(ends.astype(np.int32), x[stays])
+            yield b.set_column(b.schema.get_field_index("outside"), "outside", left)
+
+    return run
+
+
+def _meeting(told: DataFrame) -> DataFrame:
+    """told (pivot, rid, apart, outside, ...) without shingles of cells that one member has, or no apart one; a few others may stay."""
+    n = told.agg(F.sum(F.size("outside"))).first()[0] or 0
+    bits = min(MOST_BITS, max(CHUNK_BITS, 1 << (BITS_EACH * n).bit_length()))
+    seen = told.select("pivot", "apart", "outside").mapInArrow(_seen(bits), "chunk int, codes array<int>")
+    met = {r.chunk: bytes(r.met) for r in seen.groupBy("chunk").applyInArrow(_met, "chunk int, met binary").collect()}
+    found = b"".join(met.get(i, bytes(CHUNK_BITS // 8)) for i in range(bits // CHUNK_BITS))
+    return told.mapInArrow(_only(bits, found), told.schema)
+
+
 def components(links: DataFrame, work: Scratch, left: str = "pivot", right: str = "rid") -> DataFrame:
     """(node, label) of every linked node: the smallest node that links reach. Label passing with pointer jumps."""
     edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
@@ -277,7 +341,7 @@ def resolve(members: DataFrame, words: DataFrame, work: Scratch) -> DataFrame |
         if i:
             stay = told.where("not own and not apart").select("pivot", "rid")
             rest = members.join(pivots.select("bucket", "pivot"), "bucket").join(stay, ["pivot", "rid"]).withColumn("apart", F.lit(True))
-            lifted = told.where("not own").select("rid", "degree", "size", "apart", F.explode("outside").alias("x"), "pivot")
+            lifted = _meeting(told.where("not own").select("rid", "degree", "size", "apart", "outside", "pivot")).select("rid", "degree", "size", "apart", F.explode("outside").alias("x"), "pivot")
             cells = lifted.select(F.xxhash64("pivot", "x").alias("bucket"), "rid", "degree", "size", F.lit(None).cast("bigint").alias("label"), "apart")
             pool = rest.select(*cells.columns).unionByName(cells)
         else:
