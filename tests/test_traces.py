@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +98,17 @@ def test_snap_reflect_and_genes(spark):
     assert (got.a, got.b, got.c, got.d, got.e) == (3, 1.5, 0.0, 300000, 3)
     with pytest.raises(Exception, match="outside"):
         one.select(numeric.clamp(F.lit(1.5), 0.0, 1.0, 1e-12, "x")).collect()
+
+
+def test_lag_sums_are_exact(spark):
+    """Sums of products of whole numbers of any size and sign, taken as longs within a chunk."""
+    rng = random.Random(11)
+    series = {"long": [rng.randrange(-(2**58), 2**58) for _ in range(60)], "times": [rng.randrange(-5, 2**44) for _ in range(150)], "ends": [2**62, -(2**62), -1, 0, 1, 2**21, 2**42, -(2**42)], "one": [-7]}
+    rows = spark.createDataFrame([(t, i, x) for t, xs in series.items() for i, x in enumerate(xs, 1)], "trace_id string, seq bigint, x bigint")
+    got = {(r.trace_id, r.lag): tuple(int(v) for v in (r.m, r.xy, r.sa, r.sb, r.n, r.s, r.ss)) for r in ordered.lag_sums(rows, ["trace_id"], "x", [1, 4, 16], chunk=32).collect()}
+    want = {}
+    for t, xs in series.items():
+        for k in (1, 4, 16):
+            if pairs := list(zip(xs, xs[k:], strict=False)):
+                want[t, k] = (len(pairs), sum(a * b for a, b in pairs), sum(a for a, _ in pairs), sum(b for _, b in pairs), len(xs), sum(xs), sum(x * x for x in xs))
+    assert got == want

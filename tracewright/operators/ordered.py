@@ -7,6 +7,8 @@ rows at the border. One shuffle serves all lags, and one long trace is as parall
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +77,27 @@ def lagged(rows: DataFrame, trace: str, columns: dict[str, Column | str], seq: s
     return out.where("__own").drop("__own", "__chunk")
 
 
-def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int], seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
-    """Per series and lag: pairs, sums of products, of first and of second members.
-
-    Sums of an integer value are exact decimals, those of a double are doubles. Series shorter than a lag have no row for it.
-    """
+def _led(series: DataFrame, by: list[str], value: str, lags: list[int], seq: str, chunk: int) -> DataFrame:
+    """(by, __chunk, x, y1, y4, ...): each row's value and, for each lag, the value that many rows later (null past the end)."""
     most = max(lags)
     if most > chunk:
         raise ValueError("a lag is longer than a chunk")
     own, place = _chunked(series, seq, chunk)
     halo = own.where((place < most) & (F.col("__chunk") > 0)).withColumn("__chunk", F.col("__chunk") - 1).withColumn("__own", F.lit(False))
     window = Window.partitionBy(*by, "__chunk").orderBy(seq)
-    rows = own.unionByName(halo).select(*by, "__own", F.col(value).alias("x"), *(F.lead(value, k).over(window).alias(f"y{k}") for k in lags))
-    pairs = rows.where("__own").select(*by, "x", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in lags))).alias("p"))
+    rows = own.unionByName(halo).select(*by, "__chunk", "__own", F.col(value).alias("x"), *(F.lead(value, k).over(window).alias(f"y{k}") for k in lags))
+    return rows.where("__own").drop("__own")
+
+
+def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int], seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """Per series and lag: pairs, sums of products, of first and of second members.
+
+    Sums of an integer value are exact decimals, those of a double are doubles. Series shorter than a lag have no row for it.
+    """
+    if whole_numbers(series, value):
+        return lag_sums(series, by, value, lags, seq, chunk).drop("n", "s", "ss")
+    rows = _led(series, by, value, lags, seq, chunk)
+    pairs = rows.select(*by, "x", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in lags))).alias("p"))
     kind = "double" if series.schema[value].dataType.typeName() == "double" else "decimal(19,0)"
     x, y = F.col("x").cast(kind), F.col("p.y").cast(kind)
     return pairs.where("p.y is not null").groupBy(*by, F.col("p.lag").alias("lag")).agg(
@@ -95,6 +105,43 @@ def lag_products(series: DataFrame, by: list[str], value: str, lags: list[int],
     )
 
 
+def whole_numbers(series: DataFrame, value: str) -> bool:
+    return series.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+#: Bits of a digit, and of the lower half of a value whose sum is taken: sums over a chunk then fit a long.
+DIGIT, HALF = 21, 32
+
+
+def lag_sums(series: DataFrame, by: list[str], value: str, lags: list[int], seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """lag_products of a whole number with the series' own count n, sum s and sum of squares ss (those of lag 0), all exact, in one pass.
+
+    Values are cut into three digits of 21 bits, so that products are summed as longs within a chunk; only the chunks'
+    sums are decimals.
+    """
+    if chunk > CHUNK:
+        raise ValueError("sums over a longer chunk may not fit a long")
+    digits = lambda c: (c.bitwiseAND((1 << DIGIT) - 1), F.shiftright(c, DIGIT).bitwiseAND((1 << DIGIT) - 1), F.shiftright(c, 2 * DIGIT))
+    halves = lambda name, c: [F.sum(c.bitwiseAND((1 << HALF) - 1)).alias(f"{name}_0"), F.sum(F.shiftright(c, HALF)).alias(f"{name}_1")]
+    rows = _led(series, by, value, lags, seq, chunk)
+    pairs = rows.select(*by, "__chunk", "x", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"y{k}" if k else "x").alias("y")) for k in (0, *lags)))).alias("p"))
+    pairs = pairs.where("p.y is not null or p.lag = 0")
+    x, y = F.col("x").cast("bigint"), F.col("p.y").cast("bigint")
+    (l, m, h), (r, q, p) = digits(x), digits(y)
+    products = [F.sum(t).alias(f"xy_{i}") for i, t in enumerate((l * r, m * r + l * q, h * r + m * q + l * p, h * q + m * p, h * p))]
+    sums = pairs.groupBy(*by, F.col("p.lag").alias("lag"), "__chunk").agg(F.count("*").alias("m"), *products, *halves("sa", x), *halves("sb", y))
+
+    def joined(name: str, parts: int, bits: int) -> Column:
+        total = F.sum(F.col(f"{name}_0").cast("decimal(20,0)")).cast("decimal(38,0)")
+        for i in range(1, parts):
+            total = (total + F.sum((F.col(f"{name}_{i}").cast("decimal(20,0)") * F.lit(Decimal(1 << bits * i))).cast("decimal(38,0)"))).cast("decimal(38,0)")
+        return total.alias(name)
+
+    found = sums.groupBy(*by, "lag").agg(F.sum("m").alias("m"), joined("xy", 5, DIGIT), joined("sa", 2, HALF), joined("sb", 2, HALF))
+    own = lambda c: F.max(F.when(F.col("lag") == 0, F.col(c))).over(Window.partitionBy(*by))
+    return found.select("*", own("m").alias("n"), own("sa").alias("s"), own("xy").alias("ss")).where("lag > 0")
+
+
 def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, single: bool = False, direct: int = DIRECT) -> DataFrame:
     """rows with the inclusive running total of each value in ascending order within by.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ACF_TOLERANCE, L1_TOLERANCE, WEIGHT_TOLERANCE, clamp, snap
-from .ordered import join_few, lag_products, lagged, order_figures, running_totals
+from .ordered import join_few, lag_products, lag_sums, lagged, order_figures, running_totals, whole_numbers
 from .traces import align, iats, normalize, window_of
 
 METHODS = ("autocorrelation", "frame_size_ks", "iat_ks", "multiscale_rate")
@@ -167,9 +167,12 @@ def autocorrelations(series: DataFrame, by: list[str], value: str, lags: list[in
         kind, exact = "double", False
     else:
         kind, exact = "decimal(19,0)", True
-    x = F.col(value).cast(kind)
-    whole = series.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
-    joined = lag_products(series, by, value, lags).join(few_of(whole), by)
+    if whole_numbers(series, value):
+        joined = lag_sums(series, by, value, lags)
+    else:
+        x = F.col(value).cast(kind)
+        whole = series.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
+        joined = lag_products(series, by, value, lags).join(few_of(whole), by)
     number = lambda c: c.cast("decimal(38,0)" if exact else "double")
     n, s, ss, m, xy, sa, sb = (number(F.col(c)) for c in ("n", "s", "ss", "m", "xy", "sa", "sb"))
     c = number(F.floor(s / n)) if exact else F.lit(0.0)
