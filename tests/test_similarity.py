@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -300,3 +301,41 @@ def test_totals_by_window_and_by_ranges(spark, by):
     rows = rows.groupBy(*by, "x").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     one, other = (sorted(map(tuple, ordered.running_totals(rows, by, "x", ["n", "m"], 16, direct=d).select(*by, "x", "n", "total_n", "total_m").collect())) for d in (0, 10**6))
     assert one == other and len(one) == rows.count()
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 16, 256])
+def test_totals_of_long_and_short_groups(spark, ranges):
+    """Long groups are cut at quantiles, short ones beside them aren't; both get their group's total."""
+    rng = np.random.default_rng(4)
+    made = {g: rng.permutation(10_000)[:k] - 5_000 for g, k in (("long", 3_000), ("short", 90), ("one", 1))}
+    made["crowd"] = np.append(np.arange(1_500), 10**15)
+    rows = spark.createDataFrame([(g, int(v), int(v) % 7 + 1) for g, x in made.items() for v in x], "g string, x bigint, n bigint")
+    got = {(r.g, r.x): (r.total_n, r.whole_n) for r in ordered.running_totals(rows, ["g"], "x", ["n"], ranges, direct=500).collect()}
+    expected = {}
+    for g, x in made.items():
+        x = np.sort(x)
+        for v, t in zip(x, np.cumsum(x % 7 + 1), strict=True):
+            expected[g, int(v)] = (int(t), int((x % 7 + 1).sum()))
+    assert got == expected
+
+
+def test_long_groups_are_not_gathered(spark, monkeypatch):
+    """The figures of a long sample, and the KS distances of long ones, take no shuffle by group alone of its values."""
+    rng = np.random.default_rng(5)
+    x = {g: rng.integers(0, 10**9, 4_000) for g in ("a", "b", "r")}
+    rows = spark.createDataFrame([(g, int(v)) for g in x for v in x[g]], "comparison string, x bigint")
+    reference, generated = rows.where("comparison = 'r'").select("x"), rows.where("comparison <> 'r'")
+    monkeypatch.setattr(ordered.running_totals, "__defaults__", (*ordered.running_totals.__defaults__[:-1], 500))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        figures, distances = ordered.order_figures(rows, ["comparison"], "x", 0.95), S.ks(reference, generated, "x")
+        for frame in (figures, distances):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and not re.search(r"(SortMerge|ShuffledHash)Join \[[^,\]]*comparison#\d+\]", plan)
+        for r in figures.collect():
+            v = np.sort(x[r.comparison])
+            assert (r["count"], r["median"], r["quantile"]) == (len(v), np.median(v), v[int(np.ceil(0.95 * len(v))) - 1])
+        for r in distances.collect():
+            assert r.distance == pytest.approx(kernels.ks_distance(x["r"], x[r.comparison]), abs=1e-12) and (r.reference_count, r.generated_count) == (4_000, 4_000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

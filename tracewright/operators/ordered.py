@@ -7,6 +7,7 @@ rows at the border. One shuffle serves all lags, and one long trace is as parall
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,24 +143,30 @@ def lag_sums(series: DataFrame, by: list[str], value: str, lags: list[int], seq:
     return found.select("*", own("m").alias("n"), own("sa").alias("s"), own("xy").alias("ss")).where("lag > 0")
 
 
-def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, single: bool = False, direct: int = DIRECT) -> DataFrame:
-    """rows with the inclusive running total of each value in ascending order within by.
+def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256, direct: int = DIRECT) -> DataFrame:
+    """rows with, of each value, the inclusive running total in ascending order within by (total_) and the group's total (whole_).
 
-    Where a count shows that no group has more than ``direct`` rows, a window per group does, in one shuffle. Else rows are cut where approximate quantiles of order lie, so an outlier or a crowd of near values doesn't fill a part;
+    Where a count shows that no group has more than ``direct`` rows, a window per group does, in one shuffle. Else the groups that do are cut where approximate quantiles of order lie, so an outlier or a crowd of near values doesn't fill a part;
     totals of the parts before a row's own part are added to those within it. rows is read three times, so it is kept.
-    single says that by has one value, so that one row of limits is broadcast; else Spark chooses by size.
+    Groups of so many rows are few, so their limits are broadcast: a shuffle by group would gather a long one in a task.
     """
     rows = rows.persist()
-    if (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= direct:
-        whole = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
-        return rows.select("*", *(F.sum(v).over(whole).alias(f"total_{v}") for v in values))
-    spans = rows.groupBy(*by).agg(F.percentile_approx(order, [i / ranges for i in range(1, max(2, ranges))], 100 * ranges).alias("__limits"))
-    part = F.size(F.filter("__limits", lambda x: x < F.col(order)))
-    spans = F.broadcast(spans) if single or not by else spans
-    cut = (rows.join(spans, by) if by else rows.crossJoin(spans)).withColumn("__part", part).drop("__limits")
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts, group = rows.groupBy(*by).count(), Window.partitionBy(*by)
+    if (counts.agg(F.max("count")).first()[0] or 0) <= direct:
+        upto = group.orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *(F.sum(v).over(upto).alias(f"total_{v}") for v in values), *(F.sum(v).over(group).alias(f"whole_{v}") for v in values))
+    long = rows.join(F.broadcast(counts.where(F.col("count") > direct)), by, "left_semi") if by else rows
+    step = max(1, math.isqrt(ranges))
+    limits = F.percentile_approx(order, [i / ranges for i in range(1, max(2, ranges))], 100 * ranges)
+    spans = F.broadcast(long.groupBy(*by).agg(limits.alias("__limits")).withColumn("__steps", F.filter("__limits", lambda x, i: i % step == step - 1)))
+    # limits below a value: whole steps of them, then those of the next step
+    below = lambda limits: F.size(F.filter(limits, lambda x: x < F.col(order)))
+    cut = (rows.join(spans, by, "left") if by else rows.crossJoin(spans)).withColumn("__part", below(F.col("__steps")) * step)
+    part = F.col("__part") + below(F.slice("__limits", F.col("__part") + 1, F.lit(step)))
+    cut = cut.withColumn("__part", F.when(F.col("__limits").isNull(), 0).otherwise(part)).drop("__limits", "__steps")
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*by, "__part").agg(*(F.sum(v).alias(f"__{v}") for v in values))
-    totals = totals.select(*by, "__part", *(F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values))
+    totals = totals.select(*by, "__part", *(F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values), *(F.sum(f"__{v}").over(group).alias(f"whole_{v}") for v in values))
     within = Window.partitionBy(*by, "__part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     summed = cut.join(totals, [*by, "__part"])
     for v in values:
@@ -170,16 +177,17 @@ def running_totals(rows: DataFrame, by: list[str], order: str, values: list[str]
 def order_figures(samples: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """Per by: count, minimum, median, nearest-rank quantile, maximum and zeros of a sample's values that aren't null.
 
-    Values are counted first; ranks are running totals of the counts, so no task holds a sample's distinct values.
+    Values are counted first; ranks are running totals of the counts, so no task holds a sample's distinct values. Rows without
+    a by are left out.
     """
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    totals = running_totals(counts, by, "x", ["n"], single=not by)
-    size = counts.groupBy(*by).agg(F.sum("n").alias("size"))
-    ranked = totals.join(size, by) if by else totals.crossJoin(F.broadcast(size))
+    for c in (value, *by):
+        samples = samples.where(F.col(c).isNotNull())
+    counts = samples.groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    size = F.col("whole_n")
     at = lambda rank: F.min(F.when(F.col("total_n") >= rank, F.col("x")))
-    return ranked.groupBy(*by).agg(
-        F.max("size").alias("count"), F.min("x").alias("minimum"),
-        ((at(F.floor((F.col("size") + 1) / 2)) + at(F.floor(F.col("size") / 2) + 1)) / 2).cast("double").alias("median"),
-        at(F.ceil(F.lit(q) * F.col("size"))).cast("double").alias("quantile"), F.max("x").alias("maximum"),
+    return running_totals(counts, by, "x", ["n"]).groupBy(*by).agg(
+        F.max(size).alias("count"), F.min("x").alias("minimum"),
+        ((at(F.floor((size + 1) / 2)) + at(F.floor(size / 2) + 1)) / 2).cast("double").alias("median"),
+        at(F.ceil(F.lit(q) * size)).cast("double").alias("quantile"), F.max("x").alias("maximum"),
         F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("n"))), F.lit(0)).cast("bigint").alias("zeros"),
     )

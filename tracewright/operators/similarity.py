@@ -103,22 +103,21 @@ def ks(reference: DataFrame, generated: DataFrame, value: str) -> DataFrame:
     alone, generated, of = _alone(generated), _named(generated), _of(generated)
     zero = F.lit(0).cast("bigint")
     ours = reference.groupBy(*of, F.col(value).alias("x")).agg(F.count("*").alias("a"))
-    theirs = generated.groupBy(*of, "comparison", F.col(value).alias("x")).agg(F.count("*").alias("b"))
+    theirs = generated.where("comparison is not null").groupBy(*of, "comparison", F.col(value).alias("x")).agg(F.count("*").alias("b"))
     at = lambda a, b: F.abs(a / F.col("na") - b / F.col("nb"))
+    na = F.col("whole_a")
     if alone:
         one = ours.select("x", "a", zero.alias("b")).unionByName(theirs.select("x", zero.alias("a"), "b"))
         one = one.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("comparison", F.lit("generated"))
-        totals, gap = running_totals(one, ["comparison"], "x", ["a", "b"], single=True), at(F.col("total_a"), F.col("total_b"))
-        # the sums are the sample sizes
-        sizes = one.groupBy("comparison").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+        totals, gap = running_totals(one, ["comparison"], "x", ["a", "b"]), at(F.col("total_a"), F.col("total_b"))
     else:
         values = ours.unionByName(theirs.select(*of, "x", zero.alias("a"))).groupBy(*of, "x").agg(F.sum("a").alias("a"))
-        below = running_totals(values, of, "x", ["a"], single=not of)
+        below = running_totals(values, of, "x", ["a"])
         totals = running_totals(theirs, [*of, "comparison"], "x", ["b"]).join(below, [*of, "x"])
         gap = F.greatest(at(F.col("total_a"), F.col("total_b")), at(F.col("total_a") - F.col("a"), F.col("total_b") - F.col("b")))
-        sizes, whole = theirs.groupBy(*of, "comparison").agg(F.sum("b").alias("nb")), ours.groupBy(*of).agg(F.sum("a").alias("na"))
-        sizes = sizes.join(whole, of) if of else sizes.crossJoin(F.broadcast(whole))
-    return totals.join(_few(sizes, alone), [*of, "comparison"]).groupBy(*of, "comparison").agg(
+        totals, na = (totals.where("whole_a > 0"), na) if of else (totals, F.nullif(na, F.lit(0)))
+    # the groups' totals are the sample sizes
+    return totals.withColumn("na", na).withColumn("nb", F.col("whole_b")).groupBy(*of, "comparison").agg(
         F.max(gap).alias("distance"), F.first("na").alias("reference_count"), F.first("nb").alias("generated_count")
     )
 
