@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, html_text, katz, langid, media, near_dedup, packing, queries, sentencepiece_scan, sharding, toxicity
+from tracewright.llm import common, exact_dedup, html_text, katz, langid, media, near_dedup, packing, queries, sentencepiece_scan, sharding, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -231,6 +231,46 @@ def test_only_cells_that_members_meet_in(spark):
     assert near_dedup._meeting(told.where("rid < 0")).count() == 0
 
 
+def test_marked_keys(spark):
+    """Every row with a key of the set is hit, null among them, and few others are; also where the map is full."""
+    rng = random.Random(6)
+    ids = [rng.getrandbits(63) - (1 << 62) for _ in range(20_000)] + list(range(20_000))
+    rows, some = spark.createDataFrame([(i,) for i in ids] + [(None,)], "key bigint"), set(ids[::5])
+    keys = spark.createDataFrame([(i,) for i in some], "key bigint")
+    for found, hits in ((common.marked(rows, keys, "key"), some), (common.marked(rows, keys.union(rows.where("key is null")), "key"), some | {None})):
+        got = {r.key: r.hit for r in found.collect()}
+        assert found.columns == ["key", "hit"] and len(got) == len(ids) + 1 and all(got[i] for i in hits)
+        assert sum(got.values()) - len(hits) < 0.1 * len(ids)
+    assert not common.marked(rows, keys.limit(0), "key").where("hit").count()
+
+
+def test_full_map_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_KEY_BITS", common.ROW_BITS)
+    texts = [f"{' '.join(f'w{(i // 3) * 50 + j}' for j in range(50))}{' ' * (i % 3)}" for i in range(6000)]
+    table = spark.createDataFrame([(i if i % 6 else None, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    left = near_dedup.drop_near(table).collect()
+    assert sorted(r.doc_id for r in left) == sorted(3 * g + (not g % 2) for g in range(2000))
+
+
+def test_few_texts_are_shuffled(spark):
+    """Where copies are few, near dedup shuffles few of the texts: neither to find candidates nor to drop what goes."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.getrandbits(40)}" for _ in range(400)) for _ in range(600)]
+    texts += [f"{t} more" for t in texts[:20]]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    table = common.materialize(table, "few")
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(s.shuffleWriteBytes() for s in (lambda x: [x.apply(i) for i in range(x.size())])(tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        left = near_dedup.drop_near(table)
+        assert sorted(r.doc_id for r in left.collect()) == list(range(600))
+        assert written() - before < 0.5 * sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_recall_of_buckets():
     """Pairs just above the threshold, many with common shingles, share a bucket."""
     rng, sketcher, missed, true = random.Random(10), near_dedup.Sketcher(), 0, 0

@@ -107,6 +107,25 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a map of keys for each key, in a row, and at most (8 MB; a fuller map marks more rows, never fewer).
+KEY_BITS, ROW_BITS, MOST_KEY_BITS = 16, 1 << 15, 1 << 26
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with a boolean ``hit``: true where keys has the row's key (null is one), and seldom elsewhere.
+
+    What isn't hit needs no join with keys, so rows with long texts needn't be shuffled to learn that. The keys' bits are
+    broadcast, at most 8 MB of them. keys is read twice.
+    """
+    bits = min(MOST_KEY_BITS, max(ROW_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(bits)) + 1
+    at = F.bitmap_bit_position(slot).cast("int")
+    held = keys.groupBy(F.bitmap_bucket_number(slot).alias("__row")).agg(F.bitmap_construct_agg(at.cast("bigint")).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__row", F.bitmap_bucket_number(slot)).join(F.broadcast(held), "__row", "left")
+    return found.withColumn("hit", F.coalesce(F.getbit(byte, at.bitwiseAND(7)) == 1, F.lit(False))).drop("__row", "__bits")
+
+
 def beside(df: DataFrame, *added: str) -> DataFrame:
     """The fields of df's struct ``row`` and the columns added; an added column takes the place of a field of its name."""
     taken = {a.lower() for a in added}

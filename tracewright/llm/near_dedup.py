@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, held, materialize, read_table, small_batches, text_or_empty
+from .common import SPACE, Scratch, held, marked, materialize, read_table, small_batches, text_or_empty
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 3
 #: Share of the sum of two sizes that a pair of this similarity has in common.
@@ -362,8 +362,8 @@ def resolve(members: DataFrame, words: DataFrame, work: Scratch) -> DataFrame |
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, kept): key and digest of every row; and (digest, keep_key, keep_digest) of every digest in a class of several rows."""
-    base = small_batches(docs).select(F.col(key).cast("bigint").alias("key"), words_of(text).alias("words"))
-    base = base.withColumn("digest", F.unhex(F.md5(F.col("words").cast("binary"))))
+    texts = small_batches(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    base = _worded(texts)
     work = Scratch(docs.sparkSession, "near")
     rows = materialize(base.mapInArrow(_bands, "key bigint, digest binary, bands array<bigint>, size bigint"), "near-rows")
     order = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"))).getField("key")
@@ -374,7 +374,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     shared = work.keep(entries.join(sizes, "bucket"))
     degree = shared.groupBy("rid").agg(F.sum("n").alias("degree"))
     ranked = work.keep(shared.select("rid", "bucket", "size").join(degree, "rid"))
-    labels = resolve(ranked, _texts_of(base, reps, ranked.select("rid").distinct(), work), work)
+    labels = resolve(ranked, _texts_of(texts, reps, ranked.select("rid").distinct(), work), work)
     if labels is None:
         labels = ranked.select(F.col("rid").alias("node"), F.col("rid").alias("label")).limit(0)
     labelled = reps.join(labels.withColumnRenamed("node", "rid"), "rid", "left").where("label is not null or copies > 1")
@@ -387,19 +387,32 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     return rows.select("key", "digest"), kept
 
 
-def _texts_of(base: DataFrame, reps: DataFrame, needed: DataFrame, work: Scratch) -> DataFrame:
-    """(rid, words) of the texts that are candidates at all, one of each class of copies."""
-    wanted = reps.select("digest", "rid", "first").join(needed, "rid").select("digest", "rid", "first")
-    found = base.join(wanted, (base.digest == wanted.digest) & base.key.eqNullSafe(wanted["first"]))
-    return work.keep(found.select("rid", "words").dropDuplicates(["rid"]))
+def _worded(texts: DataFrame) -> DataFrame:
+    """texts (key, text, ...) with the text's words and their digest for the text."""
+    return texts.withColumn("words", words_of("text")).drop("text").withColumn("digest", F.unhex(F.md5(F.col("words").cast("binary"))))
+
+
+def _both():
+    """Digest and key as one value, where no key is a key too: equal to itself in a join, so what a join dealt by it is dealt for good."""
+    return F.concat("digest", F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")).alias("both")
+
+
+def _texts_of(texts: DataFrame, reps: DataFrame, needed: DataFrame, work: Scratch) -> DataFrame:
+    """(rid, words) of the texts that are candidates at all, one of each class of copies. Of other texts few are shuffled, see marked."""
+    wanted = work.keep(reps.withColumnRenamed("first", "key").join(needed, "rid").select(_both(), "rid", "key"))
+    base = _worded(marked(texts, wanted, "key").where("hit")).select(_both(), "words")
+    return work.keep(base.join(wanted.select("both", "rid"), "both").dropDuplicates(["both"]).select("rid", "words"))
 
 
 def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each class, its smallest key; columns unchanged."""
-    _, kept = classes(docs, text, key)
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("key"), F.unhex(F.md5(words_of(text).cast("binary"))).alias("digest"))
-    joined = tagged.join(kept.withColumn("hit", F.lit(True)), "digest", "left")
-    return joined.where("hit is null or (key <=> keep_key and digest = keep_digest)").select("row.*")
+    """docs with one row of each class, its smallest key; columns unchanged. Few rows are shuffled but those that go, see marked."""
+    rows, kept = classes(docs, text, key)
+    stays = F.col("key").eqNullSafe(F.col("keep_key")) & (F.col("digest") == F.col("keep_digest"))
+    gone = materialize(rows.join(kept, "digest").where(~stays).select(_both(), "key"), "near-gone")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    whole = marked(whole, gone, "key")
+    left = _worded(whole.where("hit")).select("row", _both()).join(gone, "both", "left_anti")
+    return whole.where("not hit").select("row.*").unionByName(left.select("row.*"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
