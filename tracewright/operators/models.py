@@ -2,18 +2,21 @@
 
 A generator is sequential and owns one PCG64 stream, so work is parallel over (candidate, seed), never within a trace.
 Every trace starts at 0 and holds all events up to and including the window; if a limit is met first, the result is
-incomplete, never shorter.
+incomplete, never shorter. Long traces are generated and read in parts, so that a task holds one part at a time.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import mmap
+import tempfile
 import time
 from array import array
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -97,12 +100,12 @@ class _Stop(Exception):
 
 
 class _Run:
-    """A trace being generated: draws are checked against the clock, events against the limits."""
+    """A trace being generated: draws are checked against the clock, events against the limits. part: events after which it's taken."""
 
-    def __init__(self, window: float, limits: Limits, clock: Callable[[], float]):
+    def __init__(self, window: float, limits: Limits, clock: Callable[[], float], part: float = math.inf):
         if not math.isfinite(window) or window <= 0:
             raise ValueError("the window must be positive and finite")
-        self.guard, self.window, self.out, self.size = Guard(limits, clock), window, Generated(), 0
+        self.guard, self.window, self.out, self.size, self.part, self.taken = Guard(limits, clock), window, Generated(), 0, part, 0
 
     def stop(self, reason: str | None) -> None:
         if reason:
@@ -110,16 +113,65 @@ class _Run:
             raise _Stop
 
     def ready(self) -> None:
-        self.stop(self.guard.before(len(self.out.events), self.size))
+        self.stop(self.guard.before(self.taken + len(self.out.events), self.size))
 
     def drawn(self, value):
         self.stop("max_wall_seconds" if self.guard.late() else None)
         return value
 
-    def emit(self, at: float, direction: int, length: int) -> None:
-        self.stop(self.guard.adding(len(self.out.events), self.size, length))
-        self.out.events.append((at, direction, length))
+    def emit(self, at: float, direction: int, length: int) -> bool:
+        """Adds an event; whether the part is full."""
+        events = self.out.events
+        self.stop(self.guard.adding(self.taken + len(events), self.size, length))
+        events.append((at, direction, length))
         self.size += length
+        return len(events) >= self.part
+
+    def take(self) -> Arrays:
+        """The events since the last part."""
+        found, self.out.events = Arrays.of(self.out.events), Events()
+        self.taken += len(found)
+        return found
+
+
+class Model:
+    """A fitted model: play() draws and emits events, and yields where a part is full."""
+
+    def play(self, run: _Run, rng: np.random.Generator) -> Iterator[None]:
+        raise NotImplementedError
+
+    def _played(self, run: _Run, seed: int) -> Iterator[None]:
+        try:
+            yield from self.play(run, rng_of(seed))
+        except _Stop:
+            pass
+
+    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
+        run = _Run(window, limits, clock)
+        for _ in self._played(run, seed):
+            pass
+        return run.out
+
+
+class Parts:
+    """generate() some events at a time: the parts in order, then the reason and counters of the whole."""
+
+    def __init__(self, model: Model, seed: int, window: float, limits: Limits = Limits(), size: int = CHUNK, clock: Callable[[], float] = time.monotonic):
+        self.model, self.seed, self.run = model, seed, _Run(window, limits, clock, size)
+
+    def __iter__(self) -> Iterator[Arrays]:
+        for _ in self.model._played(self.run, self.seed):
+            yield self.run.take()
+        if len(self.run.out.events):
+            yield self.run.take()
+
+    @property
+    def reason(self) -> str | None:
+        return self.run.out.reason
+
+    @property
+    def counters(self) -> dict[str, int]:
+        return self.run.out.counters
 
 
 @dataclass(frozen=True)
@@ -129,7 +181,9 @@ class Marks:
     entries: tuple[tuple[int, int, int], ...]
 
     @classmethod
-    def of(cls, t: Arrays) -> Marks:
+    def of(cls, t: Arrays | Summary) -> Marks:
+        if isinstance(t, Summary):
+            return t.marks
         _, first, counts = np.unique(t.length * 2 + t.direction, return_index=True, return_counts=True)
         order = np.argsort(first)
         return cls(tuple((int(t.direction[i]), int(t.length[i]), int(c)) for i, c in zip(first[order], counts[order], strict=True)))
@@ -194,7 +248,18 @@ def repair(family: str, genes: tuple, bounds: Bounds, reference: Arrays) -> tupl
 
 
 @dataclass(frozen=True)
-class Poisson:
+class Summary:
+    """What the driver and all tasks hold of a trace that stays in Spark: counts of its lengths and marks, of which there are few."""
+
+    length: Lengths
+    marks: Marks
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+
+@dataclass(frozen=True)
+class Poisson(Model):
     base_rate: float
     rate: float
     marks: Marks
@@ -204,24 +269,22 @@ class Poisson:
         base = (len(t) - 1) / window
         return cls(base, base * genes[0], Marks.of(t))
 
-    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
-        run, rng, mark = _Run(window, limits, clock), rng_of(seed), self.marks.sampler()
-        try:
+    def play(self, run: _Run, rng: np.random.Generator) -> Iterator[None]:
+        mark = self.marks.sampler()
+        run.ready()
+        full, now = run.emit(0.0, *run.drawn(mark(rng))), 0.0
+        while True:
+            if full:
+                yield
             run.ready()
-            run.emit(0.0, *run.drawn(mark(rng)))
-            now = 0.0
-            while True:
-                run.ready()
-                now += run.drawn(rng.exponential(1 / self.rate))
-                if now > window:
-                    return run.out
-                run.emit(now, *run.drawn(mark(rng)))
-        except _Stop:
-            return run.out
+            now += run.drawn(rng.exponential(1 / self.rate))
+            if now > run.window:
+                return
+            full = run.emit(now, *run.drawn(mark(rng)))
 
 
 @dataclass(frozen=True)
-class Mmpp:
+class Mmpp(Model):
     q01: float
     q10: float
     lambda0: float
@@ -239,31 +302,46 @@ class Mmpp:
         x, y = math.exp(a - top), math.exp(b - top)
         return x / (x + y)
 
-    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
-        run, rng, mark = _Run(window, limits, clock), rng_of(seed), self.marks.sampler()
+    def play(self, run: _Run, rng: np.random.Generator) -> Iterator[None]:
+        mark = self.marks.sampler()
         arrival, leaving = (self.lambda0, self.lambda1), (self.q01, self.q10)
-        try:
+        run.ready()
+        regime = 0 if run.drawn(rng.random()) < self.first_regime() else 1
+        full, now = run.emit(0.0, *run.drawn(mark(rng))), 0.0
+        while True:
+            if full:
+                full = False
+                yield
             run.ready()
-            regime = 0 if run.drawn(rng.random()) < self.first_regime() else 1
-            run.emit(0.0, *run.drawn(mark(rng)))
-            now = 0.0
-            while True:
-                run.ready()
-                event = now + run.drawn(rng.exponential(1 / arrival[regime]))
-                switch = now + run.drawn(rng.exponential(1 / leaving[regime]))
-                now = event if event < switch else switch
-                if now > window:
-                    return run.out
-                if event < switch:
-                    run.emit(now, *run.drawn(mark(rng)))
-                else:
-                    regime = 1 - regime
-        except _Stop:
-            return run.out
+            event = now + run.drawn(rng.exponential(1 / arrival[regime]))
+            switch = now + run.drawn(rng.exponential(1 / leaving[regime]))
+            now = event if event < switch else switch
+            if now > run.window:
+                return
+            if event < switch:
+                full = run.emit(now, *run.drawn(mark(rng)))
+            else:
+                regime = 1 - regime
+
+
+class Scratch:
+    """Numbers of one kind appended in order, then read at any place, in a file of the task's temp folder that goes with it."""
+
+    def __init__(self, kind: str):
+        self.kind, self.file = kind, tempfile.TemporaryFile()
+
+    def add(self, x: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(x, self.kind))
+
+    def read(self) -> array | memoryview:
+        self.file.flush()
+        if not self.file.tell():
+            return array(self.kind)
+        return memoryview(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)).cast(self.kind)
 
 
 @dataclass(frozen=True)
-class Markov:
+class Markov(Model):
     thresholds: tuple[float, float]
     states: tuple[tuple[int, int], ...]
     lengths: tuple[array, ...]
@@ -297,10 +375,43 @@ class Markov:
             edges, tuple(packed("d", gaps[source == i]) for i in range(k)), packed("d", gaps), support, scale, alpha,
         )
 
+    @classmethod
+    def gather(cls, parts: Iterable[Arrays], genes: tuple, cut: tuple[float, float]) -> Markov:
+        """fit() of a trace that comes in parts: the samples, which grow with it, lie in scratch files, not in memory."""
+        _, _, alpha, support, scale = genes
+        kinds: list[int] = []
+        lengths, edges, sources, whole, last = {}, {}, {}, Scratch("d"), None
+        for t in parts:
+            code = t.direction * 3 + np.searchsorted(cut, t.length, "left")
+            seen, first = np.unique(code, return_index=True)
+            kinds += [c for c in seen[np.argsort(first)].tolist() if c not in kinds]
+            for c in seen.tolist():
+                lengths.setdefault(c, Scratch("q")).add(t.length[code == c])
+            ts, all_codes = (t.ts, code) if last is None else (np.concatenate((last[:1], t.ts)), np.concatenate((last[1:].astype(np.int64), code)))
+            last = np.array((t.ts[-1], code[-1]))
+            gaps, source, target = np.diff(ts), all_codes[:-1], all_codes[1:]
+            whole.add(gaps)
+            for a in np.unique(source).tolist():
+                mine = source == a
+                sources.setdefault(a, Scratch("d")).add(gaps[mine])
+                for b in np.unique(target[mine]).tolist():
+                    edges.setdefault((a, b), Scratch("d")).add(gaps[mine & (target == b)])
+        k = len(kinds)
+        read = lambda kept, at, kind="d": kept[at].read() if at in kept else array(kind)
+        conditional = tuple(tuple(read(edges, (a, b)) for b in kinds) for a in kinds)
+        rows = []
+        for counts in (np.array([len(x) for x in row], np.float64) for row in conditional):
+            bottom = counts.sum() + alpha * k
+            rows.append(tuple([1 / k] * k if bottom == 0 else ((counts + alpha) / bottom).tolist()))
+        return cls(
+            cut, tuple((c // 3, c % 3) for c in kinds), tuple(read(lengths, c, "q") for c in kinds), tuple(rows),
+            conditional, tuple(read(sources, c) for c in kinds), whole.read(), support, scale, alpha,
+        )
+
     def sample_for(self, i: int, j: int) -> tuple[str, array]:
         if len(self.edge_iats[i][j]) >= self.minimum_support:
             return "transition", self.edge_iats[i][j]
-        return ("source", self.source_iats[i]) if self.source_iats[i] else ("global", self.global_iats)
+        return ("source", self.source_iats[i]) if len(self.source_iats[i]) else ("global", self.global_iats)
 
     @staticmethod
     def pick(weights, draw: float) -> int:
@@ -312,35 +423,37 @@ class Markov:
                 return i
         return len(weights) - 1
 
-    def generate(self, seed: int, window: float, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> Generated:
-        run, rng = _Run(window, limits, clock), rng_of(seed)
+    def play(self, run: _Run, rng: np.random.Generator) -> Iterator[None]:
         seen = run.out.counters = {f"timing_tier_{t}_count": 0 for t in ("transition", "source", "global")} | {"uniform_unobserved_row_count": 0}
-        try:
+        run.ready()
+        i = self.pick([float(len(n)) for n in self.lengths], run.drawn(rng.random()))
+        full, now = run.emit(0.0, self.states[i][0], self.lengths[i][run.drawn(place(rng, len(self.lengths[i])))]), 0.0
+        while True:
+            if full:
+                yield
             run.ready()
-            i = self.pick([float(len(n)) for n in self.lengths], run.drawn(rng.random()))
-            run.emit(0.0, self.states[i][0], self.lengths[i][run.drawn(place(rng, len(self.lengths[i])))])
-            now = 0.0
-            while True:
-                run.ready()
-                j = self.pick(self.rows[i], run.drawn(rng.random()))
-                tier, sample = self.sample_for(i, j)
-                seen[f"timing_tier_{tier}_count"] += 1
-                seen["uniform_unobserved_row_count"] += not self.source_iats[i]
-                now += sample[run.drawn(place(rng, len(sample)))] * self.time_scale
-                if now > window:
-                    return run.out
-                run.emit(now, self.states[j][0], self.lengths[j][run.drawn(place(rng, len(self.lengths[j])))])
-                i = j
-        except _Stop:
-            return run.out
+            j = self.pick(self.rows[i], run.drawn(rng.random()))
+            tier, sample = self.sample_for(i, j)
+            seen[f"timing_tier_{tier}_count"] += 1
+            seen["uniform_unobserved_row_count"] += not len(self.source_iats[i])
+            now += sample[run.drawn(place(rng, len(sample)))] * self.time_scale
+            if now > run.window:
+                return
+            full = run.emit(now, self.states[j][0], self.lengths[j][run.drawn(place(rng, len(self.lengths[j])))])
+            i = j
 
 
 FAMILIES = {"markov_renewal": Markov, "mmpp": Mmpp, "poisson_empirical": Poisson}
+#: Families whose models hold samples of the reference's events; the others need its marks and rates only.
+SAMPLED = ("markov_renewal",)
 
 
-def fit(family: str, genes: tuple, t: Arrays, window: float):
+def fit(family: str, genes: tuple, t: Arrays | Summary, window: float, parts: Iterable[Arrays] = ()):
+    """Of a trace that stays in Spark t is the summary, and parts its events for the families that hold samples of them."""
     if family not in FAMILIES:
         raise KeyError(f"unknown model family {family}")
+    if isinstance(t, Summary) and family in SAMPLED:
+        return FAMILIES[family].gather(parts, genes, thresholds(t.length, *genes[:2]))
     return FAMILIES[family].fit(t, genes, window)
 
 
@@ -404,77 +517,87 @@ def generate(requests: DataFrame, models: dict[str, object], window: float, limi
     def run(frames):
         for frame in frames:
             for r in frame.itertuples():
-                yield from rows_of(r.comparison, models[r.model].generate(int(r.seed), window, limits))
+                yield from rows_of(r.comparison, Parts(models[r.model], int(r.seed), window, limits))
 
     asked = requests.select(F.col("comparison").cast("string"), F.col("model").cast("string"), F.col("seed").cast("bigint"))
     # by a number of partitions, as few small rows would be put into one
     return asked.repartitionByRange(max(1, min(asked.count(), 2_000)), "comparison").mapInPandas(run, GENERATED)
 
 
-def rows_of(comparison: str, made: Generated) -> Iterator[pd.DataFrame]:
-    """The events of a whole result, some at a time."""
-    if not made.complete:
+def rows_of(comparison: str, made: Parts) -> Iterator[pd.DataFrame]:
+    """The events of a whole result, a part at a time."""
+    done = 0
+    for e in made:
+        yield pd.DataFrame({"comparison": comparison, "trace_id": comparison, "seq": np.arange(done + 1, done + len(e) + 1), "ts": e.ts, "direction": e.direction.astype(np.int8), "frame_length": e.length})
+        done += len(e)
+    if made.reason:
         raise ValueError(f"{comparison}: {made.reason}")
-    e = made.events
-    for i in range(0, len(e), CHUNK):
-        part = slice(i, min(i + CHUNK, len(e)))
-        yield pd.DataFrame(
-            {"comparison": comparison, "trace_id": comparison, "seq": np.arange(part.start + 1, part.stop + 1), "ts": np.array(e.ts[part]), "direction": np.array(e.direction[part], np.int8), "frame_length": np.array(e.length[part])}
-        )
 
 
-# One trace of any size inside tasks, never on the driver
+# One trace of any size inside tasks, a part at a time, never on the driver
 
 
 @dataclass(frozen=True)
 class Stored:
-    """One trace that stays in Spark, in chunks of arrays; the driver has the counts of its lengths, of which there are few."""
+    """One trace that stays in Spark, in chunks of arrays; the driver has counts of its lengths and marks, of which there are few."""
 
     chunks: DataFrame
-    length: Lengths
+    summary: Summary
 
     def __len__(self) -> int:
-        return len(self.length)
+        return len(self.summary)
+
+    @property
+    def length(self) -> Lengths:
+        return self.summary.length
+
+    def linked(self) -> DataFrame:
+        """The chunks with the time of the last event before each (before; null in the first): a row for each chunk is broadcast."""
+        last = self.chunks.select((F.col("chunk") + 1).alias("chunk"), F.element_at("ts", -1).alias("before"))
+        return self.chunks.join(F.broadcast(last), "chunk", "left")
 
 
 def stored(trace: DataFrame) -> Stored:
     chunks = in_chunks(trace, ["trace_id"], "seq", ["ts", "direction", "frame_length"], CHUNK)
     chunks = chunks.select("chunk", F.col("entries.ts").alias("ts"), F.col("entries.direction").cast("array<tinyint>").alias("direction"), F.col("entries.frame_length").cast("array<bigint>").alias("length")).persist()
-    counts = trace.groupBy("frame_length").agg(F.count("*").alias("n")).toPandas().sort_values("frame_length")
-    return Stored(chunks, Lengths(counts["frame_length"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)))
+    found = trace.groupBy("direction", "frame_length").agg(F.count("*").alias("n"), F.min("seq").alias("first")).toPandas().sort_values("first")
+    counts = found.groupby("frame_length")["n"].sum()
+    marks = Marks(tuple((int(d), int(x), int(n)) for d, x, n in zip(found["direction"], found["frame_length"], found["n"], strict=True)))
+    return Stored(chunks, Summary(Lengths(counts.index.to_numpy(np.int64), counts.to_numpy(np.int64)), marks))
 
 
 def beside(trace: Stored, work: DataFrame, n: int) -> DataFrame:
-    """A copy of the trace's chunks, in order, for each of the n rows (slot, work), every slot in a partition of its own."""
-    return trace.chunks.crossJoin(F.broadcast(work)).repartitionByRange(n, "slot").sortWithinPartitions("slot", "chunk")
-
-
-def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Arrays]]:
-    """(work, the trace) for each slot of what beside() deals out."""
-    slot, work, parts = None, None, []
-    joined = lambda: Arrays(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-    for b in batches:
-        for i in range(len(b)):
-            now = b.column("slot")[i].as_py()
-            if parts and now != slot:
-                yield work, joined()
-                parts = []
-            slot, work = now, b.column("work")[i].as_py()
-            parts.append(tuple(b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(k) for c, k in (("ts", np.float64), ("direction", np.int64), ("length", np.int64))))
-    if parts:
-        yield work, joined()
+    """For each of the n rows (slot, work, sampled), a partition of its own: with a copy of the trace's chunks, in order, if sampled."""
+    with_chunks = trace.chunks.crossJoin(F.broadcast(work.where("sampled")))
+    kinds = {c: t for c, t in trace.chunks.dtypes if c != "chunk"}
+    alone = work.where("not sampled").select(F.lit(0).cast("bigint").alias("chunk"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()), "slot", "work", "sampled")
+    return with_chunks.unionByName(alone).repartitionById(n, F.col("slot")).sortWithinPartitions("slot", "chunk")
+
+
+def in_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[Arrays]]]:
+    """(work, the trace in parts) for each slot of what beside() deals out; the parts must be read before the next slot is."""
+    rows = ((b.column("slot")[i].as_py(), b.column("work")[i].as_py(), b, i) for b in batches for i in range(len(b)))
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        first = next(group)
+        yield first[1], (arrays_of(b, i) for _, _, b, i in chain((first,), group) if b.column("ts")[i].is_valid)
+
+
+def arrays_of(b: pa.RecordBatch, i: int) -> Arrays:
+    """A chunk of a stored trace."""
+    return Arrays(*(b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(k) for c, k in (("ts", np.float64), ("direction", np.int64), ("length", np.int64))))
 
 
 def generate_fitted(trace: Stored, family: str, genes: tuple, requests: list[tuple[str, int]], window: float, limits: Limits = Limits()) -> DataFrame:
     """generate() for a model that holds its reference's own samples: every request (comparison, seed) fits it where it runs."""
+    summary = trace.summary
 
     def run(batches):
-        for work, t in copies(batches):
+        for work, parts in in_slots(batches):
             comparison, seed = json.loads(work)
-            for frame in rows_of(comparison, fit(family, genes, t, window).generate(seed, window, limits)):
+            for frame in rows_of(comparison, Parts(fit(family, genes, summary, window, parts), seed, window, limits)):
                 yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    work = trace.chunks.sparkSession.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(requests)], "slot int, work string")
+    work = trace.chunks.sparkSession.createDataFrame([(i, json.dumps(r), family in SAMPLED) for i, r in enumerate(requests)], "slot int, work string, sampled boolean")
     return beside(trace, work, len(requests)).mapInArrow(run, GENERATED)
 
 

@@ -6,7 +6,6 @@ generation consumes none of it and is a job over candidates and seeds. Already v
 
 from __future__ import annotations
 
-import copy
 import json
 import math
 from collections.abc import Callable
@@ -17,7 +16,8 @@ from pyspark.sql import SparkSession
 
 from ..functions import kernels
 from ..functions.kernels import Arrays
-from ..operators.models import GENES, Bounds, Limits, RepairError, Stored, beside, copies, fit, repair, rng_of
+from ..operators.models import GENES, Bounds, Limits, RepairError, Stored, fit, repair, rng_of
+from ..operators.scoring import profile, trials
 from ..operators.similarity import Settings
 
 KINDS = ("repair", "fit", "generation", "incomplete_generation", "similarity_precondition", "nonfinite_score")
@@ -126,7 +126,7 @@ def stepped(kind: str, bound, before, epsilon: float, after):
 
 class Engine:
     def __init__(self, search: Search, reference: Arrays | Stored, window: float, settings: Settings):
-        """A stored reference reaches the tasks of a generation through shuffles; one in arrays travels with the code."""
+        """A stored reference stays in Spark, and tasks see it in parts; one in arrays travels with the code."""
         settings.check(window)
         # the reference must fit the settings itself
         if isinstance(reference, Arrays):
@@ -134,7 +134,7 @@ class Engine:
         else:
             kernels.require(len(reference), settings)
         self.search, self.reference, self.window, self.settings = search, reference, window, settings
-        self.priority = search.priority
+        self.priority, self.about = search.priority, None
 
     # Variation
 
@@ -221,11 +221,10 @@ class Engine:
 
     # Evaluation
 
-    def trial(self, family: str, genes: tuple, seed: int, reference: Arrays | None = None) -> dict:
+    def trial(self, family: str, genes: tuple, seed: int) -> dict:
         """Scores of one fitted candidate under one seed, or what failed."""
-        reference = self.reference if reference is None else reference
         try:
-            model = fit(family, genes, reference, self.window)
+            model = fit(family, genes, self.reference, self.window)
         except (ValueError, ArithmeticError) as e:
             return {"kind": "fit", "detail": str(e)}
         try:
@@ -235,7 +234,7 @@ class Engine:
         if not made.complete:
             return {"kind": "incomplete_generation", "detail": made.reason}
         try:
-            scores = kernels.compare(reference, Arrays.of(made.events), self.window, self.settings)
+            scores = kernels.compare(self.reference, Arrays.of(made.events), self.window, self.settings)
         except ValueError as e:
             return {"kind": "similarity_precondition", "detail": str(e)}
         if any(not math.isfinite(x) or not 0 <= x <= 1 for x in scores.values()):
@@ -267,9 +266,11 @@ class Engine:
     def _job(self, spark: SparkSession, todo: list[tuple]) -> list[tuple[int, int, dict]]:
         import pandas as pd
 
-        engine, slots = self, min(len(todo), spark.sparkContext.defaultParallelism)
         if isinstance(self.reference, Stored):
-            return self._beside(spark, todo, slots)
+            if self.about is None:
+                self.about = profile(self.reference, self.window, self.settings)
+            return trials(self.reference, self.about, todo, self.window, self.settings, self.search.limits)
+        engine, slots = self, min(len(todo), spark.sparkContext.defaultParallelism)
 
         def run(frames):
             for frame in frames:
@@ -280,22 +281,6 @@ class Engine:
         # a population is a few dozen rows by configuration
         return [(r.i, r.seed, json.loads(r.result)) for r in rows.repartition(slots).mapInPandas(run, "i bigint, seed bigint, result string").collect()]
 
-    def _beside(self, spark: SparkSession, todo: list[tuple], slots: int) -> list[tuple[int, int, dict]]:
-        """The same where tasks get the reference by a shuffle: one copy for the trials of each slot."""
-        import pyarrow as pa
-
-        engine = copy.copy(self)
-        engine.reference = None
-
-        def run(batches):
-            for work, reference in copies(batches):
-                for i, family, genes, seed in json.loads(work):
-                    done = json.dumps(engine.trial(family, tuple(json.loads(genes)), seed, reference))
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([seed]), pa.array([done])], ["i", "seed", "result"])
-
-        work = spark.createDataFrame([(k, json.dumps(todo[k::slots])) for k in range(slots)], "slot int, work string")
-        return [(r.i, r.seed, json.loads(r.result)) for r in beside(self.reference, work, slots).mapInArrow(run, "i bigint, seed bigint, result string").collect()]
-
     # The run
 
     def summary(self, generation: int, population: tuple[Candidate, ...]) -> list[dict]:
