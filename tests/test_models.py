@@ -334,11 +334,13 @@ def test_search_on_stored_reference(spark):
     how = Settings(lags=(1, 4), lag_weights=(0.5, 0.5), widths=(w / 64, w / 8), scale_weights=(0.5, 0.5))
     kept, whole = Engine(s, models.stored(rows), w, how), Engine(s, t, w, how)
     population = kept.first(models.rng_of(1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = kept.evaluate(spark, population)
     for a, b in zip(found, whole.evaluate(None, population), strict=True):
         assert (a.status, a.failure) == (b.status, b.failure) and a.genes == b.genes
         assert all(x == pytest.approx(y, abs=1e-12) and all(x[m] == y[m] for m in ("frame_size_ks", "iat_ks", "multiscale_rate")) for x, y in zip(a.scores, b.scores, strict=True))
     assert {c.failure and c.failure[0] for c in found} == {None, "incomplete_generation"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     work = spark.createDataFrame([(k, str(k), k % 2 == 0) for k in range(6)], "slot int, work string, sampled boolean")
     dealt = models.beside(kept.reference, work, 6).select("slot", F.spark_partition_id().alias("task"), "chunk", F.col("ts").isNull().alias("alone")).collect()
     assert sorted({(r.slot, r.task) for r in dealt}) == [(k, k) for k in range(6)] and all(r.alone == (r.slot % 2 == 1) for r in dealt)

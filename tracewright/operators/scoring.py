@@ -14,12 +14,13 @@ import json
 import math
 import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -30,6 +31,8 @@ from .similarity import METHODS, Settings, bin_counts
 
 #: Limits that inter-arrival times are counted at, values of a sample that they are chosen from, and values of the reference in a further look.
 LIMITS, SAMPLE, LOOK = 16_384, 262_144, 1 << 20
+#: Chunks, of some MB each at most, that go to a Python worker at once.
+BATCH = 4
 MADE = "i bigint, seed bigint, gaps binary, result string, counts binary"
 
 
@@ -59,7 +62,24 @@ def row(names: str, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], [n for n, _ in fields])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, jobs send BATCH rows at once to Python, where Spark's setting is larger; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def profile(trace: Stored, window: float, s: Settings) -> Profile:
+    with small_batches(trace.chunks.sparkSession):
+        return _profile(trace, window, s)
+
+
+def _profile(trace: Stored, window: float, s: Settings) -> Profile:
     linked, n, length = trace.linked(), len(trace), trace.length
     most = max(1, SAMPLE // math.ceil(n / CHUNK))
 
@@ -142,6 +162,11 @@ def attempt(made: Parts, about: Profile, window: float, s: Settings) -> Iterator
 
 def trials(trace: Stored, about: Profile, todo: list[tuple[int, str, str, int]], window: float, s: Settings, limits: Limits) -> list[tuple[int, int, dict]]:
     """(i, seed, result) of each (i, family, genes, seed), each in a task of its own: the four scores and counters, or what failed."""
+    with small_batches(trace.chunks.sparkSession):
+        return _trials(trace, about, todo, window, s, limits)
+
+
+def _trials(trace: Stored, about: Profile, todo: list[tuple[int, str, str, int]], window: float, s: Settings, limits: Limits) -> list[tuple[int, int, dict]]:
     spark, summary = trace.chunks.sparkSession, trace.summary
     shared = spark.sparkContext.broadcast(about)
 
