@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Arrays, Events
+from ..sources.shared import new_folder
 from .ordered import CHUNK, in_chunks
 
 # Families, genes and how their coordinates are scaled.
@@ -558,12 +559,16 @@ class Stored:
 
 
 def stored(trace: DataFrame) -> Stored:
+    """The chunks are written to the shared folder, so that the many jobs that read them don't carry the plan that made them."""
+    spark, place = trace.sparkSession, new_folder(trace.sparkSession, "trace")
     chunks = in_chunks(trace, ["trace_id"], "seq", ["ts", "direction", "frame_length"], CHUNK)
-    chunks = chunks.select("chunk", F.col("entries.ts").alias("ts"), F.col("entries.direction").cast("array<tinyint>").alias("direction"), F.col("entries.frame_length").cast("array<bigint>").alias("length")).persist()
+    chunks = chunks.select("chunk", F.col("entries.ts").alias("ts"), F.col("entries.direction").cast("array<tinyint>").alias("direction"), F.col("entries.frame_length").cast("array<bigint>").alias("length"))
+    # readers hold the rows of a file at once
+    chunks.write.option("maxRecordsPerFile", 64).parquet(place)
     found = trace.groupBy("direction", "frame_length").agg(F.count("*").alias("n"), F.min("seq").alias("first")).toPandas().sort_values("first")
     counts = found.groupby("frame_length")["n"].sum()
     marks = Marks(tuple((int(d), int(x), int(n)) for d, x, n in zip(found["direction"], found["frame_length"], found["n"], strict=True)))
-    return Stored(chunks, Summary(Lengths(counts.index.to_numpy(np.int64), counts.to_numpy(np.int64)), marks))
+    return Stored(spark.read.parquet(place), Summary(Lengths(counts.index.to_numpy(np.int64), counts.to_numpy(np.int64)), marks))
 
 
 def beside(trace: Stored, work: DataFrame, n: int) -> DataFrame:
